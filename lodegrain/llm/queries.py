@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import sharding, warc
+from lodegrain.llm import quality, sharding, warc
 from lodegrain.llm.common import fresh_path, rows_of
 
 SHARDS = 40
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts, the forest's score and the verdict for every document."""
+    return quality.judge(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards by longest processing time; equal texts together."""
     out = sharding.shard_documents(rows_of(spark, sf_dir, "documents"), SHARDS)
@@ -28,6 +33,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
