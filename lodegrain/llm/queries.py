@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import quality, sharding, warc
+from lodegrain.llm import minhash, quality, sharding, warc
 from lodegrain.llm.common import fresh_path, rows_of
 
 SHARDS = 40
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups at similarity 0.85 of five-word shingle sets."""
+    return minhash.near_duplicates(rows_of(spark, sf_dir, "documents"), minhash.Similarity(85))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, the forest's score and the verdict for every document."""
     return quality.judge(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "labels"))
@@ -33,6 +38,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash": op5_minhash,
     "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
