@@ -398,6 +398,21 @@ def encode(text: Column, model_path: str) -> Column:
     return encoded(text)
 
 
+def encode_ids(text: Column, model_path: str) -> Column:
+    """The ids of encode() alone, for uses that need no spans."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded(texts: pa.Array) -> pa.Array:
+        tool, bounds, ids = _tools(model_path)[0], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), 1 << 20):
+            b, i, _, _ = tool.encode(run)
+            bounds.append(b[1:] + bounds[-1][-1])
+            ids.append(i)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(np.concatenate(ids), pa.int32()))
+
+    return encoded(text)
+
+
 def decode(ids: Column, model_path: str) -> Column:
     """The text of an array of ids; a null or empty array is an empty text."""
 

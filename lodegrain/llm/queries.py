@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import minhash, quality, sharding, warc
-from lodegrain.llm.common import fresh_path, rows_of
+from lodegrain.llm import minhash, pieces, quality, sharding, toxicity, warc
+from lodegrain.llm.common import fold_of, fresh_path, rows_of
 
 SHARDS = 40
+MODEL = "piece_bpe_32k.model"
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs, labels = rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "labels")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    lexicon = toxicity.fit(docs, labels.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), lexicon).alias("r"))
+    return out.select("doc_id", "held_out", "r.score", (F.col("r.score") >= 0.5).cast("int").alias("predicted"), "r.n_hits")
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the public BPE model, and the text that they decode to, as digests."""
+    path = public_tokenizers.path(MODEL)
+    coded = rows_of(spark, sf_dir, "documents").select("doc_id", pieces.encode_ids(F.col("text"), path).alias("ids"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +59,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_pieces": op4_pieces,
     "op5_minhash": op5_minhash,
     "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
