@@ -8,13 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import minhash, pieces, quality, sharding, toxicity, warc
+from lodegrain.llm import decontam, licences, minhash, pieces, quality, sharding, toxicity, warc
 from lodegrain.llm.common import fold_of, fresh_path, rows_of
 
 SHARDS = 40
 MODEL = "piece_bpe_32k.model"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, as it is or with new parameters."""
+    found = decontam.leaks(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "n_windows", "n_slots", "n_changed")
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a licence notice or text."""
+    return licences.scan(rows_of(spark, sf_dir, "documents")).select("doc_id", "licence", "dice", "units")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels outside the held-out fold."""
     docs, labels = rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "labels")
@@ -59,6 +70,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_licences": op2_licences,
     "op3_toxicity": op3_toxicity,
     "op4_pieces": op4_pieces,
     "op5_minhash": op5_minhash,
