@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import decontam, licences, minhash, pieces, quality, sharding, toxicity, warc
+from lodegrain.llm import decontam, licences, maincontent, minhash, pieces, quality, sharding, toxicity, warc
 from lodegrain.llm.common import fold_of, fresh_path, rows_of
 
 SHARDS = 40
@@ -55,6 +55,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "labels"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = rows_of(spark, sf_dir, "pages").select("page_id", "url", maincontent.main_text(F.col("html")).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards by longest processing time; equal texts together."""
     out = sharding.shard_documents(rows_of(spark, sf_dir, "documents"), SHARDS)
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op5_minhash": op5_minhash,
     "op7_quality": op7_quality,
+    "op8_main_text": op8_main_text,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
