@@ -210,8 +210,6 @@ def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """
     n = len(costs)
     demand = [max(-c, 0) for c in costs]
-    if not any(demand) or max(costs) <= 0:
-        return [c > 0 for c in costs]
     near: list[dict[int, int]] = [{} for _ in range(n)]
     for i, j, c in edges:
         near[i][j] = near[i].get(j, 0) + c
