@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import decontam, licences, maincontent, minhash, pieces, quality, sharding, toxicity, warc
+from lodegrain.llm import decontam, licences, maincontent, maxent, minhash, pieces, quality, sharding, toxicity, warc
 from lodegrain.llm.common import fold_of, fresh_path, rows_of
 
 SHARDS = 40
@@ -50,6 +50,15 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(rows_of(spark, sf_dir, "documents"), minhash.Similarity(85))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, learned from those outside the held-out fold."""
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    model, cold = maxent.fit(docs.where(~held_out))
+    out = maxent.score(docs, model, cold)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, the forest's score and the verdict for every document."""
     return quality.judge(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "labels"))
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_pieces": op4_pieces,
     "op5_minhash": op5_minhash,
+    "op6_language_model": op6_language_model,
     "op7_quality": op7_quality,
     "op8_main_text": op8_main_text,
     "op9_sharding": op9_sharding,
