@@ -42,13 +42,17 @@ def _in_file() -> Window:
     return Window.partitionBy("path").orderBy("line")
 
 
+def with_context(lines: DataFrame, wanted: Column) -> DataFrame:
+    """The wanted rows of lines(path, line, text) with context: one line before and two after, as far as the file goes."""
+    return lines.withColumn("context", F.collect_list("text").over(_in_file().rowsBetween(-1, 2))).where(wanted)
+
+
 def todos(files: DataFrame, blame: DataFrame | None = None, older_than: int | None = None) -> DataFrame:
     """(path, line, kind, text, issue, context, severity): the first annotation of each line, with one line before and two after.
 
     With blame(path, line, author, days_ago): author and days_ago too; older_than drops lines that are known to be younger.
     """
-    context = F.collect_list("text").over(_in_file().rowsBetween(-1, 2))
-    lines = lines_of(files).withColumn("context", context).where(F.col("text").rlike(TODO))
+    lines = with_context(lines_of(files), F.col("text").rlike(TODO))
     kind = F.upper(F.regexp_extract("text", TODO, 1))
     said = trim_space(F.regexp_extract("text", TODO, 2))
     issue = F.nullif(F.regexp_extract(said, ISSUE, 1), F.lit(""))

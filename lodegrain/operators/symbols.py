@@ -115,6 +115,14 @@ def edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.select(F.col("path").alias("from_path"), "name").join(defs.select("path", "name").distinct(), "name").where("from_path <> path").select("from_path", "path", "name").distinct()
 
 
+def use_counts(defs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(path, name, n_files): how many other files refer to each definition. Files are counted by name first, so a name that all files use makes no pairs."""
+    by_name = refs.select("path", "name").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    own = refs.select("path", "name", F.lit(1).alias("_own")).distinct()
+    nodes = defs.select("path", "name").distinct().join(by_name, "name", "left").join(own, ["path", "name"], "left")
+    return nodes.select("path", "name", (F.coalesce("_n", F.lit(0)) - F.coalesce("_own", F.lit(0))).cast("bigint").alias("n_files"))
+
+
 def glob_pattern(glob: str) -> str:
     """A whole-name pattern of a glob: * is any run; ? stays a quantifier."""
     return "^" + "".join(".*" if c == "*" else "\\" + c if c in ".+^${}()[]|`\\" else c for c in glob) + r"\z"
