@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.llm import decontam, licences, maincontent, maxent, minhash, pieces, quality, sharding, toxicity, warc
 from lodegrain.llm.common import fold_of, fresh_path, rows_of
+from lodegrain.llm.oracles import ORACLES  # noqa: F401  the entry takes both from here
 
 SHARDS = 40
 MODEL = "piece_bpe_32k.model"
@@ -96,18 +97,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
-
-ORACLES: dict[str, str] = {
-    "op10_warc": """
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
-d AS (
-  SELECT page_id, url, strlen(body) AS payload_bytes,
-    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-      ((('0x' || substr(sha1(body), CAST(1 + 10 * (i // 8) AS BIGINT), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1, 1)), '') AS payload_digest
-  FROM p),
-o AS (SELECT payload_digest, max(page_id) AS original FROM d GROUP BY payload_digest)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN page_id IS DISTINCT FROM original AND original IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to, url, CAST(NULL AS VARCHAR) AS fault
-FROM d JOIN o USING (payload_digest)""",
-}

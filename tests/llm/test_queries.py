@@ -52,8 +52,12 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", [k for k in LLM if k in entry.oracle_sql()])
 def test_against_sql(results, tables, name):
     got, want = results(name), tables.execute(entry.oracle_sql()[name]).df()
-    key = lambda df: collections.Counter(tuple(None if x != x or x is None else round(float(x), 6) if isinstance(x, (int, float)) else str(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
-    assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+
+    def counted(df):
+        df = df[sorted(df.columns)].astype(object)
+        return collections.Counter(tuple(None if x is None else round(float(x), 6) if isinstance(x, (int, float)) else str(x) for x in row) for row in df.where(df.notna(), None).itertuples(index=False))
+
+    assert sorted(got.columns) == sorted(want.columns) and counted(got) == counted(want)
 
 
 def test_op3_held_out(results, tables, documents):
