@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lodegrain.functions.text import basename, lines_of
 
 #: Files that declare keys.
-ENV_FILE = r"^\.env(?:\.[A-Za-z]+)?\z"
+ENV_FILE = r"^\.env(?:\.(?:example|sample|local|development|staging|production|test))?\z"
 JSON_FILE = r"^(?:config|settings)(?:\.[^/]+)?\.json\z"
 SOURCE_EXTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".go", ".java", ".rb", ".rs", ".php", ".cs")
 

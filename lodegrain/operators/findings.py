@@ -9,7 +9,7 @@ from lodegrain.functions.text import COMMENT_LINE, EDGE_L, EDGE_R, by_extension,
 
 #: Annotations and their weights.
 SEVERITY = {"DEPRECATED": 5, "BUG": 4, "FIXME": 3, "HACK": 2}
-TODO = r"(?i)(?://|#|--|/\*)\s*(TODO|FIXME|HACK|XXX|BUG|DEPRECATED|NOTE)(?![A-Za-z0-9_])[\s:]*([^*\n]*)"
+TODO = r"(?i)(?://|#|--|/\*)\s*(TODO|FIXME|HACK|XXX|BUG|TEMP|DEPRECATED)(?![A-Za-z0-9_])[\s:]*([^*\n]*)"
 ISSUE = r"(#\d+|[A-Z]+-\d+)"
 
 #: Debug output by language; a captured method renames its kind.
@@ -24,7 +24,7 @@ DEBUG_RULES = {
     (".cs",): [("print", r"Console\.(Write|WriteLine|Error\.Write|Error\.WriteLine)\s*\(", 1), ("debug", r"Debug\.(Write|WriteLine|Print)\s*\(", 1), ("trace", r"Trace\.(Write|WriteLine)\s*\(", 1)],
 }
 RENAMED = {"warn": "warn", "warning": "warn", "debug": "debug", "info": "info", "error": "error", "err": "error", "trace": "trace", "dir": "dir", "log": "log"}
-TEST_PATH = r"(?:\.(?:test|spec)\.[^/]*\z|/__tests__/|/tests?/|_test\.[^/]*\z)"
+TEST_PATH = r"(?:\.(?:test|spec)\.[jt]sx?\z|__(?:tests?|mocks?)__|(?:^|/)tests?/|(?:^|/)spec/)"
 
 #: Tokens of known shape, names of credentials, and values that are none.
 TOKENS = (("aws_key", r"(?<![A-Z0-9])(AKIA[0-9A-Z]{16})(?![A-Z0-9])", 1), ("github_token", r"(gh[ps]_[A-Za-z0-9]{36,})", 1), ("private_key", r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)", 1), ("connection_string", r"([a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@[^\s\"']+)", 1))

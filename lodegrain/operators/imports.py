@@ -13,9 +13,10 @@ JS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 FILE_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", ".py", ".rb", ".go", ".rs")
 CYCLE_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 #: Files that need no importer, and packages that need no import.
-ENTRY_STEMS = ("index", "main", "app", "server", "cli", "mod", "lib", "setup", "manage", "wsgi", "asgi", "conftest", "__init__", "__main__")
-EXEMPT = r"(?:\.(?:test|spec|e2e|stories|story)\.|_test\.|(?:^|/)test_|(?:^|/)__|(?:^|/)(?:src/)?(?:app|pages)/)"
-TOOL_CONFIG = r"(?:^|/)(?:webpack|rollup|vite|vitest|jest|babel|eslint|prettier|tailwind|postcss|next|nuxt)\.config\.[^/]*\z"
+ENTRY_STEMS = ("index", "main", "app", "server", "start", "run", "entry", "bootstrap", "init", "setup", "program", "manage", "wsgi", "asgi")
+EXEMPT_STEM = r"(?:\.(?:test|spec|e2e|stories|story)\z|_test\z|^test_|^__)"
+EXEMPT_FOLDER = r"^(?:src/)?(?:app|pages)/"
+TOOL_STEM = r"^(?:babel|jest|webpack|vite|rollup|eslint|prettier|postcss|tailwind|next|nuxt|svelte)\.(?:config|setup)"
 SKIPPED_PACKAGES = r"^(?:@types/.*|typescript|ts-node|nodemon|concurrently)\z"
 SOURCE_EXTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".java", ".rb", ".rs", ".php", ".cs")
 
@@ -50,8 +51,8 @@ def unused_files(files: DataFrame) -> DataFrame:
     used = resolve(js_imports(source, bare=False), folders, FILE_ENDINGS).select(F.col("target").alias("path")).distinct()
     code = F.filter(F.split("content", "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*//"))
     barrel = (F.size(code) > 0) & F.forall(code, lambda x: x.rlike(r"^\s*export\s*(?:\*|\{)"))
-    stem = F.regexp_replace(basename(F.col("path")), r"\.[^.]*\z", "")
-    left = source.where(~stem.isin(list(ENTRY_STEMS)) & ~F.col("path").rlike(EXEMPT) & ~F.col("path").rlike(TOOL_CONFIG) & ~F.coalesce(barrel, F.lit(False)))
+    stem = F.lower(F.regexp_replace(basename(F.col("path")), r"\.[^.]*\z", ""))
+    left = source.where(~stem.isin(list(ENTRY_STEMS)) & ~stem.rlike(EXEMPT_STEM) & ~F.col("path").rlike(EXEMPT_FOLDER) & ~stem.rlike(TOOL_STEM) & ~F.coalesce(barrel, F.lit(False)))
     return left.join(used, "path", "left_anti").select("path", "size")
 
 

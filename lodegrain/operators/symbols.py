@@ -16,7 +16,7 @@ from lodegrain.functions.text import EDGE_L, IDENT, basename, by_extension, firs
 #: Weights of a dead symbol in lines, entry points and ignored names.
 LINES = {"function": 12, "method": 10, "class": 30, "variable": 1, "interface": 8, "type": 3, "enum": 6, "struct": 15, "trait": 12, "module": 20}
 OTHER_LINES = 5
-ENTRY_POINTS = ("index.ts", "index.js", "main.ts", "main.js", "main.py", "main.go", "main.rs", "app.ts", "app.js", "app.py", "server.ts", "server.js")
+ENTRY_POINTS = ("index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.py", "main.go", "main.py", "main.rb", "main.rs", "Program.cs", "Main.java")
 IGNORED_NAMES = ("_*", "__*", "test_*", "*_test", "*Test", "*Spec")
 MARKER = r"(?://|#)\s*dch-ignore"
 
@@ -135,7 +135,7 @@ def not_ignored(name: Column, globs: tuple[str, ...] = IGNORED_NAMES) -> Column:
 def dead_symbols(files: DataFrame, globs: tuple[str, ...] = IGNORED_NAMES, entry_points: tuple[str, ...] = ENTRY_POINTS) -> DataFrame:
     """Definitions that no other file refers to, without ignored names, marked lines and exports of entry points, with a reason."""
     nodes = first_definitions(definitions(files)).where(~F.col("ignored") & not_ignored(F.col("name"), globs)).where(~(F.col("exported") & basename(F.col("path")).isin(list(entry_points))))
-    return dead(nodes, references(files)).withColumn("reason", F.when(F.col("exported"), F.lit("exported but never referenced")).otherwise(F.lit("never referenced")))
+    return dead(nodes, references(files)).withColumn("reason", F.when(F.col("exported"), F.lit("Exported but never imported by any other file")).otherwise(F.lit("Defined but never referenced outside its own file")))
 
 
 def language_stats(files: DataFrame, defs: DataFrame, dead_rows: DataFrame) -> DataFrame:
