@@ -38,10 +38,13 @@ AGAINST = re.compile(
     r"signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|teaser|toolbar|topbar|tracking|widget)(?:$|[-_ \d])|(?:comment|sidebar|cookie|advert|sponsor|footer|navbar|newsletter)",
     re.I,
 )
+COMMENTS = re.compile(r"comment|disqus|(?:^|[-_ ])(?:repl(?:y|ies)|respond)(?:$|[-_ ])", re.I)
+#: Names of page frames that only say what stands beside the content, and of an article's own head.
+FRAMES = re.compile(r"(?:has|with|without|no)[-_](?:\w+[-_])?(?:sidebar|footer|header|ads?|comments?|nav|menu)\S*|\S*(?:article|entry|post|content)[-_]+(?:header|head)\S*", re.I)
 FOR = re.compile(r"(?:^|[-_ ])(?:article|articlebody|body|content|entry|main|post|story|text)(?:$|[-_ ])", re.I)
 
 #: Weights of the classifier, in units of cost; positive speaks for content.
-BIAS, IN_ARTICLE, NAMED_FOR, NAMED_AGAINST, DROPPED_COST, LINKS, LONG, SHORT, HEADING, PUNCTUATED = -20, 120, 50, -160, -400, -120, 40, -25, 30, 30
+BIAS, IN_ARTICLE, NO_ARTICLE, NAMED_FOR, NAMED_AGAINST, DROPPED_COST, LINKS, LONG, SHORT, HEADING, PUNCTUATED = 15, 120, -120, 50, -280, -400, -120, 40, -10, 30, 30
 #: Capacity of the edge between neighbours with one parent; with other parents it is divided by their distance in the tree.
 SMOOTH = 24
 
@@ -62,6 +65,7 @@ class Element:
     fit: bool = False
     article: bool = False
     link: bool = False
+    comment: bool = False
 
 
 @dataclass
@@ -144,12 +148,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         attributes = m[3]
         names = " ".join(x.strip("\"'") for x in _NAME.findall(attributes)) if attributes and "=" in attributes else ""
-        article = at.article or name in ("article", "main")
+        own = bool(names) and name not in ("html", "body")
+        against, comment = own and bool(AGAINST.search(FRAMES.sub(" ", names) if FRAMES.search(names) else names)), at.comment or (own and bool(COMMENTS.search(names)))
+        article = name in ("article", "main")
         at = Element(
             name, at.depth + 1, at,
             at.dropped or name in DROPPED or (name == "header" and not at.article) or (bool(attributes) and bool(_HIDDEN.search(attributes))),
-            at.against or (bool(names) and name not in ("html", "body", "article", "main") and bool(AGAINST.search(names))),
-            at.fit or (bool(names) and name not in ("html", "body") and bool(FOR.search(names))), article, at.link or name == "a",
+            # an article begins anew, unless it is a comment: frames around it may be named for what else they hold
+            against or comment or (at.against and not article), at.fit or (own and bool(FOR.search(names))), at.article or article, at.link or name == "a", comment,
         )
     kept = []
     for b in out:
@@ -168,7 +174,7 @@ def cost(b: Block, any_article: bool) -> int:
     """The classifier's evidence for content (positive) or against it."""
     n = len(b.text)
     linked = len("".join(b.link_parts).strip())
-    e = BIAS + (IN_ARTICLE if b.place.article else -IN_ARTICLE // 2 if any_article else 0) + (NAMED_FOR if b.place.fit else 0)
+    e = BIAS + (IN_ARTICLE if b.place.article else NO_ARTICLE if any_article else 0) + (NAMED_FOR if b.place.fit else 0)
     e += (NAMED_AGAINST if b.place.against else 0) + (DROPPED_COST if b.place.dropped else 0)
     e += LINKS * min(linked, n) // n if linked else 0
     e += LONG if n >= 80 else SHORT if n < 25 and not any_article else 0
