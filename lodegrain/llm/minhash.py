@@ -3,12 +3,14 @@
 A document's set is its distinct shingles of five lower-cased words. Documents with equal sets form a class, and only the
 class's smallest id takes part in the search. SuperMinHash gives every shingle a pseudo-random permutation of the
 slots and one fraction per rank; a slot keeps the least rank + fraction, and a document stops at the first rank that can't lower
-any slot. Bands of the signature bucket the classes.
-
-Within a bucket not all pairs are tried. Each round tries every member against a few pivots, links what passes on the full sets
-and contracts linked members to components; members of one component need no further test. The pivots then leave the
-bucket, and rounds go on, with more pivots each time, until no bucket has two components. So every pair that shares a
-bucket is either verified or already linked through others, and no bucket is capped.
+any slot. A signature is one byte of each slot's value. Bands of it bucket the classes; bands overlap, so that they can be long
+(few chance meetings) and many (few missed pairs) at once.
+
+Within a bucket not all pairs are tried. First every class is tried against the most central member of each of its buckets, the one
+that meets most others; what passes is contracted to components, and members of one component need no further test. Then each round
+takes more members outside the bucket's main component as pivots, tries the rest against them and drops them from the
+bucket, until no bucket has two components. So every pair that shares a bucket is tried or already linked through others, and
+no bucket is capped. A pair's signatures are compared before its sets; what they rule out is a dozen standard errors away.
 """
 
 from __future__ import annotations
@@ -17,19 +19,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrain.llm import textkit as K
 from lodegrain.llm.common import materialise
 
-#: Shingle width, bands and rows. A pair of similarity 0.85 shares no band with probability 2e-9, one of 0.8 with 3e-6.
-WIDTH, BANDS, ROWS = 5, 42, 6
-SLOTS = BANDS * ROWS
-#: Text bytes per numpy run: the permutations take SLOTS bytes for every shingle of a run.
+#: Shingle width, slots of a signature, and bands, each of some slots drawn from a fixed seed. With 12 rows a pair of similarity 0.85
+#: shares no band with probability 2e-4, one of 0.4 shares one with 1e-3; with 9 rows the same holds for 0.8.
+WIDTH, SLOTS, BANDS = 5, 256, 64
+#: Pairs whose signatures agree on a share this far below the threshold are not verified: seven standard errors.
+SLACK = 0.16
+#: Ids whose sets are wanted are broadcast up to this many (16 bytes each), else joined by shuffle.
+BROADCAST_IDS = 1_000_000
+#: Ranks after which a document's elements get whole permutations instead of lists of swaps.
+LISTED_RANKS = 6
+#: Text bytes per numpy run.
 RUN_BYTES = 1 << 19
-SKETCH_TYPE = T.StructType([T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH_TYPE = T.StructType([T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("signature", T.BinaryType())])
 SET_TYPE = T.StructType([T.StructField("k1", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
 
@@ -58,65 +66,98 @@ def distinct(own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def super_minhash(hashes: np.ndarray, own: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
-    """Signatures (texts x slots) of sets of 64-bit elements: the least rank << 32 | fraction of each slot; the largest integer in sets without elements."""
+    """Signatures (texts x slots) of sets of 64-bit elements: the least rank << 32 | fraction of each slot; the largest integer in sets without elements.
+
+    Rank r of an element's permutation swaps places r and k(r). Few ranks are needed as a rule, so a place is looked up in the list of swaps so far.
+    """
     signature = np.full(texts * slots, np.iinfo(np.int64).max, np.int64)
     live = np.zeros(texts, bool)
     live[own] = True
     h, o, perm = hashes, own, None
+    swaps: list[np.ndarray] = []
+    moved: list[np.ndarray] = []
     for rank in range(slots):
         x = K.mix(h + np.uint64((rank + 1) * int(K.STEP) % 2**64))
-        swap = rank + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - rank) >> np.uint64(32)).astype(np.int64)
+        k = rank + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - rank) >> np.uint64(32)).astype(np.int64)
         if perm is None:
-            slot = swap
+            slot, first = k, np.full(len(h), rank)
+            for old, content in zip(swaps, moved, strict=True):
+                slot = np.where(old == k, content, slot)
+                first = np.where(old == rank, content, first)
+            swaps.append(k)
+            moved.append(first)
         else:
             rows = np.arange(len(h))
-            slot = perm[rows, swap]
-            perm[rows, swap] = perm[:, rank]
-        value = (x >> np.uint64(32)).astype(np.int64) | (rank << 32)
-        np.minimum.at(signature, o * slots + slot, value)
+            slot = perm[rows, k]
+            perm[rows, k] = perm[:, rank]
+        np.minimum.at(signature, o * slots + slot, (x >> np.uint64(32)).astype(np.int64) | (rank << 32))
         still = live & (signature.reshape(texts, slots).max(1) >= (rank + 1) << 32)
         if not still.any():
             break
-        if perm is None:
+        if perm is None or still.sum() < 0.8 * live.sum():
             keep = still[o]
-            h, o, swap = h[keep], o[keep], swap[keep]
+            if not keep.all():
+                h, o = h[keep], o[keep]
+                swaps, moved = [s[keep] for s in swaps], [m[keep] for m in moved]
+                perm = None if perm is None else perm[keep]
+            live = still
+        if perm is None and rank + 1 == min(LISTED_RANKS, slots):
             perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(h), 1))
-            perm[np.arange(len(h)), swap] = 0
-        elif still.sum() < 0.8 * live.sum():
-            keep = still[o]
-            h, o, perm = h[keep], o[keep], perm[keep]
-        live = still
+            rows = np.arange(len(h))
+            for r, k in enumerate(swaps):
+                perm[rows, k] = perm[:, r]
+            swaps, moved = [], []
     return signature.reshape(texts, slots)
 
 
-def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """A hash of every band, its number included."""
-    rows = signature.shape[1] // bands
-    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(signature), bands)).copy()
-    parts = signature.reshape(len(signature), bands, rows).astype(np.uint64)
+def short_form(signature: np.ndarray) -> np.ndarray:
+    """One byte for each slot's value."""
+    return (K.mix(signature.astype(np.uint64) + np.uint64(1)) >> np.uint64(56)).astype(np.uint8)
+
+
+def band_keys(short: np.ndarray, rows: int, bands: int = BANDS) -> np.ndarray:
+    """A hash of every band of signatures in short form, its number included."""
+    rng = np.random.default_rng(11)
+    picks = np.stack([rng.permutation(short.shape[1])[:rows] for _ in range(bands)])
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(short), bands)).copy()
     for r in range(rows):
-        out = K.mix(out * K.STEP + parts[:, :, r])
+        out = K.mix(out * K.STEP + short[:, picks[:, r]])
     return out.astype(np.int64)
 
 
 @F.arrow_udf(SKETCH_TYPE)
 def sketch(texts: pa.Array) -> pa.Array:
-    """Set size, a 128-bit key of the set, and band keys (none in an empty set)."""
-    size, k1, k2, bands = [], [], [], []
+    """Set size, a 128-bit key of the set, and its signature (null of an empty set)."""
+    size, k1, k2, short = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), RUN_BYTES):
         hashes, own = shingles(run)
         n = np.bincount(own, minlength=len(run))
         sums = np.zeros((2, len(run)), np.uint64)
         np.add.at(sums[0], own, K.mix(hashes))
         np.add.at(sums[1], own, K.mix(hashes ^ K.STEP))
-        keys = band_keys(super_minhash(hashes, own, len(run)))
+        short += [row.tobytes() if m else None for row, m in zip(short_form(super_minhash(hashes, own, len(run))), n.tolist(), strict=True)]
         size.append(n)
         k1.append(sums[0].astype(np.int64))
         k2.append(sums[1].astype(np.int64))
-        bands.append(keys)
-    n, keys = np.concatenate(size or [np.zeros(0, np.int64)]), np.concatenate(bands or [np.zeros((0, BANDS), np.int64)])
-    filled = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel()))
-    return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(np.concatenate(k1 or [n])), pa.array(np.concatenate(k2 or [n])), filled], ["n", "k1", "k2", "bands"])
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(k1)), pa.array(np.concatenate(k2)), pa.array(short, pa.binary())], ["n", "k1", "k2", "signature"])
+
+
+def bands_of(signature: Column, rows: int) -> Column:
+    """The band keys of a signature."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def keys(signatures: pa.Array) -> pa.Array:
+        short = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, SLOTS)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(short) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(short, rows).ravel()))
+
+    return keys(signature)
+
+
+@F.arrow_udf(T.DoubleType())
+def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The share of slots in which two signatures agree."""
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, SLOTS) for s in (a, b))
+    return pa.array((x == y).mean(1) if len(x) else np.zeros(0))
 
 
 @F.arrow_udf(SET_TYPE)
@@ -165,6 +206,11 @@ class Similarity:
 
     percent: int = 80
 
+    @property
+    def rows(self) -> int:
+        """Slots of a band."""
+        return 12 if self.percent >= 85 else 9
+
     def sizes_allow(self, a: str, b: str):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
@@ -172,52 +218,83 @@ class Similarity:
         return 100 * F.col(shared) >= self.percent * (F.col(a) + F.col(b) - F.col(shared))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
-    """pairs(a, b, na, nb, ka, kb) with linked; texts move only for ids in pairs, and of rows that share an id the one with the class's key counts."""
-    wanted = pairs.select(F.col("a").alias("id"), F.col("ka").alias("k")).union(pairs.select("b", "kb")).distinct()
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("id", "k", full_set(F.col("text")).alias("s")).where("s.k1 = k").dropDuplicates(["id"])
-    sets = materialise(found.select("id", F.col("s.hashes").alias("hashes")), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    return both.select("a", "b", "na", "nb", shared_count(F.col("ha"), F.col("hb")).alias("shared")).select("a", "b", rule.linked("shared", "na", "nb").alias("linked"))
+class Verifier:
+    """Tries pairs of classes on their full sets. Sets are worked out once, when an id is first wanted."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, rule: Similarity):
+        self.docs, self.nodes, self.rule = docs.select(F.col("doc_id").alias("id"), "text"), nodes, rule
+        self.sets: DataFrame | None = None
+
+    def _need(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("id"), F.col("ka").alias("k")).union(pairs.select("b", "kb")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
+        wanted = materialise(wanted, "wanted")
+        n = wanted.count()
+        if n:
+            # of rows that share an id the one with the class's key counts
+            found = self.docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id").select("id", "k", full_set(F.col("text")).alias("s")).where("s.k1 = k").dropDuplicates(["id"])
+            more = materialise(found.select("id", F.col("s.hashes").alias("hashes")), "sets")
+            self.sets = more if self.sets is None else self.sets.union(more)
+        return self.sets
+
+    def try_pairs(self, pairs: DataFrame) -> DataFrame | None:
+        """pairs(a, b) with linked; None if there is none."""
+        of = lambda x: self.nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("k1").alias("k" + x), F.col("signature").alias("s" + x))
+        known = pairs.join(of("a"), "a").where(F.col("na").isNotNull()).join(of("b"), "b").where(self.rule.sizes_allow("na", "nb"))
+        near = materialise(known.where(agreement(F.col("sa"), F.col("sb")) >= self.rule.percent / 100 - SLACK).drop("sa", "sb"), "near")
+        if near.isEmpty():
+            return None
+        sets = self._need(near)
+        both = near.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+        linked = both.select("a", "b", "na", "nb", shared_count(F.col("ha"), F.col("hb")).alias("shared")).where(self.rule.linked("shared", "na", "nb"))
+        return materialise(linked.select("a", "b"), "links")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(rep, comp) after its components are joined by links(a, b) between reps."""
+    of = lambda x: labels.select(F.col("rep").alias(x), F.col("comp").alias("c" + x))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
+    merged = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return materialise(labels.join(merged, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "labels")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame | None:
-    """classes(rep, n, k1, bands) to (rep, comp) of every rep that has a link; None if none has."""
-    members = classes.select("rep", "n", "k1", F.explode("bands").alias("key"))
-    multi = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre")).where("c > 1").select("key", "centre")
-    state = materialise(members.join(multi, "key"), "buckets")
+    """classes(rep, n, k1, signature) to (rep, comp) of every rep that shares a bucket; None if none does."""
+    members = classes.select("rep", F.explode(bands_of(F.col("signature"), rule.rows)).alias("key"))
+    multi = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    state = materialise(members.join(multi, "key").select("key", "rep", "c"), "buckets")
     if state.isEmpty():
         return None
-    nodes = materialise(state.groupBy("rep").agg(F.min("n").alias("n"), F.min("k1").alias("k1"), F.min("centre").alias("centre")), "nodes")
-    labels, tried, pivots = nodes.select("rep", F.col("rep").alias("comp")), None, 1
-    as_pivot = nodes.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("k1").alias("pk"))
-    # first each class against the least id it shares a bucket with: most groups collapse here
-    found = nodes.where("rep <> centre").select("rep", "n", "k1", F.col("centre").alias("pivot"))
-    state = state.select("key", "rep", "n", "k1")
+    # how many meetings a class has; the base of a group of edited copies has most
+    fame = state.groupBy("rep").agg(F.sum("c").alias("fame"))
+    nodes = materialise(classes.join(fame, "rep"), "nodes")
+    state = materialise(state.select("key", "rep").join(nodes.select("rep", "fame"), "rep").select("key", "rep", "fame"), "famed")
+    order = F.struct("fame", -F.col("rep"))
+    verifier, tried, pivots = Verifier(docs, nodes, rule), None, 0
+    labels = nodes.select("rep", F.col("rep").alias("comp"))
+    chosen = state.groupBy("key").agg(F.max_by("rep", order).alias("pivot"))
+    found = state.join(chosen, "key").where("rep <> pivot").select("rep", "pivot")
     while True:
-        pairs = found.join(as_pivot, "pivot").where(rule.sizes_allow("n", "pn")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"), F.col("pk").alias("ka"), F.col("k1").alias("kb"))
-        low_first = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("ka", "kb"), ("kb", "ka"))]
-        pairs = pairs.select(low_first).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tested = materialise(verified(pairs, docs, rule), "tested")
-            failed = tested.where("not linked").select("a", "b")
-            tried = failed if tried is None else tried.union(failed)
-            of = lambda x: labels.select(F.col("rep").alias(x), F.col("comp").alias("c" + x))
-            edges = tested.where("linked").join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
-            merged = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-            labels = materialise(labels.join(merged, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "labels")
-        if pivots > 1:
-            state = state.join(chosen, ["key", "rep"], "left_anti")
-        here = state.select("key", "rep", "n", "k1").join(labels, "rep")
-        open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        state = materialise(here.join(open_keys, "key", "left_semi"), "open")
+        pairs = found.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = None if pairs.isEmpty() else verifier.try_pairs(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        if links is not None and not links.isEmpty():
+            labels = _relabelled(labels, links)
+        if pivots:
+            state = state.join(chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
+        here = state.select("key", "rep", "fame").join(labels, "rep")
+        # a bucket is open while it has members outside the component of its most central one
+        main = here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
+        state = materialise(here.join(main, "key"), "open")
         if state.isEmpty():
             return labels
-        pivots *= 4
-        chosen = materialise(state.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots)).alias("s")).agg(F.min(F.struct("rep", "comp")).alias("p")).select("key", F.col("p.rep").alias("rep"), F.col("p.comp").alias("pc")), "pivots")
-        found = state.join(chosen.select("key", F.col("rep").alias("pivot"), "pc"), "key").where("comp <> pc").select("rep", "n", "k1", "pivot").distinct()
-        chosen = chosen.select("key", "rep")
+        pivots = max(8 * pivots, 8)
+        strata = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
+        best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp"), order).alias("p"))
+        chosen = materialise(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc")), "pivots")
+        found = state.join(chosen, "key").where("comp <> pc").select("rep", "pivot")
 
 
 def near_duplicates(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
@@ -227,18 +304,37 @@ def near_duplicates(docs: DataFrame, rule: Similarity = Similarity()) -> DataFra
     class. Rows repeated whole keep the same component and verdict. A row without an id takes the component of a row
     with the same set that has one, else null, and is kept only in the latter case. Of docs only the two columns are read.
     """
-    base = materialise(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
-    classes = materialise(base.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")).where("rep is not null"), "classes")
-    labels = link_classes(classes.select("rep", "n", "k1", "bands"), docs, rule)
+    return _judged(docs, rule).drop("row_key")
+
+
+def _judged(docs: DataFrame, rule: Similarity) -> DataFrame:
+    """near_duplicates() with row_key, a hash of id and text."""
+    base = materialise(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), sketch(F.col("text")).alias("s")).select("doc_id", "row_key", "s.*"), "sketches")
+    classes = materialise(base.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).where("rep is not null"), "classes")
+    labels = link_classes(classes.select("rep", "n", "k1", "signature"), docs, rule)
     reps = classes.select("k1", "k2", "n", "rep")
     reps = reps.withColumn("comp", F.col("rep")) if labels is None else reps.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    out = base.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
+    out = base.select("doc_id", "row_key", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
-    """The rows of docs, with their columns, whose document is kept; of rows that share an id and text one stays."""
-    kept = near_duplicates(docs, rule).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return rows.withColumn("_text_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    """The rows of docs, with their columns, whose document is kept; of rows that share an id and text one stays.
+
+    Texts stay where they are: rows are judged by the keys of those to drop, broadcast up to BROADCAST_IDS, and only rows repeated whole are shuffled.
+    """
+    judged = materialise(_judged(docs, rule).select("row_key", "kept"), "judged")
+
+    def bounded(keys: DataFrame) -> DataFrame:
+        keys = materialise(keys.select(F.col("row_key").alias("_row_key")), "keys")
+        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+    at = F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_row_key")
+    rows = docs.join(bounded(judged.where(~F.col("kept")).distinct()), at, "left_anti")
+    repeated = judged.where("kept").groupBy("row_key").count().where("count > 1")
+    if repeated.isEmpty():
+        return rows
+    keys = bounded(repeated)
+    one = rows.join(keys, at, "left_semi").withColumn("_row_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_row_key"]).drop("_row_key")
+    return rows.join(keys, at, "left_anti").unionByName(one)
