@@ -3,7 +3,9 @@
 Units are the lines of a text and, where one spans several lines, its paragraphs (parted by blank lines) and the whole text.
 Words are lower-cased runs of letters and digits; years, version numbers after the point and copyright holders are left out, so
 that notices meet their templates. A unit of n distinct bigrams reaches a coefficient t only with templates of
-t / (2 - t) * n to (2 - t) / t * n bigrams; others are pruned before any bigram is compared.
+t / (2 - t) * n to (2 - t) / t * n bigrams; others are pruned before any bigram is compared. It also shares at least t / (2 - t) of
+the template's bigrams, so from a set of words that touch more than the rest of every template's bigrams it must hold one: texts
+without any of these anchor words are passed over by plain substring tests.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Words too frequent in any text to be looked for while others do.
+COMMON = frozenset("a all an and any are at be by can file for from if in is it may not of on or that the this to under use with without you".split())
 
 _MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
@@ -79,7 +83,7 @@ TEMPLATES = (
 def normalised(text: Column) -> Column:
     """Lower case, letters and digits only, one space between words, without a leading copyright line's mark and years."""
     s = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.trim(F.regexp_replace(s, r"\b(?:19|20)\d\d\b ?", ""))
+    return F.trim(F.regexp_replace(s, r"(?<![A-Za-z0-9_])(?:19|20)\d\d(?![A-Za-z0-9_]) ?", ""))
 
 
 def bigrams(words: Column) -> Column:
@@ -96,6 +100,32 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return grams.select("template", "licence", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
 
 
+def anchor_words(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold with any template holds at least one.
+
+    Greedy: the word that serves most templates first, long words before short ones, until for each template the words touch more
+    bigrams than a unit can lack.
+    """
+    open_grams = []
+    for _, text in templates:
+        w = _plain(text)
+        grams = set(zip(w, w[1:]))
+        open_grams.append([grams, int(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9) + 1])
+    chosen: list[str] = []
+    while left := [x for x in open_grams if x[1] > 0]:
+        served: dict[str, int] = {}
+        for grams, _ in left:
+            for w in {w for g in grams for w in g}:
+                served[w] = served.get(w, 0) + 1
+        # each template has unchosen words while it is open, as its bigrams outnumber what it needs
+        word = min(served, key=lambda w: (w in COMMON, len(w) < 5, -served[w], -len(w), w))
+        chosen.append(word)
+        for x in left:
+            hit = {g for g in x[0] if word in g}
+            x[0], x[1] = x[0] - hit, x[1] - len(hit)
+    return chosen
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per document row and licence that it holds: doc_id, row_key (a hash of id and text), licence, best coefficient (dice, rounded to six places) and units (how many units meet a template of it).
 
@@ -104,6 +134,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[s
     a parameter in the plan itself (a few thousand bigrams), which bounds what is broadcast.
     """
     table = template_table(docs.sparkSession, templates)
+    low_text, anchors, anchored = F.lower("text"), anchor_words(templates, threshold), F.lit(False)
+    for word in (w for w in anchors if len(w) > 4):
+        anchored = anchored | F.contains(low_text, F.lit(word))
+    if short := [w for w in anchors if len(w) <= 4]:
+        anchored = anchored | low_text.rlike(r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(short) + r")(?![\p{L}\p{M}\p{N}])")
+    docs = docs.where(anchored)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
     many = lambda units: F.filter(units, lambda u: F.contains(F.trim(u), F.lit("\n")))
