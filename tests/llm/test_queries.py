@@ -12,6 +12,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from lodegrain.llm import decontam, minhash
+from tests.llm.test_operators import brute_groups, brute_stats
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the corpus folder")
@@ -79,6 +80,31 @@ def test_op4_digests(results, documents):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_op5_groups(results, documents):
+    want = brute_groups(list(documents.items()), 85)
+    got = results("op5_minhash")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == want and ((got.doc_id == got.component_id) == got.kept).all()
+
+
+def test_op7_counts_and_verdicts(results, tables, documents):
+    got = results("op7_quality")
+    for r in got.itertuples():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_stats(documents[r.doc_id])
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+    quality = dict(tables.execute("SELECT doc_id, quality FROM labels").fetchall())
+    fine = got[(got.doc_id.map(quality) == 1) & ~got.base_failed]
+    assert fine.kept.mean() > 0.9
+
+
+def test_op9_shards(results, documents):
+    got = results("op9_sharding")
+    assert set(got.doc_id) == set(documents) and got["shard"].between(0, 39).all() and (got.law == "bytes").all() and got.grown_shard.isna().all()
+    assert (got["size"] == got.doc_id.map(lambda d: len(documents[d].encode()) + 16)).all() and (got.text_crc32 == got.doc_id.map(lambda d: zlib.crc32(documents[d].encode()))).all()
+    assert (got.groupby(got.doc_id.map(documents))["shard"].nunique() == 1).all()
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
 def test_op6_beats_its_base_out_of_sample(results):
     got = results("op6_language_model")
     out = got[got.held_out]
