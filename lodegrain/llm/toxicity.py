@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrain.llm import textkit as K
+from lodegrain.llm.common import materialise
 
 #: General insults, known before any label.
 SEED_WORDS = (
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
     Only documents that have a non-null label are read. Documents with several labels count with each. Copies of a document count once for a word's odds.
     """
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "toxic", "text")
+    # fit_rows bounds both the ids that are broadcast and the texts that are kept for the passes below
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text"), "labelled")
     spread = rows.select("toxic", _word_sets(F.col("text")).alias("s"))
     pairs = spread.select("toxic", "s.sketch", F.explode("s.words").alias("word")).distinct()
     sizes = {r["toxic"]: r["n"] for r in spread.groupBy("toxic").agg(F.countDistinct("s.sketch").alias("n")).collect()}
