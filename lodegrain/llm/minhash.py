@@ -9,8 +9,9 @@ any slot. A signature is one byte of each slot's value. Bands of it bucket the c
 Within a bucket not all pairs are tried. First every class is tried against the most central member of each of its buckets, the one
 that meets most others; what passes is contracted to components, and members of one component need no further test. Then each round
 takes more members outside the bucket's main component as pivots, tries the rest against them and drops them from the
-bucket, until no bucket has two components. So every pair that shares a bucket is tried or already linked through others, and
-no bucket is capped. A pair's signatures are compared before its sets; what they rule out is a dozen standard errors away.
+bucket, until no bucket has two components. By then it is known how many shingles of each class occur in any other class that is left; pairs that can't
+reach the threshold with those, such as copies with many edits of their own, don't meet. So every pair that shares a bucket is tried, ruled out by exact
+bounds or already linked through others, and no bucket is capped. A pair's signatures are compared before its sets; what they rule out is a dozen standard errors away.
 """
 
 from __future__ import annotations
@@ -214,6 +215,11 @@ class Similarity:
     def sizes_allow(self, a: str, b: str):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
+    def reachable(self, common_a: str, common_b: str, a: str, b: str):
+        """Whether sets of which at most common_a and common_b members are in any other set can be linked."""
+        most = F.least(common_a, common_b)
+        return 100 * most >= self.percent * (F.col(a) + F.col(b) - most)
+
     def linked(self, shared: str, a: str, b: str):
         return 100 * F.col(shared) >= self.percent * (F.col(a) + F.col(b) - F.col(shared))
 
@@ -225,11 +231,11 @@ class Verifier:
         self.docs, self.nodes, self.rule = docs.select(F.col("doc_id").alias("id"), "text"), nodes, rule
         self.sets: DataFrame | None = None
 
-    def _need(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id"), F.col("ka").alias("k")).union(pairs.select("b", "kb")).distinct()
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(id, hashes) of at least the classes wanted(id, k)."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
-        wanted = materialise(wanted, "wanted")
+        wanted = materialise(wanted.distinct(), "wanted")
         n = wanted.count()
         if n:
             # of rows that share an id the one with the class's key counts
@@ -238,14 +244,23 @@ class Verifier:
             self.sets = more if self.sets is None else self.sets.union(more)
         return self.sets
 
+    def commons(self, reps: DataFrame) -> DataFrame:
+        """(rep, n, common): set sizes, and how many members of each set are in another set of reps(rep) too. No two of reps can share more than the lesser of their commons."""
+        nodes = self.nodes.join(reps.select("rep").distinct(), "rep").select("rep", "n", "k1")
+        sets = self.sets_of(nodes.select(F.col("rep").alias("id"), F.col("k1").alias("k")))
+        members = nodes.join(sets, nodes["rep"] == sets["id"]).select("rep", F.explode("hashes").alias("h"))
+        often = members.groupBy("h").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("h")
+        common = members.join(often, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
+        return nodes.select("rep", "n").join(common, "rep", "left").select("rep", "n", F.coalesce("common", F.lit(0)).alias("common"))
+
     def try_pairs(self, pairs: DataFrame) -> DataFrame | None:
         """pairs(a, b) with linked; None if there is none."""
         of = lambda x: self.nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("k1").alias("k" + x), F.col("signature").alias("s" + x))
-        known = pairs.join(of("a"), "a").where(F.col("na").isNotNull()).join(of("b"), "b").where(self.rule.sizes_allow("na", "nb"))
+        known = pairs.join(of("a"), "a").join(of("b"), "b").where(self.rule.sizes_allow("na", "nb"))
         near = materialise(known.where(agreement(F.col("sa"), F.col("sb")) >= self.rule.percent / 100 - SLACK).drop("sa", "sb"), "near")
         if near.isEmpty():
             return None
-        sets = self._need(near)
+        sets = self.sets_of(near.select(F.col("a").alias("id"), F.col("ka").alias("k")).union(near.select("b", "kb")))
         both = near.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
         linked = both.select("a", "b", "na", "nb", shared_count(F.col("ha"), F.col("hb")).alias("shared")).where(self.rule.linked("shared", "na", "nb"))
         return materialise(linked.select("a", "b"), "links")
@@ -284,17 +299,22 @@ def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity) -> DataF
             labels = _relabelled(labels, links)
         if pivots:
             state = state.join(chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        here = state.select("key", "rep", "fame").join(labels, "rep")
+        here = state.select("key", "rep", "fame", *(("n", "common") if pivots else ())).join(labels, "rep")
         # a bucket is open while it has members outside the component of its most central one
         main = here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
         state = materialise(here.join(main, "key"), "open")
         if state.isEmpty():
             return labels
+        if not pivots:
+            # whose set is for the most part its own can't be linked with anything that is left
+            state = materialise(state.join(verifier.commons(state), "rep").where(100 * F.col("common") >= rule.percent * F.col("n")), "commons")
         pivots = max(8 * pivots, 8)
         strata = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-        best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp"), order).alias("p"))
-        chosen = materialise(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc")), "pivots")
-        found = state.join(chosen, "key").where("comp <> pc").select("rep", "pivot")
+        best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp", "n", "common"), order).alias("p"))
+        chosen = materialise(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.common").alias("pcommon")), "pivots")
+        mates = state.select("key", "rep", "comp", "n", "common")
+        met = (mates["key"] == chosen["key"]) & (F.col("comp") != F.col("pc")) & rule.reachable("common", "pcommon", "n", "pn")
+        found = mates.join(chosen, met).select("rep", "pivot")
 
 
 def near_duplicates(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
