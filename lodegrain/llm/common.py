@@ -69,6 +69,18 @@ def text_buffer(col: pa.Array) -> tuple[bytes, list[int]]:
     return b"".join(parts), offsets
 
 
+#: Rows of an Arrow batch at most. Texts have kilobytes, so that the usual ten thousand rows would fill Python workers.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Let Python workers get batches of BATCH_ROWS rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the corpus folder."""
+    """A table of the corpus folder, to be worked on in modest batches."""
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
