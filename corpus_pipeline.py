@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrain.llm import decontam, minhash, pieces, quality, toxicity
-from lodegrain.llm.common import materialise, rows_of
+from lodegrain.llm.common import materialise, modest_batches, rows_of
 
 MODEL = "piece_bpe_32k.model"
 
@@ -28,6 +28,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more."""
+    modest_batches(spark)
     return minhash.keep_one(docs, minhash.Similarity(80))
 
 
@@ -38,6 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each whole text, their number, and the text they decode to."""
+    modest_batches(spark)
     path = public_tokenizers.path(MODEL)
     coded = docs.select("doc_id", "lang", "source", pieces.encode_ids(F.col("text"), path).alias("ids"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.decode(F.col("ids"), path).alias("decoded"))
