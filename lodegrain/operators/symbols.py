@@ -18,7 +18,8 @@ LINES = {"function": 12, "method": 10, "class": 30, "variable": 1, "interface":
 OTHER_LINES = 5
 ENTRY_POINTS = ("index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.py", "main.go", "main.py", "main.rb", "main.rs", "Program.cs", "Main.java")
 IGNORED_NAMES = ("_*", "__*", "test_*", "*_test", "*Test", "*Spec")
-MARKER = r"(?://|#)\s*dch-ignore"
+#: A comment on the line before that asks for a definition to be left alone: a short tool name and -ignore.
+MARKER = r"(?://|#)\s*[a-z]{2,5}-ignore(?![A-Za-z0-9_-])"
 
 
 @dataclass(frozen=True)

@@ -29,7 +29,7 @@ def rows(df, *columns):
 
 
 def test_dead_python_symbols(spark):
-    f = files_of(spark, {"a.py": "def used():\n    return 1\ndef unused():\n    return 2\n# dch-ignore\ndef kept():\n    pass\n_private = 1", "b.py": "import a\nx = a.used()", "n.py": None, "e.py": ""})
+    f = files_of(spark, {"a.py": "def used():\n    return 1\ndef unused():\n    return 2\n# tool-ignore\ndef kept():\n    pass\n_private = 1", "b.py": "import a\nx = a.used()", "n.py": None, "e.py": ""})
     assert rows(symbols.dead_symbols(f), "path", "name", "kind", "line", "exported") == [("a.py", "unused", "function", 3, True), ("b.py", "x", "variable", 2, True)]
 
 
