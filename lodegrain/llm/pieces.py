@@ -30,8 +30,10 @@ BPE = 2
 SPACE = "▁"
 NEVER = float("-inf")
 #: Words a worker keeps; the cache starts anew when full.
-CACHE_WORDS = 400_000
-#: Words longer than this are merged with a heap.
+CACHE_WORDS = 200_000
+#: Ids that are decoded at a time (one longer text is decoded whole).
+DECODE_IDS = 1 << 18
+#: Words longer than this are merged with a heap, shorter ones together in numpy.
 SHORT_WORD = 48
 ENCODED = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "begins", "ends")])
 
@@ -195,15 +197,23 @@ class Encoder:
         loose = [c for c in "\n\t" if not any(c in p for p in self.rank if len(p) > 1)]
         stop = "".join(loose)
         self.words = re.compile("(?s:.+)" if inner else f"[ {SPACE}]*[^ {SPACE}{stop}]+|[ {SPACE}]+|[{stop}]" if stop else f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
+        #: Source bytes of each piece, where a visible space was one byte.
+        self.sizes = [len(p.replace(SPACE, " ").encode()) for p in model.pieces]
+        # every way to join two pieces into a third: keys of both ids, in order, and the joined id
+        joins = {(self.ids[p[:i]] << 16 | self.ids[p[i:]]): own for p, own in self.ids.items() for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids}
+        self.join_keys = np.array(sorted(joins), np.int64)
+        self.join_ids = np.array([joins[k] for k in self.join_keys.tolist()], np.int32)
+        self.scores = np.array(model.scores)
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, own in self.ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = own
+        self.size_table = np.array(self.sizes, np.int32)
         self.clear()
 
     def clear(self) -> None:
         self.cache: dict[str, int] = {}
-        self.parts: dict[str, list[str]] = {}
         self.flat_ids, self.flat_lens, self.bounds = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.new_ids: list[int] = []
-        self.new_lens: list[int] = []
-        self.new_counts: list[int] = []
 
     def merge(self, word: str) -> list[str]:
         """Pieces of a word: the best-scored adjacent pair first, the leftmost of equals."""
@@ -241,18 +251,10 @@ class Encoder:
                     heapq.heappush(heap, (-rank[pair], a, pair))
         return [s for s in symbols if s is not None]
 
-    def _add(self, word: str) -> int:
-        """Put a word's ids and source byte lengths into the store."""
-        shown, pairs = word.replace(" ", SPACE), self.pairs
-        pieces, start = [], 0
-        for i in range(1, len(shown) + 1):
-            if i == len(shown) or shown[i - 1 : i + 1] not in pairs:
-                part = shown[start:i]
-                found = self.parts.get(part)
-                if found is None:
-                    found = self.parts[part] = self.merge(part) if len(part) > 1 else [part]
-                pieces += found
-                start = i
+    def _pieces_of(self, word: str) -> tuple[list[int], list[int]]:
+        """A word's ids and source byte lengths, with bytes or the unknown piece for characters that no piece has."""
+        shown = word.replace(" ", SPACE)
+        pieces = self.merge(shown) if len(shown) > 1 else [shown]
         ids, lens, at = [], [], 0
         for p in pieces:
             size = len(word[at : at + len(p)].encode())
@@ -269,34 +271,94 @@ class Encoder:
             else:
                 ids.append(self.unk)
                 lens.append(size)
-        self.new_ids += ids
-        self.new_lens += lens
-        self.new_counts.append(len(ids))
-        at = self.cache[word] = len(self.cache)
-        return at
-
-    def _settle(self) -> None:
-        """Move new words from lists to the arrays."""
-        if self.new_counts:
-            self.flat_ids = np.concatenate([self.flat_ids, np.array(self.new_ids, np.int32)])
-            self.flat_lens = np.concatenate([self.flat_lens, np.array(self.new_lens, np.int32)])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(self.new_counts)])
-            self.new_ids, self.new_lens, self.new_counts = [], [], []
+        return ids, lens
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joined ids and scores of pairs of ids; the score is -inf where they don't join."""
+        key = a.astype(np.int64) << 16 | b
+        at = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
+        hit = (self.join_keys[at] == key) & (a >= 0) & (b >= 0)
+        ids = self.join_ids[at]
+        return ids, np.where(hit, self.scores[ids], NEVER)
+
+    def _merge_all(self, rows: np.ndarray) -> np.ndarray:
+        """merge() of many words at once: rows of character ids, filled up with -1, to rows of piece ids."""
+        out, live, m = rows.copy(), np.arange(len(rows)), rows
+        joined, score = self._joined(m[:, :-1], m[:, 1:])
+        columns = np.arange(m.shape[1])
+        while len(live):
+            best = score.argmax(1)
+            act = score[np.arange(len(live)), best] > NEVER
+            out[live[~act]] = m[~act]
+            live, m, joined, score, best = live[act], m[act], joined[act], score[act], best[act]
+            if not len(live):
+                break
+            n = np.arange(len(live))
+            m[n, best] = joined[n, best]
+            take = np.minimum(columns + (columns > best[:, None]), m.shape[1] - 1)
+            m = np.take_along_axis(m, take, 1)
+            m[:, -1] = -1
+            pairs = np.minimum(columns[:-1] + (columns[:-1] > best[:, None]), m.shape[1] - 2)
+            joined, score = np.take_along_axis(joined, pairs, 1), np.take_along_axis(score, pairs, 1)
+            score[:, -1] = NEVER
+            for at in (best - 1, best):
+                ok = (at >= 0) & (at < m.shape[1] - 1)
+                r, c = n[ok], at[ok]
+                joined[r, c], score[r, c] = self._joined(m[r, c], m[r, c + 1])
+        return out
+
+    def _add_all(self, fresh: list[str]) -> None:
+        """Put the ids and source byte lengths of new words, already numbered in this order, into the store."""
+        count, parts = np.zeros(len(fresh), np.int64), []
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        codes = np.frombuffer("".join(fresh).replace(" ", SPACE).encode("utf-32-le"), "<u4")
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        chars = self.char_ids[codes]
+        plain = (np.minimum.reduceat(chars, bounds[:-1]) >= 0) & (lengths <= SHORT_WORD) & np.fromiter((SPACE not in w for w in fresh), bool, len(fresh))
+        low = 0
+        for high in (6, 9, 12, 16, 24, SHORT_WORD):
+            pick = np.flatnonzero(plain & (lengths > low) & (lengths <= high))
+            low = high
+            if len(pick):
+                columns = np.arange(max(high, 2))
+                inside = columns < lengths[pick, None]
+                rows = np.where(inside, chars[np.minimum(bounds[pick, None] + columns, len(chars) - 1)], -1)
+                done = self._merge_all(rows)
+                ids = done[done >= 0]
+                count[pick] = (done >= 0).sum(1)
+                parts.append((pick, ids, self.size_table[ids]))
+        slow = np.flatnonzero(~plain)
+        for i in slow.tolist():
+            ids, lens = self._pieces_of(fresh[i])
+            count[i] = len(ids)
+            parts.append((np.array([i]), np.array(ids, np.int32), np.array(lens, np.int32)))
+        starts = np.concatenate([[0], np.cumsum(count)])
+        ids, lens = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.int32)
+        for pick, own_ids, own_lens in parts:
+            n = count[pick]
+            place = np.repeat(starts[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(own_ids))
+            ids[place], lens[place] = own_ids, own_lens
+        self.flat_ids, self.flat_lens = np.concatenate([self.flat_ids, ids]), np.concatenate([self.flat_lens, lens])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + starts[1:]])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Token bounds of each text, ids, and begins and ends of each token in bytes of its text."""
         if len(self.cache) > CACHE_WORDS:
             self.clear()
-        at, sizes, maps, cache, add = [], [], [], self.cache, self._add
+        at, sizes, maps, cache, fresh = [], [], [], self.cache, []
         for t in texts:
             form, source = self.model.normalise(t)
             words = self.words.findall(form)
             for w in words:
                 i = cache.get(w)
-                at.append(add(w) if i is None else i)
+                if i is None:
+                    i = cache[w] = len(cache)
+                    fresh.append(w)
+                at.append(i)
             sizes.append(len(words))
             maps.append(source)
-        self._settle()
+        if fresh:
+            self._add_all(fresh)
         index = np.array(at, np.int64)
         first, n = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -335,12 +397,24 @@ class Decoder:
         self.opens = np.array([p.startswith(SPACE) for p in model.pieces]) & (kinds == NORMAL) & (model.dummy_prefix or model.squeeze)
         self.is_byte, self.is_control = kinds == BYTE, kinds == CONTROL
 
-    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """The text of each run of ids. The first piece loses its leading space; bytes that are not UTF-8 become U+FFFD one by one."""
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[str]:
+        """The text of each run of ids. The first piece loses its leading space; bytes that are not UTF-8 become U+FFFD one by one.
+
+        Runs are decoded some at a time, as the place of every byte is looked up in one array.
+        """
+        ends, first = bounds[1:].tolist(), 0
+        start = int(bounds[0]) if len(bounds) else 0
+        while first < len(ends):
+            last = first + 1
+            while last < len(ends) and ends[last] - start <= DECODE_IDS:
+                last += 1
+            yield from self._decode_part(ids[start : ends[last - 1]], bounds[first : last + 1] - start)
+            start, first = ends[last - 1], last
+
+    def _decode_part(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[str]:
         n = self.bounds[ids + 1] - self.bounds[ids]
         total = np.concatenate([[0], np.cumsum(n)])
         data = self.bytes[np.repeat(self.bounds[ids] - total[:-1], n) + np.arange(total[-1])].tobytes()
-        out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             k = a
             while k < b and self.is_control[ids[k]]:
@@ -348,10 +422,9 @@ class Decoder:
             lead = 1 if k < b and self.opens[ids[k]] else 0
             part = data[total[a] + lead : total[b]]
             try:
-                out.append(part.decode())
+                yield part.decode()
             except UnicodeDecodeError:
-                out.append(self._patched(part))
-        return out
+                yield self._patched(part)
 
     @staticmethod
     def _patched(data: bytes) -> str:
@@ -370,15 +443,22 @@ class Decoder:
         return "".join(out)
 
 
-_held: dict[str, tuple[Encoder, Decoder]] = {}
+_encoders: dict[str, Encoder] = {}
+_decoders: dict[str, Decoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """A model's encoder, one in a worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(Model.load(path))
+    return _encoders[path]
 
 
-def _tools(path: str) -> tuple[Encoder, Decoder]:
-    """Encoder and decoder of a model, one of each in a worker."""
-    if path not in _held:
-        model = Model.load(path)
-        _held[path] = Encoder(model), Decoder(model)
-    return _held[path]
+def _decoder(path: str) -> Decoder:
+    """A model's decoder, one in a worker."""
+    if path not in _decoders:
+        _decoders[path] = Decoder(Model.load(path))
+    return _decoders[path]
 
 
 def encode(text: Column, model_path: str) -> Column:
@@ -386,7 +466,7 @@ def encode(text: Column, model_path: str) -> Column:
 
     @F.arrow_udf(ENCODED)
     def encoded(texts: pa.Array) -> pa.Array:
-        tool, bounds, cols = _tools(model_path)[0], [np.zeros(1, np.int64)], [[], [], []]
+        tool, bounds, cols = _encoder(model_path), [np.zeros(1, np.int64)], [[], [], []]
         for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), 1 << 20):
             b, *values = tool.encode(run)
             bounds.append(b[1:] + bounds[-1][-1])
@@ -403,7 +483,7 @@ def encode_ids(text: Column, model_path: str) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(texts: pa.Array) -> pa.Array:
-        tool, bounds, ids = _tools(model_path)[0], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        tool, bounds, ids = _encoder(model_path), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
         for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), 1 << 20):
             b, i, _, _ = tool.encode(run)
             bounds.append(b[1:] + bounds[-1][-1])
@@ -420,6 +500,6 @@ def decode(ids: Column, model_path: str) -> Column:
     def decoded(arrays: pa.Array) -> pa.Array:
         flat = arrays.flatten().to_numpy(zero_copy_only=False)
         sizes = pa.compute.fill_null(pa.compute.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
-        return pa.array(_tools(model_path)[1].decode(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.string())
+        return pa.array(_decoder(model_path).decode(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.string())
 
     return decoded(ids)
