@@ -4,6 +4,11 @@ A text becomes a template: numbers, units after numbers and capitalised words tu
 lower case. Windows of template words are hash-joined with those of the benchmark. Where enough windows of an item lie on one
 diagonal of a document, the slots under the placeholders are compared: every value of the item must stand for one value
 of the document, as in a copy or a question with new parameters; chance matches of the bare template fail here.
+
+Two more forms find what the template misses. In the collapsed form a run of like placeholders is one slot, so that names and numbers of
+several words keep the places of the rest. In the literal form all words are in lower case, so that the case of a copy is of no account and
+items of names and numbers alone have windows. Their windows are added up over neighbouring diagonals, as a word put in or left out
+shifts the rest.
 """
 
 from __future__ import annotations
@@ -19,58 +24,100 @@ from lodegrain.llm.common import materialise
 UNITS = "mm cm m km in ft yd mi g kg mg t lb lbs oz ml cl l s sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres inch inches foot feet mile miles dollar dollars euro euros cent cents pound pounds percent degrees mph kmh kwh w kw v hz ghz mb gb tb".split()
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split()
 NUMBER, NAME, UNIT = "#", "@n", "@u"
+#: Forms of a text, the one whose figures are reported first before the others; the mark around a placeholder's value.
+TEMPLATE, COLLAPSED, LITERAL = 0, 1, 2
+MARK = "\x01"
 
 
 @dataclass(frozen=True)
 class Rule:
     """Words of a window; words of it that must not be placeholders; windows on a diagonal that make a match (all of an
-    item that has fewer); least words of an item that is looked for at all; share of slots that may be in conflict."""
+    item that has fewer); least words of an item that is looked for at all, and words of a literal window; share of slots that may be
+    in conflict; share of an item's words that literal windows must cover; diagonals that are added up."""
 
     width: int = 8
     literals: int = 4
     windows: int = 6
     least_words: int = 5
     conflicts: float = 0.2
+    covered: float = 0.8
+    band: int = 8
 
 
 #: Benchmark windows and candidate documents are broadcast up to this many rows (16 to 32 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def words_of(text: Column) -> Column:
-    """Words with their case; a unit after a number is marked by @. Null and empty texts have none."""
+def _spaced(text: Column) -> Column:
     s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d)[.,](?=\d)", "$1")
     s = F.trim(F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}]+", " "))
     s = F.regexp_replace(s, r"(\d)(?=\p{L})", "$1 ")
-    s = F.regexp_replace(s, r"(\d) (?=(?i:" + "|".join(UNITS) + r")(?: |$))", "$1 @")
-    return F.array_remove(F.split(s, " "), "")
+    return F.regexp_replace(s, r"(\d) (?=(?i:" + "|".join(UNITS) + r")(?: |$))", "$1 @")
 
 
-def template_of(words: Column) -> Column:
-    """The words with placeholders."""
+def _split(spaced: Column) -> Column:
+    return F.array_remove(F.split(spaced, " "), "")
 
-    def placed(w: Column) -> Column:
-        first, low = F.substring(w, 1, 1), F.lower(w)
-        return F.when(first.between("0", "9") | low.isin(NUMBERS), F.lit(NUMBER)).when(first == "@", F.lit(UNIT)).when((low == w) | ((F.upper(w) == w) & (F.length(w) > 1)), low).otherwise(F.lit(NAME))
 
-    return F.transform(words, placed)
+def words_of(text: Column) -> Column:
+    """Words with their case; a unit after a number is marked by @. Null and empty texts have none."""
+    return _split(_spaced(text))
 
 
-def windows_of(df: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """keep, j and h: a hash h of each run of width words of df's template, from word j on. Hashes of runs are joined in pairs, each length in a column of its own
-    that is looked at twice, so the optimiser leaves it there. What is exploded is an expression, as for a column Spark would infer a
-    filter on its size and work everything out once more to apply it."""
-    df = df.withColumn("_run1", F.transform("template", lambda w: F.xxhash64(w)))
+def _kind(w: Column) -> Column:
+    """The word's placeholder, null for a literal."""
+    first, low = F.substring(w, 1, 1), F.lower(w)
+    literal = (low == w) | ((F.upper(w) == w) & (F.length(w) > 1))
+    return F.when(first.between("0", "9") | low.isin(NUMBERS), F.lit(NUMBER)).when(first == "@", F.lit(UNIT)).when(~literal, F.lit(NAME))
+
+
+def template_of(words: Column) -> Column:
+    """The words with placeholders."""
+    return F.transform(words, lambda w: F.coalesce(_kind(w), F.lower(w)))
+
+
+def forms_of(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, and for df's text words and template, collapsed (the template with runs of like placeholders as one, and units after number words as after
+    numbers), and literal."""
+    spaced = df.select(*keep, _spaced(F.col("text")).alias("_s"))
+    words = spaced.select(*keep, _split(F.col("_s")).alias("words"), _split(F.lower(F.replace("_s", F.lit("@"), F.lit("")))).alias("literal"))
+    rows = words.select(*keep, "words", "literal", template_of(F.col("words")).alias("template"))
+    united = F.regexp_replace(F.array_join("template", " "), f"(?<=# )({'|'.join(UNITS)})(?= |$)", UNIT)
+    return rows.select(*keep, "words", "literal", "template", _split(F.regexp_replace(united, rf"({NUMBER}|{NAME}|{UNIT})(?: \1(?= |$))+", "$1")).alias("collapsed"))
+
+
+def _collapsed_words(words: Column, template: Column) -> Column:
+    """The words of each place of the collapsed form; those of one slot are joined by an underscore, which no word holds."""
+    tagged = F.zip_with(words, template, lambda w, k: F.when(_is_slot(k), F.concat(k, F.lit(MARK), F.replace(w, F.lit("@"), F.lit("")), F.lit(MARK), k)).otherwise(k))
+    merged = F.regexp_replace(F.array_join(tagged, " "), f"({MARK}{NUMBER} )({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}{MARK}$2{MARK}{UNIT}")
+    for k in (NUMBER, NAME, UNIT):
+        merged = F.replace(merged, F.lit(f"{MARK}{k} {k}{MARK}"), F.lit("_"))
+    return F.transform(_split(merged), lambda x: F.coalesce(F.nullif(F.split_part(F.concat(x, F.lit(MARK)), F.lit(MARK), F.lit(2)), F.lit("")), x))
+
+
+def with_runs(df: DataFrame, column: str, width: int, form: int) -> tuple[DataFrame, Column]:
+    """df with helper columns, and the hashes of each run of width words of its column, which differ by form. Hashes of runs are joined in pairs, each
+    length in a column of its own that is looked at twice, so the optimiser leaves it there."""
+    run = f"_{column}_run"
+    if f"{run}1" not in df.columns:
+        df = df.withColumn(f"{run}1", F.transform(column, lambda w: F.xxhash64(w, F.lit(form))))
     lengths, todo = set(), [width]
     while todo:
         n = todo.pop()
         if n > 1 and n not in lengths:
             lengths.add(n)
             todo += [n - n // 2, n // 2]
-    for n in sorted(lengths):
+    for n in sorted(x for x in lengths if f"{run}{x}" not in df.columns):
         a, b = n - n // 2, n // 2
-        df = df.withColumn(f"_run{n}", F.zip_with(f"_run{a}", F.slice(F.col(f"_run{b}"), a + 1, F.lit(1 << 30)), lambda x, y: F.xxhash64(x, y)))
-    whole = F.when(F.size("_run1") >= width, F.slice(F.col(f"_run{width}"), F.lit(1), F.size("_run1") - (width - 1))).otherwise(F.array().cast("array<bigint>"))
+        df = df.withColumn(f"{run}{n}", F.zip_with(f"{run}{a}", F.slice(F.col(f"{run}{b}"), a + 1, F.lit(1 << 30)), lambda x, y: F.xxhash64(x, y)))
+    whole = F.when(F.size(f"{run}1") >= width, F.slice(F.col(f"{run}{width}"), F.lit(1), F.size(f"{run}1") - (width - 1))).otherwise(F.array().cast("array<bigint>"))
+    return df, whole
+
+
+def windows_of(df: DataFrame, width: int, keep: list[str], form: int = TEMPLATE) -> DataFrame:
+    """keep, j and h: a hash h of each run of width words of df's template, from word j on. What is exploded is an expression, as for a column Spark would
+    infer a filter on its size and work everything out once more to apply it."""
+    df, whole = with_runs(df, "template", width, form)
     return df.select(*keep, F.posexplode(whole).alias("j", "h"))
 
 
@@ -79,18 +126,21 @@ def _is_slot(w: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, rule: Rule) -> DataFrame:
-    """(item_id, words, template, width, n_windows, need, h, j) for each window of each item with enough words and literals."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("template", template_of(F.col("words"))).where(F.size("words") >= rule.least_words)
+    """(form, item_id, words, template, width, n_windows, need, h, j) for each window of each form of each item with enough words; in templates, with enough literals."""
+    every = forms_of(benchmark, ["item_id"]).withColumn("values", _collapsed_words(F.col("words"), F.col("template"))).where(F.size("words") >= rule.least_words)
     spread = None
-    for width in range(rule.least_words, rule.width + 1):
-        own = items.where(F.size("words") >= width if width == rule.width else F.size("words") == width)
-        part = windows_of(own.withColumn("width", F.lit(width)), width, ["item_id", "words", "template", "width"])
-        spread = part if spread is None else spread.union(part)
+    for form, words, template in ((TEMPLATE, "words", "template"), (COLLAPSED, "values", "collapsed"), (LITERAL, "literal", "literal")):
+        items = every.select(F.lit(form).alias("form"), "item_id", F.col(words).alias("words"), F.col(template).alias("template"))
+        top = rule.least_words if form == LITERAL else rule.width
+        for width in range(rule.least_words, top + 1):
+            own = items.where(F.size("words") >= width if width == top else F.size("words") == width)
+            part = windows_of(own.withColumn("width", F.lit(width)), width, ["form", "item_id", "words", "template", "width"], form)
+            spread = part if spread is None else spread.union(part)
     literal = F.size(F.filter(F.slice("template", F.col("j") + 1, F.col("width")), lambda w: ~_is_slot(w)))
-    kept = spread.where(literal >= F.least(F.lit(rule.literals), F.col("width") - 1))
-    counts = kept.groupBy("item_id", "template").agg(F.count(F.lit(1)).alias("n_windows"))
-    joined = kept.join(counts, (kept["item_id"].eqNullSafe(counts["item_id"])) & (kept["template"] == counts["template"])).drop(counts["item_id"]).drop(counts["template"])
-    return joined.withColumn("need", F.least("n_windows", F.lit(rule.windows)))
+    kept = spread.where((F.col("form") == LITERAL) | (literal >= F.least(F.lit(rule.literals), F.col("width") - 1)))
+    counts = kept.groupBy("form", "item_id", "template").agg(F.count(F.lit(1)).alias("n_windows"))
+    joined = kept.join(counts, (kept["form"] == counts["form"]) & (kept["item_id"].eqNullSafe(counts["item_id"])) & (kept["template"] == counts["template"])).drop(counts["form"]).drop(counts["item_id"]).drop(counts["template"])
+    return joined.withColumn("need", F.when(F.col("form") == LITERAL, F.ceil(F.size("words") * rule.covered)).otherwise(F.least("n_windows", F.lit(rule.windows))))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -107,41 +157,52 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFra
     others. Only doc_id, text and item_id are read, so other columns may have any names.
     """
     known = materialise(benchmark_windows(benchmark.select("item_id", "text"), rule), "windows")
-    widths = [r["width"] for r in known.select("width").distinct().orderBy("width").collect()]  # least_words to width: a few
-    keys = _bounded(known.select("h", "width", "item_id", "j", "n_windows", "need").distinct())
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), template_of(words_of(F.col("text"))).alias("template"))
-    found = None
-    for width in widths:
-        seen = windows_of(rows, width, ["doc_id", "row_key"]).withColumnRenamed("j", "i")
-        hit = seen.join(keys.where(F.col("width") == width), "h").select("doc_id", "row_key", "item_id", "n_windows", "need", (F.col("i") - F.col("j")).alias("diagonal"), "j")
-        found = hit if found is None else found.union(hit)
+    lengths = [(r["form"], r["width"]) for r in known.select("form", "width").distinct().orderBy("form", "width").collect()]  # two for each of least_words to width, and one
     schema = "doc_id bigint, row_key bigint, item_id bigint, matched bigint, n_windows bigint, n_slots bigint, n_changed bigint"
-    if found is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], schema)
-    lines = found.groupBy("doc_id", "row_key", "item_id", "n_windows", "diagonal", "need").agg(F.countDistinct("j").alias("matched")).where("matched >= need").drop("need")
-    items = known.select("item_id", "n_windows", "words", "template").distinct()
-    on_item = lambda a, b: a["item_id"].eqNullSafe(b["item_id"]) & (a["n_windows"] == b["n_windows"])
+    keys = _bounded(known.select("h", "form", "width", "item_id", "j", "n_windows", "need").distinct())
+    rows = forms_of(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text"), ["doc_id", "row_key"])
+    runs = []
+    for form, width in lengths:
+        rows, whole = with_runs(rows, ("template", "collapsed", "literal")[form], width, form)
+        runs.append(whole)
+    seen = rows.select("doc_id", "row_key", F.explode(F.array(*runs)).alias("_runs")).select("doc_id", "row_key", F.posexplode("_runs").alias("i", "h"))
+    found = seen.join(keys, "h").select("doc_id", "row_key", "form", "width", "item_id", "n_windows", "need", (F.col("i") - F.col("j")).alias("diagonal"), "j")
+    d, half = F.col("diagonal"), rule.band // 2
+    bands = F.when(F.col("form") == TEMPLATE, F.array(d.cast("bigint"))).otherwise(F.array(2 * F.floor(d / rule.band), 2 * F.floor((d + half) / rule.band) + 1))  # neighbours share one of two overlapping bands
+    banded = found.withColumn("band", F.explode(bands)).groupBy("doc_id", "row_key", "form", "width", "item_id", "n_windows", "need", "band").agg(F.array_sort(F.collect_set(F.struct("j", "diagonal"))).alias("at"))
+    starts = F.array_distinct(F.transform("at", lambda a: a["j"]))
+    covered = F.aggregate(F.zip_with(starts, F.slice(starts, 2, F.lit(1 << 30)), lambda a, b: F.coalesce(F.least(b - a, F.col("width")), F.col("width"))), F.lit(0), lambda acc, x: acc + x)
+    lines = banded.withColumn("matched", F.size(starts).cast("bigint")).where(F.when(F.col("form") == LITERAL, covered).otherwise(F.col("matched")) >= F.col("need")).drop("need")
+    items = known.select("form", "item_id", "n_windows", "words", "template").distinct()
+    on_item = lambda a, b: (a["form"] == b["form"]) & a["item_id"].eqNullSafe(b["item_id"]) & (a["n_windows"] == b["n_windows"])
     lines = materialise(lines, "diagonals")
-    wide = lines.join(items, on_item(lines, items)).drop(items["item_id"]).drop(items["n_windows"])
-    per_row = wide.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("item_id", "n_windows", "diagonal", "matched", "words", "template")).alias("lines"))
+    wide = lines.join(items, on_item(lines, items)).drop(items["form"]).drop(items["item_id"]).drop(items["n_windows"])
+    per_row = wide.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("form", "width", "item_id", "n_windows", "at", "matched", "words", "template", F.col("band").cast("int").alias("diagonal"))).alias("lines"))
     per_row = _bounded(materialise(per_row.withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key"), "candidates"))
     back = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").join(per_row, F.col("row_key") == F.col("_key")).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    own = back.select("doc_id", "row_key", "lines", words_of(F.col("text")).alias("own")).select("doc_id", "row_key", "lines", "own", template_of(F.col("own")).alias("kinds"))
-    checked = own.select("doc_id", "row_key", F.explode(F.transform("lines", lambda x: _checked(x, F.col("own"), F.col("kinds")))).alias("c"))
+    own = forms_of(back, ["doc_id", "row_key", "lines"]).withColumn("values", _collapsed_words(F.col("words"), F.col("template")))
+    checked = own.select("doc_id", "row_key", F.explode(F.transform("lines", _checked)).alias("c"))
     fine = checked.where(F.col("c.n_conflicts") <= F.lit(rule.conflicts) * F.col("c.n_slots"))
-    best = fine.groupBy("doc_id", "row_key", "c.item_id").agg(F.max(F.struct("c.matched", "c.n_windows", "c.n_slots", (-F.col("c.n_changed")).alias("same"))).alias("b"))
+    best = fine.groupBy("doc_id", "row_key", "c.item_id").agg(F.max(F.struct((-F.col("c.form")).alias("form"), "c.matched", "c.n_windows", "c.n_slots", (-F.col("c.n_changed")).alias("same"))).alias("b"))
     return best.select("doc_id", "row_key", "item_id", "b.matched", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.same")).cast("long").alias("n_changed"))
 
 
-def _checked(x: Column, own: Column, kinds: Column) -> Column:
-    """One diagonal with its slots: how many, how many changed, and values of the item that stand for several of the document."""
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(x["words"]) - 1), lambda j: _is_slot(F.get(x["template"], j)) & (j + x["diagonal"] >= 0) & F.coalesce(F.get(kinds, F.greatest(j + x["diagonal"], F.lit(0))) == F.get(x["template"], j), F.lit(False))),
-        lambda j: F.struct(F.lower(F.get(x["words"], j)).alias("a"), F.lower(F.get(own, F.greatest(j + x["diagonal"], F.lit(0)))).alias("b")),
-    )
+def _checked(x: Column) -> Column:
+    """One diagonal, or band of diagonals, with its slots: how many, how many changed, and values of the item that stand for several of the document. On a
+    band, a slot is compared as the matched window that holds it or the last before it says; literal windows have no slots."""
+    own, kinds = F.when(x["form"] == TEMPLATE, F.col("words")).otherwise(F.col("values")), F.when(x["form"] == TEMPLATE, F.col("template")).otherwise(F.col("collapsed"))
+    shift = lambda j: F.when(x["form"] == TEMPLATE, x["diagonal"]).otherwise(F.coalesce(F.get(F.filter(x["at"], lambda a: (a["j"] <= j) & (j < a["j"] + x["width"])), F.lit(0)), F.try_element_at(F.filter(x["at"], lambda a: a["j"] <= j), F.lit(-1)), F.get(x["at"], F.lit(0)))["diagonal"])
+    places = F.transform(F.sequence(F.lit(0), F.size(x["words"]) - 1), lambda j: F.struct(j.alias("j"), (j + shift(j)).alias("i")))
+    aligned = F.filter(places, lambda p: _is_slot(F.get(x["template"], p["j"])) & F.coalesce((p["i"] >= 0) & (F.get(kinds, F.greatest(p["i"], F.lit(0))) == F.get(x["template"], p["j"])), F.lit(False)))
+    both = F.transform(aligned, lambda p: F.struct(F.split(F.lower(F.get(x["words"], p["j"])), "_").alias("a"), F.split(F.lower(F.get(own, F.greatest(p["i"], F.lit(0)))), "_").alias("b")))
+    # runs of as many words are compared word by word, others as a whole
+    apart = lambda v: F.when(F.size(v["a"]) == F.size(v["b"]), F.zip_with(v["a"], v["b"], lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array(F.struct(F.array_join(v["a"], "_").alias("a"), F.array_join(v["b"], "_").alias("b"))))
+    pairs = F.flatten(F.transform(both, apart))
     values = F.transform(pairs, lambda p: p["a"])
     return F.struct(
-        x["item_id"].alias("item_id"), x["matched"].alias("matched"), x["n_windows"].alias("n_windows"), F.size(pairs).alias("n_slots"),
+        x["form"].alias("form"), x["item_id"].alias("item_id"), x["matched"].alias("matched"), x["n_windows"].alias("n_windows"), F.size(pairs).alias("n_slots"),
         F.size(F.filter(pairs, lambda p: p["a"] != p["b"])).alias("n_changed"),
         (F.size(F.array_distinct(pairs)) - F.size(F.array_distinct(values))).alias("n_conflicts"),
     )

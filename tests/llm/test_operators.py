@@ -79,6 +79,23 @@ def test_leaks_against_brute_force(spark):
     assert got == {(d, i) for d, t in docs for i, b in items if len(grams(t) & grams(b)) >= 6}
 
 
+def test_leaks_in_other_case_with_longer_values_and_edits(spark):
+    items = [
+        "When Tom walks 25 miles to the old town hall he then asks for seven bags of flour at the door",
+        "Alice Bob Carol Dave Erin Frank Grace Heidi 12 14 16 18 20",
+        "Every small river in the valley runs under that bridge before noon today",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    long_values = items[0].replace("Tom", "Mary Ann").replace("25", "twenty five")
+    changed = [f(x) for x in items for f in (str, str.lower, str.upper, str.title)]
+    word = items[2].split()
+    edits = [word[:6] + ["wide"] + word[7:], word[:6] + ["wide"] + word[6:], word[:6] + word[7:]]
+    texts = [*changed, long_values, *map(" ".join, edits), "the river in the valley runs over that bridge before dawn"]
+    docs = spark.createDataFrame([(i, f"some words before {x} and some after") for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(i, i // 4) for i in range(12)} | {(12, 0), (13, 2), (14, 2), (15, 2)}
+
+
 # licences
 
 
