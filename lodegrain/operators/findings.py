@@ -90,12 +90,15 @@ def redacted(value: Column) -> Column:
 
 def secrets(files: DataFrame) -> DataFrame:
     """(path, line, kind, confidence, entropy, redacted): tokens of known shape (high), and values given to sensitive names (medium from MIN_ENTROPY and
-    MIN_LENGTH on, else low). Example files, test files and placeholders are left out. The thresholds are this library's own."""
+    MIN_LENGTH on, else low); all of a line, a named value of known shape once. Example files, test files and placeholders are left out. The thresholds are this library's own."""
     lines = lines_of(files.where(~F.col("path").rlike(r"(?:\.example\z|" + TEST_PATH + ")")))
     text = F.col("text")
-    shaped = first_rule(text, list(TOKENS))
-    named = F.when(text.rlike(SENSITIVE), F.struct(F.lit("assigned_secret").alias("kind"), F.regexp_extract(text, SENSITIVE, 2).alias("name")))
-    rows = lines.withColumn("_high", shaped.isNotNull()).withColumn("_s", F.coalesce(shaped, named)).where("_s is not null").where(~F.col("_s.name").rlike(PLACEHOLDER))
+    values = lambda kind, p, g, high: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("name"), F.lit(high).alias("high")))
+    shaped = F.concat(*(values(kind, p, g, True) for kind, p, g in TOKENS))
+    named = values("assigned_secret", SENSITIVE, 2, False)
+    found = lines.withColumn("_shaped", shaped).withColumn("_named", named)
+    own = F.filter("_named", lambda n: ~F.exists("_shaped", lambda s: s["name"] == n["name"]))
+    rows = found.select("path", "line", F.explode(F.concat("_shaped", own)).alias("_s")).where(~F.col("_s.name").rlike(PLACEHOLDER)).withColumn("_high", F.col("_s.high"))
     bits = entropy(F.col("_s.name"))
     level = F.when(F.col("_high"), "high").when((bits >= MIN_ENTROPY) & (F.length("_s.name") >= MIN_LENGTH), "medium").otherwise("low")
     return rows.select("path", "line", F.col("_s.kind").alias("kind"), level.alias("confidence"), bits.alias("entropy"), redacted(F.col("_s.name")).alias("redacted"))

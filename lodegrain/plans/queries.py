@@ -98,7 +98,7 @@ def event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = findings.secrets(_files(spark, sf_dir)).where("kind = 'assigned_secret'")
+    found = findings.secrets(_files(spark, sf_dir))
     return found.select(F.col("path").cast("bigint").alias("doc_id"), "line", "confidence", "entropy", "redacted")
 
 
