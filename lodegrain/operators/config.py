@@ -44,10 +44,21 @@ def config_keys(files: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max_by(F.struct("value", "declared_in"), F.struct("declared_in", "ord")).alias("d")).select("key", "d.*")
 
 
+#: Distinct keys in a broadcast block.
+KEY_BLOCK = 100_000
+
+
 def unmentioned(keys: DataFrame, texts: DataFrame, key: str = "key", text: str = "content") -> DataFrame:
-    """Rows of keys whose key is part of no text. Keys are few beside texts, so the join streams the texts past them."""
+    """Rows of keys whose key is part of no text. The distinct keys are broadcast in counted blocks past streaming texts, and what is found meets the keys by equality."""
     used = texts.select(F.col(text).alias("_text")).where("_text is not null")
-    return keys.join(used, F.contains(F.col("_text"), F.col(key)), "left_anti")
+    wanted = keys.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+    n_blocks = max(1, -(-wanted.count() // KEY_BLOCK))
+    found = None
+    for i in range(n_blocks):
+        block = wanted.where(F.pmod(F.xxhash64("_key"), F.lit(n_blocks)) == i)
+        hit = used.join(F.broadcast(block), F.contains(F.col("_text"), F.col("_key"))).select("_key").distinct()
+        found = hit if found is None else found.union(hit)
+    return keys.join(found, F.col(key) == F.col("_key"), "left_anti")
 
 
 def unused_keys(files: DataFrame) -> DataFrame:

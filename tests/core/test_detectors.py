@@ -183,3 +183,17 @@ def test_watch_runs_again_on_change(spark, tmp_path):
     assert [c for _, c in seen] == [1]
     stamps = spark.sql("SELECT * FROM VALUES (timestamp'2026-01-01 00:00:00'), (timestamp'2026-01-01 00:00:00.4'), (timestamp'2026-01-01 00:00:02') AS t(ts)")
     assert rows(bursts(stamps, "ts"), "n") == [(1,), (2,)]
+
+
+def test_unmentioned_never_broadcasts_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(config, "KEY_BLOCK", 2)
+    keys = spark.createDataFrame([(k,) for k in ("alpha", "beta", "gamma", "delta", "alpha", None)], "key string")
+    texts = spark.createDataFrame([("an alphabet",), ("gammas",), (None,)], "content string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = config.unmentioned(keys, texts)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin BuildRight, LeftAnti" not in plan and "BroadcastNestedLoopJoin BuildLeft, LeftAnti" not in plan
+        assert sorted((r.key for r in df.collect()), key=str) == sorted(["beta", "delta", None], key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
