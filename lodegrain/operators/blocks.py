@@ -114,6 +114,14 @@ def duplicate_blocks(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return duplicate_groups(coded.select(F.sha2("_code", 256).alias("fingerprint"), "path", "line", "end_line", "name", F.slice("body", 1, 4).alias("preview")))
 
 
+def group_counts(rows: DataFrame) -> DataFrame:
+    """(fingerprint, n, lines, wasted, preview, first_path) of groups of rows(fingerprint, path, line, end_line, name, preview) of two or more: sums that are made
+    before rows meet, so a group of any size is one small row."""
+    first = F.min_by(F.struct("preview", (F.col("end_line") - F.col("line") + 1).alias("lines"), "path"), F.struct("path", "line"))
+    groups = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), first.alias("_f")).where("n > 1")
+    return groups.select("fingerprint", "n", F.col("_f.lines").alias("lines"), (F.col("_f.lines") * (F.col("n") - 1)).alias("wasted"), F.col("_f.preview").alias("preview"), F.col("_f.path").alias("first_path"))
+
+
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """Groups of rows(fingerprint, path, line, end_line, name, preview) of two or more."""
     first = F.min_by(F.struct("preview", (F.col("end_line") - F.col("line") + 1).alias("lines")), F.struct("path", "line"))

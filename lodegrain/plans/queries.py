@@ -106,7 +106,7 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("code", blocks.normalised(F.col("text"))).where(F.length("code") >= blocks.MIN_CHARS)
     size = F.size(F.split("text", "\n"))
     rows = docs.select(F.md5(F.col("code").cast("binary")).alias("fingerprint"), F.col("doc_id").alias("path"), F.lit(1).alias("line"), size.alias("end_line"), F.lit(None).cast("string").alias("name"), F.array("lang").alias("preview"))
-    return blocks.duplicate_groups(rows).select("fingerprint", "n", F.col("lines").cast("bigint").alias("lines"), F.col("wasted").cast("bigint").alias("wasted"), F.col("preview")[0].alias("lang"), F.array_min(F.transform("occurrences", lambda o: o["path"])).alias("first_doc"))
+    return blocks.group_counts(rows).select("fingerprint", "n", F.col("lines").cast("bigint").alias("lines"), F.col("wasted").cast("bigint").alias("wasted"), F.col("preview")[0].alias("lang"), F.col("first_path").alias("first_doc"))
 
 
 def complexity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
