@@ -28,7 +28,7 @@ class _TreeReader(DataSourceReader):
         self.root = options["path"]
         self.hidden = options.get("hidden", "false").lower() == "true"
         self.excluded = set(filter(None, options.get("exclude", ",".join(EXCLUDED)).split(",")))
-        self.max_bytes = int(options.get("maxBytes", 64 << 20))
+        self.max_bytes = int(options["maxBytes"]) if "maxBytes" in options else None
         self.parts = max(1, int(options.get("partitions", 16)))
 
     def _wanted(self, name: str) -> bool:
@@ -49,7 +49,7 @@ class _TreeReader(DataSourceReader):
                     try:
                         info = os.stat(full)
                         content = None
-                        if info.st_size <= self.max_bytes:
+                        if self.max_bytes is None or info.st_size <= self.max_bytes:
                             with open(full, encoding="utf-8", errors="replace") as f:
                                 content = f.read()
                     except OSError:
@@ -58,7 +58,8 @@ class _TreeReader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """spark.read.format("source_tree"). Options: path, hidden (dot files too), exclude (names, by comma), maxBytes (larger files have null contents), partitions."""
+    """spark.read.format("source_tree"). Options: path, hidden (dot files too), exclude (names, by comma), maxBytes (files are read whole without it; larger ones then
+    have their size and null contents, which tells what was skipped), partitions."""
 
     @classmethod
     def name(cls) -> str:

@@ -216,3 +216,11 @@ def test_unused_broadcasts_the_declared_names(spark, monkeypatch):
         assert sorted(str(tuple(r)) for r in df.collect()) == ["('k', 'left')", "('m', 'other')", "('m', None)"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_files_are_read_whole_unless_asked(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.py").write_text("x = 1")
+    from lodegrain.sources.files import _TreeReader
+
+    assert _TreeReader({"path": str(tmp_path)}).max_bytes is None and _TreeReader({"path": str(tmp_path), "maxBytes": "3"}).max_bytes == 3
+    assert rows(read_tree(spark, str(tmp_path)), "content") == [("x = 1",)] and rows(read_tree(spark, str(tmp_path), maxBytes=3), "size", "content") == [(5, None)]
