@@ -1,7 +1,7 @@
 """Blocks of source: function bodies by braces or indent, duplicate blocks, complexity, code that can't be reached.
 
 Heads are lines that a rule names. A brace block ends where the running balance of braces of its file is back at the head's; an indent block
-before the next line that is not deeper. Both are found by a join of heads with the lines that follow in the same file, a bounded number of them.
+before the next line that is not deeper. Both are found by a join of heads with the lines that follow in the same file, for braces a bounded number of them.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lodegrain.functions.text import COMMENT_LINE, EDGE_L, EDGE_R, IDENT, first_rule, lines_of, trim_space, word
 
-#: Lines a body or block can have, and least sizes.
-BODY_LINES, BLOCK_LINES, INDENT_LINES = 300, 400, 4000
+#: Lines a brace body or block can have, and least sizes.
+BODY_LINES, BLOCK_LINES = 300, 400
 MIN_BRACE, MIN_INDENT, MIN_CHARS, MIN_LINES = 5, 4, 80, 6
 RISKS = ((5, "low"), (10, "medium"), (15, "high"))
 
@@ -62,8 +62,9 @@ def _heads(lines: DataFrame, rules: dict[tuple[str, ...], list[tuple[str, str, i
     return lines.withColumn("_h", found).where("_h is not null")
 
 
-def brace_blocks(files: DataFrame, rules: dict, limit: int) -> DataFrame:
-    """(path, ext, name, line, end_line, body): from each head to the line at which its braces are closed, within limit lines; heads whose braces don't open and close there give none."""
+def brace_blocks(files: DataFrame, rules: dict, limit: int, unclosed: bool = False) -> DataFrame:
+    """(path, ext, name, line, end_line, body): from each head to the line at which its braces are closed, within limit lines; heads whose braces don't open and close there
+    give none, or with unclosed the lines that were read."""
     w = Window.partitionBy("path").orderBy("line")
     lines = lines_of(files.where(F.col("ext").isin([e for exts in rules for e in exts])))
     net = _count(F.col("text"), "{") - _count(F.col("text"), "}")
@@ -71,18 +72,27 @@ def brace_blocks(files: DataFrame, rules: dict, limit: int) -> DataFrame:
     heads = _heads(lines, rules).select("path", F.col("line").alias("head"), F.col("_h.name").alias("name"), (F.col("_depth") - F.col("_net")).alias("_d0"), (F.col("_opens") - _count(F.col("text"), "{")).alias("_o0"))
     near = heads.join(lines, "path").where((F.col("line") >= F.col("head")) & (F.col("line") < F.col("head") + limit))
     closed = (F.col("_depth") <= F.col("_d0")) & (F.col("_opens") > F.col("_o0"))
-    ended = near.groupBy("path", "ext", "name", "head").agg(F.min(F.when(closed, F.col("line"))).alias("end_line"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines")).where("end_line is not null")
-    return ended.select("path", "ext", "name", F.col("head").alias("line"), "end_line", F.transform(F.slice("_lines", F.lit(1), F.col("end_line") - F.col("head") + 1), lambda x: x["text"]).alias("body"))
+    ended = near.groupBy("path", "ext", "name", "head").agg(F.min(F.when(closed, F.col("line"))).alias("end_line"), F.max("line").alias("_last"), F.max(F.col("_opens") > F.col("_o0")).alias("_open"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines")).withColumn("closed", F.col("end_line").isNotNull())
+    ended = ended.withColumn("end_line", F.coalesce("end_line", F.when(F.lit(unclosed) & F.col("_open"), F.col("_last")))).where("end_line is not null")
+    return ended.select("path", "ext", "name", F.col("head").alias("line"), "end_line", "closed", F.transform(F.slice("_lines", F.lit(1), F.col("end_line") - F.col("head") + 1), lambda x: x["text"]).alias("body"))
 
 
-def indent_blocks(files: DataFrame, rules: dict, limit: int = INDENT_LINES) -> DataFrame:
-    """The same for blocks of deeper or blank lines; trailing blank lines belong to them."""
+def _bodies(ends: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, ext, name, line, end_line, body) of ends(path, name, head, end_line)."""
+    inside = ends.join(lines.select("path", "ext", "line", "text"), "path").where((F.col("line") >= F.col("head")) & (F.col("line") <= F.col("end_line")))
+    found = inside.groupBy("path", "ext", "name", "head", "end_line").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines"))
+    return found.select("path", "ext", "name", F.col("head").alias("line"), "end_line", F.transform("_lines", lambda x: x["text"]).alias("body"))
+
+
+def indent_blocks(files: DataFrame, rules: dict) -> DataFrame:
+    """The same for blocks of deeper or blank lines of any number; trailing blank lines belong to them. Ends are found before any text is collected."""
     lines = lines_of(files.where(F.col("ext").isin([e for exts in rules for e in exts])))
     heads = _heads(lines, rules).select("path", F.col("line").alias("head"), F.col("_h.name").alias("name"), _indent(F.col("text")).alias("_i0"))
-    near = heads.join(lines, "path").where((F.col("line") >= F.col("head")) & (F.col("line") < F.col("head") + limit))
-    stop = (F.col("line") > F.col("head")) & F.col("text").rlike(r"\S") & (_indent(F.col("text")) <= F.col("_i0"))
-    ended = near.groupBy("path", "ext", "name", "head").agg(F.coalesce(F.min(F.when(stop, F.col("line"))) - 1, F.max("line")).alias("end_line"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines"))
-    return ended.select("path", "ext", "name", F.col("head").alias("line"), "end_line", F.transform(F.slice("_lines", F.lit(1), F.col("end_line") - F.col("head") + 1), lambda x: x["text"]).alias("body"))
+    solid = lines.where(F.col("text").rlike(r"\S")).select("path", "line", _indent(F.col("text")).alias("_i"))
+    last = lines.groupBy("path").agg(F.max("line").alias("_last"))
+    stop = (F.col("line") > F.col("head")) & (F.col("_i") <= F.col("_i0"))
+    ends = heads.join(solid, "path").groupBy("path", "name", "head").agg(F.min(F.when(stop, F.col("line"))).alias("_stop"))
+    return _bodies(ends.join(last, "path").select("path", "name", "head", F.coalesce(F.col("_stop") - 1, F.col("_last")).alias("end_line")), lines)
 
 
 def without_overlap(blocks: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ def duplicate_blocks(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     The first occurrence by path and line gives lines and preview. Equal code is one group however many files hold it: rows meet by fingerprint after each block is reduced to one.
     """
-    brace = brace_blocks(files, BLOCK_HEADS, BLOCK_LINES).where(F.col("end_line") - F.col("line") + 1 >= MIN_BRACE)
+    brace = brace_blocks(files, BLOCK_HEADS, BLOCK_LINES).drop("closed").where(F.col("end_line") - F.col("line") + 1 >= MIN_BRACE)
     indent = indent_blocks(files, INDENT_HEADS).where(F.col("end_line") - F.col("line") + 1 >= MIN_INDENT)
     blocks = without_overlap(brace.unionByName(indent)).withColumn("_n", F.col("end_line") - F.col("line") + 1).where(F.col("_n") >= min_lines)
     coded = blocks.withColumn("_code", normalised(F.array_join("body", "\n"))).where(F.length("_code") >= MIN_CHARS)
@@ -139,7 +149,7 @@ def decisions(text: Column, ext: Column) -> Column:
 
 def complexity(files: DataFrame, threshold: int = 5) -> DataFrame:
     """(path, name, line, end_line, complexity, risk) of functions with a risk above low and at least the threshold. Nested functions count in both."""
-    brace = brace_blocks(files, FUNCTION_HEADS, BODY_LINES).withColumn("_body", F.slice("body", F.lit(1), F.greatest(F.size("body") - 1, F.lit(0))))
+    brace = brace_blocks(files, FUNCTION_HEADS, BODY_LINES, unclosed=True).withColumn("_body", F.when(F.col("closed"), F.slice("body", F.lit(1), F.greatest(F.size("body") - 1, F.lit(0)))).otherwise(F.col("body"))).drop("closed")
     indent = indent_blocks(files, {PYTHON: INDENT_HEADS[PYTHON]}).withColumn("_body", F.slice("body", F.lit(2), F.greatest(F.size("body") - 1, F.lit(0))))
     ruby = ruby_blocks(files).withColumn("_body", F.col("body"))
     rows = brace.unionByName(indent).unionByName(ruby).where(F.size("_body") >= 2)
@@ -147,15 +157,14 @@ def complexity(files: DataFrame, threshold: int = 5) -> DataFrame:
     return scored.withColumn("risk", risk(F.col("complexity"))).where((F.col("risk") != "low") & (F.col("complexity") >= threshold)).select("path", "name", "line", "end_line", "complexity", "risk")
 
 
-def ruby_blocks(files: DataFrame, limit: int = BODY_LINES) -> DataFrame:
+def ruby_blocks(files: DataFrame) -> DataFrame:
     """Ruby methods: a line with an opening word is one deeper, one with end one less; the method stops where the balance is back."""
     w = Window.partitionBy("path").orderBy("line")
     step = F.col("text").rlike(word("def|do|begin|class|module|if|unless|while|for|until|case")).cast("int") - F.col("text").rlike(word("end")).cast("int")
     lines = lines_of(files.where(F.col("ext").isin(list(RUBY)))).withColumn("_net", step).withColumn("_depth", F.sum("_net").over(w))
     heads = _heads(lines, {RUBY: [("fn", r"^\s*def\s+(\w+)", 1)]}).select("path", F.col("line").alias("head"), F.col("_h.name").alias("name"), (F.col("_depth") - F.col("_net")).alias("_d0"))
-    near = heads.join(lines, "path").where((F.col("line") >= F.col("head")) & (F.col("line") < F.col("head") + limit))
-    ended = near.groupBy("path", "ext", "name", "head").agg(F.min(F.when(F.col("_depth") <= F.col("_d0"), F.col("line"))).alias("end_line"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines")).where("end_line is not null")
-    return ended.select("path", "ext", "name", F.col("head").alias("line"), "end_line", F.transform(F.slice("_lines", F.lit(1), F.col("end_line") - F.col("head") + 1), lambda x: x["text"]).alias("body"))
+    ends = heads.join(lines.select("path", "line", "_depth"), "path").where((F.col("line") >= F.col("head")) & (F.col("_depth") <= F.col("_d0")))
+    return _bodies(ends.groupBy("path", "name", "head").agg(F.min("line").alias("end_line")), lines)
 
 
 def unreachable(files: DataFrame) -> DataFrame:

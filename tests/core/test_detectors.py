@@ -224,3 +224,9 @@ def test_files_are_read_whole_unless_asked(spark, tmp_path, monkeypatch):
 
     assert _TreeReader({"path": str(tmp_path)}).max_bytes is None and _TreeReader({"path": str(tmp_path), "maxBytes": "3"}).max_bytes == 3
     assert rows(read_tree(spark, str(tmp_path)), "content") == [("x = 1",)] and rows(read_tree(spark, str(tmp_path), maxBytes=3), "size", "content") == [(5, None)]
+
+
+def test_complexity_of_long_functions(spark):
+    branches = "  if a\n    b\n  end\n" * 150
+    f = files_of(spark, {"a.ts": "function f() {\n" + "if (a) b()\n" * 400 + "}", "b.rb": f"def f\n{branches}end", "c.py": "def f():\n" + "    if a: b()\n" * 4500})
+    assert rows(blocks.complexity(f), "path", "line", "end_line", "complexity") == [("a.ts", 1, 300, 300), ("b.rb", 1, 452, 151), ("c.py", 1, 4502, 4501)]
