@@ -1,21 +1,31 @@
-"""Shared helpers: the cluster's shared folder, cut lineage, and Arrow batch plumbing."""
+"""Shared helpers: the cluster's shared folder, tables that cut lineage, joins that hot keys can't stop, modest Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a side that is broadcast, at most (16 to 100 bytes each); larger sides are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Tasks over which the rows of one key are dealt where a small side is too large to broadcast.
+SALTS = 32
+#: Rows and bytes of an Arrow batch at most (one longer row is a batch). Texts have kilobytes, so that the usual ten thousand rows would fill Python workers.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode (tests), else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lodegrain-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,58 +36,71 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodegrain-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost no recomputation."""
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost no recomputation. The table stays, as results read it later."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fold_of(doc_id: Column, folds: int) -> Column:
-    """crc32 of doc_id written as decimal text, modulo folds; null ids count as empty text."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark's executors can write to."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def fold_of_py(doc_id: int | None, folds: int) -> int:
-    """fold_of for one Python value."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function like materialise() whose tables are deleted at the end of the block, so no result may read them after it."""
+    folder, n = fresh_path(spark, "scratch"), 0
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        nonlocal n
+        n += 1
+        return materialise(df, name, f"{folder}/{n}-{name}")
+
+    try:
+        yield write
+    finally:
+        delete_folder(spark, folder.rpartition("/")[0])
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about limit bytes of the text column (one longer row stays whole)."""
-    for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
-        start, held = 0, 0
-        for i, n in enumerate(lengths):
-            if held and held + n > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        if start < len(lengths):
-            yield batch.slice(start)
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
-def text_buffer(col: pa.Array) -> tuple[bytes, list[int]]:
-    """The UTF-8 bytes of a string array, nulls as empty, and len + 1 offsets into them."""
-    parts = [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
-    offsets, at = [0], 0
-    for p in parts:
-        at += len(p)
-        offsets.append(at)
-    return b"".join(parts), offsets
+def meet(big: DataFrame, small: DataFrame, key: str, deal: str, how: str = "inner") -> DataFrame:
+    """big joined with small, a written table with few rows for each key. A counted small side is broadcast, so big stays where it is; else
+    the rows of one key of big are dealt over SALTS tasks by their column deal, and small is repeated for each."""
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
+    salt = free_name("_salt", big, small)
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(deal), F.lit(SALTS)))
+    return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, salt], how).drop(salt)
 
 
-#: Rows of an Arrow batch at most. Texts have kilobytes, so that the usual ten thousand rows would fill Python workers.
-BATCH_ROWS = 1000
+def fold_of(doc_id: Column, folds: int) -> Column:
+    """crc32 of doc_id written as decimal text, modulo folds; null ids count as empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def fold_of_py(doc_id: int | None, folds: int) -> int:
+    """fold_of for one Python value."""
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Let Python workers get batches of BATCH_ROWS rows, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Let Python workers get batches of BATCH_ROWS rows and BATCH_BYTES bytes, unless the session asks for less. Settings of the session: results are worked out after the call, so they stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, "-1b") == "-1b" or int(re.sub(r"\D", "", spark.conf.get(size))) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

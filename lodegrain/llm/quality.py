@@ -15,19 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrain.llm import textkit as K
-from lodegrain.llm.common import materialise
+from lodegrain.llm.common import materialise, scratch
 
 #: The forest grows from this many documents at most: those with the least hashes.
 FIT_ROWS = 16_384
 TREES, SUBSAMPLE = 128, 256
 REPEAT_WIDTH = 8
+#: Text bytes of a numpy run.
+RUN_BYTES = 1 << 19
 #: Score bins for the calibration.
 BINS = 2000
 #: A kept document that should go costs 1; a clean one that goes costs this.
 KEEP_WEIGHT = 4.0
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: What the forest sees: how far each rule statistic lies outside its usual range, 0 inside. Ordinary documents thus
+#: What the forest sees: how far each rule statistic lies outside its usual range (log(1 + distance), as a mean word length has no upper end), 0 inside. Ordinary documents thus
 #: coincide, where random splits can't part them, and every broken rule is a direction that isolates.
 FEATURES = ("mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "pipe_share", "plain_share", "type_share", "echo_share")
 LOW = (3.5, 0, 0, 0, 0, 0, 0, 0, 0.6, 0.1, 0)
@@ -79,7 +81,7 @@ def text_stats(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             np.bincount(own[1:][(own[1:] == own[:-1]) & (hashes[1:] == hashes[:-1])], minlength=n) / some,
         ], 1,
     )
-    features = np.minimum(np.maximum(LOW - measured, 0) + np.maximum(measured - HIGH, 0), 50) * (words > 0)[:, None]
+    features = np.log1p(np.maximum(LOW - measured, 0) + np.maximum(measured - HIGH, 0)) * (words > 0)[:, None]
     return counts, features.astype(np.float32)
 
 
@@ -98,10 +100,11 @@ def _repeats(own: np.ndarray, hashes: np.ndarray, first: bool) -> np.ndarray:
 
 def _stat_array(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts, features = [np.zeros((0, len(COUNTS)), np.int64)], [np.zeros((0, len(FEATURES)), np.float32)]
-    for _, run in K.chunked(texts.cast(pa.binary()).to_pylist()):
+    for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), RUN_BYTES):
         c, f = text_stats(run)
         counts.append(c)
         features.append(f)
+    K.give_back()
     return np.concatenate(counts), np.concatenate(features)
 
 
@@ -230,7 +233,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that judge() keeps. Statistics are computed once for the fit and once for the verdict, so texts are not shuffled."""
-    forest = fit(materialise(docs.select("doc_id", rule_stats(F.col("text")).alias("stats")), "stats"), labels)
+    with scratch(docs.sparkSession) as write:
+        forest = fit(write(docs.select("doc_id", rule_stats(F.col("text")).alias("stats")), "stats"), labels)
 
     @F.arrow_udf("boolean")
     def verdict(texts: pa.Array) -> pa.Array:

@@ -7,7 +7,10 @@ others differ but for chance (about n*n / 2**65 for n strings).
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 #: A random value for each byte, and the same for texts read with A-Z in lower case.
@@ -123,3 +126,13 @@ def chunked(texts: list[bytes | None], limit: int = 2 << 20) -> list[tuple[int,
     if run:
         out.append((first, run))
     return out
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the operating system, where its allocator can. Spark keeps idle Python workers, whose memory counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

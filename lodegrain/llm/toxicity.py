@@ -10,6 +10,7 @@ Weights are learned from labels: words whose odds among toxic documents are high
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrain.llm import textkit as K
-from lodegrain.llm.common import materialise
+from lodegrain.llm.common import scratch
 
 #: General insults, known before any label.
 SEED_WORDS = (
@@ -121,6 +122,7 @@ def score(text: Column, lexicon: Lexicon) -> Column:
             weights.append(sum(h[2] for h in found))
             terms.append(sorted({h[1] for h in found}))
         p = lexicon.probability(np.array(weights, float), np.array(n, float))
+        K.give_back()
         return pa.StructArray.from_arrays(
             [pa.array(p), pa.array(n, pa.int64()), pa.array(counts, pa.int64()), pa.array(weights, pa.float64()), pa.array(terms, pa.list_(pa.string()))],
             ["score", "n_words", "n_hits", "weight", "terms"],
@@ -139,6 +141,7 @@ def _word_sets(texts: pa.Array) -> pa.Array:
         low = np.sort(K.span_hashes(data, offsets[:-1], offsets[1:]))[:3] if own else np.zeros(0, np.uint64)
         sketches.append(int(np.bitwise_xor.reduce(low).astype(np.int64)) if len(low) else 0)
         words.append(own)
+    K.give_back()
     return pa.StructArray.from_arrays([pa.array(sketches, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["sketch", "words"])
 
 
@@ -147,9 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
 
     Only documents that have a non-null label are read. Documents with several labels count with each. Copies of a document count once for a word's odds.
     """
+    with scratch(docs.sparkSession) as write:
+        return _fit(docs, labels, fit_rows, write)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, write: Callable[[DataFrame, str], DataFrame]) -> Lexicon:
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
     # fit_rows bounds both the ids that are broadcast and the texts that are kept for the passes below
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text"), "labelled")
+    rows = write(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text"), "labelled")
     spread = rows.select("toxic", _word_sets(F.col("text")).alias("s"))
     pairs = spread.select("toxic", "s.sketch", F.explode("s.words").alias("word")).distinct()
     sizes = {r["toxic"]: r["n"] for r in spread.groupBy("toxic").agg(F.countDistinct("s.sketch").alias("n")).collect()}
