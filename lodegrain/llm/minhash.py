@@ -1,7 +1,7 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, verification on full shingle sets and distributed union-find.
 
 A document's set is its distinct shingles of five lower-cased words. Documents with equal sets form a class, and only the
-class's smallest id takes part in the search. SuperMinHash gives every shingle a pseudo-random permutation of the
+class takes part in the search, under a number of its own: a document id may stand beside several texts. SuperMinHash gives every shingle a pseudo-random permutation of the
 slots and one fraction per rank; a slot keeps the least rank + fraction, and a document stops at the first rank that can't lower
 any slot. A signature is one byte of each slot's value. Bands of it bucket the classes; bands overlap, so that they can be long
 (few chance meetings) and many (few missed pairs) at once.
@@ -16,6 +16,7 @@ bounds or already linked through others, and no bucket is capped. A pair's signa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrain.llm import textkit as K
-from lodegrain.llm.common import materialise
+from lodegrain.llm.common import BROADCAST_ROWS, free_name, materialise, meet, scratch
+
+Write = Callable[[DataFrame, str], DataFrame]
 
 #: Shingle width, slots of a signature, and bands, each of some slots drawn from a fixed seed. With 12 rows a pair of similarity 0.85
 #: shares no band with probability 2e-4, one of 0.4 shares one with 1e-3; with 9 rows the same holds for 0.8.
 WIDTH, SLOTS, BANDS = 5, 256, 64
 #: Pairs whose signatures agree on a share this far below the threshold are not verified: seven standard errors.
 SLACK = 0.16
-#: Ids whose sets are wanted are broadcast up to this many (16 bytes each), else joined by shuffle.
-BROADCAST_IDS = 1_000_000
 #: Ranks after which a document's elements get whole permutations instead of lists of swaps.
 LISTED_RANKS = 6
 #: Text bytes per numpy run.
@@ -140,6 +141,7 @@ def sketch(texts: pa.Array) -> pa.Array:
         size.append(n)
         k1.append(sums[0].astype(np.int64))
         k2.append(sums[1].astype(np.int64))
+    K.give_back()
     return pa.StructArray.from_arrays([pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(k1)), pa.array(np.concatenate(k2)), pa.array(short, pa.binary())], ["n", "k1", "k2", "signature"])
 
 
@@ -173,6 +175,7 @@ def full_set(texts: pa.Array) -> pa.Array:
         k1 += sums.astype(np.int64).tolist()
         flat.append(hashes[order])
         bounds += (bounds[-1] + np.cumsum(np.bincount(own, minlength=len(run)))).tolist()
+    K.give_back()
     return pa.StructArray.from_arrays([pa.array(k1, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat).astype(np.int64)))], ["k1", "hashes"])
 
 
@@ -182,10 +185,11 @@ def shared_count(a: pa.Array, b: pa.Array) -> pa.Array:
     total = np.zeros(len(a), np.int64)
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         total[i] = len(np.intersect1d(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False), assume_unique=True))
+    K.give_back()
     return pa.array(total)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, write: Write = materialise) -> DataFrame:
     """edges(a, b) to (node, comp), comp being the least node reachable: alternating large and small stars till nothing changes."""
     state, seen = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
     while True:
@@ -194,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        state = materialise(small, "stars")
+        state = write(small, "stars")
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 1024)).first()
         if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -225,136 +229,155 @@ class Similarity:
 
 
 class Verifier:
-    """Tries pairs of classes on their full sets. Sets are worked out once, when an id is first wanted."""
+    """Tries pairs of classes on their full sets. Sets are worked out once, when a class is first wanted."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, rule: Similarity):
-        self.docs, self.nodes, self.rule = docs.select(F.col("doc_id").alias("id"), "text"), nodes, rule
+    def __init__(self, docs: DataFrame, nodes: DataFrame, rule: Similarity, write: Write):
+        self.docs, self.nodes, self.rule, self.write = docs.select(row_key(docs).alias("key"), "text"), nodes, rule, write
         self.sets: DataFrame | None = None
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(id, hashes) of at least the classes wanted(id, k)."""
+        """(rep, hashes) of at least the classes wanted(rep, key, k)."""
         if self.sets is not None:
-            wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
-        wanted = materialise(wanted.distinct(), "wanted")
+            wanted = wanted.join(self.sets.select("rep"), "rep", "left_anti")
+        wanted = self.write(wanted.distinct(), "wanted")
         n = wanted.count()
         if n:
-            # of rows that share an id the one with the class's key counts
-            found = self.docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id").select("id", "k", full_set(F.col("text")).alias("s")).where("s.k1 = k").dropDuplicates(["id"])
-            more = materialise(found.select("id", F.col("s.hashes").alias("hashes")), "sets")
+            # one of the rows that share a key is looked at, and it counts if its set is the class's
+            texts = self.docs.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "key").select("rep", "k", "text", F.xxhash64(F.lit(1), "text").alias("_h")).dropDuplicates(["rep", "_h"])
+            found = texts.select("rep", "k", full_set(F.col("text")).alias("s")).where("s.k1 = k")
+            more = self.write(found.select("rep", F.col("s.hashes").alias("hashes")), "sets")
             self.sets = more if self.sets is None else self.sets.union(more)
         return self.sets
 
     def commons(self, reps: DataFrame) -> DataFrame:
         """(rep, n, common): set sizes, and how many members of each set are in another set of reps(rep) too. No two of reps can share more than the lesser of their commons."""
-        nodes = self.nodes.join(reps.select("rep").distinct(), "rep").select("rep", "n", "k1")
-        sets = self.sets_of(nodes.select(F.col("rep").alias("id"), F.col("k1").alias("k")))
-        members = nodes.join(sets, nodes["rep"] == sets["id"]).select("rep", F.explode("hashes").alias("h"))
+        nodes = self.nodes.join(reps.select("rep").distinct(), "rep").select("rep", "n", "k1", "key")
+        sets = self.sets_of(nodes.select("rep", "key", F.col("k1").alias("k")))
+        members = nodes.join(sets, "rep").select("rep", F.explode("hashes").alias("h"))
         often = members.groupBy("h").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("h")
         common = members.join(often, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
         return nodes.select("rep", "n").join(common, "rep", "left").select("rep", "n", F.coalesce("common", F.lit(0)).alias("common"))
 
     def try_pairs(self, pairs: DataFrame) -> DataFrame | None:
-        """pairs(a, b) with linked; None if there is none."""
-        of = lambda x: self.nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("k1").alias("k" + x), F.col("signature").alias("s" + x))
+        """pairs(a, b) that are linked; None if no pair is near."""
+        of = lambda x: self.nodes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("k1").alias("k" + x), F.col("key").alias("key" + x), F.col("signature").alias("s" + x))
         known = pairs.join(of("a"), "a").join(of("b"), "b").where(self.rule.sizes_allow("na", "nb"))
-        near = materialise(known.where(agreement(F.col("sa"), F.col("sb")) >= self.rule.percent / 100 - SLACK).drop("sa", "sb"), "near")
+        near = self.write(known.where(agreement(F.col("sa"), F.col("sb")) >= self.rule.percent / 100 - SLACK).drop("sa", "sb"), "near")
         if near.isEmpty():
             return None
-        sets = self.sets_of(near.select(F.col("a").alias("id"), F.col("ka").alias("k")).union(near.select("b", "kb")))
-        both = near.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+        sets = self.sets_of(near.select(F.col("a").alias("rep"), F.col("keya").alias("key"), F.col("ka").alias("k")).union(near.select("b", "keyb", "kb")))
+        both = near.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
         linked = both.select("a", "b", "na", "nb", shared_count(F.col("ha"), F.col("hb")).alias("shared")).where(self.rule.linked("shared", "na", "nb"))
-        return materialise(linked.select("a", "b"), "links")
+        return self.write(linked.select("a", "b"), "links")
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _relabelled(labels: DataFrame, links: DataFrame, write: Write) -> DataFrame:
     """labels(rep, comp) after its components are joined by links(a, b) between reps."""
     of = lambda x: labels.select(F.col("rep").alias(x), F.col("comp").alias("c" + x))
     edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
-    merged = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-    return materialise(labels.join(merged, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "labels")
+    merged = components(edges, write).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return write(labels.join(merged, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "labels")
+
 
+def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, write: Write) -> DataFrame | None:
+    """classes(rep, n, k1, key, signature) to (rep, comp) of every rep that shares a bucket; None if none does.
 
-def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame | None:
-    """classes(rep, n, k1, signature) to (rep, comp) of every rep that shares a bucket; None if none does."""
+    A bucket may hold thousands of members, so its rows never move by its key where what they meet is small enough to broadcast, and are dealt over several
+    tasks where it isn't.
+    """
     members = classes.select("rep", F.explode(bands_of(F.col("signature"), rule.rows)).alias("key"))
     multi = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    state = materialise(members.join(multi, "key").select("key", "rep", "c"), "buckets")
+    state = write(members.join(multi, "key").select("key", "rep", "c"), "buckets")
     if state.isEmpty():
         return None
     # how many meetings a class has; the base of a group of edited copies has most
     fame = state.groupBy("rep").agg(F.sum("c").alias("fame"))
-    nodes = materialise(classes.join(fame, "rep"), "nodes")
-    state = materialise(state.select("key", "rep").join(nodes.select("rep", "fame"), "rep").select("key", "rep", "fame"), "famed")
+    nodes = write(classes.join(fame, "rep"), "nodes")
+    state = write(state.select("key", "rep").join(nodes.select("rep", "fame"), "rep").select("key", "rep", "fame"), "famed")
     order = F.struct("fame", -F.col("rep"))
-    verifier, tried, pivots = Verifier(docs, nodes, rule), None, 0
+    verifier, tried, pivots = Verifier(docs, nodes, rule, write), None, 0
     labels = nodes.select("rep", F.col("rep").alias("comp"))
-    chosen = state.groupBy("key").agg(F.max_by("rep", order).alias("pivot"))
-    found = state.join(chosen, "key").where("rep <> pivot").select("rep", "pivot")
+    chosen = write(state.groupBy("key").agg(F.max_by("rep", order).alias("pivot")), "pivots")
+    found = meet(state, chosen, "key", "rep").where("rep <> pivot").select("rep", "pivot")
     while True:
         pairs = found.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = None if pairs.isEmpty() else verifier.try_pairs(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         if links is not None and not links.isEmpty():
-            labels = _relabelled(labels, links)
+            labels = _relabelled(labels, links, write)
         if pivots:
             state = state.join(chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        here = state.select("key", "rep", "fame", *(("n", "common") if pivots else ())).join(labels, "rep")
+        here = meet(state.select("key", "rep", "fame", *(("n", "common") if pivots else ())), labels, "rep", "key")
         # a bucket is open while it has members outside the component of its most central one
-        main = here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
-        state = materialise(here.join(main, "key"), "open")
+        main = write(here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main"), "main")
+        state = write(meet(here, main, "key", "rep"), "open")
         if state.isEmpty():
             return labels
         if not pivots:
             # whose set is for the most part its own can't be linked with anything that is left
-            state = materialise(state.join(verifier.commons(state), "rep").where(100 * F.col("common") >= rule.percent * F.col("n")), "commons")
+            state = write(state.join(verifier.commons(state), "rep").where(100 * F.col("common") >= rule.percent * F.col("n")), "commons")
         pivots = max(8 * pivots, 8)
         strata = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
         best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp", "n", "common"), order).alias("p"))
-        chosen = materialise(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.common").alias("pcommon")), "pivots")
-        mates = state.select("key", "rep", "comp", "n", "common")
-        met = (mates["key"] == chosen["key"]) & (F.col("comp") != F.col("pc")) & rule.reachable("common", "pcommon", "n", "pn")
-        found = mates.join(chosen, met).select("rep", "pivot")
+        chosen = write(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.common").alias("pcommon")), "pivots")
+        met = (F.col("comp") != F.col("pc")) & rule.reachable("common", "pcommon", "n", "pn")
+        found = meet(state.select("key", "rep", "comp", "n", "common"), chosen, "key", "rep").where(met).select("rep", "pivot")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def near_duplicates(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (least id of its group), kept.
 
     Null and empty texts, and texts without words, have no shingles and stand alone. Rows with equal sets are one
-    class. Rows repeated whole keep the same component and verdict. A row without an id takes the component of a row
-    with the same set that has one, else null, and is kept only in the latter case. Of docs only the two columns are read.
+    class. Rows repeated whole keep the same component and verdict. Rows that share an id but not their text are judged each by its own text, and
+    aren't linked by the id. A row without an id takes part like others; its component is the least id of its group, null if the group has none, and
+    it is kept only in that case. Of docs only the two columns are read.
     """
-    return _judged(docs, rule).drop("row_key")
-
-
-def _judged(docs: DataFrame, rule: Similarity) -> DataFrame:
-    """near_duplicates() with row_key, a hash of id and text."""
-    base = materialise(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), sketch(F.col("text")).alias("s")).select("doc_id", "row_key", "s.*"), "sketches")
-    classes = materialise(base.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).where("rep is not null"), "classes")
-    labels = link_classes(classes.select("rep", "n", "k1", "signature"), docs, rule)
-    reps = classes.select("k1", "k2", "n", "rep")
-    reps = reps.withColumn("comp", F.col("rep")) if labels is None else reps.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    out = base.select("doc_id", "row_key", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
+    return _judged(docs, rule, materialise).drop("row_key")
+
+
+def _judged(docs: DataFrame, rule: Similarity, write: Write) -> DataFrame:
+    """near_duplicates() with row_key."""
+    base = write(docs.select("doc_id", row_key(docs).alias("row_key"), sketch(F.col("text")).alias("s")).select("doc_id", "row_key", "s.*"), "sketches")
+    found = base.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("key"), F.first("signature").alias("signature"))
+    classes = write(found.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers are settled by writing them
+    reps = classes.select("k1", "k2", "n", "rep", "least")
+    with scratch(docs.sparkSession) as for_now:
+        labels = link_classes(classes.select("rep", "n", "k1", "key", "signature"), docs, rule, for_now)
+        if labels is not None:
+            named = labels.join(classes.select("rep", "least"), "rep")
+            names = named.groupBy("comp").agg(F.min("least").alias("comp_id"))
+            reps = reps.join(write(named.join(names, "comp").select("rep", "comp_id"), "components"), "rep", "left")
+    reps = reps.withColumn("comp_id", F.coalesce("comp_id", "least") if labels is not None else F.col("least"))
+    out = base.select("doc_id", "row_key", "n", "k1", "k2").join(reps.select("k1", "k2", "n", "comp_id"), ["k1", "k2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.col("comp_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """The rows of docs, with their columns, whose document is kept; of rows that share an id and text one stays.
 
-    Texts stay where they are: rows are judged by the keys of those to drop, broadcast up to BROADCAST_IDS, and only rows repeated whole are shuffled.
+    Texts stay where they are: rows are judged by the keys of those to drop, broadcast up to BROADCAST_ROWS, and only rows repeated whole are shuffled.
     """
-    judged = materialise(_judged(docs, rule).select("row_key", "kept"), "judged")
+    key = free_name("_row_key", docs)
 
     def bounded(keys: DataFrame) -> DataFrame:
-        keys = materialise(keys.select(F.col("row_key").alias("_row_key")), "keys")
-        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-
-    at = F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_row_key")
-    rows = docs.join(bounded(judged.where(~F.col("kept")).distinct()), at, "left_anti")
-    repeated = judged.where("kept").groupBy("row_key").count().where("count > 1")
-    if repeated.isEmpty():
+        keys = materialise(keys.select(F.col("row_key").alias(key)), "keys")
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    with scratch(docs.sparkSession) as write:
+        judged = write(_judged(docs, rule, write).select("row_key", "kept"), "judged")
+        gone = bounded(judged.where(~F.col("kept")).distinct())
+        repeated = judged.where("kept").groupBy("row_key").count().where("count > 1")
+        keys = None if repeated.isEmpty() else bounded(repeated)
+    at = row_key(docs) == F.col(key)
+    rows = docs.join(gone, at, "left_anti")
+    if keys is None:
         return rows
-    keys = bounded(repeated)
-    one = rows.join(keys, at, "left_semi").withColumn("_row_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_row_key"]).drop("_row_key")
+    one = rows.join(keys, at, "left_semi").withColumn(key, row_key(docs)).dropDuplicates([key]).drop(key)
     return rows.join(keys, at, "left_anti").unionByName(one)
