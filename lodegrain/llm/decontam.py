@@ -17,8 +17,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodegrain.llm.common import materialise
+from lodegrain.llm.common import BROADCAST_ROWS, free_name, materialise, scratch
 
 #: Units that are placeholders after a number, and words that are numbers.
 UNITS = "mm cm m km in ft yd mi g kg mg t lb lbs oz ml cl l s sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres inch inches foot feet mile miles dollar dollars euro euros cent cents pound pounds percent degrees mph kmh kwh w kw v hz ghz mb gb tb".split()
@@ -32,22 +33,19 @@ MARK = "\x01"
 @dataclass(frozen=True)
 class Rule:
     """Words of a window; words of it that must not be placeholders; windows on a diagonal that make a match (all of an
-    item that has fewer); least words of an item that is looked for at all, and words of a literal window; share of slots that may be
-    in conflict; share of an item's words that literal windows must cover; diagonals that are added up."""
+    item that has fewer); least words of an item that is looked for at all, and of one that is looked for as a template, which are also those of a literal
+    window (shorter items are one window); share of slots that may be in conflict; share of an item's words that literal windows must cover; diagonals that are added up."""
 
     width: int = 8
     literals: int = 4
     windows: int = 6
-    least_words: int = 5
+    least_words: int = 3
+    short_words: int = 5
     conflicts: float = 0.2
     covered: float = 0.8
     band: int = 8
 
 
-#: Benchmark windows and candidate documents are broadcast up to this many rows (16 to 32 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
 def _spaced(text: Column) -> Column:
     s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d)[.,](?=\d)", "$1")
     s = F.trim(F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}]+", " "))
@@ -125,14 +123,18 @@ def _is_slot(w: Column) -> Column:
     return w.isin(NUMBER, NAME, UNIT)
 
 
-def benchmark_windows(benchmark: DataFrame, rule: Rule) -> DataFrame:
-    """(form, item_id, words, template, width, n_windows, need, h, j) for each window of each form of each item with enough words; in templates, with enough literals."""
-    every = forms_of(benchmark, ["item_id"]).withColumn("values", _collapsed_words(F.col("words"), F.col("template"))).where(F.size("words") >= rule.least_words)
+def benchmark_forms(benchmark: DataFrame, rule: Rule) -> DataFrame:
+    """item_id with all forms of each item with enough words."""
+    return forms_of(benchmark, ["item_id"]).withColumn("values", _collapsed_words(F.col("words"), F.col("template"))).where(F.size("words") >= rule.least_words)
+
+
+def benchmark_windows(every: DataFrame, rule: Rule) -> DataFrame:
+    """benchmark_forms() to (form, item_id, words, template, width, n_windows, need, h, j) for each window of each form; in templates, with enough literals."""
     spread = None
     for form, words, template in ((TEMPLATE, "words", "template"), (COLLAPSED, "values", "collapsed"), (LITERAL, "literal", "literal")):
         items = every.select(F.lit(form).alias("form"), "item_id", F.col(words).alias("words"), F.col(template).alias("template"))
-        top = rule.least_words if form == LITERAL else rule.width
-        for width in range(rule.least_words, top + 1):
+        low, top = (rule.least_words, rule.short_words) if form == LITERAL else (rule.short_words, rule.width)
+        for width in range(low, top + 1):
             own = items.where(F.size("words") >= width if width == top else F.size("words") == width)
             part = windows_of(own.withColumn("width", F.lit(width)), width, ["form", "item_id", "words", "template", "width"], form)
             spread = part if spread is None else spread.union(part)
@@ -154,49 +156,62 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFra
 
     Null and empty texts leak nothing; items of fewer than least_words words are not looked for. Repeated document rows give
     one row; repeated items and items with equal texts are each reported. A null doc_id or item_id is a value like
-    others. Only doc_id, text and item_id are read, so other columns may have any names.
+    others. Only doc_id, text and item_id are read, so other columns may have any names; ids may have any type.
     """
-    known = materialise(benchmark_windows(benchmark.select("item_id", "text"), rule), "windows")
-    lengths = [(r["form"], r["width"]) for r in known.select("form", "width").distinct().orderBy("form", "width").collect()]  # two for each of least_words to width, and one
-    schema = "doc_id bigint, row_key bigint, item_id bigint, matched bigint, n_windows bigint, n_slots bigint, n_changed bigint"
-    if not lengths:
-        return docs.sparkSession.createDataFrame([], schema)
-    keys = _bounded(known.select("h", "form", "width", "item_id", "j", "n_windows", "need").distinct())
-    rows = forms_of(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text"), ["doc_id", "row_key"])
-    runs = []
-    for form, width in lengths:
-        rows, whole = with_runs(rows, ("template", "collapsed", "literal")[form], width, form)
-        runs.append(whole)
-    seen = rows.select("doc_id", "row_key", F.explode(F.array(*runs)).alias("_runs")).select("doc_id", "row_key", F.posexplode("_runs").alias("i", "h"))
-    found = seen.join(keys, "h").select("doc_id", "row_key", "form", "width", "item_id", "n_windows", "need", (F.col("i") - F.col("j")).alias("diagonal"), "j")
-    d, half = F.col("diagonal"), rule.band // 2
-    bands = F.when(F.col("form") == TEMPLATE, F.array(d.cast("bigint"))).otherwise(F.array(2 * F.floor(d / rule.band), 2 * F.floor((d + half) / rule.band) + 1))  # neighbours share one of two overlapping bands
-    banded = found.withColumn("band", F.explode(bands)).groupBy("doc_id", "row_key", "form", "width", "item_id", "n_windows", "need", "band").agg(F.array_sort(F.collect_set(F.struct("j", "diagonal"))).alias("at"))
-    starts = F.array_distinct(F.transform("at", lambda a: a["j"]))
-    covered = F.aggregate(F.zip_with(starts, F.slice(starts, 2, F.lit(1 << 30)), lambda a, b: F.coalesce(F.least(b - a, F.col("width")), F.col("width"))), F.lit(0), lambda acc, x: acc + x)
-    lines = banded.withColumn("matched", F.size(starts).cast("bigint")).where(F.when(F.col("form") == LITERAL, covered).otherwise(F.col("matched")) >= F.col("need")).drop("need")
-    items = known.select("form", "item_id", "n_windows", "words", "template").distinct()
-    on_item = lambda a, b: (a["form"] == b["form"]) & a["item_id"].eqNullSafe(b["item_id"]) & (a["n_windows"] == b["n_windows"])
-    lines = materialise(lines, "diagonals")
-    wide = lines.join(items, on_item(lines, items)).drop(items["form"]).drop(items["item_id"]).drop(items["n_windows"])
-    per_row = wide.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("form", "width", "item_id", "n_windows", "at", "matched", "words", "template", F.col("band").cast("int").alias("diagonal"))).alias("lines"))
-    per_row = _bounded(materialise(per_row.withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key"), "candidates"))
-    back = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").join(per_row, F.col("row_key") == F.col("_key")).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    own = forms_of(back, ["doc_id", "row_key", "lines"]).withColumn("values", _collapsed_words(F.col("words"), F.col("template")))
-    checked = own.select("doc_id", "row_key", F.explode(F.transform("lines", _checked)).alias("c"))
-    fine = checked.where(F.col("c.n_conflicts") <= F.lit(rule.conflicts) * F.col("c.n_slots"))
-    best = fine.groupBy("doc_id", "row_key", "c.item_id").agg(F.max(F.struct((-F.col("c.form")).alias("form"), "c.matched", "c.n_windows", "c.n_slots", (-F.col("c.n_changed")).alias("same"))).alias("b"))
-    return best.select("doc_id", "row_key", "item_id", "b.matched", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.same")).cast("long").alias("n_changed"))
+    spark = docs.sparkSession
+    with scratch(spark) as write:
+        known = write(benchmark_windows(write(benchmark_forms(benchmark.select("item_id", "text"), rule), "forms"), rule), "windows")
+        lengths = [(r["form"], r["width"]) for r in known.select("form", "width").distinct().orderBy("form", "width").collect()]  # a few for each form, whatever the tables
+        if not lengths:
+            ids = T.StructType([docs.schema["doc_id"], T.StructField("row_key", T.LongType()), benchmark.schema["item_id"]])
+            return spark.createDataFrame([], T.StructType([*ids, *(T.StructField(c, T.LongType()) for c in ("matched", "n_windows", "n_slots", "n_changed"))]))
+        keys = _bounded(known.select("h", "form", "width", "item_id", "j", "n_windows", "need", F.size("words").alias("size")).distinct())
+        rows = forms_of(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text"), ["doc_id", "row_key"])
+        runs = []
+        for form, width in lengths:
+            rows, whole = with_runs(rows, ("template", "collapsed", "literal")[form], width, form)
+            runs.append(whole)
+        seen = rows.select("doc_id", "row_key", F.explode(F.array(*runs)).alias("_runs")).select("doc_id", "row_key", F.posexplode("_runs").alias("i", "h"))
+        found = seen.join(keys, "h").select("doc_id", "row_key", "form", "width", "item_id", "n_windows", "need", "size", (F.col("i") - F.col("j")).alias("diagonal"), "j")
+        d, half = F.col("diagonal"), rule.band // 2
+        bands = F.when(F.col("form") == TEMPLATE, F.array(d.cast("bigint"))).otherwise(F.array(2 * F.floor(d / rule.band), 2 * F.floor((d + half) / rule.band) + 1))  # neighbours share one of two overlapping bands
+        banded = found.withColumn("band", F.explode(bands)).groupBy("doc_id", "row_key", "form", "width", "item_id", "n_windows", "need", "size", "band").agg(F.array_sort(F.collect_set(F.struct("j", "diagonal"))).alias("at"))
+        starts = F.array_distinct(F.transform("at", lambda a: a["j"]))
+        covered = F.aggregate(F.zip_with(starts, F.slice(starts, 2, F.lit(1 << 30)), lambda a, b: F.coalesce(F.least(b - a, F.col("width")), F.col("width"))), F.lit(0), lambda acc, x: acc + x)
+        lines = banded.withColumn("matched", F.size(starts).cast("bigint")).where(F.when(F.col("form") == LITERAL, covered).otherwise(F.col("matched")) >= F.col("need")).drop("need")
+        # a diagonal travels without the item's words, and comes back with the document's words that it spans
+        per_row = lines.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("form", "width", "item_id", "n_windows", "size", "at", "matched", F.col("band").cast("int").alias("diagonal"))).alias("lines"))
+        per_row = _bounded(write(per_row.withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key"), "candidates"))
+        back = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").join(per_row, F.col("row_key") == F.col("_key")).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+        own = forms_of(back, ["doc_id", "row_key", "lines"]).withColumn("values", _collapsed_words(F.col("words"), F.col("template")))
+        spans = own.select("doc_id", "row_key", F.explode(F.transform("lines", _spanned)).alias("x")).select("doc_id", "row_key", "x.*")
+        items = known.select("form", "item_id", "n_windows", "words", "template").distinct()
+        on_item = (spans["form"] == items["form"]) & spans["item_id"].eqNullSafe(items["item_id"]) & (spans["n_windows"] == items["n_windows"])
+        wide = spans.join(_bounded(items), on_item).drop(items["form"]).drop(items["item_id"]).drop(items["n_windows"])
+        checked = wide.select("doc_id", "row_key", _checked(F.struct(*(c for c in wide.columns if c not in ("doc_id", "row_key")))).alias("c"))
+        fine = checked.where(F.col("c.n_conflicts") <= F.lit(rule.conflicts) * F.col("c.n_slots"))
+        best = fine.groupBy("doc_id", "row_key", "c.item_id").agg(F.max(F.struct((-F.col("c.form")).alias("form"), "c.matched", "c.n_windows", "c.n_slots", (-F.col("c.n_changed")).alias("same"))).alias("b"))
+        out = best.select("doc_id", "row_key", "item_id", "b.matched", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.same")).cast("long").alias("n_changed"))
+        return materialise(out, "leaks")
+
+
+def _spanned(x: Column) -> Column:
+    """A diagonal, or band of diagonals, with the places of the document that it spans: their first one, words and placeholders."""
+    own, kinds = F.when(x["form"] == TEMPLATE, F.col("words")).otherwise(F.col("values")), F.when(x["form"] == TEMPLATE, F.col("template")).otherwise(F.col("collapsed"))
+    diagonals = F.transform(x["at"], lambda a: a["diagonal"])
+    first = F.greatest(F.array_min(diagonals), F.lit(0))
+    span = F.array_max(diagonals) + x["size"] - first
+    cut = lambda words: F.slice(words, first + 1, F.greatest(span, F.lit(0)))
+    return F.struct(*(x[c].alias(c) for c in ("form", "width", "item_id", "n_windows", "at", "matched", "diagonal")), first.alias("first"), cut(own).alias("own"), cut(kinds).alias("kinds"))
 
 
 def _checked(x: Column) -> Column:
-    """One diagonal, or band of diagonals, with its slots: how many, how many changed, and values of the item that stand for several of the document. On a
+    """A span with its slots: how many, how many changed, and values of the item that stand for several of the document. On a
     band, a slot is compared as the matched window that holds it or the last before it says; literal windows have no slots."""
-    own, kinds = F.when(x["form"] == TEMPLATE, F.col("words")).otherwise(F.col("values")), F.when(x["form"] == TEMPLATE, F.col("template")).otherwise(F.col("collapsed"))
     shift = lambda j: F.when(x["form"] == TEMPLATE, x["diagonal"]).otherwise(F.coalesce(F.get(F.filter(x["at"], lambda a: (a["j"] <= j) & (j < a["j"] + x["width"])), F.lit(0)), F.try_element_at(F.filter(x["at"], lambda a: a["j"] <= j), F.lit(-1)), F.get(x["at"], F.lit(0)))["diagonal"])
-    places = F.transform(F.sequence(F.lit(0), F.size(x["words"]) - 1), lambda j: F.struct(j.alias("j"), (j + shift(j)).alias("i")))
-    aligned = F.filter(places, lambda p: _is_slot(F.get(x["template"], p["j"])) & F.coalesce((p["i"] >= 0) & (F.get(kinds, F.greatest(p["i"], F.lit(0))) == F.get(x["template"], p["j"])), F.lit(False)))
-    both = F.transform(aligned, lambda p: F.struct(F.split(F.lower(F.get(x["words"], p["j"])), "_").alias("a"), F.split(F.lower(F.get(own, F.greatest(p["i"], F.lit(0)))), "_").alias("b")))
+    places = F.transform(F.sequence(F.lit(0), F.size(x["words"]) - 1), lambda j: F.struct(j.alias("j"), (j + shift(j) - x["first"]).alias("i")))
+    aligned = F.filter(places, lambda p: _is_slot(F.get(x["template"], p["j"])) & F.coalesce((p["i"] >= 0) & (F.get(x["kinds"], F.greatest(p["i"], F.lit(0))) == F.get(x["template"], p["j"])), F.lit(False)))
+    both = F.transform(aligned, lambda p: F.struct(F.split(F.lower(F.get(x["words"], p["j"])), "_").alias("a"), F.split(F.lower(F.get(x["own"], F.greatest(p["i"], F.lit(0)))), "_").alias("b")))
     # runs of as many words are compared word by word, others as a whole
     apart = lambda v: F.when(F.size(v["a"]) == F.size(v["b"]), F.zip_with(v["a"], v["b"], lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array(F.struct(F.array_join(v["a"], "_").alias("a"), F.array_join(v["b"], "_").alias("b"))))
     pairs = F.flatten(F.transform(both, apart))
@@ -210,5 +225,6 @@ def _checked(x: Column) -> Column:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of docs, with their columns, that leak no item."""
-    found = _bounded(materialise(leaks(docs, benchmark, rule).select(F.col("row_key").alias("_leak_key")).distinct(), "leaks"))
-    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_leak_key"), "left_anti")
+    key = free_name("_leak_key", docs)
+    found = _bounded(materialise(leaks(docs, benchmark, rule).select(F.col("row_key").alias(key)).distinct(), "leaks"))
+    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == F.col(key), "left_anti")
