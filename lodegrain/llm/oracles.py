@@ -19,20 +19,28 @@ def _licence_text(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'), '\b(?:19|20)\d\d\b ?', '', 'g'), ' ')"
 
 
-_GRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+_TOLD = f"list_sort(list_distinct(list_filter(w, lambda x: x IN ({_listed(list(licences.TELLING))}))))"
 
+#: Every window of every template's size that begins with a bigram of it, compared in full.
 LICENCES = rf"""
 WITH t(template, licence, body) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(x)})" for i, (n, x) in enumerate(licences.TEMPLATES))}),
-tg AS (SELECT template, licence, {_GRAMS} AS grams FROM (SELECT template, licence, string_split({_licence_text("body")}, ' ') AS w FROM t)),
-te AS (SELECT template, licence, len(grams) AS m, unnest(grams) AS gram FROM tg),
-u AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS unit FROM (
-  SELECT doc_id, list_concat(string_split(text, chr(10)),
-    CASE WHEN contains(text, chr(10)) THEN list_filter(string_split_regex(text, '\n[ \t\r]*\n'), lambda x: contains(trim(x, ' '), chr(10))) ELSE [] END,
-    CASE WHEN regexp_matches(text, '\n[ \t\r]*\n') THEN [text] ELSE [] END) AS parts FROM documents WHERE text IS NOT NULL)),
-ug AS (SELECT doc_id, unit, {_GRAMS} AS grams FROM (SELECT doc_id, unit, string_split({_licence_text("body")}, ' ') AS w FROM u)),
-ue AS (SELECT doc_id, unit, len(grams) AS n, unnest(grams) AS gram FROM ug),
-d AS (SELECT doc_id, unit, template, licence, 2.0 * count(*) / (n + m) AS dice FROM ue JOIN te USING (gram) GROUP BY doc_id, unit, template, licence, n, m)
-SELECT doc_id, licence, round(max(dice), 6) AS dice, count(DISTINCT unit) AS units FROM d WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id, licence"""
+tw AS (SELECT template, licence, string_split({_licence_text("body")}, ' ') AS w FROM t),
+tt AS (SELECT template, licence, len(w) AS k, list_distinct({_PAIRS}) AS grams, {_TOLD} AS telling, list_filter(w, lambda x: regexp_full_match(x, '[0-9]+')) AS numbers FROM tw),
+te AS (SELECT template, k, unnest(grams) AS gram FROM tt),
+d AS (SELECT doc_id, string_split({_licence_text("text")}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) AS i FROM (SELECT doc_id, {_PAIRS} AS g FROM d)),
+s AS (SELECT doc_id, template, i, count(*) OVER (PARTITION BY doc_id, template ORDER BY i RANGE BETWEEN CURRENT ROW AND 100000 FOLLOWING) AS left_over FROM dg JOIN te USING (gram)),
+x AS (SELECT doc_id, template, licence, i, k, grams, telling, numbers, d.w[i : i + k - 1] AS w FROM s JOIN tt USING (template) JOIN d USING (doc_id) WHERE 3 * left_over >= len(grams)),
+y AS (SELECT doc_id, template, licence, i, k, len(list_intersect(list_distinct({_PAIRS}), grams)) AS shared, len(list_distinct({_PAIRS})) + len(grams) AS total FROM x
+  WHERE {_TOLD} = telling AND len(list_filter(numbers, lambda x: NOT list_contains(w, x))) = 0),
+z AS (SELECT *, 2.0 * shared / total AS dice FROM y WHERE 2.0 * shared / total >= {licences.THRESHOLD}),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY i) AS run FROM (SELECT *, coalesce(CAST(i >= lag(i) OVER (PARTITION BY doc_id, template ORDER BY i) + k AS INT), 1) AS fresh FROM z)),
+b AS (SELECT doc_id, licence, k, i, shared, dice FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, template, run ORDER BY shared DESC, dice DESC, i) = 1),
+f AS (SELECT *, max((i + k) * 100000 + k) OVER (PARTITION BY doc_id ORDER BY i, k DESC, licence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM b),
+p AS (SELECT *, sum(coalesce(CAST(2 * (far // 100000 - i) <= least(k, far % 100000) AS INT), 1)) OVER (PARTITION BY doc_id ORDER BY i, k DESC, licence ROWS UNBOUNDED PRECEDING) AS place FROM f),
+o AS (SELECT * FROM p QUALIFY rank() OVER (PARTITION BY doc_id, place ORDER BY shared DESC, dice DESC) = 1)
+SELECT doc_id, licence, round(max(dice), 6) AS dice, count(DISTINCT place) AS units FROM o GROUP BY doc_id, licence"""
 
 
 def _words(x: str) -> str:
