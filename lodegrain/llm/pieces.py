@@ -35,7 +35,10 @@ CACHE_WORDS = 200_000
 DECODE_IDS = 1 << 18
 #: Words longer than this are merged with a heap, shorter ones together in numpy.
 SHORT_WORD = 48
+#: Text bytes that are encoded at a time (one longer text is encoded whole).
+RUN_BYTES = 1 << 20
 ENCODED = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "begins", "ends")])
+ROUND_TRIP = T.StructType([*ENCODED.fields, T.StructField("decoded", T.StringType())])
 
 
 def fields_of(data: bytes) -> Iterator[tuple[int, object]]:
@@ -182,6 +185,19 @@ class Model:
         return b"".join(out).decode("utf-8", "replace"), np.array(source)
 
 
+class Numbers(dict):
+    """The number of each word; a word that is looked up for the first time gets the next one and is noted as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Encoder:
     """Merges words of one model and keeps what it has merged."""
 
@@ -191,9 +207,9 @@ class Encoder:
         self.ids = {p: i for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True)) if t == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True)) if t == BYTE}
         self.unk = next(i for i, t in enumerate(model.types) if t == UNKNOWN)
-        self.pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         # words end before a run of spaces if no piece has a space after another character
-        inner = any(b == SPACE and a != SPACE for a, b in self.pairs)
+        inner = any(b == SPACE and a != SPACE for a, b in pairs)
         loose = [c for c in "\n\t" if not any(c in p for p in self.rank if len(p) > 1)]
         stop = "".join(loose)
         self.words = re.compile("(?s:.+)" if inner else f"[ {SPACE}]*[^ {SPACE}{stop}]+|[ {SPACE}]+|[{stop}]" if stop else f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
@@ -212,7 +228,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.cache = Numbers()
         self.flat_ids, self.flat_lens, self.bounds = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merge(self, word: str) -> list[str]:
@@ -345,21 +361,17 @@ class Encoder:
         """Token bounds of each text, ids, and begins and ends of each token in bytes of its text."""
         if len(self.cache) > CACHE_WORDS:
             self.clear()
-        at, sizes, maps, cache, fresh = [], [], [], self.cache, []
+        at, sizes, maps, number = [np.zeros(0, np.int64)], [], [], self.cache.__getitem__
         for t in texts:
             form, source = self.model.normalise(t)
             words = self.words.findall(form)
-            for w in words:
-                i = cache.get(w)
-                if i is None:
-                    i = cache[w] = len(cache)
-                    fresh.append(w)
-                at.append(i)
+            at.append(np.fromiter(map(number, words), np.int64, len(words)))
             sizes.append(len(words))
             maps.append(source)
-        if fresh:
-            self._add_all(fresh)
-        index = np.array(at, np.int64)
+        if self.cache.fresh:
+            self._add_all(self.cache.fresh)
+            self.cache.fresh = []
+        index = np.concatenate(at)
         first, n = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
         total = np.concatenate([[0], np.cumsum(n)])
         gather = np.repeat(first - total[:-1], n) + np.arange(total[-1])
@@ -461,34 +473,54 @@ def _decoder(path: str) -> Decoder:
     return _decoders[path]
 
 
+def _lists(offsets: pa.Array, values: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *values]), pa.int32()))
+
+
+def _encoded(texts: pa.Array, model_path: str, back: bool) -> pa.Array:
+    """ENCODED, or with back ROUND_TRIP, of each text; runs of texts are encoded and decoded at a time."""
+    tool, bounds, cols, decoded = _encoder(model_path), [np.zeros(1, np.int64)], [[], [], []], []
+    for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), RUN_BYTES):
+        b, *values = tool.encode(run)
+        bounds.append(b[1:] + bounds[-1][-1])
+        for c, v in zip(cols, values, strict=True):
+            c.append(v)
+        if back:
+            decoded.append(pa.array(_decoder(model_path).decode(values[0], b), pa.string()))
+    offsets = pa.array(np.concatenate(bounds).astype(np.int32))
+    fields = [_lists(offsets, c) for c in cols]
+    if back:
+        fields.append(pa.concat_arrays([pa.array([], pa.string()), *decoded]))
+    K.give_back()
+    return pa.StructArray.from_arrays(fields, [f.name for f in (ROUND_TRIP if back else ENCODED)])
+
+
 def encode(text: Column, model_path: str) -> Column:
     """ids, begins and ends (bytes of the text's UTF-8) of each whole text; a null or empty text has no tokens. The model file is at the same path on every executor."""
 
     @F.arrow_udf(ENCODED)
     def encoded(texts: pa.Array) -> pa.Array:
-        tool, bounds, cols = _encoder(model_path), [np.zeros(1, np.int64)], [[], [], []]
-        for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), 1 << 20):
-            b, *values = tool.encode(run)
-            bounds.append(b[1:] + bounds[-1][-1])
-            for c, v in zip(cols, values, strict=True):
-                c.append(v)
-        offsets = pa.array(np.concatenate(bounds).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c) if c else np.zeros(0, np.int32), pa.int32())) for c in cols], ["ids", "begins", "ends"])
+        return _encoded(texts, model_path, False)
 
     return encoded(text)
 
 
+def round_trip(text: Column, model_path: str) -> Column:
+    """encode() with decoded, the text that decode() makes of the ids, in one pass: a task needs one Python worker for both."""
+
+    @F.arrow_udf(ROUND_TRIP)
+    def both(texts: pa.Array) -> pa.Array:
+        return _encoded(texts, model_path, True)
+
+    return both(text)
+
+
 def encode_ids(text: Column, model_path: str) -> Column:
     """The ids of encode() alone, for uses that need no spans."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(texts: pa.Array) -> pa.Array:
-        tool, bounds, ids = _encoder(model_path), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
-        for _, run in K.chunked(texts.cast(pa.binary()).to_pylist(), 1 << 20):
-            b, i, _, _ = tool.encode(run)
-            bounds.append(b[1:] + bounds[-1][-1])
-            ids.append(i)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(np.concatenate(ids), pa.int32()))
+        return _encoded(texts, model_path, False).field("ids")
 
     return encoded(text)
 

@@ -37,12 +37,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document under the public BPE model, and the text that they decode to, as digests."""
+    """Ids of every document under the public BPE model, their byte spans, and the text that they decode to, as digests."""
     path = public_tokenizers.path(MODEL)
-    coded = rows_of(spark, sf_dir, "documents").select("doc_id", pieces.encode_ids(F.col("text"), path).alias("ids"))
+    coded = rows_of(spark, sf_dir, "documents").select("doc_id", pieces.round_trip(F.col("text"), path).alias("e")).select("doc_id", "e.*")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(pieces.decode(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.xxhash64("begins", "ends").alias("spans_xxhash64"),
     )
 
 
@@ -66,8 +66,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
-    out = rows_of(spark, sf_dir, "pages").select("page_id", "url", maincontent.main_text(F.col("html")).alias("text"))
+    """The main text of every page, by a classifier fitted to those that mark their article."""
+    pages = rows_of(spark, sf_dir, "pages")
+    out = pages.select("page_id", "url", maincontent.main_text(F.col("html"), maincontent.fit(pages)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
