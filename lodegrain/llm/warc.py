@@ -1,4 +1,4 @@
-"""WARC archives with resolved revisits: headers meet by payload digest, copies become revisit records."""
+"""WARC archives with resolved revisits: headers are shuffled by payload digest, copies become revisit records, payloads stay in place."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegrain.llm.common import materialise, meet
+
 #: Fixed values of the WARC 1.1 and RFC 4648 standards.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,19 +48,20 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     included, are all responses if theirs is the largest page_id. Null page_ids are below every number; a payload
     that only null page_ids hold is a response each time. Further columns are dropped.
 
-    Only the headers (page_id and digest) are aggregated; the join that brings the result back is on the digest, where
-    Spark's skew handling may split a payload that many records share.
+    Only headers (page_id, url and digest) are shuffled, and only digests of several records come back to the payloads, which stay where they are: the digests are
+    broadcast if a count says that they may, else a digest's records are dealt over several tasks.
     """
     body = F.coalesce(F.col("payload"), F.lit(""))
-    known = records.select("page_id", "url", body.alias("payload")).withColumn("payload_digest", digest_of(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    headers = records.select("page_id", digest_of(body).alias("payload_digest"), "url")
-    originals = headers.groupBy("payload_digest").agg(F.max("page_id").alias("_original"), F.max_by("url", "page_id").alias("_url"))
-    revisits = (F.col("payload_bytes") >= min_bytes) & F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original"))
-    return known.join(originals, "payload_digest").select(
+    known = records.select("page_id", "url", body.alias("payload"), digest_of(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
+    headers = records.where(F.octet_length(body) >= min_bytes).select("page_id", "url", digest_of(body).alias("payload_digest"))
+    shared = headers.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("_original"), F.max_by("url", "page_id").alias("_url")).where("_n > 1 and _original is not null")
+    shared = materialise(shared.select("payload_digest", "_original", "_url"), "shared")
+    revisits = F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original"))
+    return meet(known, shared, "payload_digest", "page_id", "left").select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes",
         F.when(revisits, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         F.when(revisits, F.col("_original")).alias("refers_to"), F.when(revisits, F.col("_url")).alias("refers_to_url"),
-    )
+    )
 
 
 def write_archives(records: DataFrame, path: str, date: datetime.datetime | None = None) -> None:
