@@ -1,7 +1,11 @@
 """A training corpus in five stages: toxicity, quality, near-duplicates, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. run() writes what a stage returns as Parquet in the shared folder
-and reads it again as the next one's documents.
+and reads it again as the next one's documents; what no later stage reads is deleted.
+
+Every stage but the last returns rows of docs unchanged, all their columns included, so columns of any further names are carried along. Null and empty
+texts: the quality stage drops them, as it does all texts of fewer than 20 words; the other stages keep them. An empty table stays empty. Rows repeated
+whole are judged alike, and the near-duplicates stage keeps one of them. A null doc_id is a value like others. Missing labels leave the fixed lexicon and rules.
 """
 
 from __future__ import annotations
@@ -11,38 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrain.llm import decontam, minhash, pieces, quality, toxicity
-from lodegrain.llm.common import materialise, modest_batches, rows_of
+from lodegrain.llm.common import materialise, modest_batches, rows_of, scratch
 
 MODEL = "piece_bpe_32k.model"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that the lexicon, learned from all labels, calls toxic."""
+    """Without documents that the lexicon, learned from all labels, calls toxic. Null and empty texts stay."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, rows_of(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that the fixed rules or the isolation forest reject."""
+    """Without documents that the fixed rules or the isolation forest reject; null and empty texts go."""
     return quality.keep_clean(docs, rows_of(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8 or more."""
+    """One document of each group of similarity 0.8 or more, the one with the least id. Texts without words stay, each distinct row once."""
     modest_batches(spark)
     return minhash.keep_one(docs, minhash.Similarity(80))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a benchmark item."""
+    """Without documents that hold a benchmark item. Null and empty texts hold none."""
     return decontam.remove_leaks(docs, rows_of(spark, sf_dir, "benchmark"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each whole text, their number, and the text they decode to."""
+    """Ids of each whole text, their number, and the text they decode to; null and empty texts have no ids. Encoding and decoding are one pass, so a task has one Python worker."""
     modest_batches(spark)
-    path = public_tokenizers.path(MODEL)
-    coded = docs.select("doc_id", "lang", "source", pieces.encode_ids(F.col("text"), path).alias("ids"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.decode(F.col("ids"), path).alias("decoded"))
+    coded = docs.select("doc_id", "lang", "source", pieces.round_trip(F.col("text"), public_tokenizers.path(MODEL)).alias("e"))
+    return coded.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.decoded")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("pieces", to_pieces)]
@@ -54,6 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a corpus folder."""
     docs = rows_of(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch(spark) as write:
+        for name, stage in STAGES[:-1]:
+            docs = write(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return materialise(stage(spark, docs, sf_dir), name)

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -69,6 +70,26 @@ def test_leaks_of_odd_tables(spark, odd, none):
     assert decontam.leaks(odd, bench.limit(0)).count() == 0 and decontam.remove_leaks(odd, bench).columns == odd.columns
 
 
+def test_short_items_and_items_of_placeholders(spark):
+    items = ["What is 12 times 45", "Compute 12 + 45 * 7 - 3 / 9 + 14 * 22 - 5", "Ann Bob Cid Dan Eve Fay Gus Hal Ida Jon", "Add three numbers", "two words", "When did rain fall"]
+    bench = spark.createDataFrame([(str(i), x) for i, x in enumerate(items)], "item_id string, text string")
+    docs = spark.createDataFrame([(str(i), f"Said before it: {x}; and said after it.") for i, x in enumerate(items)] + [("x", "add numbers three of them, did rain fall when")], "doc_id string, text string")
+    found = decontam.leaks(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(str(i), str(i)) for i in (0, 1, 2, 3, 5)}
+    assert decontam.leaks(docs, bench.limit(0)).schema == found.schema
+    clash = docs.selectExpr("doc_id", "text", "1 AS _leak_key", "2 AS words", "3 AS _id")
+    assert sorted(r.doc_id for r in decontam.remove_leaks(clash, bench).collect()) == ["4", "x"]
+
+
+def test_verbatim_items_are_all_found(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice([prose(rng, 1)[:-1], prose(rng, 1)[:-1].title(), str(rng.randint(1, 999)), "km", "seven", "Bob"])
+    items = [(i, " ".join(word() for _ in range(rng.randint(3, 30)))) for i in range(60)]
+    docs = [(i, f"{prose(rng, 25)} {x.upper() if i % 3 == 0 else x} {prose(rng, 25)}") for i, x in items]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i, _ in items} <= got
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(5)
     items = [(i, prose(rng, rng.randint(16, 40))) for i in range(12)]
@@ -99,29 +120,61 @@ def test_leaks_in_other_case_with_longer_values_and_edits(spark):
 # licences
 
 
-def dice_rows(docs, threshold=licences.THRESHOLD):
-    def grams(text):
-        w = [x for x in re.sub(r"[^\w]+|_", " ", text.lower()).split() if not re.fullmatch(r"(19|20)\d\d", x)]
-        return set(zip(w, w[1:]))
+def plain_words(text):
+    return [x for x in re.sub(r"[^\w]+|_", " ", text.lower()).split() if not re.fullmatch(r"(19|20)\d\d", x)]
+
 
+def licence_rows(docs, threshold=licences.THRESHOLD):
+    """Every window of every template's size that begins with a bigram of it, and the places they make."""
+    grams = lambda w: set(zip(w, w[1:]))
+    templates = [(name, plain_words(t)) for name, t in licences.TEMPLATES]
+    tell = lambda w: {x for x in w if x in licences.TELLING}
     out = {}
     for i, text in docs:
-        units = text.split("\n")
-        units += [p for p in re.split(r"\n[ \t\r]*\n", text) if "\n" in p.strip(" ")] if "\n" in text else []
-        units += [text] if re.search(r"\n[ \t\r]*\n", text) else []
-        for u in units:
-            for name, t in licences.TEMPLATES:
-                a, b = grams(u), grams(t)
-                if a and 2 * len(a & b) >= threshold * (len(a) + len(b)):
-                    out[i, name] = max(out.get((i, name), 0), round(2 * len(a & b) / (len(a) + len(b)), 6))
+        w, best = plain_words(text), []
+        for name, t in templates:
+            run, last = [], None
+            for s in range(len(w) - 1):
+                own = w[s : s + len(t)]
+                both = len(grams(own) & grams(t))
+                dice = 2 * both / (len(grams(own)) + len(grams(t)))
+                if (w[s], w[s + 1]) not in grams(t) or dice < threshold or tell(own) != tell(t) or {x for x in t if x.isdigit()} - set(own):
+                    continue
+                if last is None or s >= last + len(t):
+                    run.append([])
+                run[-1].append((both, dice, -s))
+                last = s
+            best += [(-max(r)[2], len(t), name, *max(r)[:2]) for r in run]
+        places, far = [], None
+        for s, k, name, both, dice in sorted(best, key=lambda x: (x[0], -x[1], x[2])):
+            if far is None or 2 * (far[0] - s) <= min(k, far[1]):
+                places.append([])
+            places[-1].append((both, dice, name))
+            far = max(far or (0, 0), (s + k, k))
+        for p in places:
+            for name in {x[2] for x in p if x[:2] == max(p)[:2]}:
+                dice, n = out.get((i, name), (0, 0))
+                out[i, name] = (max(dice, round(max(p)[1], 6)), n + 1)
     return out
 
 
 def test_licences_against_brute_force(spark):
+    rng = random.Random(3)
     mit = "\n\n".join(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 100)[:3000]
     docs = [(1, "Some text.\nReleased under the MIT License.\nMore."), (2, mit.replace(" software ", "\nsoftware ")), (3, "Licensed under the Apache License,  Version 2.0!"), (4, "no licence is meant here at all"), (5, "This work is licensed under the GNU General Public License, version 3. Really so."), (6, "")]
-    got = {(r.doc_id, r.licence): r.dice for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == dice_rows(docs) and (1, "MIT") in got and (2, "MIT") in got and (3, "Apache-2.0") in got and not any(i in (4, 6) for i, _ in got)
+    for i in range(40):
+        parts = [rng.choice(licences.TEMPLATES)[1] if rng.random() < 0.6 else prose(rng, rng.randint(1, 20)) for _ in range(rng.randint(1, 5))]
+        words = " ".join(parts).split(" ")
+        docs.append((10 + i, rng.choice([" ", "\n", "\n * "]).join(w for w in words if rng.random() > 0.03)))
+    got = {(r.doc_id, r.licence): (r.dice, r.units) for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == licence_rows(docs) and (1, "MIT") in got and (2, "MIT") in got and (3, "Apache-2.0") in got and not any(i in (4, 6) for i, _ in got)
+
+
+def test_each_licence_and_no_sibling_is_found(spark):
+    docs = [(i, f"Some plain words stand before it, and then: {t} After it more words of prose follow here.") for i, (_, t) in enumerate(licences.TEMPLATES)]
+    docs += [(1000, "Hello there. Released under the MIT License. Enjoy it."), (1001, "(c) 2020 X\nAll rights reserved.\nx = 1"), (1002, "/*\n * Licensed under the Apache License,\n * Version 2.0.\n */\nint x;")]
+    want = {(i, n, 1.0) for i, (n, _) in enumerate(licences.TEMPLATES)} | {(1000, "MIT", 1.0), (1001, "all-rights-reserved", 1.0), (1002, "Apache-2.0", 1.0)}
+    assert {(r.doc_id, r.licence, r.dice) for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
 
 
 def test_licences_of_odd_tables(odd, none):
@@ -146,6 +199,19 @@ def test_folding_and_exceptions():
     assert count("idiotic") == 0 and count("the trash can") == 0 and count("trash, can") == 1 and count("") == 0
 
 
+def test_matches_against_a_plain_search():
+    rng = random.Random(7)
+    words = ["ab", "abc", "bca", "a", "cab cab", "b c"]
+    lexicon = toxicity.Lexicon({w: float(i + 1) for i, w in enumerate(words)}, ("ab a", "c bca"))
+    automaton = lexicon.automaton()
+    for _ in range(400):
+        text = toxicity.fold("".join(rng.choice("abc  ,") for _ in range(rng.randint(0, 30))))
+        alone = lambda a, b: (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+        find = lambda x: [k for k in range(len(text) - len(x) + 1) if text.startswith(x, k) and alone(k, k + len(x))]
+        spared = {k + d for p in lexicon.exceptions for k in find(p) for d in range(len(p))}
+        assert sorted(toxicity.hits(automaton, text)) == sorted((k, w, weight) for w, weight in lexicon.weights.items() for k in find(w) if k not in spared)
+
+
 def test_toxicity_learns_and_scores(spark, odd, none):
     rng = random.Random(1)
     rows = [(i, prose(rng, 40) + (" zlorp" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
@@ -184,6 +250,23 @@ def test_encoding_equals_the_library(spark, model_path):
         assert all(a <= b for a, b in itertools.pairwise(r.ends))
 
 
+def test_round_trip_and_its_spans(spark, model_path):
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    df = spark.createDataFrame(list(enumerate(nasty_texts())) + [(-1, None)], "doc_id long, text string").select("text", pieces.round_trip(F.col("text"), model_path).alias("r")).select("text", "r.*")
+    for r in df.collect():
+        text, data = r.text or "", (r.text or "").encode()
+        ids = library.encode(text)
+        assert r.ids == ids and r.decoded == library.decode(ids) and len(r.begins) == len(r.ends) == len(ids)
+        # a piece stands for the bytes that it spells, but for the space put before the text; bytes of one character that no piece has share its end
+        at = -1
+        for k, i in enumerate(ids):
+            piece = library.id_to_piece(i)
+            n = 0 if re.fullmatch("<0x..>", piece) and k + 1 < len(ids) and r.ends[k] == r.begins[k] else r.ends[k] - r.begins[k]
+            assert r.begins[k] == max(at, 0) and (n == 0 or re.fullmatch("<0x..>", piece) or piece.replace("▁", " ").encode()[-n:] == data[r.begins[k] : r.ends[k]].replace("▁".encode(), b" ")[-n:] or "▁" in text)
+            at = r.ends[k]
+        assert not ids or at == len(data)
+
+
 def test_spans_cover_the_bytes(model_path):
     tool = pieces.Encoder(pieces.Model.load(model_path))
     for text in ("héllo wörld 😀!", "plain words only", "tabs\tand\nlines"):
@@ -261,6 +344,17 @@ def test_near_duplicates_against_brute_force(spark, percent):
     assert got == brute_groups(docs, percent)
 
 
+def test_ids_that_stand_beside_several_texts(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near = " ".join([*b.split()[:-1], "changed."])
+    docs = spark.createDataFrame([(5, a), (5, b), (7, near), (8, c), (None, c), (None, near)], "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert rows == sorted([(5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (None, 8, False), (None, 5, False)], key=str)
+    kept = minhash.keep_one(docs.withColumn("_row_key", F.lit(1)).withColumn("rep", F.lit(2)))
+    assert kept.columns == ["doc_id", "text", "_row_key", "rep"] and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (8, c)])
+
+
 def test_near_duplicates_of_odd_tables(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and all(r.component_id == r.doc_id for r in rows if r.doc_id is not None) and sum(r.n_shingles == 0 for r in rows) == 4
@@ -297,29 +391,90 @@ def test_language_model_base_and_tail(spark, odd):
             assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9, abs_tol=1e-9)
             assert r.score < 0
         results.append({r.doc_id: r.score for r in rows})
-    assert all(abs(results[0][i] - results[1][i]) < 1e-3 * max(1, abs(results[0][i])) for i in results[0])
+    assert all(math.isclose(results[0][i], r[i], rel_tol=1e-9) for r in results for i in r)
     empty, cold = maxent.fit(odd.limit(0))
     assert all(r.n_known == 0 and r.base_score == 0 for r in maxent.score(odd, empty, cold).collect())
 
 
-def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    model = maxent.Model(0, 0, 0.5, *[np.zeros(0)] * 5, rng.normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32), np.zeros(maxent.CLASSES, np.float32))
-    p = model.probabilities(rng.integers(0, maxent.BUCKETS, (50, 3)))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
+def word_probabilities(m, counts, history):
+    """The model's probability of every counted word and of unknown ones by class and group, after a list of words: plain loops over the formulas."""
+    mix = lambda x: int(maxent.K.mix(np.array([x % 2**64], np.uint64))[0])
+    coded = lambda w: maxent.Tokens.of([(w or "").encode()])
+
+    def kind(w):
+        h, ending = coded(w).hashes[0], int(coded(w).endings[0])
+        at = np.flatnonzero(m.own.hashes == h)
+        return (int(m.own.classes[at[0]]), int(m.own.groups[at[0]])) if len(at) else (1 + maxent.SINGLES + ending, maxent.ALONE + int(h >> np.uint64(61)))
+
+    def softmax(model, bias, raw, barred):
+        mask = len(model.weights) - model.biases - 1
+        z = model.weights[bias].astype(float) + sum(model.weights[model.biases + (r & mask)].astype(float) for r in raw)
+        z = np.exp(np.where(np.arange(len(z)) == barred, -1e9, z))
+        return z / z.sum()
+
+    classes = [0 if i and history[i - 1] == w else kind(w)[0] for i, w in enumerate(history)]
+    one, two = (int(coded(history[-k]).hashes[0]) if len(history) >= k else 0 for k in (1, 2))
+    pair = (classes[-1] + 1 if classes else 0) * (maxent.CLASSES + 1) + (classes[-2] + 1 if len(classes) > 1 else 0)
+    step = int(maxent.K.STEP)
+    raw = [mix(one ^ step), mix((pair + 1) * step), mix(two + step)]
+    before = kind(history[-1]) if history else None
+    outer = softmax(m.outer, 0, raw, 0 if before is None else before[0] if before[0] <= maxent.SINGLES else -1)
+    known, unknown = {}, {}
+    for c in range(1 + maxent.SINGLES, maxent.CLASSES):
+        own = softmax(m.groups, c - 1 - maxent.SINGLES, [mix(r + (c + 1) * maxent.K.BASE) for r in raw], before[1] if before and before[0] == c and before[1] < maxent.ALONE else -1)
+        for g in range(maxent.GROUPS):
+            known[c, g] = outer[c] * own[g]
+    left = lambda c, g: 1 - (counts[history[-1]] - m.discount) / m.cells[(c - 1 - maxent.SINGLES) * maxent.HASHED + g - maxent.ALONE] if before == (c, g) and counts.get(history[-1]) else 1
+    out = {}
+    for w, n in counts.items():
+        c, g = kind(w)
+        if history and w == history[-1]:
+            out[w] = outer[0]
+        elif g < maxent.ALONE:
+            out[w] = outer[c] if c <= maxent.SINGLES else known[c, g]
+        else:
+            out[w] = known[c, g] * (n - m.discount) / m.cells[(c - 1 - maxent.SINGLES) * maxent.HASHED + g - maxent.ALONE] / left(c, g)
+    for (c, g), p in known.items():
+        if g >= maxent.ALONE:
+            unknown[c, g] = p * 10 ** m.unknown_log[(c - 1 - maxent.SINGLES) * maxent.HASHED + g - maxent.ALONE] / left(c, g)
+    if history and history[-1] not in counts:
+        out[history[-1]] = outer[0]
+    return out, unknown, kind
+
+
+def test_language_model_against_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [prose(rng, 1) for _ in range(700)]
+    texts = [" ".join(w for w in (rng.choice(vocabulary[: 30 if rng.random() < 0.4 else 560 + 5 * i]) for _ in range(rng.randint(20, 260) if i < 24 else 20)) for _ in range(1 + (rng.random() < 0.1))) for i in range(28)]
+    docs = [(i, t.title() if i % 3 == 0 else t) for i, t in enumerate(texts)] + [(100, None), (101, "  ")]
+    everything = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = collections.Counter(w for i, t in docs if i < 20 for w in [*words_of(t), None])
+    scores = []
+    for hot in (1 << 20, 250):
+        model, cold = maxent.fit(everything.where("doc_id < 20"), hot)
+        assert (model.cells > 0).sum() > 50 and (cold.count() > 0) == (hot == 250)
+        scores.append({r.doc_id: r.score for r in maxent.score(everything, model, cold).collect()})
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-9) for i in scores[0])
+    for i, text in docs[24:]:
+        words, total = words_of(text), 0
+        for k, w in enumerate([*words, None]):
+            known, unknown, kind = word_probabilities(model, counts, words[:k])
+            assert abs(sum(known.values()) + sum(unknown.values()) - 1) < 1e-4
+            total += math.log10(known[w] if w in known else unknown[kind(w)])
+        assert math.isclose(total, scores[0][i], rel_tol=1e-4), (i, total, scores[0][i])
 
 
 def test_training_lowers_the_loss():
     rng = random.Random(3)
     texts = [(" ".join(rng.choice(["aa bb", "cc dd", "ee ff gg"]) for _ in range(200))).encode() for _ in range(20)]
-    singles = np.zeros(0, np.uint64)
-    model = maxent.Model(1, 1, 0.5, *[np.zeros(0)] * 2, singles, np.zeros(23), np.zeros(23), np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32), np.zeros(maxent.CLASSES, np.float32))
-    t = maxent.Tokens.of(texts)
-    c = model.classes(t)
-    loss = lambda: -np.log(model.probabilities(model.features(t, c))[np.arange(len(c)), c]).mean()
+    none = np.zeros(0, np.uint64)
+    new = lambda rows, width: maxent.Softmax.new(np.zeros((rows, width)), 4096)
+    model = maxent.Model(1, 1, 0.5, none, none, maxent.Words(), none, none, new(1, maxent.CLASSES), new(maxent.ENDINGS, maxent.GROUPS))
+    c = model.coded(maxent.Tokens.of(texts))
+    loss = lambda: -(model.outer.log10(model.outer_rows(c), c.barred, c.cls).sum() + model.groups.log10(model.group_rows(c), c.inner_barred, c.group[c.inner]).sum())
     before = loss()
     for _ in range(3):
-        model.learn(texts, np.zeros(maxent.BUCKETS, np.int64), 0.5)
+        model.learn(texts, (np.zeros(4097, np.int64), np.zeros(4096 + maxent.ENDINGS, np.int64)), 0.5)
     assert loss() < 0.7 * before
 
 
@@ -346,6 +501,21 @@ def test_rule_counts_against_brute_force(spark):
         assert tuple(r[c] for c in quality.COUNTS) == brute_stats(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_forest_scores_against_plain_walks():
+    rng = np.random.default_rng(3)
+    forest = quality.grow(rng.random((300, len(quality.FEATURES))).astype(np.float32), 20, 64)
+    x = rng.random((30, len(quality.FEATURES))).astype(np.float32)
+
+    def length(t, row):
+        at = 0
+        while forest.feature[t, at] >= 0:
+            at = forest.left[t, at] + int(row[forest.feature[t, at]] >= forest.value[t, at])
+        return forest.depth[t, at]
+
+    want = [2 ** (-np.mean([length(t, row) for t in range(20)]) / forest.norm) for row in x]
+    assert np.allclose(forest.scores(x), want)
+
+
 def test_forest_finds_outliers_and_keeps_the_rest(spark, odd, none):
     rng = random.Random(9)
     good = [(i, " ".join(rng.choice(["steady", "winter", "lantern", "garden", "paper", "letter"]) + str(rng.choice("abcdefgh")) for _ in range(60)) + ".", 1) for i in range(120)]
@@ -385,6 +555,36 @@ def test_main_text(spark):
     assert got[1].split("\n") == want and got[2] == got[3] == got[4] == ""
 
 
+def test_odd_pages_end_soon():
+    started = time.perf_counter()
+    for page, want in (
+        ("<p>Hello there.</p><a " + " ".join(f'x{i}="v"' for i in range(1000)), "Hello there."),
+        ("<p>Hello there.</p><a " + "'\"=" * 5000, "Hello there."),
+        ("<p>" + "<b><i>" * 8000 + "Hello there." + "</b>" * 8000, "Hello there."),
+        ("<div>" * 20000 + "Hello there.", "Hello there."),
+        ("<noscript>no<p>x<article><h1>T</h1><p>Body of the article that is here.</p></article>", "T\nBody of the article that is here."),
+        ("<title>a" * 5000 + "<p>Text.", None), ("<b>" + "<div><i>" * 4000 + "</b></u>" * 8000, ""), ("<!-- never closed <p>x", ""), ("a < b and c > d. So it is.", "a < b and c > d. So it is."),
+        ("<article><p>An unclosed quote <a title=\"x href=y>link</a> does no harm.</p></article>", "An unclosed quote link does no harm."),
+        ("<article>" + "<p>Some words of a paragraph that is long enough to be one.</p><div class=ad>buy</div>" * 60000 + "</article>", "\n".join(["Some words of a paragraph that is long enough to be one."] * 60000)),
+    ):
+        got = maincontent.extract(page)
+        assert want is None or got == want, page[:60]
+    assert time.perf_counter() - started < 60
+
+
+def test_classifier_is_fitted_to_marked_pages(spark):
+    rng = random.Random(4)
+    page = lambda: f"<body><ul class=x><li><a href=1>{prose(rng, 2)}</a><li><a href=2>{prose(rng, 1)}</a></ul><article><h1>{prose(rng, 4)}</h1><p>{prose(rng, 30)}</p><p>{prose(rng, 3)}</p></article><div>{prose(rng, 4)[:-1]}</div></body>"
+    pages = spark.createDataFrame([(i, None, page()) for i in range(40)] + [(None, None, None), (50, "u", "")], "page_id long, url string, html string")
+    weights = maincontent.fit(pages)
+    assert weights != maincontent.PRIOR and maincontent.fit(pages.where("page_id = 50")) == maincontent.PRIOR == maincontent.fit(pages.limit(0))
+    for r in pages.where("html like '%article%'").collect():
+        inner = re.search("<article>(.*)</article>", r.html)[1]
+        want = [x for x in re.split("<[^>]*>", inner) if x]
+        assert maincontent.extract(r.html, weights).split("\n") == want
+        assert set(want) <= set(maincontent.extract(re.sub("</?article>", "", r.html), weights).split("\n"))
+
+
 # sharding
 
 
@@ -409,6 +609,19 @@ def test_sharding_keeps_groups_and_balance(spark, none):
     assert sharding.shard_documents(none, 5).count() == 0
 
 
+def test_bundles_level_as_well_as_single_groups(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice([2, 5, 30, 90])) for _ in range(4000)] + [prose(rng, 3000)] * 3
+    out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    groups = collections.Counter()
+    for t in texts:
+        groups[t] += len(t.encode()) + 16
+    loads = collections.Counter()
+    for t, shard in sharding.lpt([(n, t) for t, n in groups.items()], 8).items():
+        loads[shard] += groups[t]
+    assert max(r.n for r in out) <= 1.01 * max(loads.values())
+
+
 def test_lpt_against_a_plain_scan():
     rng = random.Random(1)
     items = [(rng.randint(1, 50), f"i{k}") for k in range(60)]
