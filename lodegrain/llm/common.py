@@ -99,7 +99,7 @@ def modest_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    if spark.conf.get(size, "-1b") == "-1b" or int(re.sub(r"\D", "", spark.conf.get(size))) > BATCH_BYTES:
+    if int(spark.conf.get(size, "67108864b").rstrip("b")) > BATCH_BYTES:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
