@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrain.llm import textkit as K
-from lodegrain.llm.common import BROADCAST_ROWS, free_name, materialise, meet, scratch
+from lodegrain.llm.common import BROADCAST_ROWS, free_name, materialise, scratch
 
 Write = Callable[[DataFrame, str], DataFrame]
 
@@ -35,6 +35,8 @@ Write = Callable[[DataFrame, str], DataFrame]
 WIDTH, SLOTS, BANDS = 5, 256, 64
 #: Pairs whose signatures agree on a share this far below the threshold are not verified: seven standard errors.
 SLACK = 0.16
+#: Pivots of a bucket in the round after the most central members', at most; each later round has eight times as many.
+PIVOTS = 8
 #: Ranks after which a document's elements get whole permutations instead of lists of swaps.
 LISTED_RANKS = 6
 #: Text bytes per numpy run.
@@ -219,10 +221,10 @@ class Similarity:
     def sizes_allow(self, a: str, b: str):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
-    def reachable(self, common_a: str, common_b: str, a: str, b: str):
-        """Whether sets of which at most common_a and common_b members are in any other set can be linked."""
+    def reachable(self, common_a: Column, common_b: Column, a: Column, b: Column) -> Column:
+        """Whether sets of a and b members, of which at most common_a and common_b are in any other set, can be linked."""
         most = F.least(common_a, common_b)
-        return 100 * most >= self.percent * (F.col(a) + F.col(b) - most)
+        return 100 * most >= self.percent * (a + b - most)
 
     def linked(self, shared: str, a: str, b: str):
         return 100 * F.col(shared) >= self.percent * (F.col(a) + F.col(b) - F.col(shared))
@@ -280,11 +282,7 @@ def _relabelled(labels: DataFrame, links: DataFrame, write: Write) -> DataFrame:
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, write: Write) -> DataFrame | None:
-    """classes(rep, n, k1, key, signature) to (rep, comp) of every rep that shares a bucket; None if none does.
-
-    A bucket may hold thousands of members, so its rows never move by its key where what they meet is small enough to broadcast, and are dealt over several
-    tasks where it isn't.
-    """
+    """classes(rep, n, k1, key, signature) to (rep, comp) of every rep that shares a bucket; None if none does."""
     members = classes.select("rep", F.explode(bands_of(F.col("signature"), rule.rows)).alias("key"))
     multi = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     state = write(members.join(multi, "key").select("key", "rep", "c"), "buckets")
@@ -297,8 +295,8 @@ def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, write: W
     order = F.struct("fame", -F.col("rep"))
     verifier, tried, pivots = Verifier(docs, nodes, rule, write), None, 0
     labels = nodes.select("rep", F.col("rep").alias("comp"))
-    chosen = write(state.groupBy("key").agg(F.max_by("rep", order).alias("pivot")), "pivots")
-    found = meet(state, chosen, "key", "rep").where("rep <> pivot").select("rep", "pivot")
+    chosen = state.groupBy("key").agg(F.max_by("rep", order).alias("pivot"))
+    found = state.join(chosen, "key").where("rep <> pivot").select("rep", "pivot")
     while True:
         pairs = found.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         pairs = write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -308,21 +306,24 @@ def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, write: W
             labels = _relabelled(labels, links, write)
         if pivots:
             state = state.join(chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        here = meet(state.select("key", "rep", "fame", *(("n", "common") if pivots else ())), labels, "rep", "key")
+        here = state.select("key", "rep", "fame", *(("n", "common") if pivots else ())).join(labels, "rep")
         # a bucket is open while it has members outside the component of its most central one
-        main = write(here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main"), "main")
-        state = write(meet(here, main, "key", "rep"), "open")
+        main = here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
+        state = write(here.join(main, "key"), "open")
         if state.isEmpty():
             return labels
         if not pivots:
             # whose set is for the most part its own can't be linked with anything that is left
             state = write(state.join(verifier.commons(state), "rep").where(100 * F.col("common") >= rule.percent * F.col("n")), "commons")
-        pivots = max(8 * pivots, 8)
+        pivots = max(8 * pivots, PIVOTS)
         strata = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
         best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp", "n", "common"), order).alias("p"))
         chosen = write(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.common").alias("pcommon")), "pivots")
-        met = (F.col("comp") != F.col("pc")) & rule.reachable("common", "pcommon", "n", "pn")
-        found = meet(state.select("key", "rep", "comp", "n", "common"), chosen, "key", "rep").where(met).select("rep", "pivot")
+        # a bucket's pivots come as one list, and a member's lists are united before pairs are made: most pairs share many buckets
+        lists = chosen.groupBy("key").agg(F.collect_list(F.struct("pivot", "pc", "pn", "pcommon")).alias("ps"))
+        met = F.filter("ps", lambda p: (p["pc"] != F.col("comp")) & rule.reachable(F.col("common"), p["pcommon"], F.col("n"), p["pn"]))
+        mates = state.select("key", "rep", "comp", "n", "common").join(lists, "key").select("rep", F.array_sort(F.transform(met, lambda p: p["pivot"])).alias("ps"))
+        found = mates.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("ps"))).alias("ps")).select("rep", F.explode("ps").alias("pivot"))
 
 
 def row_key(docs: DataFrame) -> Column:
