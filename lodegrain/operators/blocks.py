@@ -1,15 +1,18 @@
 """Blocks of source: function bodies by braces or indent, duplicate blocks, complexity, code that can't be reached.
 
 Heads are lines that a rule names. A brace block ends where the running balance of braces of its file is back at the head's; an indent block
-before the next line that is not deeper. Both are found by a join of heads with the lines that follow in the same file, for braces a bounded number of them.
+before the next line that is not deeper. A line that takes a balance or an indent back closes each level it passes, so the end of a block is the next closing of its
+level: one sorted pass over heads and closings, which are as many as braces or leading blanks, whatever the number of blocks in a file. Bodies are cut from the file's lines, where they are.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodegrain.functions.text import COMMENT_LINE, EDGE_L, EDGE_R, IDENT, first_rule, lines_of, trim_space, word
+from lodegrain.functions.text import COMMENT_LINE, EDGE_L, EDGE_R, IDENT, first_rule, lines_of, word
 
 #: Lines a brace body or block can have, and least sizes.
 BODY_LINES, BLOCK_LINES = 300, 400
@@ -57,86 +60,137 @@ def _indent(text: Column) -> Column:
     return F.length(F.regexp_extract(text, r"^(\s*)", 1))
 
 
-def _heads(lines: DataFrame, rules: dict[tuple[str, ...], list[tuple[str, str, int]]]) -> DataFrame:
-    found = F.coalesce(*(F.when(F.col("ext").isin(list(exts)), first_rule(F.col("text"), r)) for exts, r in rules.items()))
-    return lines.withColumn("_h", found).where("_h is not null")
+def _next_closing(heads: DataFrame, closers: DataFrame) -> DataFrame:
+    """heads(path, level, after, ...) with closing: the first line beyond after at which closers(path, level, line) has the level closed; null if none has."""
+    rest = [c for c in heads.columns if c not in ("path", "level", "after")]
+    asked = heads.select("path", "level", F.col("after").alias("_at"), F.struct(*rest).alias("_q"))
+    kind = asked.schema["_q"].dataType
+    both = asked.unionByName(closers.select("path", "level", F.col("line").alias("_at"), F.lit(None).cast(kind).alias("_q")))
+    backwards = Window.partitionBy("path", "level").orderBy(F.desc("_at"), F.col("_q").isNull())
+    found = F.last(F.when(F.col("_q").isNull(), F.col("_at")), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("closing", found).where("_q is not null").select("path", "closing", "_q.*")
+
+
+def _closers(lines: DataFrame) -> DataFrame:
+    """(path, level, line): the levels that each of lines(path, line, before, now) closes as it goes from one level to a lower one."""
+    return lines.where("now < before").select("path", F.explode(F.sequence("now", F.col("before") - 1)).alias("level"), "line")
+
+
+def _bodies(ends: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, ext, name, line, end_line, closed, body) of ends(path, name, head, end_line, closed), cut from the files' lines; without an end, up to the file's last line or limit lines."""
+    per_file = ends.groupBy("path").agg(F.collect_list(F.struct("name", "head", "end_line", "closed")).alias("_b"))
+    wide = files.select("path", "ext", F.split("content", "\n").alias("_t")).join(per_file, "path")
+    last = lambda b: F.coalesce(b["end_line"], F.least(F.size("_t"), b["head"] + (limit - 1)) if limit else F.size("_t"))
+    cut = lambda b: F.struct(b["name"].alias("name"), b["head"].alias("line"), last(b).alias("end_line"), b["closed"].alias("closed"), F.slice("_t", b["head"], last(b) - b["head"] + 1).alias("body"))
+    return wide.select("path", "ext", F.explode(F.transform("_b", cut)).alias("_x")).select("path", "ext", "_x.*")
+
+
+def _of(files: DataFrame, rules: dict) -> DataFrame:
+    return files.where(F.col("ext").isin([e for exts in rules for e in exts]) & F.col("content").isNotNull())
 
 
 def brace_blocks(files: DataFrame, rules: dict, limit: int, unclosed: bool = False) -> DataFrame:
-    """(path, ext, name, line, end_line, body): from each head to the line at which its braces are closed, within limit lines; heads whose braces don't open and close there
+    """(path, ext, name, line, end_line, closed, body): from each head to the line at which its braces are closed, within limit lines; heads whose braces don't open and close there
     give none, or with unclosed the lines that were read."""
-    w = Window.partitionBy("path").orderBy("line")
-    lines = lines_of(files.where(F.col("ext").isin([e for exts in rules for e in exts])))
+    files = _of(files, rules)
     net = _count(F.col("text"), "{") - _count(F.col("text"), "}")
-    lines = lines.withColumn("_net", net).withColumn("_depth", F.sum("_net").over(w)).withColumn("_opens", F.sum(_count(F.col("text"), "{")).over(w))
-    heads = _heads(lines, rules).select("path", F.col("line").alias("head"), F.col("_h.name").alias("name"), (F.col("_depth") - F.col("_net")).alias("_d0"), (F.col("_opens") - _count(F.col("text"), "{")).alias("_o0"))
-    near = heads.join(lines, "path").where((F.col("line") >= F.col("head")) & (F.col("line") < F.col("head") + limit))
-    closed = (F.col("_depth") <= F.col("_d0")) & (F.col("_opens") > F.col("_o0"))
-    ended = near.groupBy("path", "ext", "name", "head").agg(F.min(F.when(closed, F.col("line"))).alias("end_line"), F.max("line").alias("_last"), F.max(F.col("_opens") > F.col("_o0")).alias("_open"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines")).withColumn("closed", F.col("end_line").isNotNull())
-    ended = ended.withColumn("end_line", F.coalesce("end_line", F.when(F.lit(unclosed) & F.col("_open"), F.col("_last")))).where("end_line is not null")
-    return ended.select("path", "ext", "name", F.col("head").alias("line"), "end_line", "closed", F.transform(F.slice("_lines", F.lit(1), F.col("end_line") - F.col("head") + 1), lambda x: x["text"]).alias("body"))
-
-
-def _bodies(ends: DataFrame, lines: DataFrame) -> DataFrame:
-    """(path, ext, name, line, end_line, body) of ends(path, name, head, end_line)."""
-    inside = ends.join(lines.select("path", "ext", "line", "text"), "path").where((F.col("line") >= F.col("head")) & (F.col("line") <= F.col("end_line")))
-    found = inside.groupBy("path", "ext", "name", "head", "end_line").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines"))
-    return found.select("path", "ext", "name", F.col("head").alias("line"), "end_line", F.transform("_lines", lambda x: x["text"]).alias("body"))
+    head = F.coalesce(*(F.when(F.col("ext").isin(list(exts)), first_rule(F.col("text"), r)) for exts, r in rules.items()))["name"]
+    slim = lines_of(files).select("path", "line", net.alias("_net"), F.contains("text", F.lit("{")).alias("_opens"), head.alias("name"))
+    by_line = Window.partitionBy("path").orderBy("line")
+    lines = slim.withColumn("now", F.sum("_net").over(by_line)).withColumn("before", F.col("now") - F.col("_net"))
+    # the first line from here on that opens a brace
+    first = F.last(F.when(F.col("_opens"), F.struct("line", "now")), ignorenulls=True).over(Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0))
+    heads = lines.withColumn("_f", first).where(F.col("name").isNotNull() & (F.col("_f.line") < F.col("line") + limit))
+    asked = heads.select("path", F.col("before").alias("level"), F.col("_f.line").alias("after"), "name", F.col("line").alias("head"), F.when(F.col("_f.now") <= F.col("before"), F.col("_f.line")).alias("_here"))
+    ends = _next_closing(asked, _closers(lines)).withColumn("end_line", F.coalesce("_here", "closing"))
+    ends = ends.withColumn("end_line", F.when(F.col("end_line") < F.col("head") + limit, F.col("end_line"))).withColumn("closed", F.col("end_line").isNotNull())
+    return _bodies(ends if unclosed else ends.where("closed"), files, limit)
 
 
 def indent_blocks(files: DataFrame, rules: dict) -> DataFrame:
-    """The same for blocks of deeper or blank lines of any number; trailing blank lines belong to them. Ends are found before any text is collected."""
-    lines = lines_of(files.where(F.col("ext").isin([e for exts in rules for e in exts])))
-    heads = _heads(lines, rules).select("path", F.col("line").alias("head"), F.col("_h.name").alias("name"), _indent(F.col("text")).alias("_i0"))
-    solid = lines.where(F.col("text").rlike(r"\S")).select("path", "line", _indent(F.col("text")).alias("_i"))
-    last = lines.groupBy("path").agg(F.max("line").alias("_last"))
-    stop = (F.col("line") > F.col("head")) & (F.col("_i") <= F.col("_i0"))
-    ends = heads.join(solid, "path").groupBy("path", "name", "head").agg(F.min(F.when(stop, F.col("line"))).alias("_stop"))
-    return _bodies(ends.join(last, "path").select("path", "name", "head", F.coalesce(F.col("_stop") - 1, F.col("_last")).alias("end_line")), lines)
+    """The same for blocks of deeper or blank lines of any number; trailing blank lines belong to them."""
+    files = _of(files, rules)
+    by_line = Window.partitionBy("path").orderBy("line")
+    head = F.coalesce(*(F.when(F.col("ext").isin(list(exts)), first_rule(F.col("text"), r)) for exts, r in rules.items()))["name"]
+    solid = lines_of(files).where(F.col("text").rlike(r"\S")).select("path", "line", _indent(F.col("text")).alias("now"), head.alias("name"))
+    lines = solid.withColumn("before", F.lag("now").over(by_line)).withColumn("_next", F.lead(F.struct("line", "now")).over(by_line))
+    here = F.when(F.col("_next.now") <= F.col("now"), F.col("_next.line"))
+    asked = lines.where("name is not null").select("path", F.col("now").alias("level"), F.coalesce("_next.line", "line").alias("after"), "name", F.col("line").alias("head"), here.alias("_here"))
+    ends = _next_closing(asked, _closers(lines.where("before is not null"))).withColumn("end_line", F.coalesce("_here", "closing") - 1)
+    return _bodies(ends.withColumn("closed", F.col("end_line").isNotNull()), files)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _taken(spans: pa.Array) -> pa.Array:
+    """Starts of a file's spans from the top, each that starts inside one already taken left out."""
+    out = []
+    for row in spans.to_pylist():
+        until, taken = 0, []
+        for x in sorted(row, key=lambda x: (x["s"], x["e"])):
+            if x["s"] > until:
+                taken.append(x["s"])
+                until = x["e"]
+        out.append(taken)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def without_overlap(blocks: DataFrame) -> DataFrame:
-    """Blocks of a file from the top, each that starts inside one already taken left out: a fold over the file's blocks in order."""
-    spans = blocks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("s"), F.col("end_line").alias("e")))).alias("_s"))
-    start = F.struct(F.lit(0).alias("until"), F.array().cast("array<int>").alias("taken"))
-    step = lambda acc, x: F.when(x["s"] > acc["until"], F.struct(x["e"].alias("until"), F.concat(acc["taken"], F.array(x["s"])).alias("taken"))).otherwise(acc)
-    taken = spans.select("path", F.explode(F.aggregate("_s", start, step)["taken"]).alias("line"))
-    return blocks.join(taken, ["path", "line"])
+    """Blocks of a file from the top, each that starts inside one already taken left out. Only the places of a file's blocks come together."""
+    spans = blocks.groupBy("path").agg(F.collect_list(F.struct(F.col("line").alias("s"), F.col("end_line").alias("e"))).alias("_s"))
+    return blocks.join(spans.select("path", F.explode(_taken("_s")).alias("line")), ["path", "line"])
+
+
+#: Rewrites of code in their order, each with letters without which it changes nothing.
+REWRITES = (
+    (r"//[^\n\r]*", "", ("//",)), (r"(?s)/\*.*?\*/", "", ("/*",)), (r"#[^\n]*", "", ("#",)), (word("const|let|var") + r"\s+\w+", "VAR _", ("const", "let", "var")), (word("function|def|func|fn|sub") + r"\s+\w+", "FN _", ("func", "def", "fn", "sub")),
+    ('"[^"]*"', '""', ('"',)), ("'[^']*'", "''", ("'",)), ("`[^`]*`", "``", ("`",)), (rf"{EDGE_L}\d+(?:\.\d+)?{EDGE_R}", "0", ()), (r"\s+", " ", ()),
+)
+
+
+def _rewrite(pattern: str, by: str, signs: tuple[str, ...]):
+    """One rewrite of a text. The pattern runs only where a plain substring test says that it may match."""
+    may = lambda b: F.greatest(*(F.contains(b, F.lit(x)) for x in signs), F.lit(False))
+    return lambda b: F.when(may(b), F.regexp_replace(b, pattern, by)).otherwise(b) if signs else F.regexp_replace(b, pattern, by)
 
 
 def normalised(body: Column) -> Column:
-    """Code without comments, names of declarations, contents of strings, numbers and spacing; the order of the rewrites is fixed."""
-    steps = ((r"//[^\n\r]*", ""), (r"(?s)/\*.*?\*/", ""), (r"#[^\n]*", ""), (word("const|let|var") + r"\s+\w+", "VAR _"), (word("function|def|func|fn|sub") + r"\s+\w+", "FN _"), ('"[^"]*"', '""'), ("'[^']*'", "''"), ("`[^`]*`", "``"), (rf"{EDGE_L}\d+(?:\.\d+)?{EDGE_R}", "0"), (r"\s+", " "))
-    for pattern, by in steps:
-        body = F.regexp_replace(body, pattern, by)
+    """Code without comments, names of declarations, contents of strings, numbers and spacing."""
+    for rewrite in REWRITES:
+        body = F.get(F.transform(F.array(body), _rewrite(*rewrite)), F.lit(0))  # the lambda's variable keeps the text from being worked out for each use
     return F.trim(body)
 
 
+def _coded_blocks(files: DataFrame, min_lines: int) -> DataFrame:
+    brace = brace_blocks(files, BLOCK_HEADS, BLOCK_LINES).where(F.col("end_line") - F.col("line") + 1 >= MIN_BRACE)
+    indent = indent_blocks(files, INDENT_HEADS).where(F.col("end_line") - F.col("line") + 1 >= MIN_INDENT)
+    blocks = without_overlap(brace.unionByName(indent).drop("closed")).where(F.col("end_line") - F.col("line") + 1 >= min_lines)
+    coded = blocks.withColumn("_code", normalised(F.array_join("body", "\n"))).where(F.length("_code") >= MIN_CHARS)
+    return coded.select(F.sha2("_code", 256).alias("fingerprint"), "path", "line", "end_line", "name", F.slice("body", 1, 4).alias("preview"))
+
+
 def duplicate_blocks(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(fingerprint, n, lines, wasted, preview, occurrences): blocks with equal normalised code in two places or more.
+    """(fingerprint, path, line, end_line, name, n, lines, wasted, preview, folder): each block with equal normalised code in two places or more, with its group's figures.
 
-    The first occurrence by path and line gives lines and preview. Equal code is one group however many files hold it: rows meet by fingerprint after each block is reduced to one.
+    The first occurrence by path and line gives lines and preview. Occurrences are rows, so a group may be of any size.
     """
-    brace = brace_blocks(files, BLOCK_HEADS, BLOCK_LINES).drop("closed").where(F.col("end_line") - F.col("line") + 1 >= MIN_BRACE)
-    indent = indent_blocks(files, INDENT_HEADS).where(F.col("end_line") - F.col("line") + 1 >= MIN_INDENT)
-    blocks = without_overlap(brace.unionByName(indent)).withColumn("_n", F.col("end_line") - F.col("line") + 1).where(F.col("_n") >= min_lines)
-    coded = blocks.withColumn("_code", normalised(F.array_join("body", "\n"))).where(F.length("_code") >= MIN_CHARS)
-    return duplicate_groups(coded.select(F.sha2("_code", 256).alias("fingerprint"), "path", "line", "end_line", "name", F.slice("body", 1, 4).alias("preview")))
+    rows = _coded_blocks(files, min_lines)
+    return rows.drop("preview").join(group_counts(rows).drop("first_path"), "fingerprint")
 
 
-def group_counts(rows: DataFrame) -> DataFrame:
-    """(fingerprint, n, lines, wasted, preview, first_path) of groups of rows(fingerprint, path, line, end_line, name, preview) of two or more: sums that are made
-    before rows meet, so a group of any size is one small row."""
-    first = F.min_by(F.struct("preview", (F.col("end_line") - F.col("line") + 1).alias("lines"), "path"), F.struct("path", "line"))
-    groups = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), first.alias("_f")).where("n > 1")
-    return groups.select("fingerprint", "n", F.col("_f.lines").alias("lines"), (F.col("_f.lines") * (F.col("n") - 1)).alias("wasted"), F.col("_f.preview").alias("preview"), F.col("_f.path").alias("first_path"))
+def duplicate_counts(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """group_counts() of a file table's blocks, the longest first."""
+    return group_counts(_coded_blocks(files, min_lines)).orderBy(F.desc("lines"), "first_path")
 
 
-def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """Groups of rows(fingerprint, path, line, end_line, name, preview) of two or more."""
-    first = F.min_by(F.struct("preview", (F.col("end_line") - F.col("line") + 1).alias("lines")), F.struct("path", "line"))
-    groups = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), first.alias("_f"), F.array_sort(F.collect_list(F.struct("path", "line", "end_line", "name"))).alias("occurrences")).where("n > 1")
-    return groups.select("fingerprint", "n", F.col("_f.lines").alias("lines"), (F.col("_f.lines") * (F.col("n") - 1)).alias("wasted"), F.col("_f.preview").alias("preview"), "occurrences")
+def group_counts(rows: DataFrame) -> DataFrame:
+    """(fingerprint, n, lines, wasted, preview, first_path, folder) of groups of rows(fingerprint, path, line, end_line, name, preview) of two or more: sums that are made
+    before rows meet, so a group of any size is one small row. folder is the deepest that holds all: what the first and the last folder by parts have in common."""
+    first = F.min_by(F.struct("preview", (F.col("end_line") - F.col("line") + 1).alias("lines"), "path"), F.struct("path", "line"))
+    parts = F.split(F.regexp_replace(F.col("path").cast("string"), r"/?[^/]*\z", ""), "/")
+    groups = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), first.alias("_f"), F.min(parts).alias("_a"), F.max(parts).alias("_b")).where("n > 1")
+    apart = F.array_position(F.zip_with("_a", "_b", lambda a, b: ~a.eqNullSafe(b)), True)
+    folder = F.array_join(F.when(apart == 0, F.col("_a")).otherwise(F.slice("_a", F.lit(1), (apart - 1).cast("int"))), "/")
+    return groups.select("fingerprint", "n", F.col("_f.lines").alias("lines"), (F.col("_f.lines") * (F.col("n") - 1)).alias("wasted"), F.col("_f.preview").alias("preview"), F.col("_f.path").alias("first_path"), folder.alias("folder"))
 
 
 def risk(score: Column) -> Column:
@@ -149,7 +203,7 @@ def decisions(text: Column, ext: Column) -> Column:
 
 def complexity(files: DataFrame, threshold: int = 5) -> DataFrame:
     """(path, name, line, end_line, complexity, risk) of functions with a risk above low and at least the threshold. Nested functions count in both."""
-    brace = brace_blocks(files, FUNCTION_HEADS, BODY_LINES, unclosed=True).withColumn("_body", F.when(F.col("closed"), F.slice("body", F.lit(1), F.greatest(F.size("body") - 1, F.lit(0)))).otherwise(F.col("body"))).drop("closed")
+    brace = brace_blocks(files, FUNCTION_HEADS, BODY_LINES, unclosed=True).withColumn("_body", F.when(F.col("closed"), F.slice("body", F.lit(1), F.greatest(F.size("body") - 1, F.lit(0)))).otherwise(F.col("body")))
     indent = indent_blocks(files, {PYTHON: INDENT_HEADS[PYTHON]}).withColumn("_body", F.slice("body", F.lit(2), F.greatest(F.size("body") - 1, F.lit(0))))
     ruby = ruby_blocks(files).withColumn("_body", F.col("body"))
     rows = brace.unionByName(indent).unionByName(ruby).where(F.size("_body") >= 2)
@@ -159,12 +213,14 @@ def complexity(files: DataFrame, threshold: int = 5) -> DataFrame:
 
 def ruby_blocks(files: DataFrame) -> DataFrame:
     """Ruby methods: a line with an opening word is one deeper, one with end one less; the method stops where the balance is back."""
-    w = Window.partitionBy("path").orderBy("line")
+    files = _of(files, {RUBY: []})
+    by_line = Window.partitionBy("path").orderBy("line")
     step = F.col("text").rlike(word("def|do|begin|class|module|if|unless|while|for|until|case")).cast("int") - F.col("text").rlike(word("end")).cast("int")
-    lines = lines_of(files.where(F.col("ext").isin(list(RUBY)))).withColumn("_net", step).withColumn("_depth", F.sum("_net").over(w))
-    heads = _heads(lines, {RUBY: [("fn", r"^\s*def\s+(\w+)", 1)]}).select("path", F.col("line").alias("head"), F.col("_h.name").alias("name"), (F.col("_depth") - F.col("_net")).alias("_d0"))
-    ends = heads.join(lines.select("path", "line", "_depth"), "path").where((F.col("line") >= F.col("head")) & (F.col("_depth") <= F.col("_d0")))
-    return _bodies(ends.groupBy("path", "name", "head").agg(F.min("line").alias("end_line")), lines)
+    slim = lines_of(files).select("path", "line", step.alias("_net"), F.nullif(F.regexp_extract("text", r"^\s*def\s+(\w+)", 1), F.lit("")).alias("name"))
+    lines = slim.withColumn("now", F.sum("_net").over(by_line)).withColumn("before", F.col("now") - F.col("_net"))
+    asked = lines.where("name is not null").select("path", F.col("before").alias("level"), F.col("line").alias("after"), "name", F.col("line").alias("head"), F.when(F.col("now") <= F.col("before"), F.col("line")).alias("_here"))
+    ends = _next_closing(asked, _closers(lines)).withColumn("end_line", F.coalesce("_here", "closing")).where("end_line is not null")
+    return _bodies(ends.withColumn("closed", F.lit(True)), files)
 
 
 def unreachable(files: DataFrame) -> DataFrame:
@@ -173,18 +229,21 @@ def unreachable(files: DataFrame) -> DataFrame:
     A line that leaves the block inside code already reported is passed over. A multi-line return counts as leaving at its first line. A preview has ten lines
     and a mark that there are more.
     """
-    w = Window.partitionBy("path").orderBy("line")
-    blank = ~F.col("text").rlike(r"\S")
-    lines = lines_of(files).withColumn("_indent", _indent(F.col("text"))).withColumn("_blank", blank)
-    after = F.first(F.when(~blank, F.struct("line", "text", "_indent")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    heads = lines.withColumn("_next", after).where(F.col("text").rlike(TERMINATOR) & ~F.col("text").rlike(COMMENT_LINE) & F.col("_next").isNotNull())
-    heads = heads.where(~F.col("_next.text").rlike(CLOSING) & ~F.col("_next.text").rlike(COMMENT_LINE) & (F.col("_next._indent") >= F.col("_indent")))
-    heads = heads.select("path", F.col("line").alias("head"), F.col("text").alias("_said"), F.col("_indent").alias("_i0"), F.col("_next.line").alias("first"))
-    near = heads.join(lines.select("path", "line", "text", "_indent", "_blank"), "path").where((F.col("line") >= F.col("first")) & (F.col("line") <= F.col("first") + PREVIEW))
-    stop = F.col("_blank") | (F.col("_indent") < F.col("_i0")) | F.col("text").rlike(CLOSING)
-    found = near.groupBy("path", "head", "_said", "first").agg(F.min(F.when(stop, F.col("line"))).alias("_stop"), F.max("line").alias("_last"), F.array_sort(F.collect_list(F.struct("line", F.regexp_replace("text", r"\s+\z", "").alias("text")))).alias("_lines"))
-    size = F.least(F.coalesce("_stop", F.col("_last") + 1) - F.col("first"), F.lit(PREVIEW))
-    listed = F.transform(F.slice("_lines", F.lit(1), size), lambda x: x["text"])
-    rows = found.select("path", F.col("head").alias("line"), F.col("first").alias("unreachable_line"), F.when(size == PREVIEW, F.concat(listed, F.array(F.lit("  ...")))).otherwise(listed).alias("preview"), F.when(F.col("_said").rlike("throw|raise|panic"), F.lit("error")).otherwise(F.lit("warning")).alias("severity"))
+    files = files.where("content is not null")
+    text = F.col("text")
+    comment = text.rlike(COMMENT_LINE)
+    slim = lines_of(files).select(
+        "path", "line", text.rlike(r"\S").alias("_solid"), _indent(text).alias("_indent"), (text.rlike(CLOSING) | comment).alias("_bars"), (text.rlike(TERMINATOR) & ~comment).alias("_leaves"), text.rlike("throw|raise|panic").alias("_throws")
+    )
+    backwards = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(F.col("_solid"), F.struct("line", "_indent", "_bars")), ignorenulls=True).over(backwards)
+    heads = slim.withColumn("_next", after).where(F.col("_leaves") & ~F.col("_next._bars") & (F.col("_next._indent") >= F.col("_indent")))
+    per_file = heads.groupBy("path").agg(F.collect_list(F.struct("line", F.col("_next.line").alias("first"), "_indent", "_throws")).alias("_h"))
+    wide = files.select("path", F.split("content", "\n").alias("_t")).join(per_file, "path").select("path", "_t", F.explode("_h").alias("h"))
+    near = wide.select("path", "h.*", F.slice("_t", F.col("h.first"), PREVIEW + 1).alias("_near"))
+    stop = F.array_position(F.transform("_near", lambda t: ~t.rlike(r"\S") | (F.length(F.regexp_extract(t, r"^(\s*)", 1)) < F.col("_indent")) | t.rlike(CLOSING)), True).cast("int")
+    size = F.least(F.when(stop > 0, stop - 1).otherwise(F.size("_near")), F.lit(PREVIEW))
+    listed = F.transform(F.slice("_near", F.lit(1), size), lambda t: F.regexp_replace(t, r"\s+\z", ""))
+    rows = near.select("path", "line", F.col("first").alias("unreachable_line"), F.when(size == PREVIEW, F.concat(listed, F.array(F.lit("  ...")))).otherwise(listed).alias("preview"), F.when(F.col("_throws"), F.lit("error")).otherwise(F.lit("warning")).alias("severity"))
     rows = rows.withColumn("unreachable_end", F.col("unreachable_line") - 1 + F.size("preview")).withColumn("end_line", F.col("unreachable_end"))
     return without_overlap(rows).select("path", "line", "unreachable_line", "unreachable_end", "severity", "preview")

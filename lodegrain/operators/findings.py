@@ -28,14 +28,20 @@ TEST_PATH = r"(?:\.(?:test|spec)\.[jt]sx?\z|__(?:tests?|mocks?)__|(?:^|/)tests?/
 
 #: Tokens of known shape, names of credentials, and values that are none.
 TOKENS = (("aws_key", r"(?<![A-Z0-9])(AKIA[0-9A-Z]{16})(?![A-Z0-9])", 1), ("github_token", r"(gh[ps]_[A-Za-z0-9]{36,})", 1), ("private_key", r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)", 1), ("connection_string", r"([a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@[^\s\"']+)", 1))
-SENSITIVE = r"(?i)((?:[a-z0-9_]*(?:api_?key|secret|token|passw(?:or)?d|credential)[a-z0-9_]*))\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']"
+#: A named value begins at the edge of a word, so that a long word is tried once.
+SENSITIVE = r"(?i)(?<![a-z0-9_])((?:[a-z0-9_]*(?:api_?key|secret|token|passw(?:or)?d|credential)[a-z0-9_]*))\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']"
 PLACEHOLDER = r"(?i)(?:example|placeholder|changeme|your[_-]|xxxx|<[^>]*>|\$\{|dummy|sample)"
 MIN_ENTROPY, MIN_LENGTH = 3.5, 16
+#: Letters in lower case of which a text with any finding holds some.
+SIGNS = ("akia", "ghp_", "ghs_", "private key-----", "://", "key", "secret", "token", "passw", "credential")
 
 #: Catches that name no specific error.
 BROAD_CATCH = r"(?i)catch\s*\(\s*(?:e|err|error|ex|exception|_)\s*(?::\s*(?:any|Error|Exception|Throwable|\w+Error))?\s*\)"
 BROAD_EXCEPT = r"^\s*except\s*(?:Exception|BaseException)?\s*(?:as\s+\w+)?\s*:"
 BRACE_EXTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".java", ".cs", ".php")
+EMPTY_PYTHON, EMPTY_RUBY, EMPTY_GO = r"^\s*pass\s*(?:#.*)?\z", r"^\s*(?:end|nil|#.*)?\s*\z", r"^\s*\}\s*\z"
+ERROR_GO, DISCARD_GO = rf"{EDGE_L}if\s+err\s*!=\s*nil\s*\{{", r"(?:^|\s)_\s*(?:,\s*_\s*)*="
+PANIC, PANIC_COMMENT = r"\.(?:unwrap|expect)\s*\(", r"//.*\.(?:unwrap|expect)"
 
 
 def _in_file() -> Window:
@@ -67,6 +73,11 @@ def with_age(rows: DataFrame, blame: DataFrame, older_than: int | None = None) -
     return out if older_than is None else out.where(F.coalesce(F.col("days_ago") >= older_than, F.lit(True)))
 
 
+def by_author(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose author's name holds a text, whatever the case; rows without an author go."""
+    return rows.where(F.contains(F.lower("author"), F.lit(name.lower())))
+
+
 def debug_statements(files: DataFrame, skip_tests: bool = True) -> DataFrame:
     """(path, line, kind, snippet): debug output outside comment lines, the first rule of the file's language that matches."""
     lines = lines_of(files if not skip_tests else files.where(~F.col("path").rlike(TEST_PATH)))
@@ -91,8 +102,13 @@ def redacted(value: Column) -> Column:
 def secrets(files: DataFrame) -> DataFrame:
     """(path, line, kind, confidence, entropy, redacted): tokens of known shape (high), and values given to sensitive names (medium from MIN_ENTROPY and
     MIN_LENGTH on, else low); all of a line, a named value of known shape once. Example files, test files and placeholders are left out. The thresholds are this library's own."""
-    lines = lines_of(files.where(~F.col("path").rlike(r"(?:\.example\z|" + TEST_PATH + ")")))
+    low = F.lower("content")
+    held = F.lit(False)
+    for x in SIGNS:
+        held = held | F.contains(low, F.lit(x))
+    lines = lines_of(files.where(~F.col("path").rlike(r"(?:\.example\z|" + TEST_PATH + ")") & held))
     text = F.col("text")
+    lines = lines.where(F.lower(text).rlike("|".join(SIGNS)))
     values = lambda kind, p, g, high: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("name"), F.lit(high).alias("high")))
     shaped = F.concat(*(values(kind, p, g, True) for kind, p, g in TOKENS))
     named = values("assigned_secret", SENSITIVE, 2, False)
@@ -114,16 +130,18 @@ def weak_catches(files: DataFrame) -> DataFrame:
     In brace languages the handler is what stands between the braces that open on the catch line (or the next): if they close at once, it
     is empty; a catch line that leaves them open counts as its own first line, so only its breadth can be reported.
     """
-    w = _in_file()
-    lines = lines_of(files).withColumn("_next", F.lead("text", 1).over(w)).withColumn("_solid", F.first(F.when(F.col("text").rlike(r"\S"), F.col("text")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # in descending order the line after is the one before, and the next solid line is the last so far
+    w = Window.partitionBy("path").orderBy(F.desc("line"))
+    some = files.where(F.col("ext").isin([*BRACE_EXTS, ".py", ".go", ".rs", ".rb"]))
+    lines = lines_of(some).withColumn("_next", F.lag("text", 1).over(w)).withColumn("_solid", F.last(F.when(F.col("text").rlike(r"\S"), F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     text, ext = F.col("text"), F.col("ext")
     opened = F.when(text.contains("{"), text).otherwise(F.coalesce("_next", text))
     brace = F.when(text.rlike(rf"{EDGE_L}catch{EDGE_R}"), F.when(_count(opened, "{") <= _count(opened, "}"), F.lit("empty:error")).when(text.rlike(BROAD_CATCH), F.lit("broad:info")))
-    python = F.when(text.rlike(rf"^\s*except{EDGE_R}"), F.when(F.col("_solid").rlike(r"^\s*pass\s*(?:#.*)?\z"), F.lit("empty:error")).when(text.rlike(BROAD_EXCEPT), F.lit("broad:info")))
-    empty_go = F.when(text.rlike(rf"{EDGE_L}if\s+err\s*!=\s*nil\s*\{{") & F.col("_next").rlike(r"^\s*\}\s*\z"), F.lit("empty:error"))
-    discard = F.when(text.rlike(r"(?:^|\s)_\s*(?:,\s*_\s*)*=") & ~text.contains("//"), F.lit("swallowed:warning"))
-    panics = F.when(text.rlike(r"\.(?:unwrap|expect)\s*\(") & ~text.rlike(r"//.*\.(?:unwrap|expect)") & ~F.col("path").rlike("test|spec"), F.when(text.contains(".unwrap()"), F.lit("panic:warning")).otherwise(F.lit("panic:info")))
-    ruby = F.when(text.rlike(rf"^\s*rescue{EDGE_R}") & F.col("_solid").rlike(r"^\s*(?:end|nil|#.*)?\s*\z"), F.lit("empty:error"))
+    python = F.when(text.rlike(rf"^\s*except{EDGE_R}"), F.when(F.col("_solid").rlike(EMPTY_PYTHON), F.lit("empty:error")).when(text.rlike(BROAD_EXCEPT), F.lit("broad:info")))
+    empty_go = F.when(text.rlike(ERROR_GO) & F.col("_next").rlike(EMPTY_GO), F.lit("empty:error"))
+    discard = F.when(text.rlike(DISCARD_GO) & ~text.contains("//"), F.lit("swallowed:warning"))
+    panics = F.when(text.rlike(PANIC) & ~text.rlike(PANIC_COMMENT) & ~F.col("path").rlike("test|spec"), F.when(text.contains(".unwrap()"), F.lit("panic:warning")).otherwise(F.lit("panic:info")))
+    ruby = F.when(text.rlike(rf"^\s*rescue{EDGE_R}") & F.col("_solid").rlike(EMPTY_RUBY), F.lit("empty:error"))
     marks = F.array(F.when(ext.isin(list(BRACE_EXTS)), brace).when(ext == ".py", python).when(ext == ".go", empty_go).when(ext == ".rs", panics).when(ext == ".rb", ruby), F.when(ext == ".go", discard))
     rows = lines.select("path", "line", text.alias("snippet"), F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m"))
     return rows.select("path", "line", F.split_part("m", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("m", F.lit(":"), F.lit(2)).alias("severity"), trim_space(F.col("snippet")).alias("snippet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,19 @@ def new_since(current: DataFrame, baseline: DataFrame, on: tuple[str, ...] = ("p
     return current.join(base, match, "left_anti")
 
 
+def save_baseline(rows: DataFrame, path: str) -> None:
+    """Write name, kind, path and line of rows as JSON lines to a folder, in place of what it held."""
+    rows.select("name", "kind", "path", "line").write.mode("overwrite").json(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """A saved baseline; None if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema("name string, kind string, path string, line int").json(path)
+
+
 def edit_plan(dead_rows: DataFrame, action: str = "delete") -> DataFrame:
     """(path, from_line, to_line, action), from the bottom of each file up: what a clean-up would edit. Nothing is written to sources."""
     end = F.coalesce("end_line", "line") if "end_line" in dead_rows.columns else F.col("line")

@@ -1,25 +1,31 @@
 """Definitions, references, and definitions that nothing refers to.
 
-A language is a list of ordered line rules; the first that matches a line defines a symbol. References are the distinct identifiers of the other lines. A definition is
-dead if no other file refers to its name: a hash anti-join on the name. TypeScript is read by line rules too, not by a syntax tree.
+A language is a list of ordered line rules; the first that matches a line defines a symbol. References are the identifiers of the other lines. A definition is
+dead if no other file refers to its name. References are reduced to the first and last path of each name before they meet the definitions, so a word that all files hold is one
+row. TypeScript is read by line rules too, not by a syntax tree; members of a class are the method heads one brace deeper than it.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegrain.functions.text import EDGE_L, IDENT, basename, by_extension, first_rule, lines_of
+from lodegrain.functions.text import EDGE_L, EDGE_R, IDENT, basename, by_extension, first_rule, lines_of
 
 #: Weights of a dead symbol in lines, entry points and ignored names.
 LINES = {"function": 12, "method": 10, "class": 30, "variable": 1, "interface": 8, "type": 3, "enum": 6, "struct": 15, "trait": 12, "module": 20}
 OTHER_LINES = 5
 ENTRY_POINTS = ("index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.py", "main.go", "main.py", "main.rb", "main.rs", "Program.cs", "Main.java")
 IGNORED_NAMES = ("_*", "__*", "test_*", "*_test", "*Test", "*Spec")
-#: A comment on the line before that asks for a definition to be left alone: a short tool name and -ignore.
-MARKER = r"(?://|#)\s*[a-z]{2,5}-ignore(?![A-Za-z0-9_-])"
+#: Heads of methods in classes of the TypeScript family.
+TS_EXTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+TS_CLASS = r"^\s*(export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_][A-Za-z0-9_]*)"
+TS_METHOD = r"^\s*(?:(?:public|private|protected|static|async|override|abstract|declare)\s+)*\*?\s*(?!(?:constructor|if|for|while|switch|catch|return|function|new|throw|super|get|set)(?![A-Za-z0-9_]))([A-Za-z_][A-Za-z0-9_]*)\s*\??\s*(?:<[^>]*>\s*)?\("
+#: The tool whose comment on the line before asks for a definition to be left alone: its name and -ignore.
+TOOL = "lodegrain"
 
 
 @dataclass(frozen=True)
@@ -57,14 +63,38 @@ def language_of(ext: Column) -> Column:
     return by_extension(ext, {x.extensions: F.lit(x.name) for x in LANGUAGES})
 
 
-def definitions(files: DataFrame) -> DataFrame:
+def marker(tool: str) -> str:
+    """The pattern of a tool's ignore comment."""
+    return rf"(?://|#)\s*{re.escape(tool)}-ignore(?![A-Za-z0-9_-])"
+
+
+def class_members(files: DataFrame, tool: str = TOOL) -> DataFrame:
+    """definitions() of the methods in classes of the TypeScript family, named Class.method: heads of methods at the depth that the last class before them opened and nothing closed since."""
+    lines = lines_of(files.where(F.col("ext").isin(list(TS_EXTS))))
+    by_line = Window.partitionBy("path").orderBy("line")
+    braces = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
+    named = lambda p, g: F.nullif(F.regexp_extract("text", p, g), F.lit(""))
+    slim = lines.select("path", "line", (braces("{") - braces("}")).alias("_net"), F.when(named(TS_CLASS, 2).isNotNull(), F.struct(named(TS_CLASS, 2).alias("name"), named(TS_CLASS, 1).isNotNull().alias("exported"))).alias("_class"), named(TS_METHOD, 1).alias("_method"), F.col("text").rlike(marker(tool)).alias("_marks"))
+    deep = slim.withColumn("_now", F.sum("_net").over(by_line)).withColumn("_was", F.col("_now") - F.col("_net")).withColumn("ignored", F.coalesce(F.lag("_marks").over(by_line), F.lit(False)))
+    kind = deep.schema["_class"].dataType
+    opened = deep.where("_class is not null").select("path", (F.col("_was") + 1).alias("level"), "line", F.lit(0).alias("_order"), "_class", F.lit(None).cast("string").alias("_method"), "ignored")
+    closed = deep.where("_now < _was").select("path", F.explode(F.sequence(F.col("_now") + 1, "_was")).alias("level"), "line", F.lit(2).alias("_order"), F.lit(None).cast(kind).alias("_class"), F.lit(None).cast("string").alias("_method"), "ignored")
+    asked = deep.where("_method is not null").select("path", F.col("_was").alias("level"), "line", F.lit(1).alias("_order"), F.lit(None).cast(kind).alias("_class"), "_method", "ignored")
+    rows = opened.unionByName(closed).unionByName(asked)
+    event = F.when(F.col("_order") != 1, F.struct("_class"))
+    last = F.last(event, ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("line", "_order").rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn("_c", last["_class"]).where("_method is not null and _c is not null")
+    return found.select("path", "line", F.lit("typescript").alias("language"), F.concat("_c.name", F.lit("."), "_method").alias("name"), F.lit("method").alias("kind"), F.lit(0).alias("column"), F.col("_c.exported").alias("exported"), "ignored")
+
+
+def definitions(files: DataFrame, tool: str = TOOL) -> DataFrame:
     """(path, line, language, name, kind, column, exported, ignored): what each file's lines define.
 
-    Go methods are named Receiver.name. A definition is ignored if the line before it holds the marker. Lines over several megabytes are lines like others; null contents define nothing.
+    Go methods are named Receiver.name, TypeScript's Class.name. A definition is ignored if the line before it holds the tool's marker. Lines over several megabytes are lines like others; null contents define nothing.
     """
     lines = lines_of(files.where(language_of(F.col("ext")).isNotNull()))
     before = F.lag("text", 1).over(Window.partitionBy("path").orderBy("line"))
-    marked = lines.withColumn("ignored", F.coalesce(before.rlike(MARKER), F.lit(False))).withColumn("language", language_of(F.col("ext")))
+    marked = lines.withColumn("ignored", F.coalesce(before.rlike(marker(tool)), F.lit(False))).withColumn("language", language_of(F.col("ext")))
     text = F.col("text")
     found = by_extension(F.col("ext"), {x.extensions: first_rule(text, list(x.rules)) for x in LANGUAGES})
     rows = marked.withColumn("_d", found).where("_d is not null")
@@ -87,17 +117,23 @@ def definitions(files: DataFrame) -> DataFrame:
     )
     listed = files.where(F.col("content").rlike(r"(?m)^__all__\s*=") & (F.col("ext") == ".py")).select("path", F.lit(True).alias("_all"))
     out = rows.select("path", "line", "language", full.alias("name"), F.col("_d.kind").alias("kind"), column.alias("column"), exported.alias("exported"), "ignored").join(listed, "path", "left")
-    return out.withColumn("exported", F.col("exported") & ~(F.coalesce("_all", F.lit(False)) & F.col("kind").isin("function", "method"))).drop("_all")
+    return out.withColumn("exported", F.col("exported") & ~(F.coalesce("_all", F.lit(False)) & F.col("kind").isin("function", "method"))).drop("_all").unionByName(class_members(files, tool))
 
 
-def references(files: DataFrame) -> DataFrame:
-    """(path, name): the distinct identifiers of each file's lines that define nothing, or define a kind whose line still refers."""
+def mentions(files: DataFrame) -> DataFrame:
+    """(path, name): identifiers of each file's lines that define nothing, or define a kind whose line still refers; in the TypeScript family also those beside the defined name. Repeated as they occur."""
     lines = lines_of(files.where(language_of(F.col("ext")).isNotNull()))
     found = by_extension(F.col("ext"), {x.extensions: first_rule(F.col("text"), list(x.rules)) for x in LANGUAGES})
     open_kind = by_extension(F.col("ext"), {x.extensions: found["kind"].isin(list(x.open_kinds)) for x in LANGUAGES if x.open_kinds})
-    kept = lines.where(found.isNull() | F.coalesce(open_kind, F.lit(False)))
+    beside = F.col("ext").isin(list(TS_EXTS)) & found.isNotNull() & ~F.coalesce(open_kind, F.lit(False))
+    kept = lines.where(found.isNull() | F.coalesce(open_kind, F.lit(False)) | beside).withColumn("text", F.when(beside, F.regexp_replace("text", F.concat(F.lit(EDGE_L), found["name"], F.lit(EDGE_R)), F.lit(" "))).otherwise(F.col("text")))
     ruby = F.when(F.col("ext") == ".rb", F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT}[?!])\("), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    return kept.select("path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT})"), F.lit(1)), ruby)).alias("name")).distinct()
+    return kept.select("path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT})"), F.lit(1)), ruby)).alias("name"))
+
+
+def references(files: DataFrame) -> DataFrame:
+    """mentions() without repeats."""
+    return mentions(files).distinct()
 
 
 def first_definitions(defs: DataFrame) -> DataFrame:
@@ -106,9 +142,9 @@ def first_definitions(defs: DataFrame) -> DataFrame:
 
 
 def dead(defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Rows of defs(path, name, ...) whose name no other file refers to: refs(path, name). The join is on the name; files differ in a residual condition."""
-    used = refs.select(F.col("path").alias("_path"), F.col("name").alias("_name"))
-    return defs.join(used, (F.col("name") == F.col("_name")) & (F.col("path") != F.col("_path")), "left_anti")
+    """Rows of defs(path, name, ...) whose name no other file refers to: refs(path, name), repeated or not. Names are reduced to their first and last path before rows meet."""
+    used = refs.groupBy(F.col("name").alias("_name")).agg(F.min("path").alias("_a"), F.max("path").alias("_b"))
+    return defs.join(used, (F.col("name") == F.col("_name")) & ((F.col("path") != F.col("_a")) | (F.col("path") != F.col("_b"))), "left_anti")
 
 
 def edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -133,10 +169,16 @@ def not_ignored(name: Column, globs: tuple[str, ...] = IGNORED_NAMES) -> Column:
     return ~name.rlike("|".join(f"(?:{glob_pattern(g)})" for g in globs)) if globs else F.lit(True)
 
 
-def dead_symbols(files: DataFrame, globs: tuple[str, ...] = IGNORED_NAMES, entry_points: tuple[str, ...] = ENTRY_POINTS) -> DataFrame:
+def of_languages(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """The files of some languages; unknown names have none. javascript is the part of typescript's files that have no types."""
+    known = {x.name: x.extensions for x in LANGUAGES} | {"typescript": (".ts", ".tsx"), "javascript": (".js", ".jsx", ".mjs", ".cjs")}
+    return files.where(F.col("ext").isin([e for x in languages for e in known.get(x, ())]))
+
+
+def dead_symbols(files: DataFrame, globs: tuple[str, ...] = IGNORED_NAMES, entry_points: tuple[str, ...] = ENTRY_POINTS, tool: str = TOOL) -> DataFrame:
     """Definitions that no other file refers to, without ignored names, marked lines and exports of entry points, with a reason."""
-    nodes = first_definitions(definitions(files)).where(~F.col("ignored") & not_ignored(F.col("name"), globs)).where(~(F.col("exported") & basename(F.col("path")).isin(list(entry_points))))
-    return dead(nodes, references(files)).withColumn("reason", F.when(F.col("exported"), F.lit("Exported but never imported by any other file")).otherwise(F.lit("Defined but never referenced outside its own file")))
+    nodes = first_definitions(definitions(files, tool)).where(~F.col("ignored") & not_ignored(F.col("name"), globs)).where(~(F.col("exported") & basename(F.col("path")).isin(list(entry_points))))
+    return dead(nodes, mentions(files)).withColumn("reason", F.when(F.col("exported"), F.lit("Exported but never imported by any other file")).otherwise(F.lit("Defined but never referenced outside its own file")))
 
 
 def language_stats(files: DataFrame, defs: DataFrame, dead_rows: DataFrame) -> DataFrame:
@@ -145,7 +187,7 @@ def language_stats(files: DataFrame, defs: DataFrame, dead_rows: DataFrame) -> D
     d = defs.groupBy("language").agg(F.count(F.lit(1)).alias("definitions"))
     x = dead_rows.groupBy("language").agg(F.count(F.lit(1)).alias("dead"))
     out = base.join(d, "language", "left").join(x, "language", "left").fillna(0, ["definitions", "dead"])
-    return out.withColumn("dead_percent", F.when(F.col("definitions") > 0, F.round(100 * F.col("dead") / F.col("definitions"))).otherwise(0).cast("int"))
+    return out.withColumn("dead_percent", F.when(F.col("definitions") > 0, F.round(100 * F.col("dead") / F.col("definitions"))).otherwise(0).cast("int")).orderBy(F.desc("files"), "language")
 
 
 def estimated_lines(kind: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.functions.text import EDGE_L, IDENT, first_rule, lines_of
 from lodegrain.operators import blocks, config, findings, graph, history, imports, symbols
-from lodegrain.plans import scan
+from lodegrain.plans import codebase, scan
 from lodegrain.sources.files import as_files
 from lodegrain.streaming.watch import bursts
 
@@ -99,7 +99,7 @@ def event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings.secrets(_files(spark, sf_dir))
-    return found.select(F.col("path").cast("bigint").alias("doc_id"), "line", "confidence", "entropy", "redacted")
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), "line", "kind", "confidence", "entropy", "redacted")
 
 
 def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ def event_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (dead_symbols, symbol_use, language_stats, cleanup_stats, ignore_patterns, baseline_diff, order_ages, notice_context, issue_refs, event_kinds, secrets, duplicate_documents, complexity_scores, unused_types, unused_keys, idle_customers, resolved_imports, flow_circles, top_customers, scan_board, event_bursts)
-}
+} | codebase.QUERIES
 
 _LINES = "lines AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))"
 _DEFS = f"{_LINES}, defs AS (SELECT doc_id, line, name, CASE WHEN regexp_matches(name, '^[A-Z]') THEN 'class' ELSE 'function' END AS kind FROM (SELECT doc_id, line, regexp_extract(text, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM lines) WHERE name <> '')"
@@ -177,10 +177,13 @@ _DEAD = f"{_DEFS}, {_REFS}, dead AS (SELECT * FROM defs d WHERE NOT EXISTS (SELE
 _WORDS = r"\b(?:if|elif|for|while|except|and|or)\b"
 _SCORES = f"scores AS (SELECT doc_id, complexity, CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'medium' WHEN complexity <= 15 THEN 'high' ELSE 'critical' END AS risk FROM (SELECT doc_id, 1 + len(regexp_extract_all(text, '{_WORDS}')) AS complexity FROM documents WHERE text IS NOT NULL))"
 _SENSITIVE = r"""(?i)((?:[a-z0-9_]*(?:api_?key|secret|token|passw(?:or)?d|credential)[a-z0-9_]*))\s*[:=]\s*["'']([^"''\s]{8,})["'']"""
-_SECRETS = f"""found AS (SELECT doc_id, line, regexp_extract(text, '{_SENSITIVE}', 2) AS value FROM lines),
-bits AS (SELECT doc_id, line, value, round((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / len(value) AS p FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c)), 6) AS entropy FROM found
+_SHAPED = (("aws_key", r"\b(AKIA[0-9A-Z]{16})\b"), ("github_token", r"(gh[ps]_[A-Za-z0-9]{36,})"), ("private_key", r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"), ("connection_string", r"""([a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@[^\s"'']+)"""))
+_SECRETS = f"""shaped AS ({" UNION ALL ".join(f"SELECT doc_id, line, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}', 1)) AS value FROM lines" for kind, p in _SHAPED)}),
+named AS (SELECT doc_id, line, unnest(regexp_extract_all(text, '{_SENSITIVE}', 2)) AS value FROM lines),
+found AS (SELECT * FROM shaped UNION ALL SELECT doc_id, line, 'assigned_secret', value FROM named n WHERE NOT EXISTS (SELECT 1 FROM shaped x WHERE x.doc_id = n.doc_id AND x.line = n.line AND x.value = n.value)),
+bits AS (SELECT doc_id, line, kind, value, round((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / len(value) AS p FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c)), 6) AS entropy FROM found
   WHERE value <> '' AND NOT regexp_matches(value, '(?i)(?:example|placeholder|changeme|your[_-]|xxxx|<[^>]*>|\\$\\{{|dummy|sample)')),
-secrets AS (SELECT doc_id, line, CASE WHEN entropy >= 3.5 AND len(value) >= 16 THEN 'medium' ELSE 'low' END AS confidence, entropy, substr(value, 1, 4) || '****' AS redacted FROM bits)"""
+secrets AS (SELECT doc_id, line, kind, CASE WHEN kind <> 'assigned_secret' THEN 'high' WHEN entropy >= 3.5 AND len(value) >= 16 THEN 'medium' ELSE 'low' END AS confidence, entropy, substr(value, 1, 4) || '****' AS redacted FROM bits)"""
 _NOTICES = f"""around AS (SELECT doc_id, line, text, list(text) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS c FROM lines),
 notices AS (SELECT doc_id, line, array_to_string(c, ' / ') AS context FROM around WHERE regexp_matches(text, '(?i)licen[sc]e'))"""
 
@@ -203,7 +206,7 @@ ORACLES: dict[str, str] = {
     "notice_context": f"WITH {_LINES}, {_NOTICES} SELECT doc_id, line, context FROM notices",
     "issue_refs": r"SELECT page_id, regexp_extract(url, '/([a-z]+)/', 1) AS section, regexp_extract(url, '/(\d+)', 1) AS number FROM pages WHERE regexp_extract(url, '/(\d+)', 1) <> ''",
     "event_kinds": "SELECT CASE WHEN event_type = 'error' THEN 'alarm' WHEN event_type IN ('purchase', 'signup') THEN 'money' WHEN event_type = 'view' OR event_type LIKE 'cl%' THEN 'look' END AS kind, event_type AS name, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
-    "secrets": f"WITH {_LINES}, {_SECRETS} SELECT doc_id, line, confidence, entropy, redacted FROM secrets",
+    "secrets": f"WITH {_LINES}, {_SECRETS} SELECT doc_id, line, kind, confidence, entropy, redacted FROM secrets",
     "duplicate_documents": f"WITH c AS (SELECT doc_id, lang, len(string_split(text, chr(10))) AS lines, {_normalised('text')} AS code FROM documents) SELECT md5(code) AS fingerprint, count(*) AS n, arg_min(lines, doc_id) AS lines, arg_min(lines, doc_id) * (count(*) - 1) AS wasted, arg_min(lang, doc_id) AS lang, min(doc_id) AS first_doc FROM c WHERE len(code) >= 80 GROUP BY code HAVING count(*) > 1",
     "complexity_scores": f"WITH {_SCORES} SELECT doc_id, complexity, risk FROM scores",
     "unused_types": "WITH d AS (SELECT DISTINCT lower(p_type) AS name FROM part), u AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([a-z]{3,5})', 1)) AS w FROM conversations) SELECT name FROM d WHERE NOT EXISTS (SELECT 1 FROM u WHERE w = name OR starts_with(w, name || '/') OR contains(name, w))",
@@ -218,4 +221,4 @@ SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON
 b AS (SELECT 'secrets' AS detector, count(*) AS issues FROM secrets UNION ALL SELECT 'notices', count(*) FROM notices UNION ALL SELECT 'complexity', count(*) FROM scores WHERE risk IN ('high', 'critical') UNION ALL SELECT 'dead', count(*) FROM dead)
 SELECT detector, issues, CAST(CASE WHEN max(issues) OVER () > 0 THEN round(issues * 18.0 / max(issues) OVER ()) ELSE 0 END AS BIGINT) AS bar FROM b""",
     "event_bursts": "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM n GROUP BY 1, 2) SELECT user_id, count(*) AS bursts, max(n) AS longest, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1",
-}
+} | codebase.ORACLES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrain.operators import blocks, config, findings, imports, symbols
@@ -15,21 +15,20 @@ DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "unused_files": imports.unused_files,
     "unused_packages": imports.unused_packages,
     "todos": findings.todos,
-    "duplicates": blocks.duplicate_blocks,
+    "duplicates": blocks.duplicate_counts,
     "unreachable": blocks.unreachable,
     "weak_catches": findings.weak_catches,
     "unused_keys": config.unused_keys,
     "debug_statements": findings.debug_statements,
     "complexity": lambda f: blocks.complexity(f).where("risk in ('high', 'critical')"),
-    "import_cycles": imports.import_cycles,
+    "import_cycles": lambda f: imports.import_cycles(f).select("cycle").distinct(),
     "secrets": lambda f: findings.secrets(f).where("confidence <> 'low'"),
 }
 
 
 def scan(files: DataFrame) -> dict[str, DataFrame]:
-    """The result of each detector; files is read once and kept, on disk where memory is short."""
-    kept = files.persist()
-    return {name: detect(kept) for name, detect in DETECTORS.items()}
+    """The result of each detector. A caller who wants the files to be read once persists them, and lets go of them after the results are used."""
+    return {name: detect(files) for name, detect in DETECTORS.items()}
 
 
 def board(results: dict[str, DataFrame], width: int = 18) -> DataFrame:
@@ -40,14 +39,48 @@ def board(results: dict[str, DataFrame], width: int = 18) -> DataFrame:
     return both.join(F.broadcast(most)).select("detector", "issues", F.when(F.col("most") > 0, F.round(F.col("issues") / F.col("most") * width)).otherwise(0).cast("int").alias("bar"))
 
 
+def totals(results: dict[str, DataFrame]) -> DataFrame:
+    """(issues): the sum over all detectors."""
+    return board(results).agg(F.sum("issues").alias("issues"))
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """One JSON text for each row."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
+def json_report(files: DataFrame, dead_rows: DataFrame, stats: DataFrame, cleanup: DataFrame) -> DataFrame:
+    """One JSON text of the figures of an analysis: scannedFiles, deadSymbolCount, detectedLanguages and cleanup by kind. The symbols themselves are as_json() of their rows, as they may be of any number."""
+    languages = stats.agg(F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("_n"), "language", "files", "definitions", "dead"))).alias("_l")).select(F.transform("_l", lambda x: F.struct(x["language"].alias("language"), x["files"].alias("fileCount"), x["definitions"].alias("definitionCount"), x["dead"].alias("deadCount"))).alias("detectedLanguages"))
+    kinds = cleanup.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "dead")))).alias("byKind"), F.coalesce(F.sum("estimated_lines"), F.lit(0)).alias("estimatedLines"))
+    counts = files.agg(F.count(F.lit(1)).alias("scannedFiles")).join(F.broadcast(dead_rows.agg(F.count(F.lit(1)).alias("deadSymbolCount"))))
+    return counts.join(F.broadcast(languages)).join(F.broadcast(kinds.select(F.struct("byKind", "estimatedLines").alias("cleanup")))).select(F.to_json(F.struct("scannedFiles", "deadSymbolCount", "detectedLanguages", "cleanup")).alias("value"))
+
+
+#: Results of a SARIF document, about.
+DOCUMENT_RESULTS = 5000
+
+
 def as_sarif(rows: DataFrame, rule: str, message: str = "name") -> DataFrame:
     """Results in the form of SARIF 2.1.0, one JSON text for each row of rows(path, line, ...)."""
+    return rows.select(F.to_json(_result(rows, rule, message)).alias("value"))
+
+
+def _result(rows: DataFrame, rule: str, message: str) -> Column:
     column = F.col("column") + 1 if "column" in rows.columns else F.lit(1)
     region = F.struct(F.col("line").alias("startLine"), column.alias("startColumn"))
-    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    return rows.select(F.to_json(F.struct(F.lit(rule).alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.col(message).cast("string").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("value"))
+    place = [F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")]
+    if {"name", "kind"} <= set(rows.columns):
+        place.append(F.array(F.struct("name", "kind")).alias("logicalLocations"))
+    return F.struct(F.lit(rule).alias("ruleId"), F.struct(F.col(message).cast("string").alias("text")).alias("message"), F.lit("warning").alias("level"), F.array(F.struct(*place)).alias("locations"))
+
+
+def sarif_documents(rows: DataFrame, rule: str, text: str, message: str = "name") -> DataFrame:
+    """(document, value): whole SARIF 2.1.0 documents of one run each, with the tool and its rule. Rows are dealt by path over as many documents as hold about DOCUMENT_RESULTS each, so none grows with the corpus."""
+    parts = max(1, -(-rows.count() // DOCUMENT_RESULTS))
+    dealt = rows.select(F.pmod(F.xxhash64("path", "line"), F.lit(parts)).cast("int").alias("document"), F.struct("path", "line", _result(rows, rule, message).alias("r")).alias("x"))
+    results = dealt.groupBy("document").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("results"))
+    about = F.struct(F.lit(rule).alias("id"), F.struct(F.lit(text).alias("text")).alias("shortDescription"), F.struct(F.lit("warning").alias("level")).alias("defaultConfiguration"))
+    tool = F.struct(F.struct(F.lit("lodegrain").alias("name"), F.array(about).alias("rules")).alias("driver"))
+    whole = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(tool.alias("tool"), F.col("results"))).alias("runs"))
+    return results.select("document", F.to_json(whole).alias("value"))

@@ -29,7 +29,7 @@ def rows(df, *columns):
 
 
 def test_dead_python_symbols(spark):
-    f = files_of(spark, {"a.py": "def used():\n    return 1\ndef unused():\n    return 2\n# tool-ignore\ndef kept():\n    pass\n_private = 1", "b.py": "import a\nx = a.used()", "n.py": None, "e.py": ""})
+    f = files_of(spark, {"a.py": "def used():\n    return 1\ndef unused():\n    return 2\n# lodegrain-ignore\ndef kept():\n    pass\n_private = 1", "b.py": "import a\nx = a.used()", "n.py": None, "e.py": ""})
     assert rows(symbols.dead_symbols(f), "path", "name", "kind", "line", "exported") == [("a.py", "unused", "function", 3, True), ("b.py", "x", "variable", 2, True)]
 
 
@@ -103,8 +103,10 @@ def test_duplicates(spark):
     body = "def {0}(x):\n    total = {1}\n    for i in range({2}):\n        total = total + x * 3\n        print(\"{0}\", total)\n    return total"
     js = "function {0}(a) {{\n" + "  const {1} = call(a, 'one', 12) + other(a);\n" * 4 + "}}\n"
     f = files_of(spark, {"p1.py": body.format("alpha", 0, 10), "p2.py": body.format("beta", 99, 7), "a.js": js.format("q", "r") + "x", "b.js": "\n" + js.format("s", "t")})
-    got = sorted(((r.n, r.lines, r.wasted, [(o.path, o.line, o.end_line, o["name"]) for o in r.occurrences]) for r in blocks.duplicate_blocks(f).collect()), key=lambda x: x[3])
-    assert got == [(2, 6, 6, [("a.js", 1, 6, "q"), ("b.js", 2, 7, "s")]), (2, 6, 6, [("p1.py", 1, 6, "alpha"), ("p2.py", 1, 6, "beta")])]
+    got = rows(blocks.duplicate_blocks(f), "n", "lines", "wasted", "path", "line", "end_line", "name", "folder")
+    assert got == [(2, 6, 6, "a.js", 1, 6, "q", ""), (2, 6, 6, "b.js", 2, 7, "s", ""), (2, 6, 6, "p1.py", 1, 6, "alpha", ""), (2, 6, 6, "p2.py", 1, 6, "beta", "")]
+    deep = f.withColumn("path", F.concat(F.lit("lib/x/"), F.when(F.col("path") == "a.js", "y/").otherwise(""), "path"))
+    assert {r.folder for r in blocks.duplicate_counts(deep).collect()} == {"lib/x"}
 
 
 def test_packages(spark):
@@ -124,7 +126,13 @@ def test_unused_files(spark):
 
 def test_import_cycles(spark):
     f = files_of(spark, {"a.ts": "import b from './b'", "b.ts": "import c from './c'", "c.ts": "import a from './a'", "d.ts": "import a from './a'", "s.ts": "import s from './s'", "p/x.py": "from .y import q", "p/y.py": "from .x import r", "p/__init__.py": ""})
-    assert sorted(r.members for r in imports.import_cycles(f).collect()) == [["a.ts", "b.ts", "c.ts"], ["p/x.py", "p/y.py"]]
+    assert rows(imports.import_cycles(f), "cycle", "path", "length") == [("a.ts", x, 3) for x in ("a.ts", "b.ts", "c.ts")] + [("p/x.py", x, 2) for x in ("p/x.py", "p/y.py")]
+
+
+def test_long_chains_and_rings(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 200) for i in range(200)] + [(300, 1000), (5000, 5001), (5001, 5000), (5001, 6000)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {1000 + i: 1000 for i in range(200)} | {5000: 5000, 5001: 5000}
 
 
 def test_components_on_random_graphs(spark):
@@ -138,8 +146,9 @@ def test_components_on_random_graphs(spark):
                 if a in reach[i]:
                     reach[i].add(b)
     want = {frozenset(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n)}
-    got = {frozenset(r.members) for r in graph.cycles(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == {x for x in want if len(x) > 1}
+    got = graph.cycles(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {frozenset(r.node for r in got if r.component == c) for c in {r.component for r in got}} == {x for x in want if len(x) > 1}
+    assert all(r.length == sum(x.component == r.component for x in got) for r in got)
     assert graph.cycles(spark.createDataFrame([(1, 2), (None, 1), (3, 3)], "src long, dst long")).count() == 0
 
 
@@ -202,7 +211,7 @@ def test_unmentioned_never_broadcasts_the_texts(spark, monkeypatch):
 def test_group_counts_collect_no_occurrences(spark):
     table = spark.createDataFrame([("f", p, 1, 3, "n", ["x" + p]) for p in ("c", "a", "b")] + [("g", "a", 9, 9, "n", ["y"])], "fingerprint string, path string, line int, end_line int, name string, preview array<string>")
     df = blocks.group_counts(table)
-    assert [tuple(r) for r in df.collect()] == [("f", 3, 3, 6, ["xa"], "a")] and "collect_list" not in df._jdf.queryExecution().toString()
+    assert [tuple(r)[:6] for r in df.collect()] == [("f", 3, 3, 6, ["xa"], "a")] and "collect_list" not in df._jdf.queryExecution().toString()
 
 
 def test_unused_broadcasts_the_declared_names(spark, monkeypatch):
@@ -230,3 +239,66 @@ def test_complexity_of_long_functions(spark):
     branches = "  if a\n    b\n  end\n" * 150
     f = files_of(spark, {"a.ts": "function f() {\n" + "if (a) b()\n" * 400 + "}", "b.rb": f"def f\n{branches}end", "c.py": "def f():\n" + "    if a: b()\n" * 4500})
     assert rows(blocks.complexity(f), "path", "line", "end_line", "complexity") == [("a.ts", 1, 300, 300), ("b.rb", 1, 452, 151), ("c.py", 1, 4502, 4501)]
+
+
+def test_block_ends_against_plain_scans(spark):
+    rng = random.Random(6)
+    files = {f"f{i}.go": "\n".join(rng.choice(["func a() {", "func b()", "x {", "}", "} else {", "y", "", "{ }", "}}"]) for _ in range(rng.randint(1, 40))) for i in range(30)}
+    files |= {f"g{i}.py": "\n".join(" " * rng.choice([0, 0, 2, 4]) + rng.choice(["def f():", "x", "", "async def g():"]) for _ in range(rng.randint(1, 40))) for i in range(30)}
+    f = files_of(spark, files)
+    want = []
+    for path, text in files.items():
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            if path.endswith(".go") and line.startswith("func"):
+                depth, opened, end = 0, False, None
+                for j in range(i, min(i + 12, len(lines))):
+                    depth += lines[j].count("{") - lines[j].count("}")
+                    opened |= "{" in lines[j]
+                    if opened and depth <= 0:
+                        end = j
+                        break
+                if end is not None:
+                    want.append((path, i + 1, end + 1, "\n".join(lines[i : end + 1])))
+            if path.endswith(".py") and "def " in line:
+                deep, end = len(line) - len(line.lstrip()), i
+                while end + 1 < len(lines) and (not lines[end + 1].strip() or len(lines[end + 1]) - len(lines[end + 1].lstrip()) > deep):
+                    end += 1
+                want.append((path, i + 1, end + 1, "\n".join(lines[i : end + 1])))
+    got = blocks.brace_blocks(f, {blocks.GO: blocks.FUNCTION_HEADS[blocks.GO]}, 12).unionByName(blocks.indent_blocks(f, {blocks.PYTHON: blocks.INDENT_HEADS[blocks.PYTHON]}))
+    assert sorted((r.path, r.line, r.end_line, "\n".join(r.body)) for r in got.collect()) == sorted(want)
+
+
+def test_class_members_and_markers(spark):
+    text = "export class A {\n  go(x) {\n    if (x) { this.run(); }\n  }\n  // other-ignore\n  static async run<T>(): void {\n  }\n}\nfunction f() {\n  call(1);\n}\nclass B\n{\n  m() {}\n}"
+    f = files_of(spark, {"s.ts": text})
+    assert rows(symbols.class_members(f), "line", "name", "exported", "ignored") == [(2, "A.go", True, False), (6, "A.run", True, False), (14, "B.m", False, False)]
+    assert rows(symbols.class_members(f, "other").where("ignored"), "name") == [("A.run",)]
+    g = files_of(spark, {"a.ts": "function foo(bar: Baz) {}", "b.ts": "function Baz() {}\nfunction foo() {}"})
+    assert rows(symbols.dead_symbols(g), "path", "name") == [("a.ts", "foo"), ("b.ts", "foo")]
+
+
+def test_aliases_and_entry_points(spark):
+    f = files_of(spark, {"tsconfig.json": '{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["lib/*"], "cfg": ["settings.ts"]}}}', "package.json": '{"main": "dist/../run1.js", "exports": {".": {"import": "./esm.mjs", "default": ["./cjs2.js"]}, "./k.js": null}, "bin": "tool9.tsx"}', "src/lib/a.ts": "1", "src/settings.ts": "1", "run1.ts": "1", "cjs2.js": "1", "k.js": "1", "tool9.ts": "1", "src/use.ts": "import a from '@/a'; import c from 'cfg'; import z from '@/none';"})
+    assert rows(imports.unused_files(f), "path") == [("k.js",), ("src/use.ts",)]
+
+
+def test_reports(spark, tmp_path):
+    from lodegrain.plans import reports
+
+    f = files_of(spark, {"a.py": "def lone():\n    pass\n# TODO: x\n# BUG: y", "b.ts": "try { a() } catch (e) {}"})
+    assert [(r.severity, r.n) for r in reports.catches_by_severity(findings.weak_catches(f)).collect()] == [("error", 1), ("warning", 0), ("info", 0)]
+    assert [r.kind for r in reports.todos_in_order(findings.todos(f)).collect()] == ["BUG", "TODO"]
+    dead = symbols.dead_symbols(f)
+    assert [tuple(r) for r in reports.dead_by_file(dead).collect()] == [("a.py", 1, 12)]
+    head = json.loads(scan.json_report(f, dead, symbols.language_stats(f, symbols.definitions(f), dead), symbols.cleanup_stats(dead)).first()[0])
+    assert head["scannedFiles"] == 2 and head["deadSymbolCount"] == 1 and head["cleanup"] == {"byKind": {"function": 1}, "estimatedLines": 12} and len(head["detectedLanguages"]) == 2
+    whole = json.loads(scan.sarif_documents(dead, "R1", "Dead", "reason").first()["value"])
+    assert whole["version"] == "2.1.0" and whole["runs"][0]["results"][0]["locations"][0]["logicalLocations"][0] == {"name": "lone", "kind": "function"} and whole["runs"][0]["tool"]["driver"]["rules"][0]["id"] == "R1"
+    path = str(tmp_path / "base")
+    assert history.load_baseline(spark, path) is None
+    history.save_baseline(dead, path)
+    assert history.new_since(dead, history.load_baseline(spark, path)).count() == 0
+    sizes = spark.createDataFrame([(512, 0), (1536, 3), (2 * 1024 * 1024, 400), (1, 65)], "s long, d int").select(reports.human_size(F.col("s")).alias("s"), reports.age_text(F.col("d")).alias("d"))
+    assert [tuple(r) for r in sizes.collect()] == [("512B", "today"), ("1.5KB", "3d ago"), ("2.0MB", "1y ago"), ("1B", "2mo ago")]
+    assert rows(symbols.of_languages(f, ("python", "klingon")), "path") == [("a.py",)]
