@@ -46,15 +46,17 @@ class _TreeReader(DataSourceReader):
                 dirs[:] = sorted(d for d in dirs if self._wanted(d))
                 for name in sorted(n for n in names if self._wanted(n)):
                     full = os.path.join(folder, name)
+                    path, ext = os.path.relpath(full, self.root).replace(os.sep, "/"), os.path.splitext(name)[1].lower()
                     try:
                         info = os.stat(full)
                         content = None
                         if self.max_bytes is None or info.st_size <= self.max_bytes:
                             with open(full, encoding="utf-8", errors="replace") as f:
                                 content = f.read()
-                    except OSError:
+                    except OSError:  # seen in the table, as a file without size
+                        yield path, ext, None, None, None
                         continue
-                    yield os.path.relpath(full, self.root).replace(os.sep, "/"), os.path.splitext(name)[1].lower(), info.st_size, info.st_mtime, content
+                    yield path, ext, info.st_size, info.st_mtime, content
 
 
 class SourceTree(DataSource):
