@@ -62,16 +62,14 @@ def words_of(text: Column) -> Column:
     return _split(_spaced(text))
 
 
-def _kind(w: Column) -> Column:
-    """The word's placeholder, null for a literal."""
-    first, low = F.substring(w, 1, 1), F.lower(w)
-    literal = (low == w) | ((F.upper(w) == w) & (F.length(w) > 1))
-    return F.when(first.between("0", "9") | low.isin(NUMBERS), F.lit(NUMBER)).when(first == "@", F.lit(UNIT)).when(~literal, F.lit(NAME))
+def template_of(words: Column, lower: Column) -> Column:
+    """The words with placeholders, and literals in lower case; lower has the words in lower case and without the marks of units."""
 
+    def place(w: Column, low: Column) -> Column:
+        name = (low != w) & ((F.upper(w) != w) | (F.length(w) == 1))
+        return F.when(F.substring(w, 1, 1).between("0", "9") | low.isin(NUMBERS), F.lit(NUMBER)).when(F.startswith(w, F.lit("@")), F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(low)
 
-def template_of(words: Column) -> Column:
-    """The words with placeholders."""
-    return F.transform(words, lambda w: F.coalesce(_kind(w), F.lower(w)))
+    return F.zip_with(words, lower, place)
 
 
 def forms_of(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -79,8 +77,8 @@ def forms_of(df: DataFrame, keep: list[str]) -> DataFrame:
     numbers), and literal."""
     spaced = df.select(*keep, _spaced(F.col("text")).alias("_s"))
     words = spaced.select(*keep, _split(F.col("_s")).alias("words"), _split(F.lower(F.replace("_s", F.lit("@"), F.lit("")))).alias("literal"))
-    rows = words.select(*keep, "words", "literal", template_of(F.col("words")).alias("template"))
-    united = F.regexp_replace(F.array_join("template", " "), f"(?<=# )({'|'.join(UNITS)})(?= |$)", UNIT)
+    rows = words.select(*keep, "words", "literal", template_of(F.col("words"), F.col("literal")).alias("template"))
+    united = F.regexp_replace(F.array_join("template", " "), f"{NUMBER} (?:{'|'.join(UNITS)})(?= |$)", f"{NUMBER} {UNIT}")
     return rows.select(*keep, "words", "literal", "template", _split(F.regexp_replace(united, rf"({NUMBER}|{NAME}|{UNIT})(?: \1(?= |$))+", "$1")).alias("collapsed"))
 
 
