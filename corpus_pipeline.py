@@ -18,21 +18,25 @@ from lodegrain.llm import decontam, minhash, pieces, quality, toxicity
 from lodegrain.llm.common import materialise, modest_batches, rows_of, scratch
 
 MODEL = "piece_bpe_32k.model"
+#: Bytes of an Arrow batch: an executor and its Python workers live through all stages, so what the largest batch needs is held to the end.
+STAGE_BATCH_BYTES = 1 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the lexicon, learned from all labels, calls toxic. Null and empty texts stay."""
+    modest_batches(spark, STAGE_BATCH_BYTES)
     return toxicity.keep_clean(docs, toxicity.fit(docs, rows_of(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the fixed rules or the isolation forest reject; null and empty texts go."""
+    modest_batches(spark, STAGE_BATCH_BYTES)
     return quality.keep_clean(docs, rows_of(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more, the one with the least id. Texts without words stay, each distinct row once."""
-    modest_batches(spark)
+    modest_batches(spark, STAGE_BATCH_BYTES)
     return minhash.keep_one(docs, minhash.Similarity(80))
 
 
@@ -43,7 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each whole text, their number, and the text they decode to; null and empty texts have no ids. Encoding and decoding are one pass, so a task has one Python worker."""
-    modest_batches(spark)
+    modest_batches(spark, STAGE_BATCH_BYTES)
     coded = docs.select("doc_id", "lang", "source", pieces.round_trip(F.col("text"), public_tokenizers.path(MODEL)).alias("e"))
     return coded.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.decoded")
 

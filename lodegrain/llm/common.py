@@ -94,13 +94,13 @@ def fold_of_py(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
-def modest_batches(spark: SparkSession) -> None:
-    """Let Python workers get batches of BATCH_ROWS rows and BATCH_BYTES bytes, unless the session asks for less. Settings of the session: results are worked out after the call, so they stay."""
+def modest_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Python workers get batches of BATCH_ROWS rows and at most so many bytes, unless the session asks for less. Settings of the session: results are worked out after the call, so they stay."""
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    if int(spark.conf.get(size, "67108864b").rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(size, str(BATCH_BYTES))
+    if int(spark.conf.get(size, "67108864b").rstrip("b")) > most:
+        spark.conf.set(size, str(most))
 
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

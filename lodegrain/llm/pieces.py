@@ -30,13 +30,13 @@ BPE = 2
 SPACE = "▁"
 NEVER = float("-inf")
 #: Words a worker keeps; the cache starts anew when full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Ids that are decoded at a time (one longer text is decoded whole).
-DECODE_IDS = 1 << 18
+DECODE_IDS = 1 << 17
 #: Words longer than this are merged with a heap, shorter ones together in numpy.
 SHORT_WORD = 48
 #: Text bytes that are encoded at a time (one longer text is encoded whole).
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 ENCODED = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "begins", "ends")])
 ROUND_TRIP = T.StructType([*ENCODED.fields, T.StructField("decoded", T.StringType())])
 
@@ -455,21 +455,29 @@ class Decoder:
         return "".join(out)
 
 
+_models: dict[str, Model] = {}
 _encoders: dict[str, Encoder] = {}
 _decoders: dict[str, Decoder] = {}
 
 
+def _model(path: str) -> Model:
+    """A model file's content, which a worker's encoder and decoder share."""
+    if path not in _models:
+        _models[path] = Model.load(path)
+    return _models[path]
+
+
 def _encoder(path: str) -> Encoder:
     """A model's encoder, one in a worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(Model.load(path))
+        _encoders[path] = Encoder(_model(path))
     return _encoders[path]
 
 
 def _decoder(path: str) -> Decoder:
     """A model's decoder, one in a worker."""
     if path not in _decoders:
-        _decoders[path] = Decoder(Model.load(path))
+        _decoders[path] = Decoder(_model(path))
     return _decoders[path]
 
 
