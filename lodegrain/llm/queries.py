@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import decontam, licences, maincontent, maxent, minhash, pieces, quality, sharding, toxicity, warc
+from lodegrain.llm import bpe, decontam, licences, maincontent, maxent, minhash, pieces, quality, sharding, toxicity, warc
 from lodegrain.llm.common import fold_of, fresh_path, rows_of
 from lodegrain.llm.oracles import ORACLES  # noqa: F401  the entry takes both from here
 
 SHARDS = 40
 MODEL = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "fault")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the public byte-level BPE vocabulary and the text that they decode to, as digests."""
+    coded = rows_of(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), public_tokenizers.path(BYTE_BPE)).alias("e"))
+    return coded.select("doc_id", (F.octet_length("e.packed") / 4).cast("long").alias("n_tokens"), F.sha2("e.packed", 256).alias("ids_sha256"), F.sha2(F.col("e.decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_licences": op2_licences,
@@ -97,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op13_byte_bpe": op13_byte_bpe,
 }
