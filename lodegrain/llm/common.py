@@ -36,11 +36,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodegrain-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost no recomputation. The table stays, as results read it later."""
+def materialise(df: DataFrame, name: str, path: str | None = None, **options: object) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost no recomputation. The table stays, as results read it later. options are the writer's."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,14 +51,14 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """A function like materialise() whose tables are deleted at the end of the block, so no result may read them after it."""
     folder, n = fresh_path(spark, "scratch"), 0
 
-    def write(df: DataFrame, name: str) -> DataFrame:
+    def write(df: DataFrame, name: str, **options: object) -> DataFrame:
         nonlocal n
         n += 1
-        return materialise(df, name, f"{folder}/{n}-{name}")
+        return materialise(df, name, f"{folder}/{n}-{name}", **options)
 
     try:
         yield write

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.llm import bpe, decontam, licences, maincontent, maxent, minhash, pieces, quality, sharding, toxicity, warc
-from lodegrain.llm.common import fold_of, fresh_path, rows_of
+from lodegrain.llm import bpe, decontam, licences, maincontent, maxent, minhash, negatives, pieces, quality, search, sharding, toxicity, warc
+from lodegrain.llm.common import fold_of, fresh_path, materialise, rows_of, scratch
 from lodegrain.llm.oracles import ORACLES  # noqa: F401  the entry takes both from here
 
 SHARDS = 40
@@ -87,6 +87,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "fault")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    items = rows_of(spark, sf_dir, "benchmark").select("item_id", "text")
+    with scratch(spark) as write:
+        index = search.build(rows_of(spark, sf_dir, "documents"), write)
+        return materialise(search.search(index, items, 20, write).select("item_id", "rank", "doc_id", "score"), "ranked")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every hundredth vector and its positives; every seventh vector's label is moved on by one."""
+    label = F.col("label").cast("long")
+    rows = rows_of(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), negatives.scaled(F.col("embedding")).alias("vector")
+    )
+    with scratch(spark) as write:
+        index = negatives.build(rows.where("vec_id is not null and label is not null and vector is not null"), write)
+        return materialise(negatives.mine(index, negatives.Mining(), write), "negatives")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under the public byte-level BPE vocabulary and the text that they decode to, as digests."""
     coded = rows_of(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), public_tokenizers.path(BYTE_BPE)).alias("e"))
@@ -104,5 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_search": op11_search,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
