@@ -1,29 +1,27 @@
 """Definitions, references, and definitions that nothing refers to.
 
-A language is a list of ordered line rules; the first that matches a line defines a symbol. References are the identifiers of the other lines. A definition is
+Most languages are lists of ordered line rules; the first that matches a line defines a symbol. References are the identifiers of the other lines. A definition is
 dead if no other file refers to its name. References are reduced to the first and last path of each name before they meet the definitions, so a word that all files hold is one
-row. TypeScript is read by line rules too, not by a syntax tree; members of a class are the method heads one brace deeper than it.
+row. The TypeScript family is read by tokens and scopes instead of lines.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegrain.functions.text import EDGE_L, EDGE_R, IDENT, basename, by_extension, first_rule, lines_of
+from lodegrain.functions.text import EDGE_L, IDENT, basename, by_extension, first_rule, lines_of
+from lodegrain.operators import typescript
 
 #: Weights of a dead symbol in lines, entry points and ignored names.
 LINES = {"function": 12, "method": 10, "class": 30, "variable": 1, "interface": 8, "type": 3, "enum": 6, "struct": 15, "trait": 12, "module": 20}
 OTHER_LINES = 5
 ENTRY_POINTS = ("index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.py", "main.go", "main.py", "main.rb", "main.rs", "Program.cs", "Main.java")
 IGNORED_NAMES = ("_*", "__*", "test_*", "*_test", "*Test", "*Spec")
-#: Heads of methods in classes of the TypeScript family.
-TS_EXTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-TS_CLASS = r"^\s*(export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_][A-Za-z0-9_]*)"
-TS_METHOD = r"^\s*(?:(?:public|private|protected|static|async|override|abstract|declare)\s+)*\*?\s*(?!(?:constructor|if|for|while|switch|catch|return|function|new|throw|super|get|set)(?![A-Za-z0-9_]))([A-Za-z_][A-Za-z0-9_]*)\s*\??\s*(?:<[^>]*>\s*)?\("
 #: The tool whose comment on the line before asks for a definition to be left alone: its name and -ignore.
 TOOL = "lodegrain"
 
@@ -43,6 +41,7 @@ class Language:
 
 _MODS_JAVA = r"(?:public|private|protected|static|final|abstract|synchronized|native|\s)+"
 _MODS_CS = r"(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|partial|readonly|\s)+"
+#: Heads of definitions in each language, and what counts as exported.
 LANGUAGES = (
     Language("python", (".py",), (("method", rf"^\s+(?:async\s+)?def\s+({IDENT})\s*\(", 1), ("function", rf"^(?:async\s+)?def\s+({IDENT})\s*\(", 1), ("class", rf"^\s*class\s+({IDENT})\s*[:(]", 1), ("variable", rf"^(?!_)({IDENT})\s*=", 1)), ("variable",), (), "underscore"),
     Language("go", (".go",), (("method", rf"^func\s+\(\w+\s+\*?(\w+)\)\s+{IDENT}\s*\(", 1), ("function", rf"^func\s+({IDENT})\s*\(", 1), ("struct", rf"^type\s+({IDENT})\s+struct", 1), ("interface", rf"^type\s+({IDENT})\s+interface", 1), ("type", rf"^type\s+({IDENT})\s+(?:map|chan|\[)", 1), ("variable", rf"^(?:var|const)\s+({IDENT})\s", 1)), (), (), "upper"),
@@ -51,11 +50,7 @@ LANGUAGES = (
     Language("ruby", (".rb",), (("method", rf"^\s*def\s+(?:self\.)?({IDENT}[?!]?)", 1), ("class", r"^\s*class\s+([A-Z][A-Za-z_]*)", 1), ("module", r"^\s*module\s+([A-Z][A-Za-z_]*)", 1)), (), (), "ruby"),
     Language("rust", (".rs",), tuple((k, rf"^\s*(?:pub(?:\([^)]*\))?\s+)?{head}\s+({name})", 1) for k, head, name in (("function", r"(?:async\s+)?fn", IDENT), ("struct", "struct", IDENT), ("enum", "enum", IDENT), ("trait", "trait", IDENT), ("type", "type", IDENT), ("variable", "const", r"[A-Z_][A-Za-z0-9_]*"))), (), (), "pub"),
     Language("php", (".php",), (("function", rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+({IDENT})\s*\(", 1), ("class", rf"^\s*(?:(?:abstract|final)\s+)?class\s+({IDENT})", 1), ("interface", rf"^\s*interface\s+({IDENT})", 1), ("trait", rf"^\s*trait\s+({IDENT})", 1)), (), (), "php"),
-    Language(
-        "typescript", (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"),
-        (("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({IDENT})", 1), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({IDENT})", 1), ("interface", rf"^\s*(?:export\s+)?interface\s+({IDENT})", 1), ("type", rf"^\s*(?:export\s+)?type\s+({IDENT})\s*[=<]", 1), ("enum", rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+({IDENT})", 1),
-         ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({IDENT})\s*(?::[^=]*)?=\s*(?:async\s*)?(?:function|\([^)]*\)\s*(?::[^=]*)?=>|{IDENT}\s*=>)", 1), ("variable", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({IDENT})", 1)), ("variable",), (), "export",
-    ),
+    Language("typescript", typescript.EXTS, ()),
 )
 
 
@@ -68,40 +63,30 @@ def marker(tool: str) -> str:
     return rf"(?://|#)\s*{re.escape(tool)}-ignore(?![A-Za-z0-9_-])"
 
 
-def class_members(files: DataFrame, tool: str = TOOL) -> DataFrame:
-    """definitions() of the methods in classes of the TypeScript family, named Class.method: heads of methods at the depth that the last class before them opened and nothing closed since."""
-    lines = lines_of(files.where(F.col("ext").isin(list(TS_EXTS))))
-    by_line = Window.partitionBy("path").orderBy("line")
-    braces = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
-    named = lambda p, g: F.nullif(F.regexp_extract("text", p, g), F.lit(""))
-    slim = lines.select("path", "line", (braces("{") - braces("}")).alias("_net"), F.when(named(TS_CLASS, 2).isNotNull(), F.struct(named(TS_CLASS, 2).alias("name"), named(TS_CLASS, 1).isNotNull().alias("exported"))).alias("_class"), named(TS_METHOD, 1).alias("_method"), F.col("text").rlike(marker(tool)).alias("_marks"))
-    deep = slim.withColumn("_now", F.sum("_net").over(by_line)).withColumn("_was", F.col("_now") - F.col("_net")).withColumn("ignored", F.coalesce(F.lag("_marks").over(by_line), F.lit(False)))
-    kind = deep.schema["_class"].dataType
-    opened = deep.where("_class is not null").select("path", (F.col("_was") + 1).alias("level"), "line", F.lit(0).alias("_order"), "_class", F.lit(None).cast("string").alias("_method"), "ignored")
-    closed = deep.where("_now < _was").select("path", F.explode(F.sequence(F.col("_now") + 1, "_was")).alias("level"), "line", F.lit(2).alias("_order"), F.lit(None).cast(kind).alias("_class"), F.lit(None).cast("string").alias("_method"), "ignored")
-    asked = deep.where("_method is not null").select("path", F.col("_was").alias("level"), "line", F.lit(1).alias("_order"), F.lit(None).cast(kind).alias("_class"), "_method", "ignored")
-    rows = opened.unionByName(closed).unionByName(asked)
-    event = F.when(F.col("_order") != 1, F.struct("_class"))
-    last = F.last(event, ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("line", "_order").rowsBetween(Window.unboundedPreceding, -1))
-    found = rows.withColumn("_c", last["_class"]).where("_method is not null and _c is not null")
-    return found.select("path", "line", F.lit("typescript").alias("language"), F.concat("_c.name", F.lit("."), "_method").alias("name"), F.lit("method").alias("kind"), F.lit(0).alias("column"), F.col("_c.exported").alias("exported"), "ignored")
+def _by_rules(text: Column, of: Callable[[Column], Column]) -> Column:
+    """of(struct(kind, name)) of the line's definition by its language's rules. The rules are tried inside a lambda, where Spark interprets them: their code would be longer than a Java method may be."""
+    return F.transform(F.array(text), lambda t: of(by_extension(F.col("ext"), {x.extensions: first_rule(t, list(x.rules)) for x in LANGUAGES if x.rules})))
+
+
+def _ruled(files: DataFrame) -> DataFrame:
+    """Files of the languages that are read by line rules."""
+    return files.where(F.col("ext").isin([e for x in LANGUAGES if x.rules for e in x.extensions]) & F.col("content").isNotNull())
 
 
 def definitions(files: DataFrame, tool: str = TOOL) -> DataFrame:
-    """(path, line, language, name, kind, column, exported, ignored): what each file's lines define.
+    """(path, line, language, name, kind, column, exported, ignored, end_line): what each file defines; end_line where the language is read by tokens.
 
     Go methods are named Receiver.name, TypeScript's Class.name. A definition is ignored if the line before it holds the tool's marker. Lines over several megabytes are lines like others; null contents define nothing.
     """
-    lines = lines_of(files.where(language_of(F.col("ext")).isNotNull()))
-    before = F.lag("text", 1).over(Window.partitionBy("path").orderBy("line"))
-    marked = lines.withColumn("ignored", F.coalesce(before.rlike(marker(tool)), F.lit(False))).withColumn("language", language_of(F.col("ext")))
-    text = F.col("text")
-    found = by_extension(F.col("ext"), {x.extensions: first_rule(text, list(x.rules)) for x in LANGUAGES})
-    rows = marked.withColumn("_d", found).where("_d is not null")
+    split = F.split("content", "\n")
+    both = F.arrays_zip(split.alias("text"), F.concat(F.array(F.lit("")), split).alias("before"))
+    lines = _ruled(files).select("path", "ext", F.posexplode(both).alias("_at", "_l")).select("path", "ext", (F.col("_at") + 1).alias("line"), "_l.text", "_l.before").where("text is not null")
+    # explode() works each line's definition out once and drops lines without one
+    rows = lines.select("*", language_of(F.col("ext")).alias("language"), F.explode(F.array_compact(_by_rules(F.col("text"), lambda d: d))).alias("_d"))
+    text, name, lang = F.col("text"), F.col("_d.name"), F.col("language")
     for x in LANGUAGES:
         if x.excluded:
-            rows = rows.where(~((F.col("language") == x.name) & F.col("_d.name").isin(list(x.excluded))))
-    name, lang = F.col("_d.name"), F.col("language")
+            rows = rows.where(~((lang == x.name) & name.isin(list(x.excluded))))
     receiver = (lang == "go") & (F.col("_d.kind") == "method")
     full = F.when(receiver, F.concat(name, F.lit("."), F.regexp_extract(text, rf"^func\s+\(\w+\s+\*?\w+\)\s+({IDENT})", 1))).otherwise(name)
     column = F.when(lang == "python", F.length(F.regexp_extract(text, r"^(\s*)", 1))).otherwise(0)
@@ -112,23 +97,23 @@ def definitions(files: DataFrame, tool: str = TOOL) -> DataFrame:
         .when(lang.isin("java", "csharp"), text.contains("public") | ((lang == "csharp") & (F.col("_d.kind") == "interface")))
         .when(lang == "ruby", ~last.startswith("_") & ~text.rlike(r"\b(?:private|protected)\b"))
         .when(lang == "rust", text.rlike(r"^\s*pub\b"))
-        .when(lang == "php", (F.col("_d.kind") != "function") | ~text.rlike("private|protected"))
-        .otherwise(text.rlike(r"^\s*export\b"))
+        .otherwise((F.col("_d.kind") != "function") | ~text.rlike("private|protected"))
     )
     listed = files.where(F.col("content").rlike(r"(?m)^__all__\s*=") & (F.col("ext") == ".py")).select("path", F.lit(True).alias("_all"))
-    out = rows.select("path", "line", "language", full.alias("name"), F.col("_d.kind").alias("kind"), column.alias("column"), exported.alias("exported"), "ignored").join(listed, "path", "left")
-    return out.withColumn("exported", F.col("exported") & ~(F.coalesce("_all", F.lit(False)) & F.col("kind").isin("function", "method"))).drop("_all").unionByName(class_members(files, tool))
+    out = rows.select("path", "line", "language", full.alias("name"), F.col("_d.kind").alias("kind"), column.alias("column"), exported.alias("exported"), F.col("before").rlike(marker(tool)).alias("ignored"), F.lit(None).cast("int").alias("end_line")).join(listed, "path", "left")
+    ruled = out.withColumn("exported", F.col("exported") & ~(F.coalesce("_all", F.lit(False)) & F.col("kind").isin("function", "method"))).drop("_all")
+    parsed = typescript.facts(files, marker(tool)).select("path", F.explode("definitions").alias("d"))
+    return ruled.unionByName(parsed.select("path", "d.line", F.lit("typescript").alias("language"), "d.name", "d.kind", "d.column", "d.exported", "d.ignored", "d.end_line"))
 
 
 def mentions(files: DataFrame) -> DataFrame:
-    """(path, name): identifiers of each file's lines that define nothing, or define a kind whose line still refers; in the TypeScript family also those beside the defined name. Repeated as they occur."""
-    lines = lines_of(files.where(language_of(F.col("ext")).isNotNull()))
-    found = by_extension(F.col("ext"), {x.extensions: first_rule(F.col("text"), list(x.rules)) for x in LANGUAGES})
-    open_kind = by_extension(F.col("ext"), {x.extensions: found["kind"].isin(list(x.open_kinds)) for x in LANGUAGES if x.open_kinds})
-    beside = F.col("ext").isin(list(TS_EXTS)) & found.isNotNull() & ~F.coalesce(open_kind, F.lit(False))
-    kept = lines.where(found.isNull() | F.coalesce(open_kind, F.lit(False)) | beside).withColumn("text", F.when(beside, F.regexp_replace("text", F.concat(F.lit(EDGE_L), found["name"], F.lit(EDGE_R)), F.lit(" "))).otherwise(F.col("text")))
+    """(path, name): names in each file but where they are defined. By line rules these are the identifiers of lines that define nothing, or define a kind whose line still refers, as often as they occur; by tokens each name once."""
+    opens = [k for x in LANGUAGES for k in ((x.name, o) for o in x.open_kinds)]
+    refers = lambda d: d.isNull() | F.struct(language_of(F.col("ext")).alias("l"), d["kind"].alias("k")).isin([F.struct(F.lit(a).alias("l"), F.lit(b).alias("k")) for a, b in opens])
+    kept = lines_of(_ruled(files)).where(F.element_at(_by_rules(F.col("text"), refers), 1))
     ruby = F.when(F.col("ext") == ".rb", F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT}[?!])\("), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    return kept.select("path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT})"), F.lit(1)), ruby)).alias("name"))
+    ruled = kept.select("path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT})"), F.lit(1)), ruby)).alias("name"))
+    return ruled.union(typescript.facts(files, marker(TOOL)).select("path", F.explode("names").alias("name")))
 
 
 def references(files: DataFrame) -> DataFrame:
@@ -178,7 +163,7 @@ def of_languages(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
 def dead_symbols(files: DataFrame, globs: tuple[str, ...] = IGNORED_NAMES, entry_points: tuple[str, ...] = ENTRY_POINTS, tool: str = TOOL) -> DataFrame:
     """Definitions that no other file refers to, without ignored names, marked lines and exports of entry points, with a reason."""
     nodes = first_definitions(definitions(files, tool)).where(~F.col("ignored") & not_ignored(F.col("name"), globs)).where(~(F.col("exported") & basename(F.col("path")).isin(list(entry_points))))
-    return dead(nodes, mentions(files)).withColumn("reason", F.when(F.col("exported"), F.lit("Exported but never imported by any other file")).otherwise(F.lit("Defined but never referenced outside its own file")))
+    return dead(nodes, mentions(files)).withColumn("reason", F.when(F.col("exported"), F.lit("exported, but no other file names it")).otherwise(F.lit("no other file names it")))
 
 
 def language_stats(files: DataFrame, defs: DataFrame, dead_rows: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ FILES = {
     "src/loop1.ts": "import { l2_{k} } from './loop2';\nexport const l1_{k} = l2_{k};",
     "src/loop2.ts": "import { l1_{k} } from './loop1';\nexport const l2_{k} = 2;",
     "src/al.ts": "import { w } from '@lib/w';\nimport fs from 'fs';",
+    "src/ghost.ts": "export const Ghost_{k} = () => 1;",
+    "src/deep.ts": "import { Svc_{k} } from './svc';\n// Ghost_{k} is only named here\nconst brace_{k} = \"}{\" + `{ ${Svc_{k}} Ghost_{k}`;\nexport function outer_{k}(a: string) {\n  const inner_{k} = /[{\"]Ghost_{k}/.test(a),\n    twice_{k} = (x: number) => {\n      return x * 2;\n    };\n  function local_{k}() { return inner_{k}; }\n  return local_{k};\n}\n// lodegrain-ignore\nexport abstract class Deep_{k} {\n  static made = '}';\n  get size_ts_{k}() { return 1; }\n  @log()\n  async run_deep_{k}<T>(\n    a: T,\n  ): Promise<T> {\n    return a;\n  }\n}",
 }
 #: Files at the root.
 ROOT = {
@@ -44,7 +46,7 @@ ROOT = {
     "requirements.txt": "Requests==2 # x\nflask>=1\nos", "go.mod": "module m\nrequire (\n\tgithub.com/a/b v1.0.0\n)\n", "Cargo.toml": '[package]\nname = "x"\n[dependencies]\nserde = "1"\nrand = "0.8"\n[features]\ny = []',
     ".env": "API_URL=x\nUNUSED_KEY=y\nA=1\n", "config.json": '{"db": {"host": "h", "ports": [1]}, "x1": 2}',
 }
-#: What must be found: (file, line, language, name, kind, column, exported, ignored, dead).
+#: What must be found: (file, line, language, name, kind, column, exported, ignored, dead, end line where the language is read by tokens).
 DEFINITIONS = [
     ("a.py", 4, "python", "Alpha_{k}", "class", 0, True, False, True), ("a.py", 5, "python", "run_{k}", "method", 4, True, False, True), ("a.py", 14, "python", "kept_{k}", "function", 0, True, True, False), ("a.py", 18, "python", "LIMIT_{k}", "variable", 0, True, False, True),
     ("util.py", 1, "python", "helper_{k}", "function", 0, True, False, False), ("util.py", 9, "python", "lonely_{k}", "function", 0, True, False, True), ("d1.py", 1, "python", "total_{k}", "function", 0, True, False, True), ("d2.py", 1, "python", "sum_{k}", "function", 0, True, False, True),
@@ -54,12 +56,14 @@ DEFINITIONS = [
     ("c.rb", 1, "ruby", "Thing_", "class", 0, True, False, True), ("c.rb", 2, "ruby", "run_{k}!", "method", 0, True, False, True),
     ("f.php", 2, "php", "Shape_{k}", "class", 0, True, False, True), ("f.php", 3, "php", "area_{k}", "function", 0, False, False, True), ("f.php", 7, "php", "Draw_{k}", "interface", 0, True, False, True), ("f.php", 8, "php", "Bold_{k}", "trait", 0, True, False, True),
     ("q.cs", 2, "csharp", "Kind_{k}", "class", 0, True, False, True), ("q.cs", 3, "csharp", "Prop_{k}", "variable", 0, True, False, True), ("q.cs", 4, "csharp", "Go_{k}", "method", 0, True, False, True),
-    ("src/b.ts", 4, "typescript", "use_{k}", "function", 0, True, False, True), ("src/svc.ts", 1, "typescript", "Svc_{k}", "class", 0, True, False, False), ("src/svc.ts", 2, "typescript", "Svc_{k}.go_ts_{k}", "method", 0, True, False, True),
-    ("src/svc.ts", 6, "typescript", "Opt_{k}", "interface", 0, True, False, True), ("src/svc.ts", 9, "typescript", "Id_{k}", "type", 0, False, False, True), ("src/svc.ts", 10, "typescript", "Color_{k}", "enum", 0, False, False, True),
-    ("src/side.ts", 1, "typescript", "side_{k}", "variable", 0, True, False, True), ("src/orphan.ts", 1, "typescript", "orphan_{k}", "function", 0, True, False, True), ("src/loop1.ts", 2, "typescript", "l1_{k}", "variable", 0, True, False, False), ("src/loop2.ts", 2, "typescript", "l2_{k}", "variable", 0, True, False, False),
+    ("src/b.ts", 4, "typescript", "use_{k}", "function", 13, True, False, True, 10), ("src/svc.ts", 1, "typescript", "Svc_{k}", "class", 13, True, False, False, 5), ("src/svc.ts", 2, "typescript", "Svc_{k}.go_ts_{k}", "method", 2, True, False, True, 4),
+    ("src/svc.ts", 6, "typescript", "Opt_{k}", "interface", 17, True, False, True, 8), ("src/svc.ts", 9, "typescript", "Id_{k}", "type", 5, False, False, True, 9), ("src/svc.ts", 10, "typescript", "Color_{k}", "enum", 5, False, False, True, 10),
+    ("src/side.ts", 1, "typescript", "side_{k}", "variable", 13, True, False, True, 1), ("src/orphan.ts", 1, "typescript", "orphan_{k}", "function", 16, True, False, True, 1), ("src/loop1.ts", 2, "typescript", "l1_{k}", "variable", 13, True, False, False, 2), ("src/loop2.ts", 2, "typescript", "l2_{k}", "variable", 13, True, False, False, 2),
+    ("src/ghost.ts", 1, "typescript", "Ghost_{k}", "function", 13, True, False, True, 1), ("src/deep.ts", 3, "typescript", "brace_{k}", "variable", 6, False, False, True, 3), ("src/deep.ts", 4, "typescript", "outer_{k}", "function", 16, True, False, True, 11), ("src/deep.ts", 5, "typescript", "inner_{k}", "variable", 8, False, False, True, 8),
+    ("src/deep.ts", 6, "typescript", "twice_{k}", "function", 4, False, False, True, 8), ("src/deep.ts", 9, "typescript", "local_{k}", "function", 11, False, False, True, 9), ("src/deep.ts", 13, "typescript", "Deep_{k}", "class", 22, True, True, False, 22), ("src/deep.ts", 17, "typescript", "Deep_{k}.run_deep_{k}", "method", 8, True, False, True, 21),
 ]
-ROOT_DEFINITIONS = [("shared/w.ts", 1, "typescript", "w", "variable", 0, True, False, False), ("lib/start2.ts", 1, "typescript", "begin2", "variable", 0, True, False, True)]
-EDGES = [("a.py", "util.py", "helper_{k}"), ("src/b.ts", "src/svc.ts", "Svc_{k}"), ("src/loop1.ts", "src/loop2.ts", "l2_{k}"), ("src/loop2.ts", "src/loop1.ts", "l1_{k}")]
+ROOT_DEFINITIONS = [("shared/w.ts", 1, "typescript", "w", "variable", 13, True, False, False, 1), ("lib/start2.ts", 1, "typescript", "begin2", "variable", 13, True, False, True, 1)]
+EDGES = [("a.py", "util.py", "helper_{k}"), ("src/b.ts", "src/svc.ts", "Svc_{k}"), ("src/deep.ts", "src/svc.ts", "Svc_{k}"), ("src/loop1.ts", "src/loop2.ts", "l2_{k}"), ("src/loop2.ts", "src/loop1.ts", "l1_{k}")]
 TODOS = [("a.py", 11, "TODO", "tidy AB-7 later", "AB-7", 1)]
 DEBUG = [
     ("a.py", 16, "print", 'print("never")'), ("d1.py", 5, "print", 'print("total", amount)'), ("d2.py", 5, "print", 'print("other", amount)'), ("m.go", 9, "print", 'fmt.Println("x")'), ("X.java", 7, "print", "System.out.println(a);"), ("r.rs", 4, "print", 'println!("x");'),
@@ -71,7 +75,7 @@ CATCHES = [
 ]
 UNREACHABLE = [("a.py", 15, 16, 16, "error", '    print("never")')]
 COMPLEX = [("a.py", "run_{k}", 5, 12, 7, "medium"), ("X.java", "size_{k}", 2, 9, 7, "medium")]
-UNUSED = ("a.py", "util.py", "d1.py", "d2.py", "m.go", "X.java", "r.rs", "u.rs", "c.rb", "f.php", "q.cs", "src/side.ts", "src/orphan.ts", "src/al.ts")
+UNUSED = ("a.py", "util.py", "d1.py", "d2.py", "m.go", "X.java", "r.rs", "u.rs", "c.rb", "f.php", "q.cs", "src/side.ts", "src/orphan.ts", "src/al.ts", "src/ghost.ts", "src/deep.ts")
 PACKAGES = [("npm", "gone", "4"), ("pip", "requests", "Requests==2"), ("pip", "flask", "flask>=1"), ("go", "github.com/a/b", "v1.0.0"), ("go", "(", "github.com/a/b"), ("cargo", "rand", '"0.8"')]
 KEYS = [("UNUSED_KEY", "y", ".env"), ("db.host", "h", "config.json"), ("db.ports", "[1]", "config.json"), ("x1", "2", "config.json")]
 
@@ -146,6 +150,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _quoted(x: object) -> str:
+    if x is None:
+        return "CAST(NULL AS INT)"
     if isinstance(x, bool):
         return "TRUE" if x else "FALSE"
     return str(x) if isinstance(x, int) else "replace('" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "', '{k}', k)"
@@ -159,7 +165,7 @@ def _rows(own: list[tuple], columns: str, root: list[tuple] = (), folder: tuple[
 
 
 _S = "s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier)"
-_DEFS = f"defs AS ({_rows(DEFINITIONS, 'path, line, language, name, kind, \"column\", exported, ignored, dead', ROOT_DEFINITIONS)})"
+_DEFS = f"defs AS ({_rows([(*r, None)[:10] for r in DEFINITIONS], 'path, line, language, name, kind, \"column\", exported, ignored, dead, end_line', ROOT_DEFINITIONS)})"
 _FILES = f"files AS ({_rows([(p, t) for p, t in FILES.items()], 'path, content', [(p, t) for p, t in ROOT.items()])})"
 _LANGUAGE = "CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'rb' THEN 'ruby' WHEN 'cs' THEN 'csharp' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'php' THEN 'php' END"
 _WEIGHT = "CASE kind WHEN 'function' THEN 12 WHEN 'method' THEN 10 WHEN 'class' THEN 30 WHEN 'variable' THEN 1 WHEN 'interface' THEN 8 WHEN 'type' THEN 3 WHEN 'enum' THEN 6 WHEN 'struct' THEN 15 WHEN 'trait' THEN 12 END"
@@ -172,7 +178,7 @@ _GROUP = "2 * count(*) AS n, 6 AS lines, 6 * (2 * count(*) - 1) AS wasted"
 _N = "(SELECT count(*) FROM s)"
 
 ORACLES: dict[str, str] = {
-    "code_definitions": f"WITH {_S}, {_DEFS} SELECT path, line, language, name, kind, \"column\", exported, ignored FROM defs",
+    "code_definitions": f"WITH {_S}, {_DEFS} SELECT path, line, language, name, kind, \"column\", exported, ignored, end_line FROM defs",
     "code_edges": f"WITH {_S} {_rows(EDGES, 'from_path, path, name', folder=(0, 1))} UNION ALL SELECT 'p' || k || '/src/al.ts', 'shared/w.ts', 'w' FROM s",
     "code_dead": f"WITH {_S}, {_DEFS} SELECT path, name, kind, line, exported FROM defs WHERE dead",
     "code_languages": f"WITH {_S}, {_DEFS}, {_FILES}, a AS (SELECT {_LANGUAGE} AS language, count(*) AS files FROM files GROUP BY 1), b AS (SELECT language, count(*) AS definitions, count(*) FILTER (dead) AS dead FROM defs GROUP BY 1) SELECT language, files, definitions, dead, CAST(round(100.0 * dead / definitions) AS BIGINT) AS dead_percent FROM a JOIN b USING (language)",

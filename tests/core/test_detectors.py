@@ -271,9 +271,10 @@ def test_block_ends_against_plain_scans(spark):
 
 def test_class_members_and_markers(spark):
     text = "export class A {\n  go(x) {\n    if (x) { this.run(); }\n  }\n  // other-ignore\n  static async run<T>(): void {\n  }\n}\nfunction f() {\n  call(1);\n}\nclass B\n{\n  m() {}\n}"
-    f = files_of(spark, {"s.ts": text})
-    assert rows(symbols.class_members(f), "line", "name", "exported", "ignored") == [(2, "A.go", True, False), (6, "A.run", True, False), (14, "B.m", False, False)]
-    assert rows(symbols.class_members(f, "other").where("ignored"), "name") == [("A.run",)]
+    f = files_of(spark, {"s.ts": text, "n.ts": None})
+    methods = symbols.definitions(f).where("kind = 'method'")
+    assert rows(methods, "line", "end_line", "name", "exported", "ignored") == [(2, 4, "A.go", True, False), (6, 7, "A.run", True, False), (14, 14, "B.m", False, False)]
+    assert rows(symbols.definitions(f, "other").where("ignored"), "name") == [("A.run",)]
     g = files_of(spark, {"a.ts": "function foo(bar: Baz) {}", "b.ts": "function Baz() {}\nfunction foo() {}"})
     assert rows(symbols.dead_symbols(g), "path", "name") == [("a.ts", "foo"), ("b.ts", "foo")]
 
