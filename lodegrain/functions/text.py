@@ -11,6 +11,14 @@ IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 COMMENT_LINE = r"^\s*(?://|#|\*|/\*)"
 
 
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def word(pattern: str) -> str:
     """pattern as a whole ASCII word."""
     return f"{EDGE_L}(?:{pattern}){EDGE_R}"

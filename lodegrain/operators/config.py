@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrain.functions.text import basename, lines_of
+from lodegrain.operators.within import within
 
 #: Files that declare keys.
 ENV_FILE = r"^\.env(?:\.(?:example|sample|local|development|staging|production|test))?\z"
@@ -44,20 +45,24 @@ def config_keys(files: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max_by(F.struct("value", "declared_in"), F.struct("declared_in", "ord")).alias("d")).select("key", "d.*")
 
 
-#: Distinct keys in a broadcast block.
-KEY_BLOCK = 100_000
-
-
 def unmentioned(keys: DataFrame, texts: DataFrame, key: str = "key", text: str = "content") -> DataFrame:
-    """Rows of keys whose key is part of no text. The distinct keys are broadcast in counted blocks past streaming texts, and what is found meets the keys by equality."""
-    used = texts.select(F.col(text).alias("_text")).where("_text is not null")
+    """Rows of keys whose key is part of no text.
+
+    A key without white space is part of a text if it is part of one of its words, so keys are looked up in the corpus's distinct words and texts are read once. Only
+    where keys with white space exist are the texts read again: such a key is looked up by the longest part that has none, and compared with the texts that hold it.
+    """
     wanted = keys.select(F.col(key).alias("_key")).where("_key is not null").distinct()
-    n_blocks = max(1, -(-wanted.count() // KEY_BLOCK))
-    found = None
-    for i in range(n_blocks):
-        block = wanted.where(F.pmod(F.xxhash64("_key"), F.lit(n_blocks)) == i)
-        hit = used.join(F.broadcast(block), F.contains(F.col("_text"), F.col("_key"))).select("_key").distinct()
-        found = hit if found is None else found.union(hit)
+    used = texts.select(F.col(text).alias("_text")).where("_text is not null")
+    words = F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("_word")
+    spaced = F.col("_key").rlike(r"\s")
+    found = within(wanted.where(~spaced), used.select(words), "_key", "_word").select("_key").distinct()
+    if not wanted.where(spaced).isEmpty():
+        part = F.element_at(F.array_sort(F.split("_key", r"\s+"), lambda a, b: F.length(b) - F.length(a)), 1)
+        several = wanted.where(spaced).withColumn("_part", part)
+        named = used.withColumn("_text_id", F.xxhash64("_text"))
+        holds = within(several, named.select(words), "_part", "_word").join(named.select("_text_id", words), "_word").select("_text_id", "_part").distinct()
+        met = holds.join(several, "_part").join(named, "_text_id").where(F.contains(F.col("_text"), F.col("_key")))
+        found = found.union(met.select("_key").distinct())
     return keys.join(found, F.col(key) == F.col("_key"), "left_anti")
 
 

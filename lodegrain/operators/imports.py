@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.functions.text import basename, dirname, lines_of, normal_path
 from lodegrain.operators.graph import cycles
+from lodegrain.operators.within import within
 
 JS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 #: Endings tried in turn for an import, for unused files and for circles.
@@ -148,24 +149,16 @@ def package_imports(files: DataFrame) -> DataFrame:
     return npm.union(pip).union(go).union(rust).distinct()
 
 
-#: Distinct declared names in a broadcast block.
-NAME_BLOCK = 100_000
-
-
 def unused(declared: DataFrame, used: DataFrame) -> DataFrame:
     """Rows of declared(manager, name, ...) that no row of used(manager, name) of the same manager serves: equal, a path below it, or part of its name.
 
-    The distinct declared names are broadcast in counted blocks past the used ones, which stay where they are; what is served meets the declared rows by equality."""
+    Used names meet declared ones by equality with each of their beginnings up to a slash; parts of names are looked up by their pieces."""
     names = declared.select(F.col("manager").alias("_m"), F.col("name").alias("_n")).where("_m is not null and _n is not null").distinct()
-    u = used.select(F.col("manager").alias("_um"), F.col("name").alias("_u"))
-    serves = (F.col("_u") == F.col("_n")) | F.col("_u").startswith(F.concat("_n", F.lit("/"))) | F.contains("_n", F.col("_u"))
-    n_blocks = max(1, -(-names.count() // NAME_BLOCK))
-    found = None
-    for i in range(n_blocks):
-        block = names.where(F.pmod(F.xxhash64("_n"), F.lit(n_blocks)) == i)
-        hit = u.join(F.broadcast(block), (F.col("_um") == F.col("_m")) & serves).select("_m", "_n").distinct()
-        found = hit if found is None else found.union(hit)
-    return declared.join(found, (F.col("manager") == F.col("_m")) & (F.col("name") == F.col("_n")), "left_anti")
+    u = used.select(F.col("manager").alias("_m"), F.col("name").alias("_u")).where("_m is not null and _u is not null").distinct()
+    parts = F.split("_u", "/")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    served = u.select("_m", F.explode(begins).alias("_n")).distinct().union(within(u, names, "_u", "_n", "_m").select("_m", "_n").distinct())
+    return declared.join(served, (F.col("manager") == F.col("_m")) & (F.col("name") == F.col("_n")), "left_anti")
 
 
 def unused_packages(files: DataFrame) -> DataFrame:

@@ -194,39 +194,12 @@ def test_watch_runs_again_on_change(spark, tmp_path):
     assert rows(bursts(stamps, "ts"), "n") == [(1,), (2,)]
 
 
-def test_unmentioned_never_broadcasts_the_texts(spark, monkeypatch):
-    monkeypatch.setattr(config, "KEY_BLOCK", 2)
-    keys = spark.createDataFrame([(k,) for k in ("alpha", "beta", "gamma", "delta", "alpha", None)], "key string")
-    texts = spark.createDataFrame([("an alphabet",), ("gammas",), (None,)], "content string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = config.unmentioned(keys, texts)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastNestedLoopJoin BuildRight, LeftAnti" not in plan and "BroadcastNestedLoopJoin BuildLeft, LeftAnti" not in plan
-        assert sorted((r.key for r in df.collect()), key=str) == sorted(["beta", "delta", None], key=str)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_group_counts_collect_no_occurrences(spark):
     table = spark.createDataFrame([("f", p, 1, 3, "n", ["x" + p]) for p in ("c", "a", "b")] + [("g", "a", 9, 9, "n", ["y"])], "fingerprint string, path string, line int, end_line int, name string, preview array<string>")
     df = blocks.group_counts(table)
     assert [tuple(r)[:6] for r in df.collect()] == [("f", 3, 3, 6, ["xa"], "a")] and "collect_list" not in df._jdf.queryExecution().toString()
 
 
-def test_unused_broadcasts_the_declared_names(spark, monkeypatch):
-    monkeypatch.setattr(imports, "NAME_BLOCK", 2)
-    declared = spark.createDataFrame([("m", n) for n in ("left", "right/x", "scope", "other", None)] + [("k", "left")], "manager string, name string")
-    used = spark.createDataFrame([("m", "left"), ("m", "scope/part"), ("m", "ight"), ("m", None)], "manager string, name string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = imports.unused(declared, used)
-        assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
-        assert sorted(str(tuple(r)) for r in df.collect()) == ["('k', 'left')", "('m', 'other')", "('m', None)"]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_files_are_read_whole_unless_asked(spark, tmp_path, monkeypatch):
     (tmp_path / "a.py").write_text("x = 1")
     from lodegrain.sources.files import _TreeReader
