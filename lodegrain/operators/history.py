@@ -1,10 +1,78 @@
-"""Age of lines, what is new since a baseline, and what a clean-up would change."""
+"""Age of lines from the versions of files, what is new since a baseline, and what a clean-up would change."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodegrain.functions.lcs import common
+
+#: Lines of a result batch.
+LINES = 10_000
+#: What a line's last change carries along.
+CHANGE = ("commit", "author", "author_time", "summary")
+
+
+class _Ages:
+    """The lines of one file's newest version so far, and the version that each stems from."""
+
+    def __init__(self, path: str | None):
+        self.path, self.lines, self.origin, self.changes = path, [], np.zeros(0, np.int64), []
+
+    def add(self, content: str | None, change: tuple) -> None:
+        lines = [] if content is None else content.split("\n")
+        origin = np.full(len(lines), len(self.changes))
+        if pairs := common(self.lines, lines):
+            old, new = np.array(pairs).T
+            origin[new] = self.origin[old]
+        self.lines, self.origin = lines, origin
+        self.changes.append(change)
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.lines), LINES):
+            origin = self.origin[at : at + LINES]
+            columns = zip(*(self.changes[i] for i in origin.tolist()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[self.path] * len(origin), range(at + 1, at + 1 + len(origin)), *columns], schema, strict=True)], schema=schema)
+
+
+def line_ages(versions: DataFrame) -> DataFrame:
+    """(path, line, commit, author, author_time, summary): the change that each line of each file's newest version stems from.
+
+    versions has path, version (their order), author, author_time (epoch seconds) and content, and may have commit and summary, else null. A line stems from the first of
+    the successive versions in which it stands, where the lines that two versions share are a longest common subsequence. Each file's versions come to a task in order, which holds two of
+    them at a time and goes on to the next file. A null content is a version without lines; an empty one has one empty line; of versions with the same number the later change counts
+    as the later. Other columns play no part.
+    """
+    have = {c.lower() for c in versions.columns}
+    change = [F.col(c).cast("bigint" if c == "author_time" else "string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in CHANGE]
+    some = versions.select("path", "version", "content", *change)
+    dealt = some.repartition("path").sortWithinPartitions("path", "version", "author_time", "commit", "content")
+    schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("commit", pa.string()), ("author", pa.string()), ("author_time", pa.int64()), ("summary", pa.string())])
+
+    def aged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Ages | None = None
+        for batch in batches:
+            for path, content, *changed in zip(*(batch.column(c).to_pylist() for c in ("path", "content", *CHANGE)), strict=True):
+                if now is None or now.path != path:
+                    if now is not None:
+                        yield from now.batches(schema)
+                    now = _Ages(path)
+                now.add(content, tuple(changed))
+        if now is not None:
+            yield from now.batches(schema)
+
+    return dealt.mapInArrow(aged, "path string, line int, commit string, author string, author_time bigint, summary string")
+
+
+def nth_last_change(versions: DataFrame, n: int) -> DataFrame:
+    """(path, author_time) of each file's n-th change from the last; files with fewer changes have none."""
+    order = Window.partitionBy("path").orderBy(F.desc("version"), F.desc("author_time"))
+    return versions.select("path", "author_time", F.row_number().over(order).alias("_n")).where(F.col("_n") == n).select("path", "author_time")
+
 
 def days_ago(author_time: Column, as_of: Column) -> Column:
     """Whole days between two epoch seconds."""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegrain.operators import blocks, config, findings, imports, symbols
+from lodegrain.operators import blocks, config, findings, history, imports, symbols
 from lodegrain.plans import reports, scan
 from lodegrain.sources.files import as_files
 
@@ -63,6 +63,11 @@ DEFINITIONS = [
     ("src/deep.ts", 6, "typescript", "twice_{k}", "function", 4, False, False, True, 8), ("src/deep.ts", 9, "typescript", "local_{k}", "function", 11, False, False, True, 9), ("src/deep.ts", 13, "typescript", "Deep_{k}", "class", 22, True, True, False, 22), ("src/deep.ts", 17, "typescript", "Deep_{k}.run_deep_{k}", "method", 8, True, False, True, 21),
 ]
 ROOT_DEFINITIONS = [("shared/w.ts", 1, "typescript", "w", "variable", 13, True, False, False, 1), ("lib/start2.ts", 1, "typescript", "begin2", "variable", 13, True, False, True, 1)]
+#: Earlier versions of files whose last one is in FILES; when versions were made, in days, and the day of the report.
+EARLIER = {"a.py": "import os\nfrom .util import helper_{k}\n\nclass Alpha_{k}(Base):\n        # TODO: tidy AB-7 later", "util.py": "def helper_{k}(v):\n    return v\ndef lonely_{k}():\n    return 1"}
+MADE, TODAY = (600, 990), 1000
+#: Lines that stem from the earlier version, and how many lines the last one has.
+OLD_LINES, ALL_LINES = {"a.py": (1, 2, 3, 4, 11), "util.py": (1, 9, 10)}, {"a.py": 18, "util.py": 10}
 EDGES = [("a.py", "util.py", "helper_{k}"), ("src/b.ts", "src/svc.ts", "Svc_{k}"), ("src/deep.ts", "src/svc.ts", "Svc_{k}"), ("src/loop1.ts", "src/loop2.ts", "l2_{k}"), ("src/loop2.ts", "src/loop1.ts", "l1_{k}")]
 TODOS = [("a.py", 11, "TODO", "tidy AB-7 later", "AB-7", 1)]
 DEBUG = [
@@ -89,6 +94,30 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_files(own.select(put("f.p").alias("p"), put("f.c").alias("c")).union(root), F.col("p"), F.col("c"))
 
 
+def versions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of some files of the code base, by ann and by bob."""
+    each = [F.struct(F.lit(f"p{{k}}/{p}").alias("p"), F.lit(v + 1).alias("version"), F.lit(who).alias("author"), F.lit(86400 * MADE[v]).alias("author_time"), F.lit(text).alias("c")) for p in EARLIER for v, (who, text) in enumerate((("ann", EARLIER[p]), ("bob", FILES[p])))]
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.explode(F.array(*each)).alias("f"))
+    put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k"))
+    return own.select(put("f.p").alias("path"), "f.version", "f.author", "f.author_time", put("f.c").alias("content"))
+
+
+def _ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.line_ages(versions_of(spark, sf_dir)).withColumn("days_ago", history.days_ago(F.col("author_time"), F.lit(86400 * TODAY)))
+
+
+def _dead_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead symbols but those whose line changed in the last 30 days."""
+    dead = symbols.dead_symbols(files_of(spark, sf_dir))
+    return history.dead_since(dead, _ages(spark, sf_dir), history.duration_days("30d"), F.lit(86400 * TODAY)).select("path", "name", "line", F.col("days_since_last_change").alias("days"))
+
+
+def _todo_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with author and age, the older ones of ann."""
+    aged = findings.with_age(findings.todos(files_of(spark, sf_dir)), _ages(spark, sf_dir), 30)
+    return findings.by_author(aged, "ANN").select("path", "line", "kind", "author", "days_ago")
+
+
 def _query(detect: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: detect(files_of(spark, sf_dir))
 
@@ -146,6 +175,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "code_cycles": _query(imports.import_cycles),
     "code_counts": _query(_counts),
     "code_board": _query(_board),
+    "code_line_ages": lambda spark, sf_dir: _ages(spark, sf_dir).select("path", "line", "author", "days_ago"),
+    "code_dead_since": _dead_since,
+    "code_todo_ages": _todo_ages,
 }
 
 
@@ -176,6 +208,7 @@ _COMPLEX = _rows(COMPLEX, "path, name, line, end_line, complexity, risk")
 _DOUBLES = _rows([("d1.py", 1, 6, "total_{k}"), ("d2.py", 1, 6, "sum_{k}")], "path, line, end_line, name")
 _GROUP = "2 * count(*) AS n, 6 AS lines, 6 * (2 * count(*) - 1) AS wasted"
 _N = "(SELECT count(*) FROM s)"
+_AGES = _rows([(p, i, *(("ann", TODAY - MADE[0]) if i in OLD_LINES[p] else ("bob", TODAY - MADE[1]))) for p in EARLIER for i in range(1, ALL_LINES[p] + 1)], "path, line, author, days_ago")
 
 ORACLES: dict[str, str] = {
     "code_definitions": f"WITH {_S}, {_DEFS} SELECT path, line, language, name, kind, \"column\", exported, ignored, end_line FROM defs",
@@ -203,4 +236,7 @@ UNION ALL SELECT 'lines', kind, CAST(sum({_WEIGHT}) AS BIGINT) FROM defs WHERE d
 SELECT 'dead_symbols' AS detector, count(*) AS issues FROM defs WHERE dead UNION ALL SELECT v.d, v.n * {_N} FROM (VALUES ('unused_files', {len(UNUSED)}), ('todos', {len(TODOS)}), ('unreachable', {len(UNREACHABLE)}), ('weak_catches', {len(CATCHES)}), ('debug_statements', {len(DEBUG)}), ('import_cycles', 1), ('complexity', 0), ('secrets', 0)) v(d, n)
 UNION ALL SELECT 'unused_packages', {len(PACKAGES)} UNION ALL SELECT 'duplicates', 1 UNION ALL SELECT 'unused_keys', {len(KEYS)})
 SELECT detector, issues, CAST(round(issues * 18.0 / max(issues) OVER ()) AS BIGINT) AS bar FROM b""",
+    "code_line_ages": f"WITH {_S} {_AGES}",
+    "code_dead_since": f"WITH {_S}, {_DEFS}, a AS ({_AGES}) SELECT path, name, line, days_ago AS days FROM defs LEFT JOIN a USING (path, line) WHERE dead AND coalesce(days_ago >= 30, true)",
+    "code_todo_ages": f"WITH {_S}, a AS ({_AGES}) SELECT path, line, kind, author, days_ago FROM ({_rows(TODOS, 'path, line, kind, text, issue, severity')}) JOIN a USING (path, line)",
 }
