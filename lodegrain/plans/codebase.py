@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodegrain.operators import blocks, config, findings, history, imports, symbols
 from lodegrain.plans import reports, scan
 from lodegrain.sources.files import as_files
+from lodegrain.sources.ignore import ignored, rules_of
 
 #: Files of each supplier; {k} is its key.
 FILES = {
@@ -63,6 +64,9 @@ DEFINITIONS = [
     ("src/deep.ts", 6, "typescript", "twice_{k}", "function", 4, False, False, True, 8), ("src/deep.ts", 9, "typescript", "local_{k}", "function", 11, False, False, True, 9), ("src/deep.ts", 13, "typescript", "Deep_{k}", "class", 22, True, True, False, 22), ("src/deep.ts", 17, "typescript", "Deep_{k}.run_deep_{k}", "method", 8, True, False, True, 21),
 ]
 ROOT_DEFINITIONS = [("shared/w.ts", 1, "typescript", "w", "variable", 13, True, False, False, 1), ("lib/start2.ts", 1, "typescript", "begin2", "variable", 13, True, False, True, 1)]
+#: An ignore file, and the files of each supplier that it leaves.
+IGNORE = "# notes\n*.RB\n!c.rb\np*/src/\n!p*/src/index.ts\nd?.py\n/u.rs\n[m-n].go\n**/X.java\nf.php/\n"
+NOT_IGNORED = ("a.py", "util.py", "r.rs", "u.rs", "c.rb", "f.php", "q.cs")
 #: Earlier versions of files whose last one is in FILES; when versions were made, in days, and the day of the report.
 EARLIER = {"a.py": "import os\nfrom .util import helper_{k}\n\nclass Alpha_{k}(Base):\n        # TODO: tidy AB-7 later", "util.py": "def helper_{k}(v):\n    return v\ndef lonely_{k}():\n    return 1"}
 MADE, TODAY = (600, 990), 1000
@@ -175,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "code_cycles": _query(imports.import_cycles),
     "code_counts": _query(_counts),
     "code_board": _query(_board),
+    "code_not_ignored": lambda spark, sf_dir: files_of(spark, sf_dir).where(F.col("path").startswith("p") & F.contains("path", F.lit("/")) & ~ignored(F.col("path"), rules_of(IGNORE))).select("path"),
     "code_line_ages": lambda spark, sf_dir: _ages(spark, sf_dir).select("path", "line", "author", "days_ago"),
     "code_dead_since": _dead_since,
     "code_todo_ages": _todo_ages,
@@ -236,6 +241,7 @@ UNION ALL SELECT 'lines', kind, CAST(sum({_WEIGHT}) AS BIGINT) FROM defs WHERE d
 SELECT 'dead_symbols' AS detector, count(*) AS issues FROM defs WHERE dead UNION ALL SELECT v.d, v.n * {_N} FROM (VALUES ('unused_files', {len(UNUSED)}), ('todos', {len(TODOS)}), ('unreachable', {len(UNREACHABLE)}), ('weak_catches', {len(CATCHES)}), ('debug_statements', {len(DEBUG)}), ('import_cycles', 1), ('complexity', 0), ('secrets', 0)) v(d, n)
 UNION ALL SELECT 'unused_packages', {len(PACKAGES)} UNION ALL SELECT 'duplicates', 1 UNION ALL SELECT 'unused_keys', {len(KEYS)})
 SELECT detector, issues, CAST(round(issues * 18.0 / max(issues) OVER ()) AS BIGINT) AS bar FROM b""",
+    "code_not_ignored": f"WITH {_S} {_rows([(p,) for p in NOT_IGNORED], 'path')}",
     "code_line_ages": f"WITH {_S} {_AGES}",
     "code_dead_since": f"WITH {_S}, {_DEFS}, a AS ({_AGES}) SELECT path, name, line, days_ago AS days FROM defs LEFT JOIN a USING (path, line) WHERE dead AND coalesce(days_ago >= 30, true)",
     "code_todo_ages": f"WITH {_S}, a AS ({_AGES}) SELECT path, line, kind, author, days_ago FROM ({_rows(TODOS, 'path, line, kind, text, issue, severity')}) JOIN a USING (path, line)",

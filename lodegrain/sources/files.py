@@ -1,7 +1,7 @@
 """A source tree as a table of files.
 
-Spark's own text sources hide names that start with a dot or an underscore, so a Python data source lists the tree: one partition for each
-group of top-level entries. Very large corpora come as tables; as_files() gives them the same columns.
+Spark's own text sources hide names that start with a dot or an underscore, so a Python data source lists the tree and deals its files to tasks in equal
+numbers. Very large corpora come as tables; as_files() gives them the same columns.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodegrain.sources.ignore import NAME, Matcher, rules_of
+
 SCHEMA = "path string, ext string, size bigint, mtime double, content string"
 #: Directories that no analysis enters.
 EXCLUDED = ("node_modules", "dist", "build", ".git", "vendor", "target", "__pycache__", "out")
 
 
 class _Part(InputPartition):
-    def __init__(self, entries: list[str]):
-        self.entries = entries
+    """Slices of folders: (folder, first, end) of its wanted files in order."""
+
+    def __init__(self, slices: list[tuple[str, int, int]]):
+        self.slices = slices
 
 
 class _TreeReader(DataSourceReader):
@@ -28,39 +32,89 @@ class _TreeReader(DataSourceReader):
         self.root = options["path"]
         self.hidden = options.get("hidden", "false").lower() == "true"
         self.excluded = set(filter(None, options.get("exclude", ",".join(EXCLUDED)).split(",")))
+        self.ignore = options.get("ignore", "root")
         self.max_bytes = int(options["maxBytes"]) if "maxBytes" in options else None
         self.parts = max(1, int(options.get("partitions", 16)))
 
     def _wanted(self, name: str) -> bool:
         return name not in self.excluded and (self.hidden or not name.startswith("."))
 
+    def _matchers(self, folder: str, above: list[tuple[str, Matcher]]) -> list[tuple[str, Matcher]]:
+        """The ignore files that count in a folder, with the folders they stand in."""
+        if self.ignore == "none" or self.ignore == "root" and folder:
+            return above
+        try:
+            with open(os.path.join(self.root, folder, NAME), encoding="utf-8", errors="replace") as f:
+                return [*above, (folder, Matcher(rules_of(f.read())))]
+        except OSError:
+            return above
+
+    @staticmethod
+    def _ignored(path: str, folder: bool, matchers: list[tuple[str, Matcher]]) -> bool:
+        for base, matcher in reversed(matchers):  # the nearest ignore file that says something decides
+            said = matcher.verdict(path[len(base) + 1 :] if base else path, folder)
+            if said is not None:
+                return said
+        return False
+
+    def _files(self, folder: str, matchers: list[tuple[str, Matcher]]) -> tuple[list[str], list[str]]:
+        """Paths of the wanted files and folders in a folder, in order; none of a folder that can't be read."""
+        files, folders = [], []
+        try:
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                for e in entries:
+                    path = f"{folder}/{e.name}" if folder else e.name
+                    is_folder = e.is_dir(follow_symlinks=False)
+                    if self._wanted(e.name) and not self._ignored(path, is_folder, matchers) and (is_folder or not e.is_dir()):
+                        (folders if is_folder else files).append(path)
+        except OSError:
+            pass
+        return sorted(files), sorted(folders)
+
     def partitions(self) -> list[InputPartition]:
-        top = sorted(x for x in os.listdir(self.root) if self._wanted(x))
-        return [_Part(top[i :: self.parts]) for i in range(min(self.parts, len(top)))] or [_Part([])]
+        """Counts the leaves of each folder and cuts their order into equal parts, so one deep folder is many tasks. The plan holds slices of folders, no files."""
+        counts, open_ = [], [("", self._matchers("", []))]
+        while open_:
+            folder, matchers = open_.pop()
+            files, folders = self._files(folder, matchers)
+            counts.append((folder, len(files)))
+            open_ += [(f, self._matchers(f, matchers)) for f in reversed(folders)]
+        each = max(1, -(-sum(n for _, n in counts) // self.parts))
+        parts: list[list[tuple[str, int, int]]] = [[]]
+        room = each
+        for folder, n in counts:
+            first = 0
+            while first < n:
+                if not room:
+                    parts.append([])
+                    room = each
+                take = min(room, n - first)
+                parts[-1].append((folder, first, first + take))
+                first, room = first + take, room - take
+        return [_Part(p) for p in parts]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for entry in partition.entries:
-            start = os.path.join(self.root, entry)
-            tree = os.walk(start) if os.path.isdir(start) else [(self.root, [], [entry])]
-            for folder, dirs, names in tree:
-                dirs[:] = sorted(d for d in dirs if self._wanted(d))
-                for name in sorted(n for n in names if self._wanted(n)):
-                    full = os.path.join(folder, name)
-                    path, ext = os.path.relpath(full, self.root).replace(os.sep, "/"), os.path.splitext(name)[1].lower()
-                    try:
-                        info = os.stat(full)
-                        content = None
-                        if self.max_bytes is None or info.st_size <= self.max_bytes:
-                            with open(full, encoding="utf-8", errors="replace") as f:
-                                content = f.read()
-                    except OSError:  # seen in the table, as a file without size
-                        yield path, ext, None, None, None
-                        continue
-                    yield path, ext, info.st_size, info.st_mtime, content
+        for folder, first, end in partition.slices:
+            matchers = self._matchers("", [])
+            steps = folder.split("/") if folder else []
+            for k in range(1, len(steps) + 1):
+                matchers = self._matchers("/".join(steps[:k]), matchers)
+            for path in self._files(folder, matchers)[0][first:end]:
+                full, ext = os.path.join(self.root, path), os.path.splitext(path)[1].lower()
+                try:
+                    info = os.stat(full)
+                    content = None
+                    if self.max_bytes is None or info.st_size <= self.max_bytes:
+                        with open(full, encoding="utf-8", errors="replace") as f:
+                            content = f.read()
+                except OSError:  # seen in the table, as a file without size
+                    yield path, ext, None, None, None
+                    continue
+                yield path, ext, info.st_size, info.st_mtime, content
 
 
 class SourceTree(DataSource):
-    """spark.read.format("source_tree"). Options: path, hidden (dot files too), exclude (names, by comma), maxBytes (files are read whole without it; larger ones then
+    """spark.read.format("source_tree"). Options: path, hidden (dot files too), exclude (names, by comma), ignore (root: the root's ignore file counts, all: those of all folders, none), maxBytes (files are read whole without it; larger ones then
     have their size and null contents, which tells what was skipped), partitions."""
 
     @classmethod
