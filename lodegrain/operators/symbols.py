@@ -80,7 +80,8 @@ def definitions(files: DataFrame, tool: str = TOOL) -> DataFrame:
     """
     split = F.split("content", "\n")
     both = F.arrays_zip(split.alias("text"), F.concat(F.array(F.lit("")), split).alias("before"))
-    lines = _ruled(files).select("path", "ext", F.posexplode(both).alias("_at", "_l")).select("path", "ext", (F.col("_at") + 1).alias("line"), "_l.text", "_l.before").where("text is not null")
+    listed = (F.col("ext") == ".py") & F.col("content").rlike(r"(?m)^__all__\s*=")
+    lines = _ruled(files).select("path", "ext", listed.alias("_all"), F.posexplode(both).alias("_at", "_l")).select("path", "ext", "_all", (F.col("_at") + 1).alias("line"), "_l.text", "_l.before").where("text is not null")
     # explode() works each line's definition out once and drops lines without one
     rows = lines.select("*", language_of(F.col("ext")).alias("language"), F.explode(F.array_compact(_by_rules(F.col("text"), lambda d: d))).alias("_d"))
     text, name, lang = F.col("text"), F.col("_d.name"), F.col("language")
@@ -99,9 +100,8 @@ def definitions(files: DataFrame, tool: str = TOOL) -> DataFrame:
         .when(lang == "rust", text.rlike(r"^\s*pub\b"))
         .otherwise((F.col("_d.kind") != "function") | ~text.rlike("private|protected"))
     )
-    listed = files.where(F.col("content").rlike(r"(?m)^__all__\s*=") & (F.col("ext") == ".py")).select("path", F.lit(True).alias("_all"))
-    out = rows.select("path", "line", "language", full.alias("name"), F.col("_d.kind").alias("kind"), column.alias("column"), exported.alias("exported"), F.col("before").rlike(marker(tool)).alias("ignored"), F.lit(None).cast("int").alias("end_line")).join(listed, "path", "left")
-    ruled = out.withColumn("exported", F.col("exported") & ~(F.coalesce("_all", F.lit(False)) & F.col("kind").isin("function", "method"))).drop("_all")
+    exported = exported & ~(F.col("_all") & F.col("_d.kind").isin("function", "method"))
+    ruled = rows.select("path", "line", "language", full.alias("name"), F.col("_d.kind").alias("kind"), column.alias("column"), exported.alias("exported"), F.col("before").rlike(marker(tool)).alias("ignored"), F.lit(None).cast("int").alias("end_line"))
     parsed = typescript.facts(files, marker(tool)).select("path", F.explode("definitions").alias("d"))
     return ruled.unionByName(parsed.select("path", "d.line", F.lit("typescript").alias("language"), "d.name", "d.kind", "d.column", "d.exported", "d.ignored", "d.end_line"))
 
@@ -160,9 +160,14 @@ def of_languages(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     return files.where(F.col("ext").isin([e for x in languages for e in known.get(x, ())]))
 
 
+def judged(globs: tuple[str, ...] = IGNORED_NAMES, entry_points: tuple[str, ...] = ENTRY_POINTS) -> Column:
+    """Whether a definition may be called dead: no ignored name, no marked line, no export of an entry point."""
+    return ~F.col("ignored") & not_ignored(F.col("name"), globs) & ~(F.col("exported") & basename(F.col("path")).isin(list(entry_points)))
+
+
 def dead_symbols(files: DataFrame, globs: tuple[str, ...] = IGNORED_NAMES, entry_points: tuple[str, ...] = ENTRY_POINTS, tool: str = TOOL) -> DataFrame:
     """Definitions that no other file refers to, without ignored names, marked lines and exports of entry points, with a reason."""
-    nodes = first_definitions(definitions(files, tool)).where(~F.col("ignored") & not_ignored(F.col("name"), globs)).where(~(F.col("exported") & basename(F.col("path")).isin(list(entry_points))))
+    nodes = first_definitions(definitions(files, tool)).where(judged(globs, entry_points))
     return dead(nodes, mentions(files)).withColumn("reason", F.when(F.col("exported"), F.lit("exported, but no other file names it")).otherwise(F.lit("no other file names it")))
 
 
