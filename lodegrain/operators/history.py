@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegrain.functions.lcs import common
+from lodegrain.functions.text import lines_of
+from lodegrain.operators.symbols import TOOL, marker
 
 #: Lines of a result batch.
 LINES = 10_000
@@ -119,3 +121,36 @@ def edit_plan(dead_rows: DataFrame, action: str = "delete") -> DataFrame:
     """(path, from_line, to_line, action), from the bottom of each file up: what a clean-up would edit. Nothing is written to sources."""
     end = F.coalesce("end_line", "line") if "end_line" in dead_rows.columns else F.col("line")
     return dead_rows.select("path", F.col("line").alias("from_line"), end.alias("to_line"), F.lit(action).alias("action")).orderBy("path", F.desc("from_line"))
+
+
+def merged_edits(plan: DataFrame) -> DataFrame:
+    """(path, from_line, to_line): the lines that deletions of a plan take away, with those that overlap or touch as one."""
+    gone = plan.where("action = 'delete' and from_line <= to_line").select("path", "from_line", "to_line")
+    before = F.max("to_line").over(Window.partitionBy("path").orderBy("from_line", "to_line").rowsBetween(Window.unboundedPreceding, -1))
+    begins = gone.withColumn("_new", F.when(F.col("from_line") > before + 1, 1).when(before.isNull(), 1).otherwise(0))
+    run = F.sum("_new").over(Window.partitionBy("path").orderBy("from_line", "to_line").rowsBetween(Window.unboundedPreceding, 0))
+    return begins.withColumn("_run", run).groupBy("path", "_run").agg(F.min("from_line").alias("from_line"), F.max("to_line").alias("to_line")).drop("_run")
+
+
+def apply_edits(files: DataFrame, plan: DataFrame, tool: str = TOOL) -> DataFrame:
+    """files(path, ext, content, ...) after a plan(path, from_line, to_line, action) of deletions and ignore marks; size, where there is one, is the new content's.
+
+    Line numbers are those of the contents as they are, so nested and overlapping edits mean what they say. A deletion also takes the tool's mark on the line before it. A mark
+    is put before its line with that line's indent, unless the line goes or is marked. Files without edits, and null contents, stay as they are; lines that a file lacks are no error.
+    """
+    marked = F.col("text").rlike(marker(tool))
+    touched = files.join(plan.select("path").distinct(), "path", "left_semi")
+    lines = lines_of(touched)
+    runs = merged_edits(plan)
+    marks = lines.where(marked).select("path", (F.col("line") + 1).alias("from_line")).join(runs.select("path", "from_line"), ["path", "from_line"])
+    gone = runs.select("path", F.explode(F.sequence("from_line", "to_line")).alias("line")).union(marks.select("path", F.col("from_line") - 1)).distinct()
+    kept = lines.join(gone, ["path", "line"], "left_anti").withColumn("_at", F.lit(1))
+    asked = plan.where("action = 'ignore'").select("path", F.col("from_line").alias("line")).distinct()
+    above = lines.where(marked).select("path", (F.col("line") + 1).alias("line"))
+    sign = F.when(F.col("ext").isin(".py", ".rb"), "# ").otherwise("// ")
+    put = kept.join(asked.join(above, ["path", "line"], "left_anti"), ["path", "line"]).withColumn("text", F.concat(F.regexp_extract("text", r"^(\s*)", 1), sign, F.lit(f"{tool}-ignore"))).withColumn("_at", F.lit(0))
+    whole = kept.unionByName(put).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "_at", "text"))), lambda x: x["text"]), "\n").alias("_new"))
+    edited = touched.join(whole, "path", "left").withColumn("content", F.when(F.col("content").isNotNull(), F.coalesce("_new", F.lit("")))).drop("_new")
+    if "size" in files.columns:
+        edited = edited.withColumn("size", F.coalesce(F.octet_length("content").cast("bigint"), "size"))
+    return files.join(plan.select("path").distinct(), "path", "left_anti").unionByName(edited.select(*files.columns))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegrain.functions.tables import written
 from lodegrain.operators import blocks, config, findings, imports, symbols
 
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -39,6 +41,29 @@ def board(results: dict[str, DataFrame], width: int = 18) -> DataFrame:
     return both.join(F.broadcast(most)).select("detector", "issues", F.when(F.col("most") > 0, F.round(F.col("issues") / F.col("most") * width)).otherwise(0).cast("int").alias("bar"))
 
 
+def counted(files: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]] | None = None, at_once: int = 4) -> list[tuple[str, int | None, str | None]]:
+    """(detector, issues, failure) of each detector. The files are read once, as they are written to the shared folder; the detectors work on that table, some jobs at a time, and one that fails has no count."""
+    detectors = DETECTORS if detectors is None else detectors
+    table = written(files)
+
+    def count(name: str) -> tuple[str, int | None, str | None]:
+        try:
+            return name, detectors[name](table).count(), None
+        except Exception as e:  # noqa: BLE001  whatever a detector fails with is its result
+            return name, None, str(e).strip().split("\n")[0][:200]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(count, detectors))
+
+
+def safe_board(files: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]] | None = None, width: int = 18) -> DataFrame:
+    """board() with the column failure: a detector that fails has neither issues nor bar."""
+    rows = counted(files, detectors)
+    most = max((n for _, n, _ in rows if n is not None), default=0)
+    bar = lambda n: None if n is None else int(n / most * width + 0.5) if most else 0
+    return files.sparkSession.createDataFrame([(name, n, bar(n), failure) for name, n, failure in rows], "detector string, issues bigint, bar int, failure string")
+
+
 def totals(results: dict[str, DataFrame]) -> DataFrame:
     """(issues): the sum over all detectors."""
     return board(results).agg(F.sum("issues").alias("issues"))
