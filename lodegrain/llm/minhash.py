@@ -305,7 +305,9 @@ def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, write: W
         if links is not None and not links.isEmpty():
             labels = _relabelled(labels, links, write)
         if pivots:
-            state = state.join(chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
+            # where every member outside the main component has been a pivot, the bucket has been tried whole
+            more = chosen.groupBy("key").agg((F.sum("outside") - F.count(F.lit(1))).alias("_left")).where("_left > 0").select("key")
+            state = state.join(more, "key", "left_semi").join(chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
         here = state.select("key", "rep", "fame", *(("n", "common") if pivots else ())).join(labels, "rep")
         # a bucket is open while it has members outside the component of its most central one
         main = here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
@@ -317,8 +319,8 @@ def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, write: W
             state = write(state.join(verifier.commons(state), "rep").where(100 * F.col("common") >= rule.percent * F.col("n")), "commons")
         pivots = max(8 * pivots, PIVOTS)
         strata = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-        best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp", "n", "common"), order).alias("p"))
-        chosen = write(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.common").alias("pcommon")), "pivots")
+        best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp", "n", "common"), order).alias("p"), F.count(F.lit(1)).alias("outside"))
+        chosen = write(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.common").alias("pcommon"), "outside"), "pivots")
         # a bucket's pivots come as one list, and a member's lists are united before pairs are made: most pairs share many buckets
         lists = chosen.groupBy("key").agg(F.collect_list(F.struct("pivot", "pc", "pn", "pcommon")).alias("ps"))
         met = F.filter("ps", lambda p: (p["pc"] != F.col("comp")) & rule.reachable(F.col("common"), p["pcommon"], F.col("n"), p["pn"]))
