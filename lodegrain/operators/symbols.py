@@ -2,7 +2,7 @@
 
 Most languages are lists of ordered line rules; the first that matches a line defines a symbol. References are the identifiers of the other lines. A definition is
 dead if no other file refers to its name. References are reduced to the first and last path of each name before they meet the definitions, so a word that all files hold is one
-row. The TypeScript family is read by tokens and scopes instead of lines.
+row. The TypeScript family, and languages that users add, are read by functions (plugins) instead of lines.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrain.functions.text import EDGE_L, IDENT, basename, by_extension, first_rule, lines_of
-from lodegrain.operators import typescript
+from lodegrain.operators import plugins
 
 #: Weights of a dead symbol in lines, entry points and ignored names.
 LINES = {"function": 12, "method": 10, "class": 30, "variable": 1, "interface": 8, "type": 3, "enum": 6, "struct": 15, "trait": 12, "module": 20}
@@ -50,12 +50,15 @@ LANGUAGES = (
     Language("ruby", (".rb",), (("method", rf"^\s*def\s+(?:self\.)?({IDENT}[?!]?)", 1), ("class", r"^\s*class\s+([A-Z][A-Za-z_]*)", 1), ("module", r"^\s*module\s+([A-Z][A-Za-z_]*)", 1)), (), (), "ruby"),
     Language("rust", (".rs",), tuple((k, rf"^\s*(?:pub(?:\([^)]*\))?\s+)?{head}\s+({name})", 1) for k, head, name in (("function", r"(?:async\s+)?fn", IDENT), ("struct", "struct", IDENT), ("enum", "enum", IDENT), ("trait", "trait", IDENT), ("type", "type", IDENT), ("variable", "const", r"[A-Z_][A-Za-z0-9_]*"))), (), (), "pub"),
     Language("php", (".php",), (("function", rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+({IDENT})\s*\(", 1), ("class", rf"^\s*(?:(?:abstract|final)\s+)?class\s+({IDENT})", 1), ("interface", rf"^\s*interface\s+({IDENT})", 1), ("trait", rf"^\s*trait\s+({IDENT})", 1)), (), (), "php"),
-    Language("typescript", typescript.EXTS, ()),
 )
+#: Endings of the languages that are read by line rules.
+RULED = tuple(e for x in LANGUAGES for e in x.extensions)
 
 
 def language_of(ext: Column) -> Column:
-    return by_extension(ext, {x.extensions: F.lit(x.name) for x in LANGUAGES})
+    """The language of files with an ending, one of the added plugins' too; null for others."""
+    by_rules = {x.extensions: F.lit(x.name) for x in LANGUAGES}
+    return by_extension(ext, by_rules | {(e,): F.lit(p.language) for e, p in plugins.by_ending(RULED).items()})
 
 
 def marker(tool: str) -> str:
@@ -65,12 +68,12 @@ def marker(tool: str) -> str:
 
 def _by_rules(text: Column, of: Callable[[Column], Column]) -> Column:
     """of(struct(kind, name)) of the line's definition by its language's rules. The rules are tried inside a lambda, where Spark interprets them: their code would be longer than a Java method may be."""
-    return F.transform(F.array(text), lambda t: of(by_extension(F.col("ext"), {x.extensions: first_rule(t, list(x.rules)) for x in LANGUAGES if x.rules})))
+    return F.transform(F.array(text), lambda t: of(by_extension(F.col("ext"), {x.extensions: first_rule(t, list(x.rules)) for x in LANGUAGES})))
 
 
 def _ruled(files: DataFrame) -> DataFrame:
     """Files of the languages that are read by line rules."""
-    return files.where(F.col("ext").isin([e for x in LANGUAGES if x.rules for e in x.extensions]) & F.col("content").isNotNull())
+    return files.where(F.col("ext").isin(list(RULED)) & F.col("content").isNotNull())
 
 
 def definitions(files: DataFrame, tool: str = TOOL) -> DataFrame:
@@ -102,8 +105,8 @@ def definitions(files: DataFrame, tool: str = TOOL) -> DataFrame:
     )
     exported = exported & ~(F.col("_all") & F.col("_d.kind").isin("function", "method"))
     ruled = rows.select("path", "line", "language", full.alias("name"), F.col("_d.kind").alias("kind"), column.alias("column"), exported.alias("exported"), F.col("before").rlike(marker(tool)).alias("ignored"), F.lit(None).cast("int").alias("end_line"))
-    parsed = typescript.facts(files, marker(tool)).select("path", F.explode("definitions").alias("d"))
-    return ruled.unionByName(parsed.select("path", "d.line", F.lit("typescript").alias("language"), "d.name", "d.kind", "d.column", "d.exported", "d.ignored", "d.end_line"))
+    parsed = plugins.facts(files, marker(tool), RULED).select("path", "language", F.explode("definitions").alias("d"))
+    return ruled.unionByName(parsed.select("path", "d.line", "language", "d.name", "d.kind", "d.column", "d.exported", "d.ignored", "d.end_line"))
 
 
 def mentions(files: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def mentions(files: DataFrame) -> DataFrame:
     kept = lines_of(_ruled(files)).where(F.element_at(_by_rules(F.col("text"), refers), 1))
     ruby = F.when(F.col("ext") == ".rb", F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT}[?!])\("), F.lit(1))).otherwise(F.array().cast("array<string>"))
     ruled = kept.select("path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(rf"{EDGE_L}({IDENT})"), F.lit(1)), ruby)).alias("name"))
-    return ruled.union(typescript.facts(files, marker(TOOL)).select("path", F.explode("names").alias("name")))
+    return ruled.union(plugins.facts(files, marker(TOOL), RULED).select("path", F.explode("names").alias("name")))
 
 
 def references(files: DataFrame) -> DataFrame:
@@ -156,7 +159,7 @@ def not_ignored(name: Column, globs: tuple[str, ...] = IGNORED_NAMES) -> Column:
 
 def of_languages(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """The files of some languages; unknown names have none. javascript is the part of typescript's files that have no types."""
-    known = {x.name: x.extensions for x in LANGUAGES} | {"typescript": (".ts", ".tsx"), "javascript": (".js", ".jsx", ".mjs", ".cjs")}
+    known = {x.name: x.extensions for x in LANGUAGES} | {p.language: p.extensions for p in plugins.known()} | {"typescript": (".ts", ".tsx"), "javascript": (".js", ".jsx", ".mjs", ".cjs")}
     return files.where(F.col("ext").isin([e for x in languages for e in known.get(x, ())]))
 
 

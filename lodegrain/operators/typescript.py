@@ -1,4 +1,4 @@
-"""What files of the TypeScript family define and name, read by tokens and bracket scopes in one Arrow stage.
+"""What files of the TypeScript family define and name, read by tokens and bracket scopes.
 
 A file becomes tokens: words, punctuation, literals; comments, strings, regular expressions, template parts and the text between JSX tags are told from code by the
 lexer's states, so words in them are no names. Brackets are matched once, so the end of a statement is found by stepping over what they enclose, and a file costs
@@ -10,11 +10,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 EXTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 #: Fixed values of the languages: words that name nothing, words after which an expression follows, modifiers of declarations and members.
 RESERVED = frozenset(
@@ -34,15 +29,6 @@ TEXT = re.compile(r"[^<{]*")
 OPEN_MARKS = frozenset("= => + - * / % & | ^ ? : , . ?. ( [ { < && || ?? == === != !== <= >= += -= *= %= &= |= ^= ! ~".split())
 GOES_ON = frozenset("= => + * / % & | ^ ? : , . ?. ( [ && || ?? == === != !== <= >= += -= *= %= &= |= ^= < > ) ] } ` ;".split())
 PAIRS = {")": "(", "]": "[", "}": "{"}
-DEFINED = T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
-    T.StructField("exported", T.BooleanType()), T.StructField("ignored", T.BooleanType()),
-])
-FACTS = T.StructType([T.StructField("definitions", T.ArrayType(DEFINED)), T.StructField("names", T.ArrayType(T.StringType()))])
-_FACTS = pa.struct([
-    ("definitions", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("end_line", pa.int32()), ("exported", pa.bool_()), ("ignored", pa.bool_())]))),
-    ("names", pa.list_(pa.string())),
-])
 
 
 def tokens_of(text: str, jsx: bool) -> tuple[list[str], list[str], list[int]]:
@@ -393,18 +379,7 @@ class Reader:
         return sorted({t for i, (k, t) in enumerate(zip(self.kinds, self.texts, strict=True)) if k == "w" and t not in RESERVED and i not in self.own})
 
 
-def facts(files: DataFrame, marker: str) -> DataFrame:
-    """(path, definitions, names) of the family's files: each file is read once, whole. Null contents define and name nothing. A definition is ignored if the line before its statement matches marker."""
-    marked = re.compile(marker)
-
-    @F.arrow_udf(FACTS)
-    def read(contents: pa.Array, exts: pa.Array) -> pa.Array:
-        out = []
-        for text, ext in zip(contents.to_pylist(), exts.to_pylist(), strict=True):
-            file, lines = Reader(text, ext in JSX_EXTS), text.split("\n")
-            rows = [(*row, begin > 0 and bool(marked.search(lines[begin - 1]))) for *row, begin in file.defined]
-            out.append({"definitions": [dict(zip(DEFINED.names, r, strict=True)) for r in rows], "names": file.names()})
-        return pa.array(out, _FACTS)
-
-    some = files.where(F.col("ext").isin(list(EXTS)) & F.col("content").isNotNull())
-    return some.select("path", read("content", "ext").alias("_f")).select("path", "_f.definitions", "_f.names")
+def read(text: str, ext: str) -> tuple[list[tuple], list[str]]:
+    """Definitions (name, kind, line, column, end line, exported, row where the statement begins) and names of one file."""
+    file = Reader(text, ext in JSX_EXTS)
+    return file.defined, file.names()

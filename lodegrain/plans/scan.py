@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.functions.tables import written
 from lodegrain.operators import blocks, config, findings, imports, symbols
+from lodegrain.sources.report import ROWS, write_document
 
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "dead_symbols": symbols.dead_symbols,
@@ -109,3 +111,17 @@ def sarif_documents(rows: DataFrame, rule: str, text: str, message: str = "name"
     tool = F.struct(F.struct(F.lit("lodegrain").alias("name"), F.array(about).alias("rules")).alias("driver"))
     whole = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(tool.alias("tool"), F.col("results"))).alias("runs"))
     return results.select("document", F.to_json(whole).alias("value"))
+
+
+def write_json(files: DataFrame, dead_rows: DataFrame, path: str) -> None:
+    """Write one JSON document of an analysis: the figures of json_report() and all dead symbols, however many they are."""
+    defs = symbols.definitions(files)
+    head = json.loads(json_report(files, dead_rows, symbols.language_stats(files, defs, dead_rows), symbols.cleanup_stats(dead_rows)).first().value)
+    write_document(as_json(dead_rows), path, head | {"deadSymbols": ROWS})
+
+
+def write_sarif(rows: DataFrame, path: str, rule: str, text: str, message: str = "name") -> None:
+    """Write one SARIF 2.1.0 document of all rows."""
+    about = {"id": rule, "shortDescription": {"text": text}, "defaultConfiguration": {"level": "warning"}}
+    run = {"tool": {"driver": {"name": "lodegrain", "rules": [about]}}, "results": ROWS}
+    write_document(as_sarif(rows, rule, message), path, {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]})

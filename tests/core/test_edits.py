@@ -52,16 +52,16 @@ def test_a_failing_detector_leaves_the_others(spark):
     assert {r.detector: (r.issues, r.bar) for r in scan.safe_board(files).collect()} == want
 
 
-def test_a_wide_grid_takes_few_rounds(spark, monkeypatch):
-    """Both ways along rows and columns: one component whose diameter is 78 steps."""
-    n, cuts = 40, []
+def test_a_long_ladder_takes_few_rounds(spark, monkeypatch):
+    """Two rails of 80 nodes with rungs, both ways: one component 80 steps long, which chains can't shorten. One step a round would cut lineage 160 times for each direction."""
+    n, cuts = 80, []
     at = lambda i, j: (i * 7919 + j * 104729) % 1_000_003
-    steps = [(at(i, j), at(i + a, j + b)) for i in range(n) for j in range(n) for a, b in ((0, 1), (1, 0)) if i + a < n and j + b < n]
+    steps = [(at(i, j), at(i, j + 1)) for i in range(2) for j in range(n - 1)] + [(at(0, j), at(1, j)) for j in range(n)]
     cut = graph._cut
     monkeypatch.setattr(graph, "_cut", lambda df, eager=True: (cuts.append(1), cut(df, eager))[1])
     found = graph.components(spark.createDataFrame(steps + [(b, a) for a, b in steps], "src long, dst long"))
-    assert found.select("component").distinct().count() == 1 and found.count() == n * n
-    assert len(cuts) < 60
+    assert found.select("component").distinct().count() == 1 and found.count() == 2 * n
+    assert len(cuts) < 90
 
 
 def test_deleting_dead_symbols_leaves_none(spark):
