@@ -9,6 +9,10 @@ Two more forms find what the template misses. In the collapsed form a run of lik
 several words keep the places of the rest. In the literal form all words are in lower case, so that the case of a copy is of no account and
 items of names and numbers alone have windows. Their windows are added up over neighbouring diagonals, as a word put in or left out
 shifts the rest.
+
+An item of one sentence with a number may have too few literals for windows to tell it from chance. It is looked for among the documents' whole
+sentences: the template must be equal from edge to edge and no slot in conflict, and where fewer than sentence_literals words are no
+placeholders, the first word, which every sentence writes in upper case, must be equal too.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ UNITS = "mm cm m km in ft yd mi g kg mg t lb lbs oz ml cl l s sec secs min mins
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split()
 NUMBER, NAME, UNIT = "#", "@n", "@u"
 #: Forms of a text, the one whose figures are reported first before the others; the mark around a placeholder's value.
-TEMPLATE, COLLAPSED, LITERAL = 0, 1, 2
+TEMPLATE, COLLAPSED, LITERAL, SENTENCE = 0, 1, 2, 3
+#: Where a sentence ends, and what one must hold that may be an item with other numbers.
+ENDS, HAS_NUMBER = r"[.!?]+(?=\s|$)|[\r\n]+", r"(?i)\d|(?<![\p{L}\p{N}])(?:" + "|".join(NUMBERS) + r")(?![\p{L}\p{N}])"
 MARK = "\x01"
 
 
@@ -34,7 +40,8 @@ MARK = "\x01"
 class Rule:
     """Words of a window; words of it that must not be placeholders; windows on a diagonal that make a match (all of an
     item that has fewer); least words of an item that is looked for at all, and of one that is looked for as a template, which are also those of a literal
-    window (shorter items are one window); share of slots that may be in conflict; share of an item's words that literal windows must cover; diagonals that are added up."""
+    window (shorter items are one window); share of slots that may be in conflict; share of an item's words that literal windows must cover; diagonals that are added up; literals from
+    which the first word of a sentence may differ."""
 
     width: int = 8
     literals: int = 4
@@ -44,6 +51,7 @@ class Rule:
     conflicts: float = 0.2
     covered: float = 0.8
     band: int = 8
+    sentence_literals: int = 3
 
 
 def _spaced(text: Column) -> Column:
@@ -143,6 +151,29 @@ def benchmark_windows(every: DataFrame, rule: Rule) -> DataFrame:
     return joined.withColumn("need", F.when(F.col("form") == LITERAL, F.ceil(F.size("words") * rule.covered)).otherwise(F.least("n_windows", F.lit(rule.windows))))
 
 
+def _sentences(df: DataFrame, keep: list[str], rule: Rule) -> DataFrame:
+    """keep, values (words in lower case without marks) and template of each sentence of df's text that has least_words words, a number and a literal."""
+    each = df.select(*keep, F.explode(F.split("text", ENDS)).alias("text")).where(F.col("text").rlike(HAS_NUMBER))
+    forms = forms_of(each, keep).select(*keep, F.transform("words", lambda w: F.lower(F.replace(w, F.lit("@"), F.lit("")))).alias("values"), "template")
+    return forms.where((F.size("template") >= rule.least_words) & F.array_contains("template", NUMBER) & F.exists("template", lambda w: ~_is_slot(w))).withColumn("h", F.xxhash64(F.array_join("template", " ")))
+
+
+def _sentence_leaks(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, row_key, c) of documents that have a sentence like that of items(item_id, values, template, h), c as _checked() makes it."""
+    named = items.select("item_id", F.col("values").alias("wanted"), F.col("template").alias("form"), "h").distinct()
+    met = _sentences(docs, ["doc_id", "row_key"], rule).join(_bounded(named), "h").where("template = form")
+    slots = F.filter(F.zip_with(F.arrays_zip(F.col("wanted").alias("a"), F.col("values").alias("b")), "form", lambda v, k: F.when(_is_slot(k), v)), lambda v: v.isNotNull())
+    literals = F.size("form") - F.size("pairs")
+    first = (F.col("wanted")[0] == F.col("values")[0]) | (literals >= rule.sentence_literals)
+    rows = met.withColumn("pairs", slots).where(first)
+    conflicts = F.size(F.array_distinct("pairs")) - F.size(F.array_distinct(F.transform("pairs", lambda v: v["a"])))
+    c = F.struct(
+        F.lit(SENTENCE).alias("form"), "item_id", F.lit(1).cast("bigint").alias("matched"), F.lit(1).cast("bigint").alias("n_windows"), F.size("pairs").alias("n_slots"),
+        F.size(F.filter("pairs", lambda v: v["a"] != v["b"])).alias("n_changed"), conflicts.alias("n_conflicts"),
+    )
+    return rows.select("doc_id", "row_key", c.alias("c")).where("c.n_conflicts = 0")
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """df, broadcast if its counted rows are within BROADCAST_ROWS."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -188,6 +219,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFra
         wide = spans.join(_bounded(items), on_item).drop(items["form"]).drop(items["item_id"]).drop(items["n_windows"])
         checked = wide.select("doc_id", "row_key", _checked(F.struct(*(c for c in wide.columns if c not in ("doc_id", "row_key")))).alias("c"))
         fine = checked.where(F.col("c.n_conflicts") <= F.lit(rule.conflicts) * F.col("c.n_slots"))
+        brief = write(_sentences(benchmark.select("item_id", "text").where(F.size(F.filter(F.split("text", ENDS), lambda t: t.rlike(r"[\p{L}\p{N}]"))) == 1), ["item_id"], rule), "brief")
+        if not brief.isEmpty():
+            keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+            fine = fine.union(_sentence_leaks(keyed, brief, rule))
         best = fine.groupBy("doc_id", "row_key", "c.item_id").agg(F.max(F.struct((-F.col("c.form")).alias("form"), "c.matched", "c.n_windows", "c.n_slots", (-F.col("c.n_changed")).alias("same"))).alias("b"))
         out = best.select("doc_id", "row_key", "item_id", "b.matched", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_slots").cast("long").alias("n_slots"), (-F.col("b.same")).cast("long").alias("n_changed"))
         return materialise(out, "leaks")
