@@ -16,6 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the corpu
 
 
 def counted(df):
+    df = df.astype(object).where(df.notna(), None)
     key = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x)
     return collections.Counter(tuple(map(key, row)) for row in df[sorted(df.columns)].itertuples(index=False))
 
