@@ -30,10 +30,10 @@ FUNCTION_HEADS = {
     RUST: [("fn", rf"{EDGE_L}fn\s+(\w+)\s*[<(]", 1)],
 }
 BLOCK_HEADS = {
-    (*JS, ".cjs"): [("fn", r"function\s+(\w+)", 1), ("fn", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(", 1), ("fn", rf"^\s*(?!{_CONTROL}\b)(\w+)\s*\(", 1)],
+    (*JS, ".cjs"): [("fn", r"function\s+(\w+)", 1), ("fn", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(", 1), ("fn", rf"^\s*(?:async\s+)?(?!{_CONTROL}\b)(\w+)\s*\(", 1)],
     (".java", ".cs", ".php"): [("fn", rf"{_MODS}[\w<>\[\]]+\s+(?!{_CONTROL}\b)(\w+)\s*\(", 1)],
-    GO: [("fn", rf"^func\s+(?:\([^)]*\)\s*)?({IDENT})", 1)],
-    RUST: [("fn", rf"{EDGE_L}fn\s+({IDENT})", 1)],
+    GO: [("fn", rf"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?({IDENT})\s*\(", 1)],
+    RUST: [("fn", rf"^\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:async\s+)?fn\s+({IDENT})", 1)],
 }
 INDENT_HEADS = {PYTHON: [("fn", rf"^\s*(?:async\s+)?def\s+({IDENT})", 1)], RUBY: [("fn", rf"^\s*(?:def|class)\s+(?:self\.)?({IDENT})", 1)]}
 #: What adds one to a function's complexity. Signs count only where they touch words on both sides.
@@ -202,25 +202,39 @@ def decisions(text: Column, ext: Column) -> Column:
 
 
 def complexity(files: DataFrame, threshold: int = 5) -> DataFrame:
-    """(path, name, line, end_line, complexity, risk) of functions with a risk above low and at least the threshold. Nested functions count in both."""
+    """(path, name, line, end_line, complexity, risk) of functions with a risk above low and at least the threshold.
+
+    Nested functions count in both; in brace languages a head on the line right after that of a function is part of it only.
+    """
     brace = brace_blocks(files, FUNCTION_HEADS, BODY_LINES, unclosed=True).withColumn("_body", F.when(F.col("closed"), F.slice("body", F.lit(1), F.greatest(F.size("body") - 1, F.lit(0)))).otherwise(F.col("body")))
     indent = indent_blocks(files, {PYTHON: INDENT_HEADS[PYTHON]}).withColumn("_body", F.slice("body", F.lit(2), F.greatest(F.size("body") - 1, F.lit(0))))
-    ruby = ruby_blocks(files).withColumn("_body", F.col("body"))
-    rows = brace.unionByName(indent).unionByName(ruby).where(F.size("_body") >= 2)
+    ruby = ruby_blocks(files).withColumn("_body", F.slice("body", F.lit(2), F.greatest(F.size("body") - F.when(F.col("closed"), 2).otherwise(1), F.lit(0))))
+    long = F.size("_body") >= 2
+    rows = _every_other(brace.where(long)).unionByName(indent.where(long)).unionByName(ruby.where(long))
     scored = rows.withColumn("complexity", 1 + decisions(F.array_join("_body", "\n"), F.col("ext")))
     return scored.withColumn("risk", risk(F.col("complexity"))).where((F.col("risk") != "low") & (F.col("complexity") >= threshold)).select("path", "name", "line", "end_line", "complexity", "risk")
 
 
+def _every_other(heads: DataFrame) -> DataFrame:
+    """Heads without those right below a closed head that stays: the first, third and so on of a run of lines that are all heads."""
+    in_file = Window.partitionBy("path").orderBy("line")
+    above = F.lag(F.when(F.col("closed"), F.col("line"))).over(in_file)
+    starts = F.when(F.coalesce(above, F.lit(-1)) != F.col("line") - 1, F.col("line"))
+    run = heads.withColumn("_starts", starts).withColumn("_first", F.last("_starts", ignorenulls=True).over(in_file))
+    return run.where((F.col("line") - F.col("_first")) % 2 == 0).drop("_starts", "_first")
+
+
 def ruby_blocks(files: DataFrame) -> DataFrame:
-    """Ruby methods: a line with an opening word is one deeper, one with end one less; the method stops where the balance is back."""
+    """Ruby methods: a line with an opening word is one deeper, one with end one less; a method, also one that ends on its first line, stops at the next line that
+    goes below its depth, or with its file (closed is false), which words after a statement (x if y) can bring about."""
     files = _of(files, {RUBY: []})
     by_line = Window.partitionBy("path").orderBy("line")
     step = F.col("text").rlike(word("def|do|begin|class|module|if|unless|while|for|until|case")).cast("int") - F.col("text").rlike(word("end")).cast("int")
     slim = lines_of(files).select("path", "line", step.alias("_net"), F.nullif(F.regexp_extract("text", r"^\s*def\s+(\w+)", 1), F.lit("")).alias("name"))
     lines = slim.withColumn("now", F.sum("_net").over(by_line)).withColumn("before", F.col("now") - F.col("_net"))
-    asked = lines.where("name is not null").select("path", F.col("before").alias("level"), F.col("line").alias("after"), "name", F.col("line").alias("head"), F.when(F.col("now") <= F.col("before"), F.col("line")).alias("_here"))
-    ends = _next_closing(asked, _closers(lines)).withColumn("end_line", F.coalesce("_here", "closing")).where("end_line is not null")
-    return _bodies(ends.withColumn("closed", F.lit(True)), files)
+    asked = lines.where("name is not null").select("path", (F.col("now") - 1).alias("level"), F.col("line").alias("after"), "name", F.col("line").alias("head"))
+    ends = _next_closing(asked, _closers(lines)).withColumn("end_line", F.col("closing")).withColumn("closed", F.col("closing").isNotNull())
+    return _bodies(ends, files)
 
 
 def unreachable(files: DataFrame) -> DataFrame:

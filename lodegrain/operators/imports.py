@@ -106,11 +106,11 @@ def import_cycles(files: DataFrame) -> DataFrame:
     """(cycle, path, length): the files of each circle of imports, the largest first, in JS-like files and by relative Python imports and Python imports from the root. A circle is named by its least path."""
     js = resolve(js_imports(files, bare=True), files, CYCLE_ENDINGS).select(F.col("path").alias("src"), F.col("target").alias("dst"))
     some = files.where((F.col("ext") == ".py") & F.col("content").isNotNull())
-    near = some.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*from\s+(\.+[\w.]*)\s+import"), F.lit(1))).alias("spec"))
+    near = some.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"from\s+(\.+[\w.]*)\s+import"), F.lit(1))).alias("spec"))
     dots = F.length(F.regexp_extract("spec", r"^(\.+)", 1))
     rest = F.replace(F.regexp_replace("spec", r"^\.+", ""), F.lit("."), F.lit("/"))
     base = normal_path(F.concat_ws("/", dirname(F.col("path")), F.repeat(F.lit("../"), dots - 1), rest))
-    far = some.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*import\s+([A-Za-z_][\w.]*)"), F.lit(1))).alias("spec"))
+    far = some.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^import\s+([A-Za-z_][\w.]*)"), F.lit(1))).alias("spec"))
     both = near.select("path", "spec", base.alias("_base")).union(far.select("path", "spec", F.replace("spec", F.lit("."), F.lit("/"))))
     tried = both.select("path", "spec", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.concat("_base", F.lit(".py")).alias("target")), F.struct(F.lit(1).alias("ord"), F.concat("_base", F.lit("/__init__.py")).alias("target")))).alias("c")).select("path", "spec", "c.*")
     found = _first_existing(tried, files).select(F.col("path").alias("src"), F.col("target").alias("dst"))

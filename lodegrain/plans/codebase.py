@@ -207,36 +207,36 @@ def _quoted(x: object) -> str:
     return str(x) if isinstance(x, int) else "replace('" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "', '{k}', k)"
 
 
-def _rows(own: list[tuple], columns: str, root: list[tuple] = (), folder: tuple[int, ...] = (0,)) -> str:
+def rows_sql(own: list[tuple], columns: str, root: list[tuple] = (), folder: tuple[int, ...] = (0,), top: str = "p") -> str:
     """SELECT of rows for each supplier, with the folder before the given columns, and of rows at the root."""
     put = lambda r, prefix: ", ".join(_quoted((prefix + x) if i in folder else x) for i, x in enumerate(r))
-    parts = [f"SELECT {put(r, 'p{k}/')} FROM s" for r in own] + [f"SELECT {put(r, '')} FROM (SELECT '' AS k)" for r in root]
+    parts = [f"SELECT {put(r, top + '{k}/')} FROM s" for r in own] + [f"SELECT {put(r, '')} FROM (SELECT '' AS k)" for r in root]
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS t({columns})"
 
 
 _S = "s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier)"
-_DEFS = f"defs AS ({_rows([(*r, None)[:10] for r in DEFINITIONS], 'path, line, language, name, kind, \"column\", exported, ignored, dead, end_line', ROOT_DEFINITIONS)})"
-_FILES = f"files AS ({_rows([(p, t) for p, t in FILES.items()], 'path, content', [(p, t) for p, t in ROOT.items()])})"
+_DEFS = f"defs AS ({rows_sql([(*r, None)[:10] for r in DEFINITIONS], 'path, line, language, name, kind, \"column\", exported, ignored, dead, end_line', ROOT_DEFINITIONS)})"
+_FILES = f"files AS ({rows_sql([(p, t) for p, t in FILES.items()], 'path, content', [(p, t) for p, t in ROOT.items()])})"
 _LANGUAGE = "CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'rb' THEN 'ruby' WHEN 'cs' THEN 'csharp' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'php' THEN 'php' END"
 _WEIGHT = "CASE kind WHEN 'function' THEN 12 WHEN 'method' THEN 10 WHEN 'class' THEN 30 WHEN 'variable' THEN 1 WHEN 'interface' THEN 8 WHEN 'type' THEN 3 WHEN 'enum' THEN 6 WHEN 'struct' THEN 15 WHEN 'trait' THEN 12 END"
 _UNUSED = f"unused AS (SELECT path, CAST(strlen(content) AS BIGINT) AS size FROM files WHERE regexp_replace(path, '^p[0-9]+/', '') IN ({', '.join(repr(x) for x in UNUSED)}) AND path LIKE 'p%/%')"
 _FLAT = lambda rows, columns: f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in rows)}) AS t({columns})"
 _CONTEXT = "                if i: print(i)|        # TODO: tidy AB-7 later||# lodegrain-ignore"
-_COMPLEX = _rows(COMPLEX, "path, name, line, end_line, complexity, risk")
-_DOUBLES = _rows([("d1.py", 1, 6, "total_{k}"), ("d2.py", 1, 6, "sum_{k}")], "path, line, end_line, name")
+_COMPLEX = rows_sql(COMPLEX, "path, name, line, end_line, complexity, risk")
+_DOUBLES = rows_sql([("d1.py", 1, 6, "total_{k}"), ("d2.py", 1, 6, "sum_{k}")], "path, line, end_line, name")
 _GROUP = "2 * count(*) AS n, 6 AS lines, 6 * (2 * count(*) - 1) AS wasted"
 _N = "(SELECT count(*) FROM s)"
-_AGES = _rows([(p, i, *(("ann", TODAY - MADE[0]) if i in OLD_LINES[p] else ("bob", TODAY - MADE[1]))) for p in EARLIER for i in range(1, ALL_LINES[p] + 1)], "path, line, author, days_ago")
+_AGES = rows_sql([(p, i, *(("ann", TODAY - MADE[0]) if i in OLD_LINES[p] else ("bob", TODAY - MADE[1]))) for p in EARLIER for i in range(1, ALL_LINES[p] + 1)], "path, line, author, days_ago")
 
 ORACLES: dict[str, str] = {
     "code_definitions": f"WITH {_S}, {_DEFS} SELECT path, line, language, name, kind, \"column\", exported, ignored, end_line FROM defs",
-    "code_edges": f"WITH {_S} {_rows(EDGES, 'from_path, path, name', folder=(0, 1))} UNION ALL SELECT 'p' || k || '/src/al.ts', 'shared/w.ts', 'w' FROM s",
+    "code_edges": f"WITH {_S} {rows_sql(EDGES, 'from_path, path, name', folder=(0, 1))} UNION ALL SELECT 'p' || k || '/src/al.ts', 'shared/w.ts', 'w' FROM s",
     "code_dead": f"WITH {_S}, {_DEFS} SELECT path, name, kind, line, exported FROM defs WHERE dead",
     "code_languages": f"WITH {_S}, {_DEFS}, {_FILES}, a AS (SELECT {_LANGUAGE} AS language, count(*) AS files FROM files GROUP BY 1), b AS (SELECT language, count(*) AS definitions, count(*) FILTER (dead) AS dead FROM defs GROUP BY 1) SELECT language, files, definitions, dead, CAST(round(100.0 * dead / definitions) AS BIGINT) AS dead_percent FROM a JOIN b USING (language)",
-    "code_todos": f"WITH {_S} SELECT *, '{_CONTEXT}' AS context FROM ({_rows(TODOS, 'path, line, kind, text, issue, severity')})",
-    "code_debug": f"WITH {_S} {_rows(DEBUG, 'path, line, kind, snippet')}",
-    "code_catches": f"WITH {_S} {_rows(CATCHES, 'path, line, kind, severity, snippet')}",
-    "code_unreachable": f"WITH {_S} {_rows(UNREACHABLE, 'path, line, unreachable_line, unreachable_end, severity, preview')}",
+    "code_todos": f"WITH {_S} SELECT *, '{_CONTEXT}' AS context FROM ({rows_sql(TODOS, 'path, line, kind, text, issue, severity')})",
+    "code_debug": f"WITH {_S} {rows_sql(DEBUG, 'path, line, kind, snippet')}",
+    "code_catches": f"WITH {_S} {rows_sql(CATCHES, 'path, line, kind, severity, snippet')}",
+    "code_unreachable": f"WITH {_S} {rows_sql(UNREACHABLE, 'path, line, unreachable_line, unreachable_end, severity, preview')}",
     "code_complexity": f"WITH {_S} {_COMPLEX}",
     "code_top_functions": f"WITH {_S}, f AS ({_COMPLEX}) SELECT row_number() OVER (ORDER BY complexity DESC, path, line) AS place, path, name, complexity FROM f ORDER BY place LIMIT 5",
     "code_duplicates": f"WITH {_S}, g AS (SELECT {_GROUP} FROM s) SELECT d.*, g.*, CASE WHEN {_N} = 1 THEN 'p' || (SELECT min(k) FROM s) ELSE '' END AS folder FROM ({_DOUBLES}) d, g",
@@ -245,7 +245,7 @@ ORACLES: dict[str, str] = {
     "code_unused_packages": _FLAT(PACKAGES, "manager, name, version"),
     "code_unused_keys": f"SELECT *, row_number() OVER (ORDER BY lower(key)) AS place FROM ({_FLAT(KEYS, 'key, value, declared_in')})",
     "code_cycles": f"WITH {_S} SELECT 'p' || k || '/src/loop1.ts' AS cycle, 'p' || k || '/src/' || f AS path, 2 AS length FROM s, (VALUES ('loop1.ts'), ('loop2.ts')) v(f)",
-    "code_counts": f"""WITH {_S}, {_DEFS}, {_FILES}, {_UNUSED}, c AS ({_rows(CATCHES, 'path, line, kind, severity, snippet')}), d AS ({_rows(DEBUG, 'path, line, kind, snippet')})
+    "code_counts": f"""WITH {_S}, {_DEFS}, {_FILES}, {_UNUSED}, c AS ({rows_sql(CATCHES, 'path, line, kind, severity, snippet')}), d AS ({rows_sql(DEBUG, 'path, line, kind, snippet')})
 SELECT 'catches' AS what, severity AS of, count(*) AS n FROM c GROUP BY severity UNION ALL SELECT 'functions', v.r, CASE WHEN v.r = 'medium' THEN {len(COMPLEX)} * {_N} ELSE 0 END FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(r)
 UNION ALL SELECT 'debug', kind, count(*) FROM d GROUP BY kind UNION ALL SELECT 'debug of language', regexp_extract(path, '([.][a-z]+)$', 1), count(*) FROM d GROUP BY 2 UNION ALL SELECT 'todos', 'TODO', {_N}
 UNION ALL SELECT 'unused', 'bytes', CAST(sum(size) AS BIGINT) FROM unused UNION ALL SELECT 'keys', 'live', 1 UNION ALL SELECT 'dead', 'most in a file', max(n) FROM (SELECT count(*) AS n FROM defs WHERE dead GROUP BY path)
@@ -254,9 +254,9 @@ UNION ALL SELECT 'lines', kind, CAST(sum({_WEIGHT}) AS BIGINT) FROM defs WHERE d
 SELECT 'dead_symbols' AS detector, count(*) AS issues FROM defs WHERE dead UNION ALL SELECT v.d, v.n * {_N} FROM (VALUES ('unused_files', {len(UNUSED)}), ('todos', {len(TODOS)}), ('unreachable', {len(UNREACHABLE)}), ('weak_catches', {len(CATCHES)}), ('debug_statements', {len(DEBUG)}), ('import_cycles', 1), ('complexity', 0), ('secrets', 0)) v(d, n)
 UNION ALL SELECT 'unused_packages', {len(PACKAGES)} UNION ALL SELECT 'duplicates', 1 UNION ALL SELECT 'unused_keys', {len(KEYS)})
 SELECT detector, issues, CAST(round(issues * 18.0 / max(issues) OVER ()) AS BIGINT) AS bar FROM b""",
-    "code_not_ignored": f"WITH {_S} {_rows([(p,) for p in NOT_IGNORED], 'path')}",
-    "code_cleaned": f"WITH {_S} {_rows(list(CLEANED.items()), 'path, content')}",
+    "code_not_ignored": f"WITH {_S} {rows_sql([(p,) for p in NOT_IGNORED], 'path')}",
+    "code_cleaned": f"WITH {_S} {rows_sql(list(CLEANED.items()), 'path, content')}",
     "code_line_ages": f"WITH {_S} {_AGES}",
     "code_dead_since": f"WITH {_S}, {_DEFS}, a AS ({_AGES}) SELECT path, name, line, days_ago AS days FROM defs LEFT JOIN a USING (path, line) WHERE dead AND coalesce(days_ago >= 30, true)",
-    "code_todo_ages": f"WITH {_S}, a AS ({_AGES}) SELECT path, line, kind, author, days_ago FROM ({_rows(TODOS, 'path, line, kind, text, issue, severity')}) JOIN a USING (path, line)",
+    "code_todo_ages": f"WITH {_S}, a AS ({_AGES}) SELECT path, line, kind, author, days_ago FROM ({rows_sql(TODOS, 'path, line, kind, text, issue, severity')}) JOIN a USING (path, line)",
 }

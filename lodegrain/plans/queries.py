@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.functions.text import EDGE_L, IDENT, first_rule, lines_of
 from lodegrain.operators import blocks, config, findings, graph, history, imports, symbols
-from lodegrain.plans import codebase, scan
+from lodegrain.plans import codebase, samples, scan
 from lodegrain.sources.files import as_files
 from lodegrain.streaming.watch import bursts
 
@@ -168,7 +168,7 @@ def event_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (dead_symbols, symbol_use, language_stats, cleanup_stats, ignore_patterns, baseline_diff, order_ages, notice_context, issue_refs, event_kinds, secrets, duplicate_documents, complexity_scores, unused_types, unused_keys, idle_customers, resolved_imports, flow_circles, top_customers, scan_board, event_bursts)
-} | codebase.QUERIES
+} | codebase.QUERIES | samples.QUERIES
 
 _LINES = "lines AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))"
 _DEFS = f"{_LINES}, defs AS (SELECT doc_id, line, name, CASE WHEN regexp_matches(name, '^[A-Z]') THEN 'class' ELSE 'function' END AS kind FROM (SELECT doc_id, line, regexp_extract(text, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM lines) WHERE name <> '')"
@@ -221,4 +221,4 @@ SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON
 b AS (SELECT 'secrets' AS detector, count(*) AS issues FROM secrets UNION ALL SELECT 'notices', count(*) FROM notices UNION ALL SELECT 'complexity', count(*) FROM scores WHERE risk IN ('high', 'critical') UNION ALL SELECT 'dead', count(*) FROM dead)
 SELECT detector, issues, CAST(CASE WHEN max(issues) OVER () > 0 THEN round(issues * 18.0 / max(issues) OVER ()) ELSE 0 END AS BIGINT) AS bar FROM b""",
     "event_bursts": "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM n GROUP BY 1, 2) SELECT user_id, count(*) AS bursts, max(n) AS longest, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1",
-} | codebase.ORACLES
+} | codebase.ORACLES | samples.ORACLES

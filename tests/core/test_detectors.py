@@ -276,3 +276,13 @@ def test_reports(spark, tmp_path):
     sizes = spark.createDataFrame([(512, 0), (1536, 3), (2 * 1024 * 1024, 400), (1, 65)], "s long, d int").select(reports.human_size(F.col("s")).alias("s"), reports.age_text(F.col("d")).alias("d"))
     assert [tuple(r) for r in sizes.collect()] == [("512B", "today"), ("1.5KB", "3d ago"), ("2.0MB", "1y ago"), ("1B", "2mo ago")]
     assert rows(symbols.of_languages(f, ("python", "klingon")), "path") == [("a.py",)]
+
+
+def test_heads_below_heads_and_open_ruby_methods(spark):
+    checks = " if (q) { }" * 5
+    run = "\n".join(f"const f{i} = (q) => {{\n {checks}\n return q\n}};" for i in range(2))
+    nested = f"const a = (q) => {{\nconst b = (q) => {{\nconst c = (q) => {{\n{checks}\nreturn q;\n}};\nreturn c;\n}};\nreturn b;\n}};"
+    ruby = "def a\n  x if y or z\n  b unless c and d\nend\ndef one(x) x end\ndef two(x)\n  x and x and x and x and x and x\nend"
+    found = blocks.complexity(files_of(spark, {"run.js": run, "nested.js": nested, "r.rb": ruby}))
+    # b stands right below a, so c counts again; two has a body of one line; a and one never come back to their depth and go to the file's end
+    assert rows(found, "path", "name", "line", "end_line", "complexity") == [("nested.js", "a", 1, 10, 6), ("nested.js", "c", 3, 6, 6), ("r.rb", "a", 1, 8, 10), ("r.rb", "one", 5, 8, 6), ("run.js", "f0", 1, 4, 6), ("run.js", "f1", 5, 8, 6)]
