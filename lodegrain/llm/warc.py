@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrain.llm.common import materialise, meet
@@ -19,8 +19,8 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-#: Records of an archive file at most.
-FILE_RECORDS = 2000
+#: Records of an archive file at most, by the bytes of each (below which bound), so that a file holds 128 MB before compression, or one record.
+FILE_RECORDS = ((64 << 10, 2000), (512 << 10, 250), (4 << 20, 31), (32 << 20, 4), (None, 1))
 #: A batch of parsed records holds about this many payload bytes.
 BATCH_BYTES = 4 << 20
 
@@ -68,7 +68,8 @@ def write_archives(records: DataFrame, path: str, date: datetime.datetime | None
     """Write resolved records as gzipped WARC files, with fresh headers, to a folder that need not exist.
 
     Spark's text writer puts the bytes: its line separator is the two line ends that close a record, so the files are
-    committed like any table's and a lost executor's files are written again.
+    committed like any table's and a lost executor's files are written again. Long records go to files with fewer of them, by a write of their own; while the first
+    write runs it counts them, so a table without long records is read once.
     """
     stamp = F.lit((date or datetime.datetime.now(datetime.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ"))
     is_revisit = F.col("record_type") == "revisit"
@@ -93,7 +94,15 @@ def write_archives(records: DataFrame, path: str, date: datetime.datetime | None
         field("Content-Length", length.cast("string")),
     )
     block = F.when(is_revisit, http).otherwise(F.concat(http, F.col("payload")))
-    records.select(F.concat(head, F.lit(CRLF + CRLF), block).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    bounds = [least for least, _ in FILE_RECORDS[:-1]]
+    rank = sum(((length >= b).cast("int") for b in bounds), F.lit(0))
+    sized = records.withColumn("_rank", rank)
+    observed = Observation()
+    counted = sized.observe(observed, *(F.count_if(F.col("_rank") == i).alias(f"n{i}") for i in range(1, len(FILE_RECORDS))))
+    for i, (_, most) in enumerate(FILE_RECORDS):
+        if i == 0 or observed.get[f"n{i}"]:
+            own = (sized if i else counted).where(F.col("_rank") == i).select(F.concat(head, F.lit(CRLF + CRLF), block).alias("value"))
+            own.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).mode("append" if i else "errorifexists").text(path)
 
 
 def parse_stream(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -135,14 +144,13 @@ def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield from (data[i : i + step] for i in range(0, len(data), step))
         return
-    rest = memoryview(data)
-    while len(rest):
+    whole, start = memoryview(data), 0
+    while start < len(whole):
         d = zlib.decompressobj(31)
-        at = 0
-        while not d.eof and at < len(rest):
-            yield d.decompress(rest[at : at + step])
-            at += step
-        rest = memoryview(d.unused_data + bytes(rest[at:])) if d.eof else memoryview(b"")
+        while not d.eof and start < len(whole):
+            yield d.decompress(whole[start : start + step])
+            start += min(step, len(whole) - start)
+        start -= len(d.unused_data)
 
 
 def record_row(fields: dict[str, str], block: bytes, payloads: bool) -> tuple:
