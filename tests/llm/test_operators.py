@@ -3,7 +3,6 @@
 import collections
 import gzip
 import hashlib
-import heapq
 import itertools
 import math
 import random
@@ -609,28 +608,36 @@ def test_sharding_keeps_groups_and_balance(spark, none):
     assert sharding.shard_documents(none, 5).count() == 0
 
 
-def test_bundles_level_as_well_as_single_groups(spark):
+def plainly(sizes, shards):
+    """Loads and the number of groups of each size in each shard, each group placed on its own."""
+    loads, got = [0] * shards, collections.Counter()
+    for size in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda k: (loads[k], k))
+        loads[s] += size
+        got[size, s] += 1
+    return loads, got
+
+
+def test_shards_have_the_loads_of_single_groups(spark):
     rng = random.Random(8)
-    texts = [prose(rng, rng.choice([2, 5, 30, 90])) for _ in range(4000)] + [prose(rng, 3000)] * 3
+    texts = [prose(rng, rng.choice([2, 5, 30, 90])) for _ in range(4000)] + [prose(rng, 3000)] * 3 + ["x"] * 2000
     out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).groupBy("shard").agg(F.sum("size").alias("n")).collect()
     groups = collections.Counter()
     for t in texts:
         groups[t] += len(t.encode()) + 16
-    loads = collections.Counter()
-    for t, shard in sharding.lpt([(n, t) for t, n in groups.items()], 8).items():
-        loads[shard] += groups[t]
-    assert max(r.n for r in out) <= 1.01 * max(loads.values())
-
-
-def test_lpt_against_a_plain_scan():
-    rng = random.Random(1)
-    items = [(rng.randint(1, 50), f"i{k}") for k in range(60)]
-    loads, want = [0] * 4, {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        s = min(range(4), key=lambda k: (loads[k], k))
-        loads[s] += size
-        want[name] = s
-    assert sharding.lpt(items, 4) == want and heapq
+    loads, _ = plainly(groups.values(), 8)
+    assert {r.shard: r.n for r in out} == dict(enumerate(loads))
+
+
+@pytest.mark.parametrize("shards", [1, 4, 7])
+def test_lpt_against_a_plain_scan(shards):
+    rng = random.Random(shards)
+    for most in (0, 5, 40, 300):
+        sizes = [rng.choice([3, 7, 7, 7, rng.randint(1, 50), 400]) for _ in range(most * 4)]
+        n = collections.Counter(sizes)
+        placed = sharding.lpt(np.array(list(n), np.int64), np.array(list(n.values()), np.int64), shards)
+        _, want = plainly(sizes, shards)
+        assert {(size, s): placed[i, s] for i, size in enumerate(n) for s in range(shards) if placed[i, s]} == dict(want)
 
 
 # archives
