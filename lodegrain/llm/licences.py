@@ -5,7 +5,7 @@ a notice is found within a line, over several lines and between other text. It b
 any size shares at least t / (2 - t) of the template's bigrams: this size bound prunes templates and places by their number of shared bigrams before any window is
 compared, and a set of letters that touch more than the rest of every template's bigrams rules out whole texts by plain substring tests.
 
-Siblings differ in a few words: a window must hold the template's numbers, and just the telling words (Lesser, NC and so on) that the template has. Windows that overlap are
+Siblings differ in a few words: a window must hold the template's numbers, and just the telling words (Lesser, NC, not and so on) that the template has, and "not" must not stand before it. Windows that overlap are
 one place, and a place goes to the template that shares most bigrams there, at equal numbers to that of the higher coefficient, at equal coefficients to all.
 """
 
@@ -19,7 +19,9 @@ from lodegrain.llm.common import BROADCAST_ROWS, materialise, scratch
 
 THRESHOLD = 0.8
 #: Words that tell a licence from its siblings.
-TELLING = ("affero", "lesser", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike")
+TELLING = ("affero", "lesser", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "not", "sa", "sharealike")
+#: Words of which up to two may stand between a negation and the window that it denies, whose notice may have begun before it (is not yet released under ...).
+LINKS = ("be", "been", "currently", "distributed", "licensed", "released", "under", "yet")
 #: Words too frequent in any text to be looked for while others do.
 COMMON = frozenset("about after before their there these those under which while without would other whether where".split())
 #: Letters of a word that are looked for as a substring.
@@ -69,6 +71,10 @@ _GPL_3_TEXT = (
     "to make sure it remains free software for all its users."
 )
 
+#: Notices of two licences, which count for each.
+_DUAL = "Dual licensed under MIT and Apache-2.0."
+_EITHER = "Licensed under either of Apache License, Version 2.0 or MIT license at your option."
+
 #: Licence id and a notice or passage that licence texts use.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -115,6 +121,34 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    *((f"CC-{x.replace(' ', '-')}-3.0", f"Licensed under CC {x} 3.0.") for x in ("BY", "BY SA", "BY NC", "BY ND", "BY NC SA", "BY NC ND")),
+    *((f"CC-{x}-3.0", f"This work is licensed under a Creative Commons {y} 3.0 Unported License.") for x, y in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivs"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivs"),
+    )),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2."),
+    ("EUPL-1.2", "EUROPEAN UNION PUBLIC LICENCE v. 1.2"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("MIT", _DUAL),
+    ("Apache-2.0", _DUAL),
+    ("MIT", _EITHER),
+    ("Apache-2.0", _EITHER),
+    *((x, f"license: {x}") for x in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MPL-2.0")),
     ("all-rights-reserved", "All rights reserved."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher."),
     *((x, f"SPDX-License-Identifier: {x}") for x in (
@@ -234,7 +268,10 @@ def windows(docs: DataFrame, threshold: float, templates: tuple[tuple[str, str],
         per_row = F.broadcast(per_row)
     back = docs.select("doc_id", key, "text").join(per_row, F.col("row_key") == F.col("_key")).where(F.col("doc_id").eqNullSafe(F.col("_id")))
     back = back.select("doc_id", "row_key", "found", F.split(normalised(F.col("text")), " ").alias("words"))
-    cut = lambda x: F.transform(x["starts"], lambda s: F.struct(x["template"].alias("template"), s.alias("start"), F.slice("words", s + 1, x["k"]).alias("words")))
+    before = lambda s, n: F.coalesce(F.get("words", s - n), F.lit(""))
+    link = lambda s, n: before(s, n).isin(list(LINKS))
+    denied = lambda s: (before(s, 1) == "not") | link(s, 1) & ((before(s, 2) == "not") | link(s, 2) & (before(s, 3) == "not"))
+    cut = lambda x: F.transform(F.filter(x["starts"], lambda s: ~denied(s)), lambda s: F.struct(x["template"].alias("template"), s.alias("start"), F.slice("words", s + 1, x["k"]).alias("words")))
     spread = back.select("doc_id", "row_key", F.explode(F.flatten(F.transform("found", cut))).alias("w")).select("doc_id", "row_key", "w.*")
     wide = spread.join(F.broadcast(table), "template").withColumn("_own", bigrams(F.col("words")))
     told = (F.size(F.array_except("numbers", "words")) == 0) & (_telling(F.col("words")) == F.col("telling"))

@@ -31,7 +31,8 @@ te AS (SELECT template, k, unnest(grams) AS gram FROM tt),
 d AS (SELECT doc_id, string_split({_licence_text("text")}, ' ') AS w FROM documents WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) AS i FROM (SELECT doc_id, {_PAIRS} AS g FROM d)),
 s AS (SELECT doc_id, template, i, count(*) OVER (PARTITION BY doc_id, template ORDER BY i RANGE BETWEEN CURRENT ROW AND 100000 FOLLOWING) AS left_over FROM dg JOIN te USING (gram)),
-x AS (SELECT doc_id, template, licence, i, k, grams, telling, numbers, d.w[i : i + k - 1] AS w FROM s JOIN tt USING (template) JOIN d USING (doc_id) WHERE 3 * left_over >= len(grams)),
+x AS (SELECT doc_id, template, licence, i, k, grams, telling, numbers, d.w[i : i + k - 1] AS w FROM s JOIN tt USING (template) JOIN d USING (doc_id) WHERE 3 * left_over >= len(grams)
+  AND NOT regexp_matches(' ' || array_to_string(d.w[greatest(i - 3, 1) : i - 1], ' '), ' not( ({"|".join(licences.LINKS)})){{0,2}}$')),
 y AS (SELECT doc_id, template, licence, i, k, len(list_intersect(list_distinct({_PAIRS}), grams)) AS shared, len(list_distinct({_PAIRS})) + len(grams) AS total FROM x
   WHERE {_TOLD} = telling AND len(list_filter(numbers, lambda x: NOT list_contains(w, x))) = 0),
 z AS (SELECT *, 2.0 * shared / total AS dice FROM y WHERE 2.0 * shared / total >= {licences.THRESHOLD}),

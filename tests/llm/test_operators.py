@@ -139,6 +139,9 @@ def licence_rows(docs, threshold=licences.THRESHOLD):
                 dice = 2 * both / (len(grams(own)) + len(grams(t)))
                 if (w[s], w[s + 1]) not in grams(t) or dice < threshold or tell(own) != tell(t) or {x for x in t if x.isdigit()} - set(own):
                     continue
+                back = w[max(s - 3, 0) : s][::-1]
+                if "not" in back and set(back[: back.index("not")]) <= set(licences.LINKS):
+                    continue
                 if last is None or s >= last + len(t):
                     run.append([])
                 run[-1].append((both, dice, -s))
@@ -172,10 +175,26 @@ def test_licences_against_brute_force(spark):
 def test_each_licence_and_no_sibling_is_found(spark):
     docs = [(i, f"Some plain words stand before it, and then: {t} After it more words of prose follow here.") for i, (_, t) in enumerate(licences.TEMPLATES)]
     docs += [(1000, "Hello there. Released under the MIT License. Enjoy it."), (1001, "(c) 2020 X\nAll rights reserved.\nx = 1"), (1002, "/*\n * Licensed under the Apache License,\n * Version 2.0.\n */\nint x;")]
-    want = {(i, n, 1.0) for i, (n, _) in enumerate(licences.TEMPLATES)} | {(1000, "MIT", 1.0), (1001, "all-rights-reserved", 1.0), (1002, "Apache-2.0", 1.0)}
+    named = collections.defaultdict(set)
+    for n, t in licences.TEMPLATES:
+        named[t].add(n)
+    want = {(i, n, 1.0) for i, (_, t) in enumerate(licences.TEMPLATES) for n in named[t]} | {(1000, "MIT", 1.0), (1001, "all-rights-reserved", 1.0), (1002, "Apache-2.0", 1.0)}
     assert {(r.doc_id, r.licence, r.dice) for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
 
 
+def test_licences_of_titles_pairs_fields_and_denials(spark):
+    lines = [
+        ("CC BY-NC-ND 4.0: Licensed under CC BY-NC-ND 4.0", {"CC-BY-NC-ND-4.0"}), ("Licensed under CC BY-ND 4.0", {"CC-BY-ND-4.0"}), ("Licensed under CC BY 3.0", {"CC-BY-3.0"}), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", {"CC-BY-NC-4.0"}),
+        ("Mozilla Public License Version 2.0", {"MPL-2.0"}), ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", {"GPL-2.0"}), ("Boost Software License - Version 1.0 - August 17th, 2003", {"BSL-1.0"}), ("Licensed under the EUPL, Version 1.2", {"EUPL-1.2"}),
+        ("Dual licensed under MIT and Apache-2.0", {"MIT", "Apache-2.0"}), ("license: MIT", {"MIT"}), ("This code is not released under the MIT License.", set()), ("It will not be licensed under the MIT License.", set()), ("not been released under the MIT License", set()), ("not yet licensed under the MIT License", set()), ("This project is not licensed under the terms of the MIT license.", set()),
+        ("This is not ours. It is released under the MIT License.", {"MIT"}), ("GNU Library General Public License version 2, June 1991", {"LGPL-2.0"}),
+    ]
+    found = collections.defaultdict(set)
+    for r in licences.scan(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lines)], "doc_id long, text string")).collect():
+        found[r.doc_id].add(r.licence)
+    assert [found[i] for i in range(len(lines))] == [x for _, x in lines]
+
+
 def test_licences_of_odd_tables(odd, none):
     assert licences.scan(odd).count() == 0 and licences.scan(none).count() == 0
 
