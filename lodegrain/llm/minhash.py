@@ -7,10 +7,10 @@ any slot. A signature is one byte of each slot's value. Bands of it bucket the c
 (few chance meetings) and many (few missed pairs) at once.
 
 Within a bucket not all pairs are tried. First every class is tried against the most central member of each of its buckets, the one
-that meets most others; what passes is contracted to components, and members of one component need no further test. Then each round
-takes more members outside the bucket's main component as pivots, tries the rest against them and drops them from the
-bucket, until no bucket has two components. By then it is known how many shingles of each class occur in any other class that is left; pairs that can't
-reach the threshold with those, such as copies with many edits of their own, don't meet. So every pair that shares a bucket is tried, ruled out by exact
+that meets most others; what passes is contracted to components, and members of one component need no further test. Buckets that then have two
+components are settled by what sets their members apart from that central member: A and B differ in |A - P| + |B - P| - 2 * |both| shingles, where X - P is the
+symmetric difference of X with the central P, so a pair of near copies that aren't copies of P itself must share about half of those few. They meet at the rarest of
+them (prefix and position filter, see Verifier.candidates), not at the many that all copies have. So every pair that shares a bucket is tried, ruled out by exact
 bounds or already linked through others, and no bucket is capped. A pair's signatures are compared before its sets; what they rule out is a dozen standard errors away.
 """
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,8 @@ Write = Callable[[DataFrame, str], DataFrame]
 WIDTH, SLOTS, BANDS = 5, 256, 64
 #: Pairs whose signatures agree on a share this far below the threshold are not verified: seven standard errors.
 SLACK = 0.16
-#: Pivots of a bucket in the round after the most central members', at most; each later round has eight times as many.
-PIVOTS = 8
+#: Where more pairs than this are left after the most central members, each class is first tried with the most central of its partners.
+MANY_PAIRS = 1_000_000
 #: Ranks after which a document's elements get whole permutations instead of lists of swaps.
 LISTED_RANKS = 6
 #: Text bytes per numpy run.
@@ -201,7 +201,7 @@ def components(edges: DataFrame, write: Write = materialise) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         state = write(small, "stars")
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 1024)).first()
+        now = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()  # the same in any order of rows
         if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         seen = now
@@ -221,10 +221,13 @@ class Similarity:
     def sizes_allow(self, a: str, b: str):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
-    def reachable(self, common_a: Column, common_b: Column, a: Column, b: Column) -> Column:
-        """Whether sets of a and b members, of which at most common_a and common_b are in any other set, can be linked."""
-        most = F.least(common_a, common_b)
-        return 100 * most >= self.percent * (a + b - most)
+    def gap(self, apart: Column, n: Column) -> Column:
+        """A set's part in what a pair must share: sets linked have (gap + gap) / weight or more in common of what sets them apart from a third."""
+        return (100 + self.percent) * apart - (100 - self.percent) * n
+
+    @property
+    def weight(self) -> int:
+        return 2 * (100 + self.percent)
 
     def linked(self, shared: str, a: str, b: str):
         return 100 * F.col(shared) >= self.percent * (F.col(a) + F.col(b) - F.col(shared))
@@ -251,14 +254,33 @@ class Verifier:
             self.sets = more if self.sets is None else self.sets.union(more)
         return self.sets
 
-    def commons(self, reps: DataFrame) -> DataFrame:
-        """(rep, n, common): set sizes, and how many members of each set are in another set of reps(rep) too. No two of reps can share more than the lesser of their commons."""
-        nodes = self.nodes.join(reps.select("rep").distinct(), "rep").select("rep", "n", "k1", "key")
-        sets = self.sets_of(nodes.select("rep", "key", F.col("k1").alias("k")))
-        members = nodes.join(sets, "rep").select("rep", F.explode("hashes").alias("h"))
-        often = members.groupBy("h").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("h")
-        common = members.join(often, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
-        return nodes.select("rep", "n").join(common, "rep", "left").select("rep", "n", F.coalesce("common", F.lit(0)).alias("common"))
+    def candidates(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members(base, rep, comp, outside) of one base and different components, at least one outside, without those that can't be linked.
+
+        What sets a member apart from the base is ordered by how many outside members have it too, the rarest first. Of a pair that shares as much as its gaps ask for, the
+        first shared item is so early in both orders that enough others may follow it; at such items alone do two members meet.
+        """
+        nodes = self.nodes.select("rep", "key", F.col("k1").alias("k"))
+        sets = self.sets_of(nodes.join(members.select("rep").union(members.select("base")).distinct(), "rep"))
+        both = members.where("rep <> base").join(sets, "rep").join(sets.select(F.col("rep").alias("base"), F.col("hashes").alias("_of_base")), "base")
+        own, away = F.array_except("hashes", "_of_base"), F.array_except("_of_base", "hashes")
+        n = F.size("hashes").cast("long")
+        gap = self.rule.gap(F.size("apart").cast("long"), F.col("n"))
+        apart = self.write(both.select("base", "rep", "comp", "outside", n.alias("n"), F.concat(own, away).alias("apart")).withColumn("gap", gap).drop("n"), "apart")
+        # who else has an item: outside members meet all, others only those outside
+        item = Window.partitionBy("base", "h")
+        items = apart.select("base", "rep", "outside", F.explode("apart").alias("h"))
+        counted = items.select("*", F.count_if("outside").over(item).alias("times"), F.count(F.lit(1)).over(item).alias("all"))
+        shared = counted.where("times > 0 and all > 1").groupBy("base", "rep").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("items"))
+        least = apart.groupBy("base").agg(F.min("gap").alias("any"), F.min(F.when(F.col("outside"), F.col("gap"))).alias("out"))
+        first = F.col("gap") + F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))
+        listed = apart.drop("apart").join(shared, ["base", "rep"]).join(least, "base").withColumn("all", F.size("items")).withColumn("need", F.greatest(F.ceil(first / self.rule.weight), F.lit(1)))
+        early = listed.where("need <= all").select("base", "rep", "comp", "outside", "gap", "all", F.posexplode(F.slice("items", F.lit(1), (F.col("all") - F.col("need") + 1).cast("int"))).alias("at", "i"))
+        early = self.write(early.select("base", "rep", "comp", "outside", "gap", F.col("i.h").alias("h"), (F.col("all") - F.col("at")).alias("left")), "early")
+        x, y = early.alias("x"), early.where("outside").alias("y")
+        met = (F.col("x.base") == F.col("y.base")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("x.outside") | (F.col("x.rep") < F.col("y.rep")))
+        enough = self.rule.weight * F.least("x.left", "y.left") >= F.col("x.gap") + F.col("y.gap")
+        return x.join(y, met & enough).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
     def try_pairs(self, pairs: DataFrame) -> DataFrame | None:
         """pairs(a, b) that are linked; None if no pair is near."""
@@ -272,6 +294,11 @@ class Verifier:
         linked = both.select("a", "b", "na", "nb", shared_count(F.col("ha"), F.col("hb")).alias("shared")).where(self.rule.linked("shared", "na", "nb"))
         return self.write(linked.select("a", "b"), "links")
 
+    def linked(self, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """labels(rep, comp) after pairs(a, b) have been tried."""
+        links = None if pairs.isEmpty() else self.try_pairs(pairs)
+        return labels if links is None or links.isEmpty() else _relabelled(labels, links, self.write)
+
 
 def _relabelled(labels: DataFrame, links: DataFrame, write: Write) -> DataFrame:
     """labels(rep, comp) after its components are joined by links(a, b) between reps."""
@@ -293,39 +320,31 @@ def link_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, write: W
     nodes = write(classes.join(fame, "rep"), "nodes")
     state = write(state.select("key", "rep").join(nodes.select("rep", "fame"), "rep").select("key", "rep", "fame"), "famed")
     order = F.struct("fame", -F.col("rep"))
-    verifier, tried, pivots = Verifier(docs, nodes, rule, write), None, 0
-    labels = nodes.select("rep", F.col("rep").alias("comp"))
-    chosen = state.groupBy("key").agg(F.max_by("rep", order).alias("pivot"))
-    found = state.join(chosen, "key").where("rep <> pivot").select("rep", "pivot")
-    while True:
-        pairs = found.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        pairs = write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = None if pairs.isEmpty() else verifier.try_pairs(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        if links is not None and not links.isEmpty():
-            labels = _relabelled(labels, links, write)
-        if pivots:
-            # where every member outside the main component has been a pivot, the bucket has been tried whole
-            more = chosen.groupBy("key").agg((F.sum("outside") - F.count(F.lit(1))).alias("_left")).where("_left > 0").select("key")
-            state = state.join(more, "key", "left_semi").join(chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        here = state.select("key", "rep", "fame", *(("n", "common") if pivots else ())).join(labels, "rep")
-        # a bucket is open while it has members outside the component of its most central one
-        main = here.groupBy("key").agg(F.max_by("comp", order).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
-        state = write(here.join(main, "key"), "open")
-        if state.isEmpty():
-            return labels
-        if not pivots:
-            # whose set is for the most part its own can't be linked with anything that is left
-            state = write(state.join(verifier.commons(state), "rep").where(100 * F.col("common") >= rule.percent * F.col("n")), "commons")
-        pivots = max(8 * pivots, PIVOTS)
-        strata = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-        best = state.where("comp <> main").groupBy("key", strata.alias("s")).agg(F.max_by(F.struct("rep", "comp", "n", "common"), order).alias("p"), F.count(F.lit(1)).alias("outside"))
-        chosen = write(best.select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), F.col("p.common").alias("pcommon"), "outside"), "pivots")
-        # a bucket's pivots come as one list, and a member's lists are united before pairs are made: most pairs share many buckets
-        lists = chosen.groupBy("key").agg(F.collect_list(F.struct("pivot", "pc", "pn", "pcommon")).alias("ps"))
-        met = F.filter("ps", lambda p: (p["pc"] != F.col("comp")) & rule.reachable(F.col("common"), p["pcommon"], F.col("n"), p["pn"]))
-        mates = state.select("key", "rep", "comp", "n", "common").join(lists, "key").select("rep", F.array_sort(F.transform(met, lambda p: p["pivot"])).alias("ps"))
-        found = mates.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("ps"))).alias("ps")).select("rep", F.explode("ps").alias("pivot"))
+    verifier = Verifier(docs, nodes, rule, write)
+    chosen = write(state.groupBy("key").agg(F.max_by("rep", order).alias("base")), "central")
+    state = state.join(chosen, "key")
+    tried = write(_ordered(state.where("rep <> base"), "rep", "base").distinct(), "pairs")
+    labels = verifier.linked(nodes.select("rep", F.col("rep").alias("comp")), tried)
+    # a bucket is open while it has members outside the component of its most central one
+    here = state.select("base", "rep").distinct().join(labels, "rep").join(labels.select(F.col("rep").alias("base"), F.col("comp").alias("main")), "base")
+    members = here.select("base", "rep", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+    members = write(members.join(members.where("outside").select("base").distinct(), "base", "left_semi"), "open")
+    if members.isEmpty():
+        return labels
+    pairs = write(verifier.candidates(members).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if pairs.count() > MANY_PAIRS:
+        # members of one group that no central member has linked: most are linked by the most central of their own
+        ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("base")).union(pairs.select("b", "a"))
+        best = ends.join(nodes.select(F.col("rep").alias("base"), "fame"), "base").groupBy("rep").agg(F.max_by("base", F.struct("fame", -F.col("base"))).alias("base"))
+        labels = verifier.linked(labels, write(_ordered(best, "rep", "base").distinct(), "best"))
+        of = lambda x: labels.select(F.col("rep").alias(x), F.col("comp").alias("c" + x))
+        pairs = write(pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b"), "rest")
+    return verifier.linked(labels, pairs)
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs of two columns as (a, b), the lesser first."""
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -362,6 +362,38 @@ def test_near_duplicates_against_brute_force(spark, percent):
     assert got == brute_groups(docs, percent)
 
 
+def edited(rng, words, vocabulary, edits):
+    """Words with some of them replaced."""
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = rng.choice(vocabulary)
+    return words
+
+
+@pytest.mark.parametrize("many", [minhash.MANY_PAIRS, 0])
+def test_near_copies_that_are_not_linked_seldom_meet(spark, monkeypatch, many):
+    """A group of copies with edits of their own, few of which are linked: all links are found, and pairs tried don't grow with the group's square."""
+    rng = random.Random(3)
+    base = prose(rng, 150).split()
+    vocabulary = prose(rng, 12).split()
+    copies = [edited(rng, base, vocabulary, rng.choice([2, 4, 4, 5, 5, 6])) for _ in range(400)]
+    copies += [edited(rng, c, vocabulary, 2) for c in copies[:24]]
+    docs = [(i, " ".join(c)) for i, c in enumerate([base, *copies])]
+    tried, try_pairs = [], minhash.Verifier.try_pairs
+
+    def counting(self, pairs):
+        tried.append(pairs.count())
+        return try_pairs(self, pairs)
+
+    monkeypatch.setattr(minhash.Verifier, "try_pairs", counting)
+    monkeypatch.setattr(minhash, "MANY_PAIRS", many)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), minhash.Similarity(80)).collect()}
+    want = brute_groups(docs, 80)
+    linked = collections.Counter(c for _, c in want.values())
+    assert got == want and sum(1 for c in linked.values() if c > 1) > 5 and len(linked) > 100
+    assert sum(tried) <= 8 * len(docs), tried
+
+
 def test_ids_that_stand_beside_several_texts(spark):
     rng = random.Random(5)
     a, b, c = (prose(rng, 80) for _ in range(3))
