@@ -28,8 +28,8 @@ from lodegrain.llm.common import free_name, materialise
 
 #: Terms of a shard, about; a document with more is a shard of its own.
 SHARD_TERMS = 1 << 19
-#: Bytes of a row group of the index, so that a reader holds few shards at once.
-GROUP_BYTES = 8 << 20
+#: Shards of a row group of the index: writers and readers hold whole row groups, and a bound on their bytes is first looked at after a hundred rows.
+GROUP_SHARDS = 1
 #: Bytes of query texts that are sent to the executors at a time, about.
 QUERY_BYTES = 1 << 20
 #: Fixed values of the scoring rule: scale and free part of a document's measure, and of an occurrence's impact.
@@ -130,7 +130,7 @@ def build(docs: DataFrame, write: Callable[..., DataFrame] = materialise) -> Ind
         K.give_back()
 
     shards = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(sharded, SHARD)
-    return Index(write(shards, "postings", **{"parquet.block.size": GROUP_BYTES}), documents, terms)
+    return Index(write(shards, "postings", **{"parquet.block.row.count.limit": GROUP_SHARDS}), documents, terms)
 
 
 @dataclass(frozen=True)

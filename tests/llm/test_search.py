@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,19 @@ def test_ties_repeats_nulls_and_odd_texts(spark):
     assert [g[2] for g in got if g[0] == 1] == [3, 3, 5, 7]
 
 
+def test_a_row_group_of_the_index_holds_one_shard(spark, monkeypatch):
+    """However many shards a task writes, readers and writers hold one at a time."""
+    monkeypatch.setattr(search, "SHARD_TERMS", 40)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a shard for each batch
+    try:
+        shards = search.build(spark.createDataFrame([(i, "some words of a document " * 4) for i in range(60)], RANKED).coalesce(1)).shards
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    assert sum(g.num_rows for g in groups) > 10 and all(g.num_rows == g.num_row_groups for g in groups)
+
+
 def test_empty_tables_and_clashing_columns(spark):
     empty = spark.createDataFrame([], RANKED)
     index = search.build(empty)
