@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def merged(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """left joined with right by sorting and merging, where either may be large. The planner knows the bytes of what a table is made from, not what texts are cut into,
+    and by itself would send such a side through the driver to all executors."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table of the shared folder, so that it is worked out once."""
     path = f"{shared_folder(df.sparkSession)}/lodegrain-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegrain.functions.lcs import common
+from lodegrain.functions.tables import merged
 from lodegrain.functions.text import lines_of
 from lodegrain.operators.symbols import TOOL, marker
 
@@ -91,7 +92,7 @@ def dead_since(rows: DataFrame, blame: DataFrame, days: int | None, as_of: Colum
     """rows(path, line, ...) with days_since_last_change from blame(path, line, author_time); those changed within days go, those of unknown age stay. Without days nothing is joined."""
     if days is None:
         return rows.withColumn("days_since_last_change", F.lit(None).cast("int"))
-    aged = rows.join(blame.select("path", "line", days_ago(F.col("author_time"), as_of).alias("days_since_last_change")), ["path", "line"], "left")
+    aged = merged(rows, blame.select("path", "line", days_ago(F.col("author_time"), as_of).alias("days_since_last_change")), ["path", "line"], "left")
     return aged.where(F.coalesce(F.col("days_since_last_change") >= days, F.lit(True)))
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegrain.functions.tables import merged
 from lodegrain.functions.text import EDGE_L, IDENT, basename, by_extension, first_rule, lines_of
 from lodegrain.operators import plugins
 
@@ -132,7 +133,7 @@ def first_definitions(defs: DataFrame) -> DataFrame:
 def dead(defs: DataFrame, refs: DataFrame) -> DataFrame:
     """Rows of defs(path, name, ...) whose name no other file refers to: refs(path, name), repeated or not. Names are reduced to their first and last path before rows meet."""
     used = refs.groupBy(F.col("name").alias("_name")).agg(F.min("path").alias("_a"), F.max("path").alias("_b"))
-    return defs.join(used, (F.col("name") == F.col("_name")) & ((F.col("path") != F.col("_a")) | (F.col("path") != F.col("_b"))), "left_anti")
+    return merged(defs, used, (F.col("name") == F.col("_name")) & ((F.col("path") != F.col("_a")) | (F.col("path") != F.col("_b"))), "left_anti")
 
 
 def edges(defs: DataFrame, refs: DataFrame) -> DataFrame:

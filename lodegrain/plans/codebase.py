@@ -95,10 +95,20 @@ PACKAGES = [("npm", "gone", "4"), ("pip", "requests", "Requests==2"), ("pip", "f
 KEYS = [("UNUSED_KEY", "y", ".env"), ("db.host", "h", "config.json"), ("db.ports", "[1]", "config.json"), ("x1", "2", "config.json")]
 
 
+#: Suppliers of a task, each of which becomes dozens of files.
+TASK_SUPPLIERS = 1000
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k): the keys of a corpus folder's suppliers, dealt out to as many tasks as their files need; a table of megabytes would be one task, and become gigabytes of text there."""
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return table.select(F.col("s_suppkey").cast("string").alias("k")).repartition(max(1, -(-table.count() // TASK_SUPPLIERS)))
+
+
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code base of a corpus folder's suppliers."""
     listed = lambda files, folder: F.array(*(F.struct(F.lit(folder + p).alias("p"), F.lit(t).alias("c")) for p, t in files.items()))
-    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.explode(listed(FILES, "p{k}/")).alias("f"))
+    own = suppliers(spark, sf_dir).select("k", F.explode(listed(FILES, "p{k}/")).alias("f"))
     put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k"))
     root = spark.range(1).select(F.explode(listed(ROOT, "")).alias("f")).select("f.p", "f.c")
     return as_files(own.select(put("f.p").alias("p"), put("f.c").alias("c")).union(root), F.col("p"), F.col("c"))
@@ -107,7 +117,7 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def versions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of some files of the code base, by ann and by bob."""
     each = [F.struct(F.lit(f"p{{k}}/{p}").alias("p"), F.lit(v + 1).alias("version"), F.lit(who).alias("author"), F.lit(86400 * MADE[v]).alias("author_time"), F.lit(text).alias("c")) for p in EARLIER for v, (who, text) in enumerate((("ann", EARLIER[p]), ("bob", FILES[p])))]
-    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.explode(F.array(*each)).alias("f"))
+    own = suppliers(spark, sf_dir).select("k", F.explode(F.array(*each)).alias("f"))
     put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k"))
     return own.select(put("f.p").alias("path"), "f.version", "f.author", "f.author_time", put("f.c").alias("content"))
 

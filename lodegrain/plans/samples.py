@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodegrain.functions.tables import written
 from lodegrain.operators import blocks, findings, imports, symbols
 from lodegrain.plans import reports
-from lodegrain.plans.codebase import rows_sql
+from lodegrain.plans.codebase import rows_sql, suppliers
 from lodegrain.sources.files import as_files
 
 #: Debug output by file: (line, kind), kind None where nothing is found.
@@ -97,7 +97,7 @@ TEXTS = {
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second code base of a corpus folder's suppliers."""
     listed = F.array(*(F.struct(F.lit("q{k}/" + p).alias("p"), F.lit(t).alias("c")) for p, t in TEXTS.items()))
-    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.explode(listed).alias("f"))
+    own = suppliers(spark, sf_dir).select("k", F.explode(listed).alias("f"))
     put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k"))
     return as_files(own.select(put("f.p").alias("p"), put("f.c").alias("c")), F.col("p"), F.col("c"))
 
