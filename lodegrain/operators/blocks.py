@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodegrain.functions.tables import merged
 from lodegrain.functions.text import COMMENT_LINE, EDGE_L, EDGE_R, IDENT, first_rule, lines_of, word
 
 #: Lines a brace body or block can have, and least sizes.
@@ -79,7 +80,7 @@ def _closers(lines: DataFrame) -> DataFrame:
 def _bodies(ends: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
     """(path, ext, name, line, end_line, closed, body) of ends(path, name, head, end_line, closed), cut from the files' lines; without an end, up to the file's last line or limit lines."""
     per_file = ends.groupBy("path").agg(F.collect_list(F.struct("name", "head", "end_line", "closed")).alias("_b"))
-    wide = files.select("path", "ext", F.split("content", "\n").alias("_t")).join(per_file, "path")
+    wide = merged(files.select("path", "ext", "content"), per_file, "path").select("path", "ext", F.split("content", "\n").alias("_t"), "_b")
     last = lambda b: F.coalesce(b["end_line"], F.least(F.size("_t"), b["head"] + (limit - 1)) if limit else F.size("_t"))
     cut = lambda b: F.struct(b["name"].alias("name"), b["head"].alias("line"), last(b).alias("end_line"), b["closed"].alias("closed"), F.slice("_t", b["head"], last(b) - b["head"] + 1).alias("body"))
     return wide.select("path", "ext", F.explode(F.transform("_b", cut)).alias("_x")).select("path", "ext", "_x.*")

@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodegrain.operators import history, symbols
-from lodegrain.plans import codebase
+from lodegrain.operators import blocks, history, symbols
+from lodegrain.plans import codebase, samples
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the corpus folder")
@@ -30,3 +30,7 @@ def test_suppliers_are_dealt_to_tasks(spark, monkeypatch):
     n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
     assert codebase.suppliers(spark, DATA).rdd.getNumPartitions() == -(-n // 4) > 1
     assert codebase.suppliers(spark, DATA).distinct().count() == n
+
+
+def test_scores_broadcast_no_texts(spark):
+    assert not broadcast(blocks.complexity(samples.files_of(spark, DATA)))
