@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodegrain.functions.tables import merged
 from lodegrain.functions.text import basename, lines_of
 from lodegrain.operators.within import within
 
@@ -60,10 +61,10 @@ def unmentioned(keys: DataFrame, texts: DataFrame, key: str = "key", text: str =
         part = F.element_at(F.array_sort(F.split("_key", r"\s+"), lambda a, b: F.length(b) - F.length(a)), 1)
         several = wanted.where(spaced).withColumn("_part", part)
         named = used.withColumn("_text_id", F.xxhash64("_text"))
-        holds = within(several, named.select(words), "_part", "_word").join(named.select("_text_id", words), "_word").select("_text_id", "_part").distinct()
-        met = holds.join(several, "_part").join(named, "_text_id").where(F.contains(F.col("_text"), F.col("_key")))
+        holds = merged(within(several, named.select(words), "_part", "_word"), named.select("_text_id", words), "_word").select("_text_id", "_part").distinct()
+        met = merged(merged(holds, several, "_part"), named, "_text_id").where(F.contains(F.col("_text"), F.col("_key")))
         found = found.union(met.select("_key").distinct())
-    return keys.join(found, F.col(key) == F.col("_key"), "left_anti")
+    return merged(keys, found, F.col(key) == F.col("_key"), "left_anti")
 
 
 def unused_keys(files: DataFrame) -> DataFrame:

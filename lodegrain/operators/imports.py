@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegrain.functions.tables import merged
 from lodegrain.functions.text import basename, dirname, lines_of, normal_path
 from lodegrain.operators.graph import cycles
 from lodegrain.operators.within import within
@@ -35,7 +36,7 @@ def js_imports(files: DataFrame, bare: bool) -> DataFrame:
 
 def _first_existing(tried: DataFrame, paths: DataFrame) -> DataFrame:
     """tried(path, spec, ord, target) to (path, spec, target): the first target by ord that is among paths(path)."""
-    there = tried.join(paths.select(F.col("path").alias("target")).distinct(), "target")
+    there = merged(tried, paths.select(F.col("path").alias("target")).distinct(), "target")
     return there.groupBy("path", "spec").agg(F.min_by("target", "ord").alias("target"))
 
 
@@ -62,12 +63,12 @@ def resolve_aliases(imports: DataFrame, aliases: DataFrame, paths: DataFrame, en
     """imports(path, spec) whose name is an alias or below one, with target: null where no candidate exists. Each beginning of a name up to a slash meets the aliases by equality; the first alias counts."""
     parts = F.split("spec", "/")
     starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    met = imports.select("path", "spec", F.explode(starts).alias("alias")).join(aliases, "alias").groupBy("path", "spec").agg(F.min_by(F.struct("alias", "targets"), "ord").alias("a"))
+    met = imports.select("path", "spec", F.explode(starts).alias("alias")).join(F.broadcast(aliases), "alias").groupBy("path", "spec").agg(F.min_by(F.struct("alias", "targets"), "ord").alias("a"))
     rest = F.expr("substring(spec, length(a.alias) + 2)")
     base = lambda t: F.when(rest == "", t).otherwise(F.concat_ws("/", t, rest))
     tried = F.flatten(F.transform("a.targets", lambda t, k: F.array(*(F.struct(k.alias("k"), F.lit(i).alias("i"), F.concat(normal_path(base(t)), F.lit(e)).alias("target")) for i, e in enumerate(endings)))))
     wide = met.select("path", "spec", F.explode(tried).alias("c")).select("path", "spec", F.struct("c.k", "c.i").alias("ord"), "c.target")
-    return met.select("path", "spec").join(_first_existing(wide, paths), ["path", "spec"], "left")
+    return merged(met.select("path", "spec"), _first_existing(wide, paths), ["path", "spec"], "left")
 
 
 def package_entries(files: DataFrame) -> DataFrame:
@@ -93,13 +94,13 @@ def unused_files(files: DataFrame) -> DataFrame:
     folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))).alias("path")).distinct()
     asked = js_imports(source, bare=False)
     aliased = resolve_aliases(asked, path_aliases(files), folders, FILE_ENDINGS)
-    plain = resolve(asked.join(aliased, ["path", "spec"], "left_anti"), folders, FILE_ENDINGS)
+    plain = resolve(merged(asked, aliased, ["path", "spec"], "left_anti"), folders, FILE_ENDINGS)
     used = aliased.where("target is not null").select(F.col("target").alias("path")).union(plain.select("target")).union(package_entries(files)).distinct()
     code = F.filter(F.split("content", "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*//"))
     barrel = (F.size(code) > 0) & F.forall(code, lambda x: x.rlike(r"^\s*export\s*(?:\*|\{)"))
     stem = F.lower(F.regexp_replace(basename(F.col("path")), r"\.[^.]*\z", ""))
     left = source.where(~stem.isin(list(ENTRY_STEMS)) & ~stem.rlike(EXEMPT_STEM) & ~F.col("path").rlike(EXEMPT_FOLDER) & ~stem.rlike(TOOL_STEM) & ~F.coalesce(barrel, F.lit(False)))
-    return left.join(used, "path", "left_anti").select("path", "size").orderBy(F.desc("size"), "path")
+    return merged(left, used, "path", "left_anti").select("path", "size").orderBy(F.desc("size"), "path")
 
 
 def import_cycles(files: DataFrame) -> DataFrame:

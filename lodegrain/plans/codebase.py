@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodegrain.functions.tables import written
 from lodegrain.operators import blocks, config, findings, history, imports, symbols
 from lodegrain.plans import reports, scan
 from lodegrain.sources.files import as_files
@@ -155,20 +156,20 @@ def _placed(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def _counts(files: DataFrame) -> DataFrame:
-    """The detectors' group counts as rows of what, of and n."""
+    """The detectors' group counts as rows of what, of and n. Each is worked out by itself: as one plan they would fill the driver."""
     named = lambda rows, what, key: rows.select(F.lit(what).alias("what"), F.col(key).alias("of"), F.col("n").cast("bigint").alias("n"))
-    dead, unused = symbols.dead_symbols(files), imports.unused_files(files)
+    dead, debug, unused = written(symbols.dead_symbols(files).select("path", "kind")), written(findings.debug_statements(files).select("path", "kind")), imports.unused_files(files)
     keys = reports.key_counts(config.config_keys(files), config.unused_keys(files))
     ext = F.regexp_extract("path", r"(\.[a-z]+)\z", 1)
     parts = [
-        named(reports.catches_by_severity(findings.weak_catches(files)), "catches", "severity"), named(reports.functions_by_risk(blocks.complexity(files)), "functions", "risk"), named(reports.counted(findings.debug_statements(files), "kind"), "debug", "kind"),
-        named(reports.counted(findings.debug_statements(files).withColumn("ext", ext), "ext"), "debug of language", "ext"), named(reports.counted(findings.todos(files), "kind"), "todos", "kind"),
+        named(reports.catches_by_severity(findings.weak_catches(files)), "catches", "severity"), named(reports.functions_by_risk(blocks.complexity(files)), "functions", "risk"), named(reports.counted(debug, "kind"), "debug", "kind"),
+        named(reports.counted(debug.withColumn("ext", ext), "ext"), "debug of language", "ext"), named(reports.counted(findings.todos(files), "kind"), "todos", "kind"),
         reports.unused_bytes(unused).select(F.lit("unused").alias("what"), F.lit("bytes").alias("of"), F.col("bytes").alias("n")), keys.select(F.lit("keys").alias("what"), F.lit("live").alias("of"), F.col("live").alias("n")),
         reports.dead_by_file(dead).agg(F.max("dead").alias("n")).select(F.lit("dead").alias("what"), F.lit("most in a file").alias("of"), "n"), symbols.cleanup_stats(dead).select(F.lit("lines").alias("what"), F.col("kind").alias("of"), F.col("estimated_lines").alias("n")),
     ]
-    out = parts[0]
+    out = written(parts[0])
     for p in parts[1:]:
-        out = out.union(p)
+        out = out.union(written(p))
     return out
 
 

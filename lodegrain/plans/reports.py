@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegrain.functions.tables import merged
 from lodegrain.operators.symbols import estimated_lines
 
 SEVERITIES, RISKS = ("error", "warning", "info"), ("low", "medium", "high", "critical")
@@ -58,7 +59,7 @@ def top_authors(rows: DataFrame, most: int = 5) -> DataFrame:
 
 def key_counts(keys: DataFrame, dead: DataFrame) -> DataFrame:
     """live and dead: how many of config_keys() of two characters or more are mentioned, and how many are not."""
-    left = keys.where(F.length("key") >= 2).select("key").join(dead.select("key", F.lit(1).alias("_dead")), "key", "left")
+    left = merged(keys.where(F.length("key") >= 2).select("key"), dead.select("key", F.lit(1).alias("_dead")), "key", "left")
     return left.agg(F.count_if(F.col("_dead").isNull()).alias("live"), F.count("_dead").alias("dead"))
 
 
